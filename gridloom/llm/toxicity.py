@@ -28,9 +28,10 @@ IDENTITY_GROUPS = (
 )
 IDENTITY = {term: group for group in IDENTITY_GROUPS for term in group}
 
-#: Words in the vocabulary, labelled documents that a word needs, rows of each label in the training sample, the
+#: Words in the vocabulary at most, labelled documents that a word needs, log-likelihood ratio that it needs (chance
+#: reaches it for one word in a million), rows of each label in the training sample, the
 #: weights of the penalties on swaps and on size, and Newton steps.
-VOCABULARY, LEAST_DOCS, SAMPLE_EACH, SWAP_PENALTY, RIDGE, STEPS = 400, 8, 6000, 10.0, 1.0, 25
+VOCABULARY, LEAST_DOCS, LEAST_TOLD, SAMPLE_EACH, SWAP_PENALTY, RIDGE, STEPS = 400, 5, 12.0, 6000, 10.0, 1.0, 25
 
 #: Words are runs of letters: A-Z become a-z, other ASCII characters separate, bytes of other characters stay.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -52,8 +53,8 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def choose_words(rows: DataFrame, size: int = VOCABULARY) -> list[bytes]:
-    """The size words whose presence tells most about the label, by the log-likelihood ratio of their document counts
-    over all labelled rows, ties by the word; and the identity terms."""
+    """The words, size at most, whose presence tells most about the label, by the log-likelihood ratio of their document
+    counts over all labelled rows, ties by the word; and the identity terms."""
 
     def counted(batches):
         for batch in batches:
@@ -76,7 +77,7 @@ def choose_words(rows: DataFrame, size: int = VOCABULARY) -> list[bytes]:
         absent, not_expected = float(total) - n, float(total) - share * float(total)
         return F.when(n > 0, n * F.log(n / expected)).otherwise(0.0) + F.when(absent > 0, absent * F.log(absent / not_expected)).otherwise(0.0)
 
-    best = counts.filter(n0 + n1 >= LEAST_DOCS).filter(n0 + n1 < a + b).withColumn("told", term(n0, a) + term(n1, b)).orderBy(F.desc("told"), "word").limit(size)
+    best = counts.filter(n0 + n1 >= LEAST_DOCS).filter(n0 + n1 < a + b).withColumn("told", term(n0, a) + term(n1, b)).filter(F.col("told") >= LEAST_TOLD).orderBy(F.desc("told"), "word").limit(size)
     chosen = [bytes(r["word"]) for r in best.collect()]
     return chosen + [t.encode() for t in IDENTITY if t.encode() not in set(chosen)]
 
