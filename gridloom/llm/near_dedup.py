@@ -6,7 +6,7 @@ compared batch by batch, and a pair goes as soon as the posterior probability th
 is less than the chosen miss probability. Survivors are verified on the full sets. Components of the links found so
 far then show which buckets still hold classes of several components: there each class outside the main component is
 compared, in blocks, with all members of other components, pruned and verified alike. So a group of any size costs one
-comparison a member, except for the members that its most copied class doesn't link.
+comparison a member, and more only for the members that its most copied class doesn't link.
 """
 
 from __future__ import annotations
@@ -204,34 +204,42 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def remaining(buckets: DataFrame, reps: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (class, other) of different components that share a bucket, haven't been compared, and survive the
-    comparison of signatures: each class outside a bucket's main component against all its members, in blocks."""
+    """Links (class, other) between classes of different components that share a bucket with at least one more class.
+
+    Buckets that still hold several components are put together by their main component. In each such group, each class
+    outside the main component is compared with all members of other components, in blocks: signatures first, then
+    sets. One link to each other component is enough.
+    """
     many = reps.filter("n > 2")
-    rows = buckets.select("key", "class").join(many.select("key", "n", "rep"), "key").join(roots, "class", "left")
-    rows = common.stored(rows.select("key", "n", "class", F.coalesce("root", "class").alias("root"), (F.col("class") == F.col("rep")).alias("is_rep")), "dedup-members")
-    mixed_keys = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.when(F.col("is_rep"), F.col("root"))).alias("main"), F.first("n").alias("n"))
-    mixed_keys = common.stored(mixed_keys.filter("low <> high").select("key", "main", F.ceil(F.col("n") / MEMBERS).cast("int").alias("blocks")), "dedup-mixed")
-    own = rows.select("key", "class", "root", "is_rep").join(mixed_keys, "key")
-    members = own.filter(~F.col("is_rep")).select("key", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("role"), "class", "root")
-    asking = own.filter(F.col("root") != F.col("main")).select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), "class", "root")
-    dealt = members.unionByName(asking).join(sets.select("class", "sign"), "class").repartition("key", "block").sortWithinPartitions("key", "block", "role")
+    rows = buckets.select("key", "class").join(many.select("key", "rep"), "key").join(roots, "class", "left")
+    rows = common.stored(rows.select("key", "class", F.coalesce("root", "class").alias("root"), (F.col("class") == F.col("rep")).alias("is_rep")), "dedup-members")
+    mixed_keys = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.when(F.col("is_rep"), F.col("root"))).alias("main"))
+    mixed_keys = common.stored(mixed_keys.filter("low <> high").select("key", "main"), "dedup-mixed")
+    grouped = common.stored(rows.select("key", "class", "root").join(mixed_keys, "key").select("main", "class", "root").distinct(), "dedup-groups")
+    counts = common.stored(grouped.groupBy("main").agg(F.ceil(F.count("*") / (4 * MEMBERS)).cast("int").alias("blocks")), "dedup-group-blocks")
+    own = grouped.join(counts, "main")
+    members = own.select("main", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("role"), "class", "root")
+    asking = own.filter("root <> main").select("main", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), "class", "root")
+    dealt = members.unionByName(asking).join(sets, "class").repartition("main", "block").sortWithinPartitions("main", "block", "role")
 
     def run(batches):
-        for group in common.contiguous_groups(batches, ["key", "block"]):
+        for group in common.contiguous_groups(batches, ["main", "block"]):
             ask = group["role"].to_numpy() == 0
             if not ask.any() or ask.all():
                 continue
             asked, rest = group[ask], group[~ask]
             signs = np.stack([np.frombuffer(s, np.uint32) for s in rest["sign"]])
+            sets_ = [np.frombuffer(f, np.uint64) for f in rest["found"]]
             names, of = rest["class"].to_numpy(), rest["root"].to_numpy()
             out = []
-            for name, root, sign in zip(asked["class"], asked["root"], asked["sign"]):
-                sign = np.frombuffer(sign, np.uint32)
-                open_ = np.flatnonzero(of != root)
-                out += [(name, names[k]) if name < names[k] else (names[k], name) for k in open_[survivors(sign, signs[open_])]]
+            for name, root, sign, found in zip(asked["class"], asked["root"], asked["sign"], asked["found"]):
+                elsewhere = np.flatnonzero(of != root)
+                left = elsewhere[survivors(np.frombuffer(sign, np.uint32), signs[elsewhere])]
+                left = left[linked(np.frombuffer(found, np.uint64), [sets_[k] for k in left])]
+                out += [(name, names[k]) for k in {of[k]: k for k in left}.values()]
             yield pd.DataFrame(out, columns=["class", "other"])
 
-    return dealt.mapInPandas(run, "class binary, other binary").distinct()
+    return dealt.mapInPandas(run, "class binary, other binary")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -256,11 +264,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = common.stored(verified(pairs, sets), "dedup-links")
     common.free_shuffles(docs.sparkSession)
     roots = components(edges)
-    rest = common.stored(remaining(buckets, reps, roots, sets), "dedup-rest")
-    if not rest.isEmpty():
-        more = common.stored(verified(rest, sets), "dedup-more")
-        if not more.isEmpty():
-            roots = components(edges.unionByName(more))
+    more = common.stored(remaining(buckets, reps, roots, sets), "dedup-more")
+    if not more.isEmpty():
+        roots = components(roots.withColumnRenamed("root", "other").unionByName(more))
     common.free_shuffles(docs.sparkSession)
     common.drop_stored(sets)
     least = classes.select("class", "first_id").join(roots, "class").groupBy("root").agg(F.min("first_id").alias("component_id"))
