@@ -75,7 +75,7 @@ class NDArray:
 
     def to_list(self):
         """Nested Python lists in C order: every cell comes to the driver."""
-        cells = [r["v"] for r in self.df.orderBy(*indices(self.ndim)).collect()]
+        cells = [r["v"] for r in (self.df.orderBy(*indices(self.ndim)) if self.ndim else self.df).collect()]
         if self.dtype is complex:
             cells = [complex(c["re"], c["im"]) for c in cells]
         for n in reversed(self.shape[1:]):
