@@ -10,7 +10,7 @@ from gridloom.functions import values
 from gridloom.ndarray import NDArray, indices, linear
 
 #: Cells ranked in one window; more are dealt out by value first, into about this many buckets and blocks of cells.
-WINDOW_CELLS, BUCKETS = 1 << 16, 128
+WINDOW_CELLS, BUCKETS = 1 << 16, 64
 
 
 def _ranked(cells, n: int):
@@ -22,13 +22,16 @@ def _ranked(cells, n: int):
     found = cells.agg(F.percentile_approx("v", steps, 1000).alias("q")).first()["q"]
     cuts = sorted({q for q in found if q == q})
     kind = dict(cells.dtypes)["v"]
-    place = F.lit(2 * len(cuts))
-    for k in reversed(range(len(cuts))):
-        cut = F.lit(cuts[k]).cast(kind)
-        place = F.when(F.col("v") < cut, 2 * k).when(F.col("v") == cut, 2 * k + 1).otherwise(place)
-    even = place % 2 == 0 if kind != "double" else (place % 2 == 0) & ~F.isnan("v")
-    dealt = cells.withColumn("bucket", F.when(F.isnan("v"), 2 * len(cuts) + 1).otherwise(place) if kind == "double" else place)
-    dealt = dealt.withColumn("block", F.when(even, F.lit(0).cast("bigint")).otherwise(F.call_function("div", F.col("lin"), F.lit(WINDOW_CELLS).cast("bigint"))))
+    # bucket 2 k lies above k cuts and below the next; 2 k - 1 is the k-th cut itself, and the last one is NaN
+    sorted_cuts, v = F.array(*(F.lit(c).cast(kind) for c in cuts)), F.col("v")
+    above = F.size(F.filter(sorted_cuts, lambda c: c <= v))
+
+    def placed(k):
+        at_cut = (k > 0) & (F.element_at(sorted_cuts, F.greatest(k, F.lit(1))) == v) if cuts else F.lit(False)
+        return F.when(F.isnan(v), 2 * len(cuts) + 1).otherwise(2 * k - at_cut.cast("int")) if kind == "double" else 2 * k - at_cut.cast("int")
+
+    dealt = cells.withColumn("bucket", F.transform(F.array(above), placed)[0])
+    dealt = dealt.withColumn("block", F.when(F.col("bucket") % 2 == 0, F.lit(0).cast("bigint")).otherwise(F.call_function("div", F.col("lin"), F.lit(WINDOW_CELLS).cast("bigint"))))
     counts = dealt.groupBy("bucket", "block").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.orderBy("bucket", "block").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.withColumn("start", F.coalesce(before, F.lit(0))).drop("n")
