@@ -19,22 +19,23 @@ from pyspark.sql import functions as F
 from gridloom.llm import common
 from gridloom.llm.pretokens import pieces
 
-#: Bytes of distinct words in one recursive query, ids in one decoding query, and pieces and words that a worker
-#: remembers; they bound memory.
-QUERY_BYTES, DECODE_IDS, MEMO_PIECES, MEMO_WORDS = 1 << 18, 1 << 20, 250_000, 700_000
+#: Bytes of distinct words in one recursive query, rows that its steps hold together, ids in one decoding query, and
+#: pieces and words that a worker remembers; they bound memory.
+QUERY_BYTES, STATE_ROWS, DECODE_IDS, MEMO_PIECES, MEMO_WORDS = 1 << 18, 1 << 22, 1 << 20, 250_000, 700_000
 
 #: pos counts the bytes of all words of the batch, so it names a row. A row carries its right neighbour's position and
 #: token and, as one number, the rank and place of the pair it makes with it (null if the two can't merge). A step
 #: takes each word's least such number: that row gets the merged token and its neighbour's neighbour, the neighbour
 #: goes, and the row before sees the merged token. Words without any pair take no further step; the rows of each
-#: word's last step are the result.
+#: word's last step are the result. A recursion keeps the rows of all its steps, so it ends after a number of them;
+#: words with a pair left then go on from their last rows in another one.
 ENCODE_SQL = """
 WITH RECURSIVE state AS (
     SELECT s.word, s.pos, s.tok, s.rpos, s.rtok, m.tok * 1099511627776 + s.pos AS pair, 0 AS step
     FROM seed s LEFT JOIN merges m ON m.lhs = s.tok AND m.rhs = s.rtok
     UNION ALL
     (WITH best AS (
-        SELECT word, min(pair) AS pair, arg_min(rpos, pair) AS gone FROM state WHERE pair IS NOT NULL GROUP BY word
+        SELECT word, min(pair) AS pair, arg_min(rpos, pair) AS gone FROM state WHERE pair IS NOT NULL AND step < {steps} GROUP BY word
     ), chosen AS (
         SELECT b.word, b.pair % 1099511627776 AS hit, b.pair // 1099511627776 AS merged, b.gone, g.rpos, g.rtok
         FROM best b JOIN state g ON g.pos = b.gone
@@ -48,8 +49,8 @@ WITH RECURSIVE state AS (
     SELECT n.word, n.pos, n.tok, n.rpos, n.rtok, m.tok * 1099511627776 + n.pos AS pair, n.step
     FROM contracted n LEFT JOIN merges m ON m.lhs = n.tok AND m.rhs = n.rtok)
 )
-SELECT s.word, s.tok FROM state s JOIN (SELECT word, max(step) AS step FROM state GROUP BY word) l
-ON l.word = s.word AND l.step = s.step ORDER BY s.pos
+SELECT s.word, s.pos, s.tok, s.rpos, s.rtok, s.pair IS NOT NULL AS more
+FROM state s JOIN (SELECT word, max(step) AS step FROM state GROUP BY word) l ON l.word = s.word AND l.step = s.step ORDER BY s.pos
 """
 DECODE_SQL = """
 SELECT text_no, string_agg(v.symbols, '' ORDER BY pos) AS symbols
@@ -100,14 +101,20 @@ class Codec:
             last = np.zeros(len(raw), bool)
             last[start + lengths - 1] = True
             tok, pos = self.byte_ids[raw], np.arange(len(raw))
-            self.load("seed", pa.table({
+            seed = pa.table({
                 "word": np.repeat(np.arange(len(batch)), lengths), "pos": pos, "tok": tok,
                 "rpos": pa.array(pos + 1, mask=last), "rtok": pa.array(np.append(tok[1:], 0), mask=last),
-            }))
-            rows = self.db.execute(ENCODE_SQL).fetchnumpy()
-            ids, bounds = np.ascontiguousarray(rows["tok"]).astype("<u4"), np.searchsorted(rows["word"], np.arange(len(batch) + 1))
-            for k, a, b in zip(batch, bounds[:-1], bounds[1:]):
-                result[k] = ids[a:b].tobytes()
+            })
+            while len(seed):
+                self.load("seed", seed)
+                rows = self.db.sql(ENCODE_SQL.format(steps=max(1, STATE_ROWS // len(seed)))).to_arrow_table()
+                word, ids = rows["word"].to_numpy(), rows["tok"].to_numpy().astype("<u4")
+                more = np.zeros(len(batch), bool)
+                more[word[rows["more"].to_numpy()]] = True
+                done = np.setdiff1d(word, np.flatnonzero(more))
+                for k, a, b in zip(done, np.searchsorted(word, done), np.searchsorted(word, done, "right")):
+                    result[batch[k]] = ids[a:b].tobytes()
+                seed = rows.filter(pa.array(more[word]))
         return result
 
     def decode(self, texts: list[np.ndarray]) -> list[bytes]:

@@ -263,6 +263,18 @@ def test_byte_bpe(spark, docs, nothing):
     assert byte_bpe.round_trip(nothing, RANKS, PATTERN).count() == 0
 
 
+@pytest.mark.parametrize("state_rows", [1, 5000])
+def test_byte_bpe_goes_on_from_a_recursion_that_ended(monkeypatch, state_rows):
+    import tiktoken
+
+    monkeypatch.setattr(byte_bpe, "STATE_ROWS", state_rows)
+    ranks = byte_bpe.read_ranks(RANKS)
+    encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = [" unforeseeably", "y" * 300, "antidisestablishmentarianism" * 9, "", "\u00e9\u00e8" * 20, "qzx 99999999"]
+    want = [np.array(encoding.encode_ordinary(t), "<u4").tobytes() for t in texts]
+    assert byte_bpe.Codec(RANKS, PATTERN).encode(texts) == want
+
+
 def test_queries_give_every_row(spark):
     import corpus_pipeline
     from gridloom.llm.queries import QUERIES
