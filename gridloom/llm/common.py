@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -73,17 +74,37 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+#: Rows and characters that one step of map_texts() takes; a longer text is a step by itself.
+SLICE_ROWS, SLICE_CHARS = 1000, 1 << 22
+
+
+def slices(texts: list) -> Iterator[tuple[int, int]]:
+    """Starts and ends of stretches of texts that are within those bounds."""
+    start = size = 0
+    for k, text in enumerate(texts):
+        n = len(text or "")
+        if k > start and (k - start == SLICE_ROWS or size + n > SLICE_CHARS):
+            yield start, k
+            start, size = k, 0
+        size += n
+    if texts:
+        yield start, len(texts)
+
+
 def map_texts(docs: DataFrame, work, rest: str, id_col: str, text_col: str, nulls: bool = False) -> DataFrame:
     """doc_id and the columns named in rest, a row for each of docs: work takes a list of texts and gives a frame of the
-    other columns. A null text is '' to it, or None if nulls. Ids travel as text, so that pandas leaves them alone."""
+    other columns. A null text is '' to it, or None if nulls. It gets a slice of a batch at a time, so that what it holds
+    doesn't grow with Spark's batches. Ids travel as text, so that pandas leaves them alone."""
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), (text if nulls else F.coalesce(text, F.lit(""))).alias("text"))
 
     def run(batches):
         for batch in batches:
-            found = work(batch["text"].tolist())
-            found.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield found
+            ids, texts = batch["doc_id"].to_numpy(), batch["text"].tolist()
+            for start, end in slices(texts):
+                found = work(texts[start:end])
+                found.insert(0, "doc_id", ids[start:end])
+                yield found
 
     out = rows.mapInPandas(run, f"doc_id string, {rest}")
     return out.withColumn("doc_id", F.col("doc_id").cast(dict(docs.dtypes)[id_col]))
