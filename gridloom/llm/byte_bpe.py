@@ -21,7 +21,7 @@ from gridloom.llm.pretokens import pieces
 
 #: Bytes of distinct words in one recursive query, rows that its steps hold together, ids in one decoding query, and
 #: pieces and words that a worker remembers; they bound memory.
-QUERY_BYTES, STATE_ROWS, DECODE_IDS, MEMO_PIECES, MEMO_WORDS = 1 << 18, 1 << 22, 1 << 20, 250_000, 700_000
+QUERY_BYTES, STATE_ROWS, DECODE_IDS, MEMO_PIECES, MEMO_WORDS = 1 << 16, 1 << 20, 1 << 18, 250_000, 700_000
 
 #: pos counts the bytes of all words of the batch, so it names a row. A row carries its right neighbour's position and
 #: token and, as one number, the rank and place of the pair it makes with it (null if the two can't merge). A step
@@ -82,6 +82,11 @@ class Codec:
         self.load("vocabulary_in", pa.table({"tok": list(ranks.values()), "symbols": ["".join(chr(256 + b) for b in t) for t in ranks]}))
         self.db.execute("CREATE TABLE vocabulary AS SELECT tok::BIGINT AS tok, symbols FROM vocabulary_in")
 
+    def forget(self) -> None:
+        """Drops what is remembered of texts."""
+        self.memo.clear()
+        self.words.clear()
+
     def load(self, name: str, rows: pa.Table) -> None:
         self.db.register(name, rows)
 
@@ -136,7 +141,7 @@ class Codec:
     def parts(self, texts: list[str]) -> list[list[tuple[bytes, bytes]]]:
         """For each text its parts in order: their ids as little-endian 32-bit numbers, and what those ids decode to.
 
-        Each distinct match of the pattern is encoded and its ids are decoded once for as long as the worker remembers.
+        Each distinct match of the pattern is encoded and its ids are decoded once for as long as the task remembers.
         """
         cut = [pieces(t) or self.match.findall(t) for t in texts]
         if len(self.memo) > MEMO_PIECES:
@@ -181,7 +186,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         ids = codec(ranks_path, pattern).encode(texts)
         return pd.DataFrame({"ids": [np.frombuffer(x, "<u4").astype(np.int32) for x in ids]})
 
-    return common.map_texts(docs, work, "ids array<int>", id_col, text_col)
+    return common.map_texts(docs, work, "ids array<int>", id_col, text_col, forget=lambda: codec(ranks_path, pattern).forget())
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -211,4 +216,4 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
             rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()))
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return common.map_texts(docs, work, "n_tokens long, ids_sha256 string, decoded_sha256 string", id_col, text_col)
+    return common.map_texts(docs, work, "n_tokens long, ids_sha256 string, decoded_sha256 string", id_col, text_col, forget=lambda: codec(ranks_path, pattern).forget())

@@ -65,6 +65,12 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's bounds of the batches that go to Python, so that long texts need little memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def lower_ascii(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
 
@@ -91,20 +97,25 @@ def slices(texts: list) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def map_texts(docs: DataFrame, work, rest: str, id_col: str, text_col: str, nulls: bool = False) -> DataFrame:
+def map_texts(docs: DataFrame, work, rest: str, id_col: str, text_col: str, nulls: bool = False, forget=None) -> DataFrame:
     """doc_id and the columns named in rest, a row for each of docs: work takes a list of texts and gives a frame of the
     other columns. A null text is '' to it, or None if nulls. It gets a slice of a batch at a time, so that what it holds
-    doesn't grow with Spark's batches. Ids travel as text, so that pandas leaves them alone."""
+    doesn't grow with Spark's batches. Tasks take a worker's turn, and a worker waits long for its next one: forget, called
+    at the end of a task, drops what work remembers. Ids travel as text, so that pandas leaves them alone."""
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), (text if nulls else F.coalesce(text, F.lit(""))).alias("text"))
 
     def run(batches):
-        for batch in batches:
-            ids, texts = batch["doc_id"].to_numpy(), batch["text"].tolist()
-            for start, end in slices(texts):
-                found = work(texts[start:end])
-                found.insert(0, "doc_id", ids[start:end])
-                yield found
+        try:
+            for batch in batches:
+                ids, texts = batch["doc_id"].to_numpy(), batch["text"].tolist()
+                for start, end in slices(texts):
+                    found = work(texts[start:end])
+                    found.insert(0, "doc_id", ids[start:end])
+                    yield found
+        finally:
+            if forget:
+                forget()
 
     out = rows.mapInPandas(run, f"doc_id string, {rest}")
     return out.withColumn("doc_id", F.col("doc_id").cast(dict(docs.dtypes)[id_col]))

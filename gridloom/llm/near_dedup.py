@@ -47,6 +47,10 @@ class _Words(dict):
 _WORDS = _Words()
 
 
+def forget_words() -> None:
+    _WORDS.clear()
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -132,7 +136,7 @@ def class_features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             rows.append((len(found), xxhash.xxh3_128_digest(found.tobytes()), band_keys(signature(found))) if len(found) else (0, None, None))
         return pd.DataFrame(rows, columns=["n_shingles", "class", "bands"])
 
-    return common.map_texts(docs, work, "n_shingles long, class binary, bands array<long>", id_col, text_col)
+    return common.map_texts(docs, work, "n_shingles long, class binary, bands array<long>", id_col, text_col, forget=forget_words)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -147,6 +151,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> D
                 if len(found) and xxhash.xxh3_128_digest(found.tobytes()) == bytes(own):
                     rows.append((own, signature(found).tobytes(), found.tobytes()))
             yield pd.DataFrame(rows, columns=["class", "sign", "found"])
+        forget_words()
 
     return texts.select("text", "class").mapInPandas(run, "class binary, sign binary, found binary")
 
