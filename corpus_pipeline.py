@@ -22,28 +22,33 @@ def _kept(docs: DataFrame, decided: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on labels, doesn't predict to be toxic."""
+    common.small_batches(spark)
     model = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
     return _kept(docs, toxicity.score(docs, model).filter("predicted = 0"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the least id."""
+    common.small_batches(spark)
     return _kept(docs, near_dedup.near_duplicates(docs).filter("kept"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
+    common.small_batches(spark)
     found = decontamination.scan(docs, common.table(spark, sf_dir, "benchmark"))
     return _kept(docs, found.filter(~F.col("contaminated")))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each secret in a text replaced by [SECRET], and n_chars that of the new text."""
+    common.small_batches(spark)
     return secrets.redact(docs, secrets.examples_of(docs)).select(*COLUMNS)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of what they decode to."""
+    common.small_batches(spark)
     return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
