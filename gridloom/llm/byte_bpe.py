@@ -202,13 +202,18 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc
     return ids.mapInPandas(run, "doc_id string, bytes binary").withColumn("doc_id", F.col("doc_id").cast(dict(encoded.dtypes)[id_col]))
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", remember: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row of docs: its text is encoded and the ids decoded.
 
     A null text counts as empty: no ids, no bytes. Repeated rows give repeated rows; other columns aren't read. A text
     of any length is one row of the work; the cost of one match of the pattern grows with the square of its length.
+    With remember, workers keep their bounded memory of words for later tasks: faster, where no other operators' workers
+    share the machine.
     """
 
+    def forget():
+        codec(ranks_path, pattern).forget()
+
     def work(texts):
         rows = []
         for parts in codec(ranks_path, pattern).parts(texts):
@@ -216,4 +221,4 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
             rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()))
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return common.map_texts(docs, work, "n_tokens long, ids_sha256 string, decoded_sha256 string", id_col, text_col, forget=lambda: codec(ranks_path, pattern).forget())
+    return common.map_texts(docs, work, "n_tokens long, ids_sha256 string, decoded_sha256 string", id_col, text_col, forget=None if remember else forget)

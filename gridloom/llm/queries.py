@@ -65,7 +65,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_bpe.round_trip(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return byte_bpe.round_trip(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, remember=True)
 
 
 QUERIES = {f.__name__: f for f in (op1_secrets, op2_near_dedup, op3_lm_scoring, op4_token_counts, op5_decontamination, op6_html_extraction, op7_language_id, op8_topk, op9_toxicity, op10_byte_bpe)}
