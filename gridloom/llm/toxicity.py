@@ -28,10 +28,9 @@ IDENTITY_GROUPS = (
 )
 IDENTITY = {term: group for group in IDENTITY_GROUPS for term in group}
 
-#: Words in the vocabulary at most, labelled documents that a word needs, log-likelihood ratio that it needs (chance
-#: reaches it for one word in a million), rows of each label in the training sample, the
-#: weights of the penalties on swaps and on size, and Newton steps.
-VOCABULARY, LEAST_DOCS, LEAST_TOLD, SAMPLE_EACH, SWAP_PENALTY, RIDGE, STEPS = 400, 5, 12.0, 6000, 10.0, 1.0, 25
+#: Words in the vocabulary at most, rows of each label in the training sample, the weights of the penalties on swaps, on
+#: size and, for each row, on the bias, and Newton steps.
+VOCABULARY, SAMPLE_EACH, SWAP_PENALTY, RIDGE, BIAS_PENALTY, STEPS = 400, 6000, 10.0, 1.0, 0.25, 25
 
 #: Words are runs of letters: A-Z become a-z, other ASCII characters separate, bytes of other characters stay.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -54,7 +53,8 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def choose_words(rows: DataFrame, size: int = VOCABULARY) -> list[bytes]:
     """The words, size at most, whose presence tells most about the label, by the log-likelihood ratio of their document
-    counts over all labelled rows, ties by the word; and the identity terms."""
+    counts over all labelled rows, ties by the word; and the identity terms. The ranking alone chooses, so that small
+    tables keep words too: fit() shrinks the weights of those that few documents have."""
 
     def counted(batches):
         for batch in batches:
@@ -77,7 +77,7 @@ def choose_words(rows: DataFrame, size: int = VOCABULARY) -> list[bytes]:
         absent, not_expected = float(total) - n, float(total) - share * float(total)
         return F.when(n > 0, n * F.log(n / expected)).otherwise(0.0) + F.when(absent > 0, absent * F.log(absent / not_expected)).otherwise(0.0)
 
-    best = counts.filter(n0 + n1 >= LEAST_DOCS).filter(n0 + n1 < a + b).withColumn("told", term(n0, a) + term(n1, b)).filter(F.col("told") >= LEAST_TOLD).orderBy(F.desc("told"), "word").limit(size)
+    best = counts.filter(n0 + n1 < a + b).withColumn("told", term(n0, a) + term(n1, b)).orderBy(F.desc("told"), "word").limit(size)
     chosen = [bytes(r["word"]) for r in best.collect()]
     return chosen + [t.encode() for t in IDENTITY if t.encode() not in set(chosen)]
 
@@ -92,19 +92,22 @@ class Model:
         return float(1 / (1 + np.exp(-min(max(z, -700.0), 700.0))))
 
 
-def fit(rows: list[tuple[list[int], int]], words: list[bytes], swap_penalty: float = SWAP_PENALTY, ridge: float = RIDGE) -> Model:
+def fit(rows: list[tuple[list[int], int]], words: list[bytes], swap_penalty: float = SWAP_PENALTY, ridge: float = RIDGE, rate: float | None = None) -> Model:
     """rows: the numbers of the words that a document has, and its label. Newton's method on the logistic loss, the
-    classes weighed alike, plus the penalties, which are quadratic in the weights."""
+    classes weighed alike, plus the penalties, which are quadratic in the weights. The bias starts from the log odds of
+    rate, the share of toxic rows (that of rows by default), and is drawn to them: a text of unknown words is as likely
+    toxic as any, not as one of two equal classes."""
     n, d = len(rows), len(words)
+    rate = (sum(y for _, y in rows) + 1) / (n + 2) if rate is None else rate
+    odds = np.log(rate / (1 - rate))
     if not n or not d:
-        rate = (sum(y for _, y in rows) + 1) / (n + 2)
-        return Model([], np.zeros(0), np.log(rate / (1 - rate)))
+        return Model([], np.zeros(0), odds)
     place = {w.decode(): k for k, w in enumerate(words) if w.decode(errors="replace") in IDENTITY}
     x = np.zeros((n, d + 1))
     x[:, d] = 1
     y = np.array([label for _, label in rows], float)
     penalty = np.eye(d + 1) * ridge
-    penalty[d, d] = 1e-6
+    penalty[d, d] = BIAS_PENALTY * n
     for k, (present, _) in enumerate(rows):
         x[k, present] = 1
     terms = set(place.values())
@@ -127,10 +130,11 @@ def fit(rows: list[tuple[list[int], int]], words: list[bytes], swap_penalty: flo
         penalty[j, i] -= w
     positive = max(y.sum(), 1)
     weight = np.where(y == 1, n / (2 * positive), n / (2 * max(n - positive, 1)))
-    theta = np.zeros(d + 1)
+    start = np.append(np.zeros(d), odds)
+    theta = start.copy()
     for _ in range(STEPS):
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        gradient = x.T @ (weight * (p - y)) + penalty @ theta
+        gradient = x.T @ (weight * (p - y)) + penalty @ (theta - start)
         hessian = (x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x + penalty
         move = np.linalg.solve(hessian, gradient)
         theta -= move * min(1, 5 / max(np.abs(move).max(), 1e-12))
@@ -158,7 +162,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_each: int = SAMPLE_EACH, **
 
     drawn = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part * 1_000_000).withColumn("doc_id", F.col("doc_id").cast("string"))
     sample = drawn.mapInPandas(present, "doc_id string, present array<int>, toxic int").orderBy("doc_id").collect()
-    model = fit([(list(r["present"]), r["toxic"]) for r in sample], words)
+    rate = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
+    model = fit([(list(r["present"]), r["toxic"]) for r in sample], words, rate=rate)
     common.drop_stored(rows)
     return model
 

@@ -248,6 +248,28 @@ def test_toxicity(spark, docs, nothing):
     assert toxicity.score(docs, toxicity.train(nothing, labels)).count() == docs.count() and toxicity.score(nothing, model).count() == 0
 
 
+def test_toxicity_learns_from_few_labels(spark):
+    import corpus_pipeline
+    from gridloom.llm.queries import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    documents, labels = (common.table(spark, folder, name) for name in ("documents", "labels"))
+    model = toxicity.train(documents, labels)
+    assert model.score("") < 0.4 and {b"trash", b"scum", b"moron", b"loser"} <= model.known
+    marks = {r["doc_id"]: r["toxic"] for r in labels.collect() if r["toxic"] is not None}
+    found = {r["doc_id"]: r["predicted"] for r in QUERIES["op9_toxicity"](spark, folder).collect()}
+    clean, toxic = ([found[k] for k, v in marks.items() if v == label and k in found] for label in (0, 1))
+    assert sum(clean) <= 0.03 * len(clean) and sum(toxic) >= 0.8 * len(toxic)
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, documents, folder).collect()}
+    assert kept == {k for k, predicted in found.items() if not predicted} and len(kept) > 0.8 * len(found)
+
+
+def test_toxicity_without_telling_words_keeps_the_base_rate():
+    rows = [([], int(k % 7 == 0)) for k in range(70)]
+    model = toxicity.fit(rows, [b"muslim", b"christian"])
+    assert 0 < model.score("") < 0.4 and model.score("muslim") < 0.4
+
+
 def test_byte_bpe(spark, docs, nothing):
     import tiktoken
 
