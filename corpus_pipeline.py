@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from gridloom.llm import byte_bpe, common, decontamination, near_dedup, secrets, toxicity
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Words of a shingle in the near_dedup stage; op2_near_dedup takes four.
+SHINGLE = 5
 #: SQL can't say the stages that learn.
 ORACLE_SQL = None
 
@@ -30,7 +32,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the least id."""
     common.small_batches(spark)
-    return _kept(docs, near_dedup.near_duplicates(docs).filter("kept"))
+    return _kept(docs, near_dedup.near_duplicates(docs, shingle=SHINGLE).filter("kept"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import common
 
-#: Words of a shingle, and the least similarity of a link as a fraction.
+#: Words of a shingle unless the caller says otherwise, and the least similarity of a link as a fraction.
 SHINGLE, LINK = 4, (80, 100)
 #: Hashes of a signature, of a band, of a batch of the comparison; the probability at which a pair is given up; members
 #: in one block. A pair at the threshold shares no band with probability (1 - 0.8^4)^40 = 6e-10.
@@ -126,20 +126,20 @@ def linked(found: np.ndarray, others: list[np.ndarray], link=LINK) -> np.ndarray
     return link[1] * both >= link[0] * (sizes + len(found) - both)
 
 
-def class_features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def class_features(docs: DataFrame, id_col: str, text_col: str, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, class (digest of the set) and bands of each row; the last two are null for an empty set."""
 
     def work(texts):
         rows = []
         for text in texts:
-            found = shingles(text)
+            found = shingles(text, size)
             rows.append((len(found), xxhash.xxh3_128_digest(found.tobytes()), band_keys(signature(found))) if len(found) else (0, None, None))
         return pd.DataFrame(rows, columns=["n_shingles", "class", "bands"])
 
     return common.map_texts(docs, work, "n_shingles long, class binary, bands array<long>", id_col, text_col, forget=forget_words)
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size: int = SHINGLE) -> DataFrame:
     """class, sign, found of the wanted classes (first_id, class), from the text of the row with that id."""
     texts = docs.select(F.col(id_col).alias("first_id"), F.col(text_col).alias("text")).join(common.broadcast_if_small(wanted), "first_id")
 
@@ -147,7 +147,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> D
         for batch in batches:
             rows = []
             for text, own in zip(batch["text"], batch["class"]):
-                found = shingles(text)
+                found = shingles(text, size)
                 if len(found) and xxhash.xxh3_128_digest(found.tobytes()) == bytes(own):
                     rows.append((own, signature(found).tobytes(), found.tobytes()))
             yield pd.DataFrame(rows, columns=["class", "sign", "found"])
@@ -247,15 +247,15 @@ def remaining(buckets: DataFrame, reps: DataFrame, roots: DataFrame, sets: DataF
     return dealt.mapInPandas(run, "class binary, other binary")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of docs; shingle is the number of words of a shingle.
 
     component_id is the least id of those that links lead to, the row's own included; kept says whether it is the row's
     own. A null, empty or wordless text has no shingles and no links. A row without an id takes part in no component: its
     component_id is null and it is kept. Repeated rows give repeated rows, kept or not alike. Words are told apart by
     64-bit digests.
     """
-    features = common.stored(class_features(docs, id_col, text_col), "dedup-features")
+    features = common.stored(class_features(docs, id_col, text_col, shingle), "dedup-features")
     whole = features.filter(F.col("class").isNotNull() & F.col("doc_id").isNotNull())
     classes = common.stored(whole.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "dedup-classes")
     buckets = classes.select("class", "copies", F.explode("bands").alias("key"))
@@ -265,7 +265,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = common.stored(pairs, "dedup-pairs")
     common.free_shuffles(docs.sparkSession)
     wanted = classes.select("first_id", "class").join(pairs.select("class").unionByName(pairs.select(F.col("other").alias("class"))).distinct(), "class")
-    sets = common.stored(sets_of(docs, common.stored(wanted, "dedup-wanted"), id_col, text_col), "dedup-sets")
+    sets = common.stored(sets_of(docs, common.stored(wanted, "dedup-wanted"), id_col, text_col, shingle), "dedup-sets")
     edges = common.stored(verified(pairs, sets), "dedup-links")
     common.free_shuffles(docs.sparkSession)
     roots = components(edges)

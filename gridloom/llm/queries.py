@@ -26,7 +26,7 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(common.table(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(common.table(spark, sf_dir, "documents"), shingle=4)
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,6 +101,32 @@ def test_near_duplicates_equal_brute_force(spark, docs, nothing):
     assert near_dedup.near_duplicates(nothing).count() == 0
 
 
+def test_stage_takes_five_words_and_op2_four(spark):
+    import corpus_pipeline
+    from gridloom.llm.queries import QUERIES
+
+    folder = "/root/testdata/sf0.01"
+    documents = common.table(spark, folder, "documents")
+    texts = {r["doc_id"]: r["text"] for r in documents.collect()}
+
+    def dropped(size):
+        split = {k: (t or "").encode().lower().split() for k, t in texts.items()}
+        sets = {k: {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set() for k, w in split.items()}
+        root, order = {k: k for k in sets}, sorted(filter(sets.get, sets), key=lambda k: len(sets[k]))
+        for n, a in enumerate(order):
+            for b in order[n + 1 :]:
+                if 80 * len(sets[b]) > 100 * len(sets[a]):
+                    break
+                if root[a] != root[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    low, high = sorted((root[a], root[b]))
+                    root = {k: low if r == high else r for k, r in root.items()}
+        return {k for k in root if root[k] != k}
+
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, documents, folder).collect()}
+    op2 = {r["doc_id"] for r in QUERIES["op2_near_dedup"](spark, folder).collect() if not r["kept"]}
+    assert set(texts) - kept == dropped(5) and op2 == dropped(4) and len(dropped(5)) < len(dropped(4))
+
+
 def test_bayesian_bounds_keep_pairs_at_the_threshold():
     for n, least in near_dedup.NEEDED:
         assert sum(math.comb(n, m) * 0.8**m * 0.2 ** (n - m) for m in range(least)) < 1e-5
