@@ -5,8 +5,9 @@ buckets; each member of a bucket is first paired with one of them, the class wit
 compared batch by batch, and a pair goes as soon as the posterior probability that its similarity reaches the threshold
 is less than the chosen miss probability. Survivors are verified on the full sets. Components of the links found so
 far then show which buckets still hold classes of several components: there each class outside the main component is
-compared, in blocks, with all members of other components, pruned and verified alike. So a group of any size costs one
-comparison a member, and more only for the members that its most copied class doesn't link.
+compared with all members of other components that share a bucket with it, pruned and verified alike. Both sides come in
+blocks of bounded size. So a group of any size costs one comparison a member, and more only for the members that its most
+copied class doesn't link.
 """
 
 from __future__ import annotations
@@ -208,12 +209,37 @@ def components(edges: DataFrame) -> DataFrame:
     return common.stored(pairs.select(F.col("a").alias("class"), F.col("b").alias("root")).unionByName(roots), "dedup-roots")
 
 
+def in_blocks(grouped: DataFrame) -> DataFrame:
+    """main, ask_block, block, role, class, root: the classes of grouped (main, class, root) outside the main component
+    (role 0) and all of them (role 1), both dealt out by digest in blocks of about 4 * MEMBERS, each block of the one with
+    each of the other."""
+    asks = F.col("root") != F.col("main")
+    size = lambda n: F.ceil(n / (4 * MEMBERS)).cast("int")
+    counts = common.stored(grouped.groupBy("main").agg(size(F.count("*")).alias("blocks"), size(F.count_if(asks)).alias("ask_blocks")).filter("ask_blocks > 0"), "dedup-group-blocks")
+    own = grouped.join(counts, "main")
+
+    def dealt(name):
+        return F.pmod(F.xxhash64("class"), F.col(name)).cast("int")
+
+    def each(name):
+        return F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+
+    members = own.select("main", each("ask_blocks").alias("ask_block"), dealt("blocks").alias("block"), F.lit(1).alias("role"), "class", "root")
+    asking = own.filter(asks).select("main", dealt("ask_blocks").alias("ask_block"), each("blocks").alias("block"), F.lit(0).alias("role"), "class", "root")
+    return members.unionByName(asking)
+
+
+def sharing(sign: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which of others (rows of signatures) share a bucket with sign."""
+    return (others == sign).reshape(len(others), BANDS, BAND).all(axis=2).any(axis=1)
+
+
 def remaining(buckets: DataFrame, reps: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (class, other) between classes of different components that share a bucket with at least one more class.
 
     Buckets that still hold several components are put together by their main component. In each such group, each class
-    outside the main component is compared with all members of other components, in blocks: signatures first, then
-    sets. One link to each other component is enough.
+    outside the main component is compared with all members of other components, in blocks: signatures first, then, for
+    pairs that share a bucket, sets. One link to each other component is enough.
     """
     many = reps.filter("n > 2")
     rows = buckets.select("key", "class").join(many.select("key", "rep"), "key").join(roots, "class", "left")
@@ -221,14 +247,11 @@ def remaining(buckets: DataFrame, reps: DataFrame, roots: DataFrame, sets: DataF
     mixed_keys = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.when(F.col("is_rep"), F.col("root"))).alias("main"))
     mixed_keys = common.stored(mixed_keys.filter("low <> high").select("key", "main"), "dedup-mixed")
     grouped = common.stored(rows.select("key", "class", "root").join(mixed_keys, "key").select("main", "class", "root").distinct(), "dedup-groups")
-    counts = common.stored(grouped.groupBy("main").agg(F.ceil(F.count("*") / (4 * MEMBERS)).cast("int").alias("blocks")), "dedup-group-blocks")
-    own = grouped.join(counts, "main")
-    members = own.select("main", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("role"), "class", "root")
-    asking = own.filter("root <> main").select("main", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), "class", "root")
-    dealt = members.unionByName(asking).join(sets, "class").repartition("main", "block").sortWithinPartitions("main", "block", "role")
+    keys = ["main", "ask_block", "block"]
+    dealt = in_blocks(grouped).join(sets, "class").repartition(*keys).sortWithinPartitions(*keys, "role")
 
     def run(batches):
-        for group in common.contiguous_groups(batches, ["main", "block"]):
+        for group in common.contiguous_groups(batches, keys):
             ask = group["role"].to_numpy() == 0
             if not ask.any() or ask.all():
                 continue
@@ -238,8 +261,9 @@ def remaining(buckets: DataFrame, reps: DataFrame, roots: DataFrame, sets: DataF
             names, of = rest["class"].to_numpy(), rest["root"].to_numpy()
             out = []
             for name, root, sign, found in zip(asked["class"], asked["root"], asked["sign"], asked["found"]):
-                elsewhere = np.flatnonzero(of != root)
-                left = elsewhere[survivors(np.frombuffer(sign, np.uint32), signs[elsewhere])]
+                elsewhere, sign = np.flatnonzero(of != root), np.frombuffer(sign, np.uint32)
+                left = elsewhere[survivors(sign, signs[elsewhere])]
+                left = left[sharing(sign, signs[left])]
                 left = left[linked(np.frombuffer(found, np.uint64), [sets_[k] for k in left])]
                 out += [(name, names[k]) for k in {of[k]: k for k in left}.values()]
             yield pd.DataFrame(out, columns=["class", "other"])

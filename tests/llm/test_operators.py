@@ -127,6 +127,29 @@ def test_stage_takes_five_words_and_op2_four(spark):
     assert set(texts) - kept == dropped(5) and op2 == dropped(4) and len(dropped(5)) < len(dropped(4))
 
 
+def test_near_duplicates_deal_both_sides_in_bounded_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "MEMBERS", 5)
+    rows = [("m", f"c{k}", "m" if k < 100 else f"r{k % 40}") for k in range(300)]
+    dealt = near_dedup.in_blocks(spark.createDataFrame(rows, "main string, class string, root string")).collect()
+    groups = collections.defaultdict(lambda: ([], []))
+    for r in dealt:
+        groups[r["ask_block"], r["block"]][r["role"]].append(r["class"])
+    assert max(len(side) for group in groups.values() for side in group) <= 45
+    met = {(a, b) for asked, members in groups.values() for a in asked for b in members}
+    assert len(met) == 200 * 300 == sum(len(asked) * len(members) for asked, members in groups.values())
+    rng = np.random.default_rng(6)
+    base = [f"w{k}" for k in range(70)]
+    texts = []  # variants of a template that don't link to it, each with copies that link to it
+    for variant in range(15):
+        changed = {j: f"x{variant}" for j in rng.choice(np.arange(4, 66, 4), 4, replace=False)}
+        for copy in range(6):
+            own = changed | ({int(rng.integers(70)): f"y{copy}"} if copy else {})
+            texts.append(" ".join(own.get(j, w) for j, w in enumerate(base)))
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    want = components({k: {tuple(w[i : i + 4]) for i in range(len(w) - 3)} for k, t in enumerate(texts) for w in [t.split()]})
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df).collect()} == want and 3 < len(set(want.values())) < 90
+
+
 def test_bayesian_bounds_keep_pairs_at_the_threshold():
     for n, least in near_dedup.NEEDED:
         assert sum(math.comb(n, m) * 0.8**m * 0.2 ** (n - m) for m in range(least)) < 1e-5
