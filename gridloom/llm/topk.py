@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import common
 
-#: Vectors in a block at most, pivots, rows that the pivots are chosen from at most (about).
-BLOCK, PIVOTS, SAMPLE = 2048, 16, 4000
+#: Vectors in a block at most, queries that meet a block at once (about), pivots, rows that the pivots are chosen from at
+#: most (about).
+BLOCK, CHUNK, PIVOTS, SAMPLE = 2048, 512, 16, 4000
 #: Integers below this are exact as doubles; products of larger vectors are worked out as Python integers.
 EXACT = 1 << 53
 
@@ -73,6 +74,14 @@ def scores(queries: list, vectors: list) -> np.ndarray:
     return np.array([[sum(int(a) * int(b) for a, b in zip(u, v)) for v in vectors] for u in queries], object).reshape(len(queries), len(vectors))
 
 
+def in_chunks(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """pairs (query_id, block, ...) with a chunk, by the query's digest, of about CHUNK queries a block; and block, chunk
+    of all chunks."""
+    counts = common.stored(pairs.groupBy("block").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")), "topk-chunks")
+    dealt = pairs.join(counts, "block").withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.col("chunks")).cast("int")).drop("chunks")
+    return dealt, counts.select("block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+
+
 def search(vectors: DataFrame, k: int = 10, query_modulus: int = 100, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row whose id is divisible by query_modulus, the k other rows with
     the highest integer inner products, ties to smaller ids; all others where there are fewer.
@@ -152,8 +161,10 @@ def search(vectors: DataFrame, k: int = 10, query_modulus: int = 100, scale: int
                 out.append(pd.DataFrame({"query_id": query, "vec_id": ids[best], "score": row[best].astype(np.int64)}))
             return pd.concat(out)
 
-        asked = pairs.join(queries, "query_id")
-        return asked.groupBy("block").cogroup(index.select("block", "ids", "vs", "sizes").groupBy("block")).applyInPandas(work, schema)
+        dealt, chunks = in_chunks(pairs)
+        asked = dealt.join(queries, "query_id")
+        held = index.select("block", "ids", "vs", "sizes").join(chunks, "block")
+        return asked.groupBy("block", "chunk").cogroup(held.groupBy("block", "chunk")).applyInPandas(work, schema)
 
     def best(rows_: DataFrame) -> DataFrame:
         from pyspark.sql import Window
@@ -161,7 +172,9 @@ def search(vectors: DataFrame, k: int = 10, query_modulus: int = 100, scale: int
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         return rows_.withColumn("rank", place).filter(F.col("rank") <= k)
 
-    first = reach.filter("own").groupBy("query_id").agg(F.min(F.struct("gap", "block"))["block"].alias("block"))
+    # blocks of equal vectors have equal gaps: the query's id breaks the tie, so that not all queries start in one of them
+    tie = F.xxhash64("query_id", "block").alias("tie")
+    first = reach.filter("own").groupBy("query_id").agg(F.min(F.struct("gap", tie, "block"))["block"].alias("block"))
     seen = common.stored(first.withColumn("least", F.lit(None).cast("long")), "topk-first")
     start = common.stored(found(seen), "topk-start")
     bound = best(start).groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))

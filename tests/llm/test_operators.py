@@ -278,6 +278,21 @@ def test_topk_equals_brute_force(spark):
     assert [tuple(r) for r in topk.search(df.filter("vec_id < 3"), query_modulus=2).select("query_id", "rank").collect()].count((0, 2)) == 1
 
 
+def test_topk_deals_the_queries_of_a_block_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CHUNK", 8)
+    pairs = spark.range(200).selectExpr("id AS query_id", "if(id < 190, 'a', 'b') AS block")
+    dealt, chunks = topk.in_chunks(pairs)
+    sizes = collections.Counter((r["block"], r["chunk"]) for r in dealt.collect())
+    assert sum(sizes.values()) == 200 and max(sizes.values()) <= 24 and set(sizes) <= {tuple(r) for r in chunks.collect()}
+    vectors = {k: [1, 2, 3] if k % 3 == 0 else [k % 7, -(k % 5), k % 11] for k in range(300)}
+    df = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in vectors.items()], "vec_id bigint, embedding array<double>")
+    want = []
+    for q in range(0, 300, 2):
+        scored = sorted(((-sum(1024 * 1024 * a * b for a, b in zip(vectors[q], v)), k) for k, v in vectors.items() if k != q))[:10]
+        want += [(q, rank, k, -s) for rank, (s, k) in enumerate(scored, 1)]
+    assert sorted(tuple(r) for r in topk.search(df, query_modulus=2).collect()) == want
+
+
 def test_toxicity(spark, docs, nothing):
     rng = np.random.default_rng(4)
     words = [f"word{k}" for k in range(60)]
