@@ -1,8 +1,8 @@
-"""Byte-level BPE encoding and decoding by recursive DuckDB queries, one database per Python worker.
+"""Byte-level BPE encoding and decoding by recursive DuckDB queries, one database for each partition.
 
 Rows (word, position, token) of the distinct words of a batch join the table of merges. Each step of the recursion
 contracts each word's leftmost pair of least rank, until no pair of the word can merge. A second query decodes: the
-tokens' bytes are put together by an aggregation in the order of positions.
+bytes of all ids of a text are put together by an aggregation in the order of positions.
 """
 
 from __future__ import annotations
@@ -13,15 +13,17 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import common
-from gridloom.llm.pretokens import pieces
+from gridloom.llm.pretokens import can_be_cut
 
 #: Bytes of distinct words in one recursive query, rows that its steps hold together, ids in one decoding query, and
-#: pieces and words that a worker remembers; they bound memory.
-QUERY_BYTES, STATE_ROWS, DECODE_IDS, MEMO_PIECES, MEMO_WORDS = 1 << 16, 1 << 20, 1 << 18, 250_000, 700_000
+#: words that a task remembers; they bound memory.
+QUERY_BYTES, STATE_ROWS, DECODE_IDS, MEMO_WORDS = 1 << 16, 1 << 20, 1 << 18, 400_000
+SYMBOLS = [chr(256 + b) for b in range(256)]
 
 #: pos counts the bytes of all words of the batch, so it names a row. A row carries its right neighbour's position and
 #: token and, as one number, the rank and place of the pair it makes with it (null if the two can't merge). A step
@@ -53,7 +55,7 @@ SELECT s.word, s.pos, s.tok, s.rpos, s.rtok, s.pair IS NOT NULL AS more
 FROM state s JOIN (SELECT word, max(step) AS step FROM state GROUP BY word) l ON l.word = s.word AND l.step = s.step ORDER BY s.pos
 """
 DECODE_SQL = """
-SELECT text_no, string_agg(v.symbols, '' ORDER BY pos) AS symbols
+SELECT text_no, array_to_string(list(v.symbols ORDER BY pos), '') AS symbols
 FROM ids JOIN vocabulary v ON v.tok = ids.tok GROUP BY text_no ORDER BY text_no
 """
 
@@ -63,29 +65,41 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
+def tables(ranks: dict[bytes, int]) -> tuple[pa.Table, pa.Table]:
+    """merges (lhs, rhs, tok) and vocabulary (tok, token)."""
+    splits = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
+    columns = zip(*splits) if splits else ([], [], [])
+    merges = pa.table({name: pa.array(column, pa.int64()) for name, column in zip(("lhs", "rhs", "tok"), columns)})
+    return merges, pa.table({"tok": pa.array(ranks.values(), pa.int64()), "token": pa.array(ranks, pa.binary())})
+
+
+def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The stretches of flat with these starts and lengths, one after another."""
+    ends = np.cumsum(lengths)
+    return flat[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class Codec:
-    """Encodes and decodes with the ranks of one file. Bytes stand in the database as the characters U+0100 to U+01FF."""
+    """Encodes and decodes with the tables of one vocabulary. Bytes stand in the database as the characters U+0100 to U+01FF."""
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, merges: pa.Table, vocabulary: pa.Table, pattern: str):
         import duckdb
         import regex
 
-        ranks = read_ranks(ranks_path)
-        self.ranks, self.match = ranks, regex.compile(pattern)
-        self.memo: dict[str, tuple[bytes, bytes]] = {}
-        self.words: dict[str, tuple[bytes, bytes]] = {}
-        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)])
-        splits = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
+        self.find = regex.compile(pattern).findall
+        tokens = vocabulary["token"].to_pylist()
+        self.ranks = dict(zip(tokens, vocabulary["tok"].to_pylist()))
+        self.memo: dict[str, bytes] = {}
+        self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)])
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB"})
-        self.load("merges_in", pa.table(dict(zip(("lhs", "rhs", "tok"), map(pa.array, zip(*splits) if splits else ([], [], []))))))
-        self.db.execute("CREATE TABLE merges AS SELECT lhs::BIGINT AS lhs, rhs::BIGINT AS rhs, tok::BIGINT AS tok FROM merges_in")
-        self.load("vocabulary_in", pa.table({"tok": list(ranks.values()), "symbols": ["".join(chr(256 + b) for b in t) for t in ranks]}))
-        self.db.execute("CREATE TABLE vocabulary AS SELECT tok::BIGINT AS tok, symbols FROM vocabulary_in")
+        self.load("merges_in", merges)
+        self.db.execute("CREATE TABLE merges AS SELECT * FROM merges_in")
+        self.load("vocabulary_in", pa.table({"tok": vocabulary["tok"], "symbols": ["".join(map(SYMBOLS.__getitem__, t)) for t in tokens]}))
+        self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary_in")
 
-    def forget(self) -> None:
-        """Drops what is remembered of texts."""
+    def close(self) -> None:
         self.memo.clear()
-        self.words.clear()
+        self.db.close()
 
     def load(self, name: str, rows: pa.Table) -> None:
         self.db.register(name, rows)
@@ -122,103 +136,136 @@ class Codec:
                 seed = rows.filter(pa.array(more[word]))
         return result
 
-    def decode(self, texts: list[np.ndarray]) -> list[bytes]:
-        """The bytes of each list of ids."""
-        result, k = [b""] * len(texts), 0
-        while k < len(texts):
-            first, size = k, 0
-            while k < len(texts) and (k == first or size + len(texts[k]) <= DECODE_IDS):
-                size += len(texts[k])
-                k += 1
-            if not size:
-                continue
-            lengths = np.array([len(t) for t in texts[first:k]])
-            self.load("ids", pa.table({"text_no": np.repeat(np.arange(first, k), lengths), "pos": np.arange(size), "tok": np.concatenate(texts[first:k]).astype(np.int64)}))
-            for text_no, symbols in self.db.execute(DECODE_SQL).fetchall():
-                result[text_no] = symbols.encode("utf-16-le")[::2]
-        return result
+    def decode(self, flat: np.ndarray, lengths: np.ndarray) -> list[bytes]:
+        """What the stretches of ids, of these lengths one after another in flat, stand for."""
+        found: list[list[bytes]] = [[] for _ in lengths]
+        text_no = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        for start in range(0, len(flat), DECODE_IDS):
+            part = slice(start, start + DECODE_IDS)
+            tok = flat[part].astype(np.int64)
+            self.load("ids", pa.table({"text_no": text_no[part], "pos": np.arange(len(tok), dtype=np.int32), "tok": tok}))
+            rows = self.db.sql(DECODE_SQL).to_arrow_table()
+            for k, symbols in zip(rows["text_no"].to_pylist(), rows["symbols"].to_pylist()):
+                found[k].append(symbols.encode("utf-16-le")[::2])
+        return [b"".join(parts) for parts in found]
+
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """The ids of each of some distinct words, remembered up to a bound."""
+        if len(self.memo) + len(words) > MEMO_WORDS:
+            self.memo.clear()
+        unknown = [w for w in words if w not in self.memo]
+        self.memo.update(zip(unknown, self.encode_words([w.encode() for w in unknown])))
+        return [self.memo[w] for w in words]
 
-    def parts(self, texts: list[str]) -> list[list[tuple[bytes, bytes]]]:
-        """For each text its parts in order: their ids as little-endian 32-bit numbers, and what those ids decode to.
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and how many each text has.
 
-        Each distinct match of the pattern is encoded and its ids are decoded once for as long as the task remembers.
+        A text is a sequence of pieces, and a piece one of matches of the pattern: the pieces that follow a space are
+        matched once for each distinct one, the first piece of a text and a text that can't be cut by themselves. The ids
+        of the distinct matches are then put together by pieces, and those by texts.
         """
-        cut = [pieces(t) or self.match.findall(t) for t in texts]
-        if len(self.memo) > MEMO_PIECES:
-            self.memo.clear()
-        new = list({p for parts in cut for p in parts if p not in self.memo})
-        matched = [self.match.findall(p) for p in new]
-        words = {m for found in matched for m in found}
-        if len(self.words) + len(words) > MEMO_WORDS:
-            self.words.clear()
-        unknown = [w for w in words if w not in self.words]
-        ids = self.encode_words([w.encode() for w in unknown])
-        decoded = self.decode([np.frombuffer(x, "<u4") for x in ids])
-        self.words.update(zip(unknown, zip(ids, decoded)))
-        known = self.words.__getitem__
-        for piece, found in zip(new, matched):
-            if len(found) == 1:
-                self.memo[piece] = known(found[0])
-            else:
-                both = [known(m) for m in found]
-                self.memo[piece] = b"".join([x for x, _ in both]), b"".join([y for _, y in both])
-        return [[self.memo[p] for p in parts] for parts in cut]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit numbers."""
-        return [b"".join([x for x, _ in parts]) for parts in self.parts(texts)]
-
-
-_CODECS: dict = {}
-
-
-def codec(ranks_path: str, pattern: str) -> Codec:
-    """One for each worker process and vocabulary."""
-    if (ranks_path, pattern) not in _CODECS:
-        _CODECS[ranks_path, pattern] = Codec(ranks_path, pattern)
-    return _CODECS[ranks_path, pattern]
+        cut = np.array([can_be_cut(t) for t in texts], bool)
+        lists = pc.split_pattern(pa.array([t for t, c in zip(texts, cut) if c], pa.large_string()), " ")
+        flat, size = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False)
+        first = np.zeros(len(flat), bool)
+        first[np.cumsum(size) - size] = True
+        after = flat.filter(pa.array(~first)).dictionary_encode()
+        spaced = after.dictionary.to_pylist()
+        alone = [t for t, c in zip(texts, cut) if not c] + flat.filter(pa.array(first)).to_pylist()
+        matches = self.find("".join([f" {piece}" for piece in spaced]))
+        # no piece has a space within, so each match that begins with one begins a piece
+        per_piece = np.bincount(np.cumsum(np.fromiter((m[0] == " " for m in matches), bool, len(matches))), minlength=len(spaced) + 1)[1:]
+        found = [self.find(piece) for piece in alone]
+        per_piece = np.concatenate([per_piece, np.array([len(f) for f in found], int)])
+        for f in found:
+            matches += f
+        words = pa.array(matches, pa.large_string()).dictionary_encode()
+        ids = self.ids_of(words.dictionary.to_pylist())
+        word_ids, word_sizes = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), int, len(ids)) // 4
+        which = words.indices.to_numpy()
+        match_sizes = word_sizes[which]
+        piece_ids = gathered(word_ids, (np.cumsum(word_sizes) - word_sizes)[which], match_sizes)
+        match_ends = np.append(0, np.cumsum(match_sizes))[np.append(0, np.cumsum(per_piece))]
+        piece_starts, piece_sizes = match_ends[:-1], np.diff(match_ends)
+        n_whole = int((~cut).sum())
+        sequence = np.empty(len(flat), int)
+        sequence[~first] = after.indices.to_numpy()
+        sequence[first] = len(spaced) + n_whole + np.arange(len(size))
+        # the texts that are cut come first, then the others, each of one piece
+        sequence = np.concatenate([sequence, len(spaced) + np.arange(n_whole)])
+        every = gathered(piece_ids, piece_starts[sequence], piece_sizes[sequence])
+        text_ends = np.append(0, np.cumsum(piece_sizes[sequence]))[np.append(0, np.cumsum(np.append(size, np.ones(n_whole, int))))]
+        order = np.argsort(np.append(np.flatnonzero(cut), np.flatnonzero(~cut)))
+        lengths = np.diff(text_ends)[order]
+        return (gathered(every, text_ends[:-1][order], lengths) if n_whole else every), lengths
+
+
+class Shared:
+    """A vocabulary that tasks get by broadcast. A worker has one codec open, from a task's first text to its end."""
+
+    def __init__(self, spark, ranks_path: str, pattern: str):
+        self.broadcast, self.pattern = spark.sparkContext.broadcast(tables(read_ranks(ranks_path))), pattern
+
+    def codec(self) -> Codec:
+        if not _OPEN:
+            _OPEN.append(Codec(*self.broadcast.value, self.pattern))
+        return _OPEN[0]
+
+    @staticmethod
+    def close() -> None:
+        while _OPEN:
+            _OPEN.pop().close()
+        common.release()
+
+
+_OPEN: list[Codec] = []
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (array<int>) of each row's whole text; a null text counts as empty and has no ids."""
+    shared = Shared(docs.sparkSession, ranks_path, pattern)
 
     def work(texts):
-        ids = codec(ranks_path, pattern).encode(texts)
-        return pd.DataFrame({"ids": [np.frombuffer(x, "<u4").astype(np.int32) for x in ids]})
+        flat, lengths = shared.codec().encode(texts)
+        return pd.DataFrame({"ids": np.split(flat.astype(np.int32), np.cumsum(lengths)[:-1])})
 
-    return common.map_texts(docs, work, "ids array<int>", id_col, text_col, forget=lambda: codec(ranks_path, pattern).forget())
+    return common.map_texts(docs, work, "ids array<int>", id_col, text_col, forget=shared.close)
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """doc_id, bytes (binary): what the ids of each row stand for; null ids count as none. An id that the vocabulary
     lacks stands for no bytes."""
+    shared = Shared(encoded.sparkSession, ranks_path, pattern)
 
     def run(batches):
-        c = codec(ranks_path, pattern)
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "bytes": c.decode([np.asarray(x) for x in batch["ids"]])})
+        try:
+            for batch in batches:
+                ids = [np.asarray(x) for x in batch["ids"]]
+                found = shared.codec().decode(np.concatenate(ids) if ids else np.zeros(0, int), np.array([len(x) for x in ids], int))
+                yield pd.DataFrame({"doc_id": batch["doc_id"], "bytes": found})
+        finally:
+            shared.close()
 
     ids = encoded.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("ids"))
     return ids.mapInPandas(run, "doc_id string, bytes binary").withColumn("doc_id", F.col("doc_id").cast(dict(encoded.dtypes)[id_col]))
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", remember: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row of docs: its text is encoded and the ids decoded.
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row of docs: its text is encoded, and all its ids are decoded.
 
     A null text counts as empty: no ids, no bytes. Repeated rows give repeated rows; other columns aren't read. A text
     of any length is one row of the work; the cost of one match of the pattern grows with the square of its length.
-    With remember, workers keep their bounded memory of words for later tasks: faster, where no other operators' workers
-    share the machine.
     """
-
-    def forget():
-        codec(ranks_path, pattern).forget()
+    shared = Shared(docs.sparkSession, ranks_path, pattern)
 
     def work(texts):
-        rows = []
-        for parts in codec(ranks_path, pattern).parts(texts):
-            ids, decoded = b"".join([x for x, _ in parts]), b"".join([y for _, y in parts])
-            rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()))
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return common.map_texts(docs, work, "n_tokens long, ids_sha256 string, decoded_sha256 string", id_col, text_col, forget=None if remember else forget)
+        codec = shared.codec()
+        flat, lengths = codec.encode(texts)
+        raw, ends = memoryview(flat.astype("<u4").tobytes()), 4 * np.cumsum(lengths)
+        return pd.DataFrame({
+            "n_tokens": lengths,
+            "ids_sha256": [hashlib.sha256(raw[end - 4 * n : end]).hexdigest() for end, n in zip(ends.tolist(), lengths.tolist())],
+            "decoded_sha256": [hashlib.sha256(found).hexdigest() for found in codec.decode(flat, lengths)],
+        })
+
+    return common.map_texts(docs, work, "n_tokens long, ids_sha256 string, decoded_sha256 string", id_col, text_col, forget=shared.close)

@@ -65,6 +65,20 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def release() -> None:
+    """Gives a worker's freed memory back to the machine, as far as its allocators can."""
+    import ctypes
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def small_batches(spark: SparkSession) -> None:
     """Sets the session's bounds of the batches that go to Python, so that long texts need little memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

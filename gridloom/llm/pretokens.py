@@ -11,9 +11,14 @@ import re
 _UNCUT = re.compile(r" (?:\s|\Z)")
 
 
+def can_be_cut(text: str) -> bool:
+    """Whether text may be cut before each of its spaces."""
+    return _UNCUT.search(text) is None
+
+
 def pieces(text: str) -> list[str] | None:
     """The pieces of text in order (their concatenation is the text), or None where it can't be cut this way."""
-    if _UNCUT.search(text):
+    if not can_be_cut(text):
         return None
     first, *rest = text.split(" ")
     cut = [" " + word for word in rest]

@@ -349,16 +349,43 @@ def test_byte_bpe(spark, docs, nothing):
     assert byte_bpe.round_trip(nothing, RANKS, PATTERN).count() == 0
 
 
-@pytest.mark.parametrize("state_rows", [1, 5000])
-def test_byte_bpe_goes_on_from_a_recursion_that_ended(monkeypatch, state_rows):
+def tiktoken_encoding():
     import tiktoken
 
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=byte_bpe.read_ranks(RANKS), special_tokens={})
+
+
+def codec():
+    return byte_bpe.Codec(*byte_bpe.tables(byte_bpe.read_ranks(RANKS)), PATTERN)
+
+
+@pytest.mark.parametrize("state_rows", [1, 5000])
+def test_byte_bpe_goes_on_from_a_recursion_that_ended(monkeypatch, state_rows):
     monkeypatch.setattr(byte_bpe, "STATE_ROWS", state_rows)
-    ranks = byte_bpe.read_ranks(RANKS)
-    encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     texts = [" unforeseeably", "y" * 300, "antidisestablishmentarianism" * 9, "", "\u00e9\u00e8" * 20, "qzx 99999999"]
-    want = [np.array(encoding.encode_ordinary(t), "<u4").tobytes() for t in texts]
-    assert byte_bpe.Codec(RANKS, PATTERN).encode(texts) == want
+    flat, lengths = codec().encode(texts)
+    want = [tiktoken_encoding().encode_ordinary(t) for t in texts]
+    assert lengths.tolist() == [len(w) for w in want] and flat.tolist() == sum(want, [])
+
+
+def test_byte_bpe_on_random_texts(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "DECODE_IDS", 50)
+    rng = np.random.default_rng(8)
+    signs = list("aabbeE  \n\t'.,09\u00e9\u4e2d\U0001f600\u00a0<|>") + ["'ll", " the", "  ", "\r\n"]
+    texts = ["".join(rng.choice(signs, n)) for n in rng.integers(0, 40, 400)]
+    c, encoding = codec(), tiktoken_encoding()
+    for _ in range(2):  # the second time from what is remembered
+        flat, lengths = c.encode(texts)
+        assert [x.tolist() for x in np.split(flat, np.cumsum(lengths)[:-1])] == [encoding.encode_ordinary(t) for t in texts]
+    assert [x.decode() for x in c.decode(flat, lengths)] == texts
+    assert c.encode([])[0].tolist() == [] and c.decode(flat[:0], lengths[:0]) == []
+
+
+def test_byte_bpe_decodes_the_ids_it_is_given():
+    c = codec()
+    flat, lengths = c.encode(["ab cd", "ef"])
+    assert c.decode(flat[::-1], lengths[::-1]) != c.decode(flat, lengths)
+    assert b"".join(c.decode(flat[::-1], np.array([len(flat)]))) == b"".join(c.decode(flat, np.ones(len(flat), int))[::-1])
 
 
 def test_queries_give_every_row(spark):
