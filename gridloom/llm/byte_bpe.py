@@ -215,7 +215,6 @@ class Shared:
     def close() -> None:
         while _OPEN:
             _OPEN.pop().close()
-        common.release()
 
 
 _OPEN: list[Codec] = []
@@ -245,6 +244,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc
                 yield pd.DataFrame({"doc_id": batch["doc_id"], "bytes": found})
         finally:
             shared.close()
+            common.release()
 
     ids = encoded.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("ids"))
     return ids.mapInPandas(run, "doc_id string, bytes binary").withColumn("doc_id", F.col("doc_id").cast(dict(encoded.dtypes)[id_col]))

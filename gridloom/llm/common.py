@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,14 +20,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share. Only where it is unset (tests, a single
-    machine) one is made and set."""
+    """The folder in spark.checkpoint.dir, which all executors share. Where it is unset, a local session gets one of its
+    own; on a cluster that is an error, as executors wouldn't find each other's files."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="gridloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    if root:
+        return root.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^]]*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[application] = tempfile.mkdtemp(prefix="gridloom-")
+    return _LOCAL_ROOTS[application]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -38,7 +47,9 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
 
 
 def free_shuffles(spark: SparkSession) -> None:
@@ -47,15 +58,29 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Deletes a table of stored(), once no later plan reads it."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
+def drop_stored(*tables: DataFrame) -> None:
+    """Deletes tables of stored(), once no later plan reads them."""
+    for df in tables:
+        jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
         path.getFileSystem(conf).delete(path, True)
 
 
+class Stores:
+    """Stores tables that a job needs for its own steps alone, and deletes them all at its end."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame, label: str) -> DataFrame:
+        self.tables.append(stored(df, label))
+        return self.tables[-1]
+
+    def drop(self) -> None:
+        drop_stored(*self.tables)
+        self.tables.clear()
+
+
 #: Rows of a few numbers that are broadcast at most (about 64 MB); more are joined by shuffles.
 BROADCAST_ROWS = 2_000_000
 
@@ -130,6 +155,7 @@ def map_texts(docs: DataFrame, work, rest: str, id_col: str, text_col: str, null
         finally:
             if forget:
                 forget()
+            release()
 
     out = rows.mapInPandas(run, f"doc_id string, {rest}")
     return out.withColumn("doc_id", F.col("doc_id").cast(dict(docs.dtypes)[id_col]))

@@ -8,7 +8,6 @@ a set bounds the moves.
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 
 import numpy as np
@@ -16,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm import common
+
 #: Bytes of a block at most, and bytes of patterns in one set of tables: a larger benchmark is searched for in several
 #: sets, one pass of the same tasks after another, each with a broadcast of bounded size.
 BLOCK, SET_BYTES = 10, 32 << 20
@@ -110,68 +111,50 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str =
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
-    carried = "starts array<int>, ends array<int>, items array<string>"
-    rows = rows.select("*", F.array().cast("array<int>").alias("starts"), F.array().cast("array<int>").alias("ends"), F.array().cast("array<string>").alias("items"))
+    none = F.array().cast("array<int>")
+    rows = rows.select("*", none.alias("starts"), none.alias("ends"), none.cast("array<string>").alias("items"))
+
+    def searched(shared, result):
+        """Tasks that add what one set finds to starts, ends and items, and give the frame that result makes of a batch,
+        the words of its texts and those three."""
 
-    def searched(shared):
         def run(batches):
             patterns, names = shared.value
-            search = _search(shared.id, patterns)
+            search = WuManber(patterns)
             for batch in batches:
-                out = []
+                texts, found = [], []
                 for starts, ends, items, text in zip(batch["starts"], batch["ends"], batch["items"], batch["text"]):
-                    stretches, found = search.hits(normal_words(text))
-                    out.append(([*starts, *(a for a, _ in stretches)], [*ends, *(b for _, b in stretches)], [*items, *(names[k] for k in found)]))
-                done = pd.DataFrame(out, columns=["starts", "ends", "items"])
-                done.insert(0, "text", batch["text"].to_numpy())
+                    words = normal_words(text)
+                    stretches, own = search.hits(words)
+                    texts.append(len(words))
+                    found.append(([*starts, *(a for a, _ in stretches)], [*ends, *(b for _, b in stretches)], [*items, *(names[k] for k in own)]))
+                done = result(batch, texts, found)
                 done.insert(0, "doc_id", batch["doc_id"].to_numpy())
                 yield done
+            del search, patterns, names
+            common.release()
 
         return run
 
-    for patterns, names in pattern_sets(benchmark, window, item_col, item_text_col):
-        shared = spark.sparkContext.broadcast((patterns, names))
-        rows = rows.mapInPandas(searched(_Shared(shared)), f"doc_id string, text string, {carried}")
-
-    def finished(batches):
-        for batch in batches:
-            out = []
-            for starts, ends, items, text in zip(batch["starts"], batch["ends"], batch["items"], batch["text"]):
-                merged: list[list[int]] = []
-                for a, b in sorted(zip(map(int, starts), map(int, ends))):
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], b)
-                    else:
-                        merged.append([a, b])
-                out.append((len(normal_words(text)), sum(b - a for a, b in merged), sorted(set(items)), [{"first": a, "end": b} for a, b in merged], bool(merged)))
-            done = pd.DataFrame(out, columns=["n_words", "n_hit", "items", "hits", "contaminated"])
-            done.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield done
-
-    done = rows.mapInPandas(finished, "doc_id string, n_words long, n_hit long, items array<string>, hits array<struct<first: int, end: int>>, contaminated boolean")
-    return done.withColumn("doc_id", F.col("doc_id").cast(dict(docs.dtypes)[id_col]))
-
-
-class _Shared:
-    """A broadcast and a name by which a worker keeps the tables that it builds from it."""
-
-    def __init__(self, broadcast):
-        self.broadcast, self.id = broadcast, str(broadcast._jbroadcast.id()) if broadcast._jbroadcast else ""
-
-    @property
-    def value(self):
-        return self.broadcast.value
-
-
-_SEARCHES: dict = {}
-
-
-def _search(key: str, patterns: dict) -> WuManber:
-    if key not in _SEARCHES:
-        _SEARCHES.clear()
-        _SEARCHES[key] = WuManber(patterns)
-    return _SEARCHES[key]
-
-
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+    def carried(batch, n_words, found):
+        done = pd.DataFrame(found, columns=["starts", "ends", "items"])
+        done.insert(0, "text", batch["text"].to_numpy())
+        return done
+
+    def finished(batch, n_words, found):
+        out = []
+        for n, (starts, ends, items) in zip(n_words, found):
+            merged: list[list[int]] = []
+            for a, b in sorted(zip(map(int, starts), map(int, ends))):
+                if merged and a <= merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], b)
+                else:
+                    merged.append([a, b])
+            out.append((n, sum(b - a for a, b in merged), sorted(set(items)), [{"first": a, "end": b} for a, b in merged], bool(merged)))
+        return pd.DataFrame(out, columns=["n_words", "n_hit", "items", "hits", "contaminated"])
+
+    *before, last = (spark.sparkContext.broadcast(x) for x in pattern_sets(benchmark, window, item_col, item_text_col))
+    for shared in before:
+        rows = rows.mapInPandas(searched(shared, carried), "doc_id string, text string, starts array<int>, ends array<int>, items array<string>")
+    kinds = "doc_id string, n_words long, n_hit long, items array<string>, hits array<struct<first: int, end: int>>, contaminated boolean"
+    return rows.mapInPandas(searched(last, finished), kinds).withColumn("doc_id", F.col("doc_id").cast(dict(docs.dtypes)[id_col]))

@@ -25,8 +25,9 @@ from gridloom.llm import common
 #: Words of a shingle unless the caller says otherwise, and the least similarity of a link as a fraction.
 SHINGLE, LINK = 4, (80, 100)
 #: Hashes of a signature, of a band, of a batch of the comparison; the probability at which a pair is given up; members
-#: in one block. A pair at the threshold shares no band with probability (1 - 0.8^4)^40 = 6e-10.
-HASHES, BAND, BATCH, MISS, MEMBERS = 160, 4, 32, 1e-6, 500
+#: of one block and bytes of their sets (about). A pair at the threshold shares no band with probability
+#: (1 - 0.8^4)^40 = 6e-10.
+HASHES, BAND, BATCH, MISS, MEMBERS, BLOCK_BYTES = 160, 4, 32, 1e-6, 500, 8 << 20
 BANDS = HASHES // BAND
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
@@ -140,26 +141,43 @@ def class_features(docs: DataFrame, id_col: str, text_col: str, size: int = SHIN
     return common.map_texts(docs, work, "n_shingles long, class binary, bands array<long>", id_col, text_col, forget=forget_words)
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size: int = SHINGLE) -> DataFrame:
-    """class, sign, found of the wanted classes (first_id, class), from the text of the row with that id."""
+def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size: int = SHINGLE, store=common.stored) -> DataFrame:
+    """class, sign, found of the wanted classes (first_id, class), from the text of a row with that id: one row for each
+    class, however often that row is repeated. A task gives a class once; only if several tasks do, they are counted out."""
     texts = docs.select(F.col(id_col).alias("first_id"), F.col(text_col).alias("text")).join(common.broadcast_if_small(wanted), "first_id")
 
     def run(batches):
+        given: set[bytes] = set()
         for batch in batches:
             rows = []
-            for text, own in zip(batch["text"], batch["class"]):
+            for text, own in zip(batch["text"], map(bytes, batch["class"])):
+                if own in given:
+                    continue
                 found = shingles(text, size)
-                if len(found) and xxhash.xxh3_128_digest(found.tobytes()) == bytes(own):
+                if len(found) and xxhash.xxh3_128_digest(found.tobytes()) == own:
+                    given.add(own)
                     rows.append((own, signature(found).tobytes(), found.tobytes()))
             yield pd.DataFrame(rows, columns=["class", "sign", "found"])
         forget_words()
+        common.release()
 
-    return texts.select("text", "class").mapInPandas(run, "class binary, sign binary, found binary")
+    found = store(texts.select("text", "class").mapInPandas(run, "class binary, sign binary, found binary"), "dedup-sets")
+    if found.count() == found.select("class").distinct().count():
+        return found
+    once = store(found.dropDuplicates(["class"]), "dedup-sets")
+    common.drop_stored(found)
+    return once
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (class, other) whose sets are linked; the members of one other are dealt out in blocks."""
-    counts = common.stored(pairs.groupBy("other").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks")), "dedup-blocks")
+def in_parts(members: int):
+    """An aggregate: how many blocks the rows of a group make, of about so many members and BLOCK_BYTES of their sets
+    (n, the shingles of a set)."""
+    return F.greatest(F.ceil(F.count("*") / members), F.ceil(F.sum(8 * F.col("n").cast("long")) / BLOCK_BYTES)).cast("int")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, store=common.stored) -> DataFrame:
+    """The pairs (class, other, n) whose sets are linked; the members of one other are dealt out in blocks."""
+    counts = store(pairs.groupBy("other").agg(in_parts(MEMBERS).alias("blocks")), "dedup-blocks")
     members = pairs.join(counts, "other").select("other", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("role"), "class")
     others = counts.select("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), F.col("other").alias("class"))
     rows = members.unionByName(others).join(sets, "class")
@@ -179,7 +197,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return dealt.mapInPandas(run, "class binary, other binary")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, store=common.stored) -> DataFrame:
     """class, root (the least class of its component) for the classes of edges (class, other), by alternating stars."""
     def stars(pairs: DataFrame, large: bool) -> DataFrame:
         if large:
@@ -196,27 +214,27 @@ def components(edges: DataFrame) -> DataFrame:
     def state(df: DataFrame):
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    pairs = common.stored(edges.select(F.greatest("class", "other").alias("a"), F.least("class", "other").alias("b")).filter("a <> b").distinct(), "dedup-edges")
+    pairs = store(edges.select(F.greatest("class", "other").alias("a"), F.least("class", "other").alias("b")).filter("a <> b").distinct(), "dedup-edges")
     before = state(pairs)
     while before[0]:
-        after = common.stored(stars(stars(pairs, True), False), "dedup-stars")
+        after = store(stars(stars(pairs, True), False), "dedup-stars")
         common.drop_stored(pairs)
         pairs, now = after, state(after)
         if now == before:
             break
         before = now
     roots = pairs.select(F.col("b").alias("class"), F.col("b").alias("root")).distinct()
-    return common.stored(pairs.select(F.col("a").alias("class"), F.col("b").alias("root")).unionByName(roots), "dedup-roots")
+    return store(pairs.select(F.col("a").alias("class"), F.col("b").alias("root")).unionByName(roots), "dedup-roots")
 
 
-def in_blocks(grouped: DataFrame) -> DataFrame:
-    """main, ask_block, block, role, class, root: the classes of grouped (main, class, root) outside the main component
-    (role 0) and all of them (role 1), both dealt out by digest in blocks of about 4 * MEMBERS, each block of the one with
-    each of the other."""
+def in_blocks(grouped: DataFrame, store=common.stored) -> DataFrame:
+    """main, ask_block, block, role, class, root: the classes of grouped (main, class, root, n) outside the main component
+    (role 0) and all of them (role 1), both dealt out by digest in blocks of about 4 * MEMBERS or BLOCK_BYTES, each block
+    of the one with each of the other."""
     asks = F.col("root") != F.col("main")
-    size = lambda n: F.ceil(n / (4 * MEMBERS)).cast("int")
-    counts = common.stored(grouped.groupBy("main").agg(size(F.count("*")).alias("blocks"), size(F.count_if(asks)).alias("ask_blocks")).filter("ask_blocks > 0"), "dedup-group-blocks")
-    own = grouped.join(counts, "main")
+    members = grouped.groupBy("main").agg(in_parts(4 * MEMBERS).alias("blocks"))
+    asking = grouped.filter(asks).groupBy("main").agg(in_parts(4 * MEMBERS).alias("ask_blocks"))
+    own = grouped.join(store(members.join(asking, "main"), "dedup-group-blocks"), "main")
 
     def dealt(name):
         return F.pmod(F.xxhash64("class"), F.col(name)).cast("int")
@@ -234,7 +252,7 @@ def sharing(sign: np.ndarray, others: np.ndarray) -> np.ndarray:
     return (others == sign).reshape(len(others), BANDS, BAND).all(axis=2).any(axis=1)
 
 
-def remaining(buckets: DataFrame, reps: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+def remaining(buckets: DataFrame, reps: DataFrame, roots: DataFrame, sets: DataFrame, store=common.stored) -> DataFrame:
     """Links (class, other) between classes of different components that share a bucket with at least one more class.
 
     Buckets that still hold several components are put together by their main component. In each such group, each class
@@ -242,13 +260,14 @@ def remaining(buckets: DataFrame, reps: DataFrame, roots: DataFrame, sets: DataF
     pairs that share a bucket, sets. One link to each other component is enough.
     """
     many = reps.filter("n > 2")
-    rows = buckets.select("key", "class").join(many.select("key", "rep"), "key").join(roots, "class", "left")
-    rows = common.stored(rows.select("key", "class", F.coalesce("root", "class").alias("root"), (F.col("class") == F.col("rep")).alias("is_rep")), "dedup-members")
+    rows = buckets.select("key", "class", "n").join(many.select("key", "rep"), "key").join(roots, "class", "left")
+    rows = store(rows.select("key", "class", "n", F.coalesce("root", "class").alias("root"), (F.col("class") == F.col("rep")).alias("is_rep")), "dedup-members")
     mixed_keys = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.when(F.col("is_rep"), F.col("root"))).alias("main"))
-    mixed_keys = common.stored(mixed_keys.filter("low <> high").select("key", "main"), "dedup-mixed")
-    grouped = common.stored(rows.select("key", "class", "root").join(mixed_keys, "key").select("main", "class", "root").distinct(), "dedup-groups")
+    mixed_keys = store(mixed_keys.filter("low <> high").select("key", "main"), "dedup-mixed")
+    grouped = store(rows.select("key", "class", "root", "n").join(mixed_keys, "key").select("main", "class", "root", "n").distinct(), "dedup-groups")
+    common.drop_stored(rows, mixed_keys)
     keys = ["main", "ask_block", "block"]
-    dealt = in_blocks(grouped).join(sets, "class").repartition(*keys).sortWithinPartitions(*keys, "role")
+    dealt = in_blocks(grouped, store).join(sets, "class").repartition(*keys).sortWithinPartitions(*keys, "role")
 
     def run(batches):
         for group in common.contiguous_groups(batches, keys):
@@ -279,29 +298,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id is null and it is kept. Repeated rows give repeated rows, kept or not alike. Words are told apart by
     64-bit digests.
     """
+    spark, store = docs.sparkSession, common.Stores()
     features = common.stored(class_features(docs, id_col, text_col, shingle), "dedup-features")
     whole = features.filter(F.col("class").isNotNull() & F.col("doc_id").isNotNull())
-    classes = common.stored(whole.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "dedup-classes")
-    buckets = classes.select("class", "copies", F.explode("bands").alias("key"))
+    of_class = [F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("n_shingles").cast("int").alias("n"), F.first("bands").alias("bands")]
+    classes = store(whole.groupBy("class").agg(*of_class), "dedup-classes")
+    buckets = classes.select("class", F.least("copies", F.lit((1 << 31) - 1)).cast("int").alias("copies"), "n", F.explode("bands").alias("key"))
     reps = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct((-F.col("copies")).alias("copies"), "class"))["class"].alias("rep")).filter("n > 1")
-    reps = common.stored(reps, "dedup-reps")
-    pairs = buckets.select("key", "class").join(reps.select("key", "rep"), "key").filter("class <> rep").select("class", F.col("rep").alias("other")).distinct()
-    pairs = common.stored(pairs, "dedup-pairs")
-    common.free_shuffles(docs.sparkSession)
+    reps = store(reps, "dedup-reps")
+    pairs = buckets.select("key", "class", "n").join(reps.select("key", "rep"), "key").filter("class <> rep").select("class", F.col("rep").alias("other"), "n").distinct()
+    pairs = store(pairs, "dedup-pairs")
+    common.free_shuffles(spark)
     wanted = classes.select("first_id", "class").join(pairs.select("class").unionByName(pairs.select(F.col("other").alias("class"))).distinct(), "class")
-    sets = common.stored(sets_of(docs, common.stored(wanted, "dedup-wanted"), id_col, text_col, shingle), "dedup-sets")
-    edges = common.stored(verified(pairs, sets), "dedup-links")
-    common.free_shuffles(docs.sparkSession)
-    roots = components(edges)
-    more = common.stored(remaining(buckets, reps, roots, sets), "dedup-more")
-    if not more.isEmpty():
-        roots = components(roots.withColumnRenamed("root", "other").unionByName(more))
-    common.free_shuffles(docs.sparkSession)
+    wanted = store(wanted, "dedup-wanted")
+    sets = sets_of(docs, wanted, id_col, text_col, shingle, store)
+    edges = store(verified(pairs, sets, store), "dedup-links")
+    common.free_shuffles(spark)
+    roots = components(edges, store)
+    more = store(remaining(buckets, reps, roots, sets, store), "dedup-more")
     common.drop_stored(sets)
+    if not more.isEmpty():
+        roots = components(roots.withColumnRenamed("root", "other").unionByName(more), store)
+    common.free_shuffles(spark)
     least = classes.select("class", "first_id").join(roots, "class").groupBy("root").agg(F.min("first_id").alias("component_id"))
-    found = roots.join(common.stored(least, "dedup-least"), "root").select("class", "component_id")
-    named = classes.select("class", "first_id").join(found, "class", "left").select("class", F.coalesce("component_id", "first_id").alias("component_id"))
-    named = common.stored(named, "dedup-components")
+    found = roots.join(store(least, "dedup-least"), "root").select("class", "component_id")
+    # a class of one row without links needs no entry
+    named = classes.select("class", "first_id", "copies").join(found, "class", "left").filter("copies > 1 OR component_id IS NOT NULL")
+    named = common.stored(named.select("class", F.coalesce("component_id", "first_id").alias("component_id")), "dedup-components")
+    store.drop()
     out = features.select("doc_id", "n_shingles", "class").join(named, "class", "left")
-    component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
+    component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

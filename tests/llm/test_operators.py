@@ -129,8 +129,8 @@ def test_stage_takes_five_words_and_op2_four(spark):
 
 def test_near_duplicates_deal_both_sides_in_bounded_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "MEMBERS", 5)
-    rows = [("m", f"c{k}", "m" if k < 100 else f"r{k % 40}") for k in range(300)]
-    dealt = near_dedup.in_blocks(spark.createDataFrame(rows, "main string, class string, root string")).collect()
+    rows = [("m", f"c{k}", "m" if k < 100 else f"r{k % 40}", 60) for k in range(300)]
+    dealt = near_dedup.in_blocks(spark.createDataFrame(rows, "main string, class string, root string, n int")).collect()
     groups = collections.defaultdict(lambda: ([], []))
     for r in dealt:
         groups[r["ask_block"], r["block"]][r["role"]].append(r["class"])
@@ -150,6 +150,28 @@ def test_near_duplicates_deal_both_sides_in_bounded_blocks(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df).collect()} == want and 3 < len(set(want.values())) < 90
 
 
+def test_near_duplicate_blocks_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 8 * 20_000 * 10)
+    rows = [("m", f"c{k}", "m" if k < 50 else f"r{k}", 20_000) for k in range(100)]
+    dealt = near_dedup.in_blocks(spark.createDataFrame(rows, "main string, class string, root string, n int")).collect()
+    sizes = collections.Counter((r["ask_block"], r["block"], r["role"]) for r in dealt)
+    assert len({r["block"] for r in dealt}) == 10 and len({r["ask_block"] for r in dealt}) == 5 and max(sizes.values()) <= 25
+
+
+def test_near_duplicates_of_one_row_repeated(spark, monkeypatch):
+    counts, sets_of = [], near_dedup.sets_of
+
+    def counted(*arguments):
+        sets = sets_of(*arguments)
+        counts.append(sets.count())
+        return sets
+
+    monkeypatch.setattr(near_dedup, "sets_of", counted)
+    df = spark.range(10_000).selectExpr("5L AS doc_id", f"'{BASE}' AS text").unionByName(spark.createDataFrame([(7, BASE + " today"), (3, "other words")], "doc_id long, text string"))
+    rows = near_dedup.near_duplicates(df).groupBy("doc_id", "component_id", "kept").count().collect()
+    assert {tuple(r) for r in rows} == {(5, 5, True, 10_000), (7, 5, False, 1), (3, 3, True, 1)} and counts == [2]
+
+
 def test_bayesian_bounds_keep_pairs_at_the_threshold():
     for n, least in near_dedup.NEEDED:
         assert sum(math.comb(n, m) * 0.8**m * 0.2 ** (n - m) for m in range(least)) < 1e-5
