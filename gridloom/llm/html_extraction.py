@@ -1,9 +1,11 @@
 """Main text of web pages: a linear-chain conditional random field over the leaf blocks of the DOM.
 
 A block is the text between two boundaries of block-level elements. Its features are the tags and the words of class,
-id and role of the elements around it, and measures of its text and of its place. The field has two labels, main text
-and other, and is trained on labelled pages: a sample of the table's pages labelled by their own semantic elements, and
-pages that are laid out in other known ways around text of that sample. Decoding is Viterbi's.
+id and role of the elements around it, measures of its text, the words of short blocks, and how the elements around it
+stand to the page: the share of its text that they hold, whether they hold the headline, and how often they are repeated.
+The field has two labels, main text and other, and is trained on labelled pages: a sample of the table's pages labelled
+by their own semantic elements, and pages that are laid out in other known ways around text of that sample. Decoding is
+Viterbi's.
 """
 
 from __future__ import annotations
@@ -20,9 +22,9 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import common
 
-#: Pages of the table in the training sample (about), pages laid out in other ways, blocks of a training page at
-#: most (longer pages aren't trained on), steps and rate of the training, weight of the penalty on size.
-SAMPLE_PAGES, LAID_OUT, LONGEST, STEPS, RATE, RIDGE = 200, 400, 120, 250, 0.2, 2e-4
+#: Pages of the table in the training sample (about), pages laid out in other ways, blocks of a stretch of a training
+#: page (longer pages are trained on in several), steps and rate of the training, weight of the penalty on size.
+SAMPLE_PAGES, LAID_OUT, STRETCH, STEPS, RATE, RIDGE = 200, 900, 120, 200, 0.2, 1e-4
 
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -40,17 +42,31 @@ WORD = re.compile(r"[a-z]+|[0-9]+")
 RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW_TAGS}
 
 
+class Element:
+    """A block-level element: its parent, what it looks like, the characters of text in it and up to two levels below,
+    whether it holds a headline, and how many elements of its parent look like it."""
+
+    __slots__ = ("parent", "look", "chars", "headed", "alike")
+
+    def __init__(self, parent, look):
+        self.parent, self.look, self.chars, self.headed, self.alike = parent, look, 0, False, None
+
+
 class Block:
-    __slots__ = ("text", "context", "linked")
+    __slots__ = ("text", "context", "linked", "own")
 
-    def __init__(self, text: str, context: tuple[str, ...], linked: int):
-        self.text, self.context, self.linked = text, context, linked
+    def __init__(self, text: str, context: tuple[str, ...], linked: int, own: Element):
+        self.text, self.context, self.linked, self.own = text, context, linked, own
 
 
 def blocks_of(page: str) -> list[Block]:
     """The leaf blocks with text, in page order; references are decoded, and white space is one space."""
     found: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    top = Element(None, "")
+    elements = [top]
+    everything = [top]  # keeps elements alive, so that no two have one id
+    children: dict[tuple[int, str], list[int]] = {}
     around: Counter = Counter()
     buffer: list[str] = []
     linked = links = at = 0
@@ -61,8 +77,19 @@ def blocks_of(page: str) -> list[Block]:
             raw = "".join(buffer)
             text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
             if text:
-                own = next((t for t, _ in reversed(stack) if t in BLOCK_TAGS), "")
-                found.append(Block(text, (f"tag:{own}", *around), linked))
+                tag = next((t for t, _ in reversed(stack) if t in BLOCK_TAGS), "")
+                own = elements[-1]
+                found.append(Block(text, (f"tag:{tag}", *around), linked, own))
+                up = own
+                for _ in range(3):
+                    if up is not None:
+                        up.chars += len(text) - min(linked, len(text))
+                        up = up.parent
+                if tag == "h1":
+                    for e in reversed(elements):
+                        if e.headed:
+                            break
+                        e.headed = True
             buffer.clear()
         linked = 0
 
@@ -71,6 +98,8 @@ def blocks_of(page: str) -> list[Block]:
         while len(stack) > k:
             tag, names = stack.pop()
             links -= tag == "a"
+            if tag in BLOCK_TAGS:
+                elements.pop()
             for name in names:
                 around[name] -= 1
                 if not around[name]:
@@ -128,23 +157,47 @@ def blocks_of(page: str) -> list[Block]:
             words = {w for n in NAMES.findall(m["attributes"]) for w in WORD.findall("".join(n).lower()) if not w.isdigit()} if "=" in m["attributes"] else ()
             names = (f"in:{tag}", *(f"name:{w}" for w in sorted(words)))
             around.update(names)
+            parent, look = elements[-1], " ".join(names)
+            alike = children.setdefault((id(parent), look), [0])
+            alike[0] += 1
+            elements.append(Element(parent, look))
+            elements[-1].alike = alike
+            everything.append(elements[-1])
         links += tag == "a"
         stack.append((tag, names))
     flush()
     return found
 
 
+def share(part: float, whole: float) -> int:
+    """0 for none, 1 for less than a quarter, and so on to 5 for nearly all."""
+    return 0 if part <= 0 else min(1 + int(4 * part / max(whole, 1)), 5) if part < 0.95 * whole else 5
+
+
 def features(blocks: list[Block]) -> list[list[str]]:
-    result, n = [], len(blocks)
-    for k, b in enumerate(blocks):
+    total = sum(len(b.text) - min(b.linked, len(b.text)) for b in blocks)
+    headed = any("tag:h1" in b.context for b in blocks)
+    held = any("in:article" in b.context or "in:main" in b.context for b in blocks)
+    most = max((len(b.text) for b in blocks), default=0)
+    result = []
+    for b in blocks:
         size = len(b.text)
         words = b.text.count(" ") + 1
         stops = b.text.count(".") + b.text.count(",")
-        result.append([
+        up = b.own.parent or b.own
+        over = up.parent or up
+        near = 3 if not headed else 0 if b.own.headed or up.headed else 1 if over.headed else 2
+        inside = not held or "in:article" in b.context or "in:main" in b.context
+        found = [
             "bias", *b.context, f"size:{min(size.bit_length(), 12)}", f"words:{min(words.bit_length(), 8)}", f"stops:{min(stops.bit_length(), 5)}",
-            f"link:{min(4 * b.linked // max(size, 1), 4)}", f"end:{b.text[-1] if b.text[-1] in '.!?:;,' else 'other'}",
-            f"sign:{'©' in b.text or 'copyright' in b.text[:200].lower()}", f"first:{k == 0}", f"last:{k == n - 1}", f"fifth:{5 * k // n}",
-        ])
+            f"link:{min(4 * b.linked // max(size, 1), 4)}", f"end:{b.text[-1] if b.text[-1] in '.!?:;,' else 'other'}", f"sign:{'©' in b.text or 'copyright' in b.text.lower()}",
+            f"head:{near}", f"inside:{inside}", f"up:{share(up.chars, total)}", f"over:{share(over.chars, total)}", f"of:{share(size, most)}",
+            f"alike:{min(up.alike[0] if up.alike else 0, 3)}", f"above:{min(over.alike[0] if over.alike else 0, 3)}", f"held:{inside and held}:{near}", f"{b.context[0]}:{inside and held}", f"header:{'in:header' in b.context}:{inside and held}:{near}",
+        ]
+        if words <= 8:
+            found += [f"word:{w}" for w in set(WORD.findall(b.text.lower())) if not w.isdigit()]
+            found.append(f"digits:{any(map(str.isdigit, b.text))}")
+        result.append(found)
     return result
 
 
@@ -181,9 +234,11 @@ class Field:
 
 
 def train_field(pages: list[tuple[list[Block], list[bool]]], steps: int = STEPS) -> Field:
-    """Maximises the conditional log-likelihood less the penalty by gradient steps (Adam's) over all pages at once."""
-    pages = [p for p in pages if p[0]]
-    named = [features(b) for b, _ in pages]
+    """Maximises the conditional log-likelihood less the penalty by gradient steps (Adam's) over all pages at once; a page of
+    more than STRETCH blocks is as many chains as it takes."""
+    whole = [(features(b), labels) for b, labels in pages]
+    named = [f[k : k + STRETCH] for f, _ in whole for k in range(0, len(f), STRETCH)]
+    pages = [(None, labels[k : k + STRETCH]) for f, labels in whole for k in range(0, len(f), STRETCH)]
     counts = Counter(name for page in named for names in page for name in set(names))
     index = {name: k for k, name in enumerate(sorted(n for n, c in counts.items() if c >= 3))}
     n, most = len(pages), max((len(p) for p in named), default=0)
@@ -237,11 +292,19 @@ OTHER_NAMES = (
     "subscribe signup login form search pagination pager tags toolbar legal complementary contentinfo"
 ).split()
 MAIN_NAMES = "content article post entry main story body text articlebody".split()
-OTHER_TAGS = frozenset("nav header footer aside form title head button select option label menu dialog".split())
+OTHER_TAGS = frozenset("nav footer aside form title head button select option label menu dialog".split())
+#: What short blocks of menus, notices, forms and comments say, in layouts.
+HEADINGS = "Comments|3 comments|Leave a reply|Responses|Discussion|What readers say|Kommentare|Commentaires|Comentarios|Join the conversation|Opinions|Your views|12 thoughts".split("|")
+STAMPS = "2 hours ago|5 min ago|yesterday|2024-03-05|3 days ago|12 March 2023|vor 2 Stunden|il y a 3 jours|hace 2 horas|10:42|Jan 4, 2022 at 9:15".split("|")
+ANSWERS = "Reply|Like|Report|Antworten|Répondre|Responder|Quote|Permalink|Share|Flag|12 likes".split("|")
+NAMES_OF_PEOPLE = "Ann|bob77|J. Smith|Maria|kai_92|Tom B.|Lena|anonymous|User 4411|Chloé|Ivan|reader_1".split("|")
+NOTICES = "We use cookies to improve your visit.|Subscribe to our newsletter|Sign up|Log in|Accept all|Advertisement|Sponsored|Related articles|Read more|Share this|Follow us|Most read|Tags|Back to top|All rights reserved|Home|Contact|Privacy policy|Search".split("|")
+MAIN = "\ue000"
 
 
 def semantic_labels(blocks: list[Block]) -> list[bool] | None:
-    """Main are blocks in an article or main element and in none that marks something else; None if there are none."""
+    """Main are blocks in an article or main element and in none that marks something else (a header in an article is
+    the article's own); None if there are none."""
     found = []
     for b in blocks:
         tags = {c[3:] for c in b.context if c.startswith("in:")}
@@ -251,52 +314,106 @@ def semantic_labels(blocks: list[Block]) -> list[bool] | None:
 
 
 def laid_out(texts: list[str], number: int, seed: int = 7) -> list[tuple[list[Block], list[bool]]]:
-    """Labelled pages: text of the sample in layouts with and without semantic elements, among menus, notices, forms,
-    sidebars, adverts, footers and comments."""
+    """Labelled pages: text of the sample in layouts with and without semantic elements and telling names, alone or among
+    menus, notices, forms, sidebars, adverts, footers and comments. A sign marks the main text till the blocks are cut."""
     rng = random.Random(seed)
     long_texts = [t for t in texts if len(t) > 60] or ["Some words of a text that go on for a while, and then they end here."]
-    words = [w for t in long_texts for w in t.split()][:20000]
+    words = [w for t in long_texts for w in t.split()]
 
     def phrase(low: int, high: int) -> str:
         start = rng.randrange(max(1, len(words) - high))
         return html.escape(" ".join(words[start : start + rng.randint(low, high)]))
 
-    def named(tag: str, names: list[str], inner: str) -> str:
-        kind, name = rng.choice(("class", "id")), "-".join(rng.sample(names, min(len(names), rng.choice((1, 1, 2)))))
-        return f'<{tag} {kind}="{name}">{inner}</{tag}>'
-
-    def others() -> str:
-        links = lambda n: "<ul>" + "".join(f'<li><a href="/x">{phrase(1, 3)}</a></li>' for _ in range(n)) + "</ul>"
-        paragraphs = lambda n: "".join(f"<p>{phrase(4, 60)}</p>" for _ in range(n))
-        names = rng.sample(OTHER_NAMES, 2)
-        return rng.choice((
-            lambda: f"<nav>{links(rng.randint(2, 8))}</nav>", lambda: f"<header><h1>{phrase(1, 6)}</h1><p>{phrase(2, 12)}</p></header>",
-            lambda: f"<aside><h3>{phrase(1, 4)}</h3>{rng.choice((links(4), paragraphs(2)))}</aside>", lambda: f"<footer>&copy; {phrase(2, 20)}</footer>",
-            lambda: f"<form><label>{phrase(1, 3)}</label><p>{phrase(3, 12)}</p><button>{phrase(1, 2)}</button></form>",
-            lambda: named("div", names, phrase(3, 40)), lambda: named("div", names, paragraphs(rng.randint(1, 4))), lambda: named("section", names, f"<h3>{phrase(1, 4)}</h3>" + paragraphs(rng.randint(1, 3))),
-            lambda: named("div", names, links(rng.randint(2, 8))), lambda: named("ul", names, "".join(f"<li>{phrase(1, 30)}</li>" for _ in range(3))),
+    def name() -> str:
+        """A word that says nothing."""
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 8)))
+
+    def attribute(names: list[str], telling: float) -> str:
+        picked = rng.sample(names, rng.choice((1, 1, 2))) if rng.random() < telling else [name() for _ in range(rng.choice((1, 1, 2)))]
+        return f' {rng.choice(("class", "class", "id"))}="{rng.choice("- _").join(picked)}"' if rng.random() < 0.85 else ""
+
+    def links(n: int) -> str:
+        return "<ul>" + "".join(f'<li><a href="/x">{rng.choice((phrase(1, 3), rng.choice(NOTICES)))}</a></li>' for _ in range(n)) + "</ul>"
+
+    def paragraphs(n: int) -> str:
+        return "".join(f"<p>{phrase(4, 60)}</p>" for _ in range(n))
+
+    def comments() -> str:
+        item, box = rng.choice(("li", "div", "div", "article", "p")), rng.choice(("section", "div", "div", "ol", "aside"))
+        own, by = attribute(["comment", "reply", "comments"], 0.4), rng.choice("pdbs")
+        parts = ""
+        for _ in range(rng.randint(1, 6)):
+            who = html.escape(rng.choice(NAMES_OF_PEOPLE))
+            line = {"p": f"<p><b>{who}</b> {rng.choice(STAMPS)}</p>", "d": f"<div{own}>{who}</div><div>{rng.choice(STAMPS)}</div>", "b": f"<b>{who}</b>: ", "s": f"<h4>{who}</h4>"}[by]
+            said = phrase(3, 60) if item == "p" or by == "b" else f"<p>{phrase(3, 60)}</p>"
+            parts += f"<{item}{own}>{line}{said}{rng.choice(('', f'<a href=#r>{rng.choice(ANSWERS)}</a>', f'<button>{rng.choice(ANSWERS)}</button>', f'<div>{rng.choice(ANSWERS)}</div>'))}</{item}>"
+        title = f"<{(h := rng.choice(('h2', 'h3', 'h4', 'div')))}>{rng.choice(HEADINGS)}</{h}>" * (rng.random() < 0.7)
+        return f"<{box}{attribute(['comments', 'comment', 'discussion', 'disqus', 'replies'], 0.4)}>{title}{parts}</{box}>"
+
+    def others(inside: bool = False) -> str:
+        telling = lambda: attribute(OTHER_NAMES, 0.7)
+        kinds = [
+            lambda: f"<aside{attribute(OTHER_NAMES, 0.3)}><h3>{rng.choice((phrase(1, 4), rng.choice(NOTICES)))}</h3>{rng.choice((links(4), paragraphs(2)))}</aside>",
+            lambda: f"<form><label>{phrase(1, 3)}</label><p>{rng.choice((phrase(3, 12), rng.choice(NOTICES)))}</p><button>{rng.choice(NOTICES)}</button></form>",
+            lambda: f"<div{attribute(OTHER_NAMES, 1)}>{rng.choice((phrase(3, 40), rng.choice(NOTICES)))}</div>", lambda: f"<div{attribute(OTHER_NAMES, 1)}>{paragraphs(rng.randint(1, 4))}</div>",
+            lambda: f"<section{attribute(OTHER_NAMES, 1)}><h3>{phrase(1, 4)}</h3>{paragraphs(rng.randint(1, 3))}</section>", lambda: f"<div{telling()}>{links(rng.randint(2, 8))}</div>",
+            lambda: f"<div{telling()}>{rng.choice(NOTICES)}</div>", lambda: f"<div><h4>{rng.choice(NOTICES)}</h4>{links(rng.randint(2, 5))}</div>", comments, comments,
+        ]
+        if not inside:
+            kinds += [
+                lambda: f"<nav>{links(rng.randint(2, 8))}</nav>", lambda: f"<header{telling()}><h1>{phrase(1, 3)}</h1>{links(rng.randint(1, 6))}</header>",
+                lambda: f"<header{telling()}><p>{phrase(2, 12)}</p></header>", lambda: f"<header{telling()}><a href=/>{phrase(1, 3)}</a>{rng.choice(('', f'<p>{phrase(2, 9)}</p>', links(4)))}</header>",
+                lambda: f"<footer>{rng.choice((f'&copy; {phrase(2, 20)}', links(3), paragraphs(1)))}</footer>",
+            ]
+        return rng.choice(kinds)()
+
+    def text(t: str) -> str:
+        return MAIN + html.escape(t)
+
+    def body_part(tag: str, paragraph) -> str:
+        return rng.choice((paragraph,) * 10 + (
+            lambda: f"<h2>{MAIN}{phrase(1, 8)}</h2>", lambda: f"<blockquote>{MAIN}{phrase(5, 50)}</blockquote>", lambda: f"<pre>{MAIN}{phrase(3, 30)}</pre>",
+            lambda: f"<{(k := rng.choice(('ul', 'ol')))}>" + "".join(f"<li>{MAIN}{phrase(3, 20)}</li>" for _ in range(rng.randint(1, 5))) + f"</{k}>",
+            lambda: "<table>" + "".join(f"<tr><td>{MAIN}{phrase(1, 4)}</td><td>{MAIN}{phrase(1, 9)}</td></tr>" for _ in range(3)) + "</table>",
+            lambda: f"<{tag}>{MAIN}" + rng.choice((" | ", " ", " - ", ", ")).join(phrase(1, 2) for _ in range(rng.randint(3, 30))) + f"</{tag}>",
+            lambda: f"<{tag}>{MAIN}{phrase(1, 3)}</{tag}>", lambda: f"<figure><img src=x><figcaption>{MAIN}{phrase(3, 20)}</figcaption></figure>",
         ))()
 
+    def article() -> str:
+        tag = rng.choice(("p", "p", "p", "p", "div"))
+        wrap = rng.choice(("", "", "", "div", "section"))
+        paragraph = lambda: f"<{tag}>{text(rng.choice(long_texts))}</{tag}>"
+        heading = f"<h1>{MAIN}{phrase(1, 12)}</h1>" if rng.random() < 0.75 else ""
+        if rng.random() < 0.3:
+            by = rng.choice((f"<p>{MAIN}By {phrase(1, 3)}</p>", f"<p>{MAIN}{phrase(1, 3)}, {rng.choice(STAMPS)}</p>", f"<div>{MAIN}{phrase(2, 5)}</div><time>{MAIN}{rng.choice(STAMPS)}</time>"))
+            heading = f"<header>{heading}{by}</header>" if rng.random() < 0.7 else heading + by
+        parts = [paragraph()] + [body_part(tag, paragraph) for _ in range(rng.choice((0, 0, 1, 2, 4, 8, 16)))]
+        for _ in range(rng.choice((0, 0, 0, 1, 2))):
+            parts.insert(rng.randint(1, len(parts)), others(True))
+        inner = "".join(parts)
+        return heading + (f"<{wrap}{attribute(MAIN_NAMES, 0.3)}>{inner}</{wrap}>" if wrap else inner) + "".join(others(True) for _ in range(rng.choice((0, 0, 1, 2))))
+
     pages = []
     for _ in range(number):
-        inner = f"<h1>{phrase(2, 12)}</h1>" * (rng.random() < 0.8)
-        for _ in range(rng.randint(1, 8)):
-            inner += rng.choice((f"<p>{html.escape(rng.choice(long_texts))}</p>",) * 6 + (f"<h2>{phrase(1, 8)}</h2>", f"<blockquote>{phrase(5, 50)}</blockquote>", f"<ul><li>{phrase(3, 20)}</li><li>{phrase(3, 20)}</li></ul>", f"<pre>{phrase(3, 30)}</pre>"))
-        inside = others() if rng.random() < 0.4 else ""
-        inside = "" if inside.startswith("<header") else inside  # a header inside an article is its own
-        holder = rng.choice(("article", "article", "main", "div", "section"))
-        marked = f"<main-text>{inner}</main-text>"
-        body = f"<{holder}>{marked}{inside}</{holder}>" if holder in ("article", "main") and rng.random() < 0.6 else named(holder, MAIN_NAMES, marked + inside)
-        page = f"<html><head><title>{phrase(2, 12)}</title></head><body>" + "".join(others() for _ in range(rng.randint(0, 4))) + body + "".join(others() for _ in range(rng.randint(0, 4))) + "</body></html>"
-        before, after = page.split("<main-text>")[0], page.split("</main-text>")[1]
-        n, m = len(blocks_of(before)), len(blocks_of(after))
-        blocks = blocks_of(page.replace("<main-text>", "").replace("</main-text>", ""))
-        pages.append((blocks, [n <= k < len(blocks) - m for k in range(len(blocks))]))
+        main = article()
+        kind = rng.choice(("article", "article", "article", "main", "main article", "div", "div", "div div", "section", "td", ""))
+        for tag in reversed(kind.split()):
+            own = attribute(MAIN_NAMES, 0.4) if tag in ("div", "section") or rng.random() < 0.4 else ""
+            main = f"<table><tr><td{own}>{main}</td></tr></table>" if tag == "td" else f"<{tag}{own}>{main}</{tag}>"
+        around = rng.choice((0, 1, 2, 4))
+        head = f"<head><title>{phrase(2, 12)}</title></head>" * (rng.random() < 0.7)
+        page = f"<html>{head}<body>" + "".join(others() for _ in range(rng.randint(0, around))) + main + "".join(others() for _ in range(rng.randint(0, around))) + "</body></html>"
+        blocks = blocks_of(page)
+        labels = [MAIN in b.text for b in blocks]
+        for b in blocks:
+            b.text = " ".join(b.text.replace(MAIN, " ").split())
+        pages.append(([b for b in blocks if b.text], [label for b, label in zip(blocks, labels) if b.text]))
     return pages
 
 
 def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, html_col: str = "html") -> Field:
-    """From a sample of about sample_pages pages, drawn by the digest of the html, and the layouts around its text."""
+    """From a sample of about sample_pages pages, drawn by the digest of the html, which count three times, and the layouts
+    around its text."""
     rows = pages.select(F.col(html_col).cast("string").alias("html")).filter(F.col("html").isNotNull())
     n = rows.count()
     drawn = rows.filter(F.pmod(F.xxhash64("html"), F.lit(1_000_000)) < 1_000_000 * min(1.0, sample_pages / max(n, 1)))
@@ -304,11 +421,11 @@ def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, html_col: str = "h
     labelled, texts = [], []
     for page in sample:
         blocks = blocks_of(page)
-        texts += [b.text for b in blocks][:50]
+        texts += [b.text for b in blocks]
         labels = semantic_labels(blocks)
-        if labels and len(blocks) <= LONGEST:
+        if labels:
             labelled.append((blocks, labels))
-    return train_field(labelled + laid_out(texts, LAID_OUT))
+    return train_field(3 * labelled + laid_out(texts, LAID_OUT))
 
 
 def extract(pages: DataFrame, field: Field, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

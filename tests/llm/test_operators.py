@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import html
 import math
 import re
 import zlib
@@ -248,9 +249,21 @@ def test_decontamination_equals_brute_force(spark, nothing, monkeypatch, set_byt
     assert decontamination.scan(docs, bench.limit(0)).filter("contaminated").count() == 0
 
 
+LONG = "This is a paragraph of an article that goes on for a while, with some commas, and full stops. It has a second sentence. It has a third."
+MORE = "Another paragraph that says rather more about the matter at hand, and then comes to an end."
+#: Pages labelled by hand: no rule of the operator made them.
 PAGES = {
     "<html><head><title>T</title></head><body><nav><ul><li><a href='/a'>Menu</a></li></ul></nav><article><h1>Head</h1><p>One &amp; two<br>three.<p><b>Four</b> five.</article><footer>&copy; us</footer></body></html>": "Head\n\nOne & two three.\n\nFour five.",
     "<article><p>A paragraph that says something, and goes on.</p><script>var t='</p>';</script><!-- note <p>no</p> --></article>": "A paragraph that says something, and goes on.",
+    f"<article><p>{LONG}</p></article>": LONG,
+    f"<article><header><h1>Title here</h1><p>By Jane Doe</p></header><p>{LONG}</p></article>": f"Title here\n\nBy Jane Doe\n\n{LONG}",
+    f"<html><body><p>{LONG}</p><p>{MORE}</p></body></html>": f"{LONG}\n\n{MORE}",
+    f"<html><body><table><tr><td>{LONG}</td></tr></table></body></html>": LONG,
+    f"<html><body><div id='top'><a href=/>Home</a> <a href=/b>About</a></div><div class='wrap'><div class='kcol'><h1>A title</h1><div>{LONG}</div><div>{MORE}</div></div></div><div id='foot'>&copy; 2024 Someone</div></body></html>": f"A title\n\n{LONG}\n\n{MORE}",
+    f"<html><body><nav><ul><li><a href=/>Home</a></li></ul></nav><article><h1>A title of it</h1><p>{LONG}</p><p>{MORE}</p><section class='zuschriften'><h3>3 Meinungen</h3><div class='zs'><b>Karl</b> <span>vor 3 Stunden</span><p>I think that this is wrong, and nobody asked.</p></div><div class='zs'><b>Eva</b> <span>gestern</span><p>Well said, thank you.</p></div></section></article><footer>us</footer></body></html>": f"A title of it\n\n{LONG}\n\n{MORE}",
+    f"<html><body><main><h1>Headline</h1><p>{LONG}</p><p>{MORE}</p></main><div class='feedback-list'><ul><li><p>bob</p><p>nice article, I liked it a lot.</p><a href=#>Reply</a></li><li><p>ann</p><p>me too.</p><a href=#>Reply</a></li></ul></div></body></html>": f"Headline\n\n{LONG}\n\n{MORE}",
+    f"<html><body><div class='cookie-banner'>We use cookies. <button>OK</button></div><header class='site'><a href=/>Site</a><p>The daily news of everything</p></header><div class='post-content'><h1>Headline</h1><p>{LONG}</p><ul><li>first point of it</li><li>second point</li></ul><p>{MORE}</p></div><aside><h3>Related</h3><ul><li><a href=/1>One</a></li></ul></aside><form><label>Email</label><input><button>Subscribe</button></form><footer><p>Copyright 2024 The Site</p></footer></body></html>": f"Headline\n\n{LONG}\n\nfirst point of it\n\nsecond point\n\n{MORE}",
+    f"<article><h1>Head</h1>{f'<p>{LONG}</p>' * 9000}</article>": "\n\n".join(["Head"] + [LONG] * 9000),
     None: "", "": "", "<p": "",
 }
 
@@ -262,13 +275,12 @@ def test_html(spark):
     for r in html_extraction.extract(rows, field).collect():
         want = list(PAGES.values())[r["page_id"]]
         assert (r["text"], r["n_chars"], r["url"]) == (want, len(want), "u")
-    right = total = 0
-    for r in table.collect():
-        blocks = html_extraction.blocks_of(r["html"])
-        labels = html_extraction.semantic_labels(blocks)
-        right += sum(a == b for a, b in zip(field.decode(blocks), labels))
-        total += len(labels)
-    assert right / total > 0.99
+    held = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()  # nearly all not among those trained on
+    for r in held:  # what stands between the tags of the article, as these tables write it
+        inner = re.search(r"<article>(.*)</article>", r["html"], re.S)[1]
+        parts = [" ".join(html.unescape(re.sub(r"<(?!br)[^>]*>", "", re.sub(r"<br>", " ", p))).split()) for p in re.split(r"</?(?:p|h1)\b[^>]*>", inner)]
+        r_text = html_extraction.main_text(r["html"], field)
+        assert r_text == "\n\n".join(p for p in parts if p)
     assert html_extraction.extract(table.limit(0), html_extraction.train(table.limit(0))).count() == 0
 
 
