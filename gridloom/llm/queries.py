@@ -21,7 +21,7 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
     return found.select(
-        "doc_id", *(count(k).alias(f"n_{k}") for k in secrets.KINDS[:3]), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
+        "doc_id", *(count(k).alias(f"n_{k}") for k in secrets.KINDS[:3]), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), "best_odds",
     )
 
 

@@ -1,15 +1,16 @@
 """Secret scans: fixed formats found by patterns, and further ones by probabilistic automata inferred from them.
 
-Credentials that the patterns find are the labelled examples. Their prefix tree, with counts, is folded: two states
-whose outcomes don't differ statistically (Hoeffding's bound) become one, and so do their successors. What remains
-is a probabilistic automaton of the format. All candidates, unbroken runs of credential characters, are then scored:
-the automaton's log-likelihood against that of ordinary words, per character.
+Labelled credentials are those that the patterns find, with the assignment around them, and examples of public formats.
+The prefix tree of each kind, with counts, is folded: two states whose outcomes don't differ statistically (Hoeffding's
+bound) become one, and so do their successors. What remains is a probabilistic automaton of the format, which goes with
+the lengths of its examples. Every candidate, an unbroken run of credential characters, is scored: the best automaton's
+log-likelihood against that of ordinary text, by itself and with the assignment to its left.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
+import random
 import re
 from collections import Counter, deque
 
@@ -24,15 +25,45 @@ KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 ASSIGN = re.compile(rb"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{32,}")
-#: A candidate is a run of 20 or more with at least four digits and four letters: less doesn't tell a format from
-#: chance.
-CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{20,}")
-LETTERS, DIGITS = bytes(b for b in range(256) if not 48 <= b <= 57), bytes(b for b in range(256) if not (65 <= b <= 90 or 97 <= b <= 122))
-
-#: Labelled examples of each kind at most, Hoeffding's confidence, characters that an example is cut to for learning
-#: (candidates are scored whole), and the gain per character over ordinary words that makes a candidate a secret.
-EXAMPLES, ALPHA, DEPTH, GAIN = 300, 0.05, 64, 0.5
-END = "$"
+#: A candidate is a run of 16 or more that holds a letter and a digit, without the full stops around it, and the signs = that may end it; its left context
+#: is the assignment before it.
+CANDIDATE = re.compile(rb"[A-Za-z0-9+/_-][A-Za-z0-9+/_.-]{14,}[A-Za-z0-9+/_-]={0,2}")
+LETTER, DIGIT = re.compile(rb"[A-Za-z]"), re.compile(rb"[0-9]")
+CONTEXT = re.compile(rb"""[A-Za-z_-]{2,20}["']?\x20*[:=]\x20*["']?\Z""")
+CONTEXT_BYTES = 48
+
+#: Labelled credentials of each kind at most and the characters that one may have (longer ones aren't learned from),
+#: Hoeffding's confidence, and the log-odds over ordinary text that make a candidate a secret.
+EXAMPLES, LONGEST, ALPHA, ODDS = 300, 256, 0.05, 25.0
+
+# Public formats of credentials, as parts that are texts or (characters, how many).
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+ALNUM, HEX_DIGITS, URL_SAFE = LOWER + UPPER + DIGITS, DIGITS + "abcdef", LOWER + UPPER + DIGITS + "_-"
+PUBLIC_FORMATS = {
+    "github": ["ghp_", (ALNUM, 36)],
+    "github_app": ["ghs_", (ALNUM, 36)],
+    "github_fine": ["github_pat_", (ALNUM, 22), "_", (ALNUM, 59)],
+    "gitlab": ["glpat-", (URL_SAFE, 20)],
+    "google": ["AIza", (URL_SAFE, 35)],
+    "npm": ["npm_", (ALNUM, 36)],
+    "sendgrid": ["SG.", (URL_SAFE, 22), ".", (URL_SAFE, 43)],
+    "slack_bot": ["xoxb-", (DIGITS, 12), "-", (DIGITS, 12), "-", (ALNUM, 24)],
+    "slack_user": ["xoxp-", (DIGITS, 12), "-", (DIGITS, 12), "-", (DIGITS, 12), "-", (HEX_DIGITS, 32)],
+    "stripe": ["sk_live_", (ALNUM, 24)],
+    "stripe_test": ["sk_test_", (ALNUM, 24)],
+    "twilio": ["SK", (HEX_DIGITS, 32)],
+}
+#: Examples that stand for each public format.
+EACH_FORMAT = 60
+
+
+def public_examples(seed: int = 11) -> dict[str, list[bytes]]:
+    """Labelled credentials of the public formats, drawn at random."""
+    rng = random.Random(seed)
+    return {
+        name: ["".join(p if isinstance(p, str) else "".join(rng.choices(p[0], k=p[1])) for p in parts).encode() for _ in range(EACH_FORMAT)]
+        for name, parts in PUBLIC_FORMATS.items()
+    }
 
 
 def base_spans(raw: bytes) -> list[tuple[int, int, str]]:
@@ -63,46 +94,57 @@ def symbol(c: int) -> str:
 
 
 SYMBOLS = [symbol(c) for c in range(256)]
-#: Bytes that a class stands for.
+#: Bytes that a class stands for; classes that a state may meet.
 WIDTH = Counter(SYMBOLS)
+CLASSES = len(WIDTH)
 
 
 class Automaton:
-    """states: for each its successors {symbol: (state, count)} and how often it was an end."""
-
-    def __init__(self, states: list[tuple[dict[str, tuple[int, int]], int]]):
-        self.moves = []
-        for successors, ends in states:
-            total = ends + sum(n for _, n in successors.values()) + 0.5
-            self.moves.append({s: (to, math.log(n / total / WIDTH[s])) for s, (to, n) in successors.items()} | {END: (0, math.log((ends + 0.25) / total))})
+    """states: for each its successors {class: state} and how often each byte came from it; lengths: of the examples.
+
+    Outcomes are smoothed: a class that a state never met leads back to it, at a cost."""
+
+    def __init__(self, states: list[tuple[dict[str, int], Counter]], lengths: Counter):
+        self.moves: list[list[tuple[int, float]]] = []
+        for k, (successors, seen) in enumerate(states):
+            by_class: Counter = Counter()
+            for c, n in seen.items():
+                by_class[SYMBOLS[c]] += n
+            total = sum(seen.values()) + 0.1 * CLASSES
+            self.moves.append([
+                (successors.get(s, k), math.log((by_class[s] + 0.1) / total * (seen[c] + 0.5) / (by_class[s] + 0.5 * WIDTH[s])))
+                for c, s in enumerate(SYMBOLS)
+            ])
+        n, rest = sum(lengths.values()), len(lengths)
+        top = 2 * max(lengths, default=1)
+        self.lengths = {size: math.log((count + rest / top) / (n + rest)) for size, count in lengths.items()}
+        self.other_length = math.log(rest / top / (n + rest)) if n else -math.inf
 
     def log_likelihood(self, value: bytes) -> float:
-        """Of the whole value; minus infinity where the automaton has no such move."""
-        state, total = 0, 0.0
+        state, total = 0, self.lengths.get(len(value), self.other_length)
         for c in value:
-            step = self.moves[state].get(SYMBOLS[c])
-            if step is None:
-                return -math.inf
-            state, gain = step
+            state, gain = self.moves[state][c]
             total += gain
-        return total + self.moves[state][END][1]
+        return total
 
 
 def infer(values: list[bytes], alpha: float = ALPHA) -> Automaton:
     """Folds the prefix tree of values: states are taken breadth first, and each is merged into the first settled state
     with compatible outcomes, or else settled itself."""
     children: list[dict[str, int]] = [{}]
-    count, ends = [0], [0]
+    count, ends, seen = [0], [0], [Counter()]
     for value in values:
         at = 0
         count[0] += 1
-        for c in value[:DEPTH]:
+        for c in value:
             s = SYMBOLS[c]
+            seen[at][c] += 1
             if s not in children[at]:
                 children[at][s] = len(children)
                 children.append({})
                 count.append(0)
                 ends.append(0)
+                seen.append(Counter())
             at = children[at][s]
             count[at] += 1
         ends[at] += 1
@@ -140,6 +182,7 @@ def infer(values: list[bytes], alpha: float = ALPHA) -> Automaton:
             count[a] += count[b]
             ends[a] += ends[b]
             taken[a].update(taken[b])
+            seen[a].update(seen[b])
             for s, y in children[b].items():
                 if s in children[a]:
                     pairs.append((children[a][s], y))
@@ -163,83 +206,105 @@ def infer(values: list[bytes], alpha: float = ALPHA) -> Automaton:
             settled.append(state)
             waiting.extend((state, t) for t in sorted(children[state]))
     number = {state: k for k, state in enumerate(settled)}
-    return Automaton([({s: (number.get(c, 0), taken[state][s]) for s, c in children[state].items()}, ends[state]) for state in settled])
+    return Automaton([({s: number.get(c, 0) for s, c in children[state].items()}, seen[state]) for state in settled], Counter(map(len, values)))
+
+
+class Ordinary:
+    """Ordinary text: characters of one kind after another (small letters, capitals, digits, the rest), changing kind once
+    in ten characters."""
+
+    STAY, CHANGE = math.log(0.9), math.log(0.1 / 3)
+    KIND = [0 if 97 <= c <= 122 else 1 if 65 <= c <= 90 else 2 if 48 <= c <= 57 else 3 for c in range(256)]
+    WITHIN = [math.log(1 / n) for n in (26, 26, 10, 8)]
+
+    def log_likelihood(self, value: bytes) -> float:
+        before, total = -1, 0.0
+        for c in value:
+            kind = self.KIND[c]
+            total += self.WITHIN[kind] + (self.STAY if kind == before else self.CHANGE)
+            before = kind
+        return total
 
 
 class Scorer:
-    """Likelihood of a value under the automata of the labelled formats, against ordinary words."""
+    """Likelihood of a candidate under the automata of the labelled formats, against ordinary text."""
 
     def __init__(self, examples: dict[str, list[bytes]], alpha: float = ALPHA):
-        self.formats = [infer(values, alpha) for _, values in sorted(examples.items()) if values]
+        learned = {kind: [v for v in values if len(v) <= LONGEST] for kind, values in sorted(examples.items())}
+        self.formats = {kind: infer(values, alpha) for kind, values in learned.items() if values}
+        self.ordinary = Ordinary()
 
-    def gain(self, value: bytes) -> float:
-        """Per character, over the log-likelihood of ordinary text: one of 27 signs for a small letter, and one of 100
-        for any other."""
-        plain = sum(-math.log(27) if 97 <= c <= 122 else -math.log(100) for c in value)
-        best = max((a.log_likelihood(value) for a in self.formats), default=-math.inf)
-        return (best - plain) / len(value)
+    def odds(self, value: bytes, context: bytes = b"") -> float:
+        """The best log-odds of value, by itself or after its context; context alone is no evidence."""
+        plain, best = self.ordinary.log_likelihood(value), -math.inf
+        for kind, automaton in self.formats.items():
+            if kind != "assign":
+                best = max(best, automaton.log_likelihood(value) - plain)
+            elif context:
+                best = max(best, automaton.log_likelihood(context + value) - self.ordinary.log_likelihood(context) - plain)
+        return best
 
 
 def examples_of(docs: DataFrame, text_col: str = "text", most: int = EXAMPLES) -> dict[str, list[bytes]]:
-    """Labelled credentials by kind: of the distinct ones that the patterns find in all docs, those with the least
-    digests, most of each kind."""
+    """Labelled credentials by kind: of the distinct ones that the patterns find in all docs (assignments whole) and that
+    have LONGEST characters at most, those with the least digests, most of each kind; and those of the public formats."""
+    from pyspark.sql import Window
 
     def values(batches):
         for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                raw = text.encode()
-                for start, end, kind in base_spans(raw):
-                    value = raw[start:end]
-                    rows.append((kind, ASSIGN.match(value)[2] if kind == "assign" else value))
-            yield pd.DataFrame(rows, columns=["kind", "value"])
-
-    found = docs.select(F.col(text_col).alias("text")).filter(F.col("text").isNotNull()).mapInPandas(values, "kind string, value binary")
-    distinct = found.select("kind", "value", F.xxhash64("value").alias("digest")).distinct()
-    rows: dict[str, list[bytes]] = {}
-    for kind in KINDS[:3]:
-        least = distinct.filter(F.col("kind") == kind).orderBy("digest", "value").limit(most)
-        rows[kind] = [bytes(r["value"]) for r in least.collect()]
-    return rows
-
-
-def scan(docs: DataFrame, examples: dict[str, list[bytes]], gain: float = GAIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and spans, an array of structs (kind, start, end) by start, then kind as listed in KINDS; places are code
-    points, the end is exclusive. The kinds assign, access and hex are those of the patterns; format are candidates
-    that the automata of examples score at gain or more and that overlap none of the others.
+            rows = {(kind, raw[start:end]) for raw in map(str.encode, batch["text"]) for start, end, kind in base_spans(raw) if end - start <= LONGEST}
+            yield pd.DataFrame(list(rows), columns=["kind", "value"])
+        common.release()
+
+    found = docs.select(F.col(text_col).cast("string").alias("text")).filter(F.col("text").isNotNull()).mapInPandas(values, "kind string, value binary")
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value"))
+    rows = found.distinct().withColumn("place", place).filter(F.col("place") <= most).collect()
+    labelled = {kind: sorted(bytes(r["value"]) for r in rows if r["kind"] == kind) for kind in KINDS[:3]}
+    return labelled | public_examples()
+
+
+SPANS = "array<struct<kind: string, start: int, end: int, odds: double>>"
+
+
+def scan(docs: DataFrame, examples: dict[str, list[bytes]], odds: float = ODDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, spans and best_odds for each row of docs. spans is an array of structs (kind, start, end, odds) by start, then
+    kind as listed in KINDS; places are code points, the end is exclusive. The kinds assign, access and hex are those of
+    the patterns, and their odds are those of the best candidate within; format are candidates whose log-odds under the
+    automata of examples reach odds and that lie in none of the others. best_odds is the greatest of all candidates, null
+    where a text has none.
 
     A null text counts as empty and has no spans; repeated rows give repeated rows; without examples there are no spans
     of the kind format. Texts are scanned whole.
     """
-    spark = docs.sparkSession
-    scorer = spark.sparkContext.broadcast(Scorer(examples))
+    scorer = docs.sparkSession.sparkContext.broadcast(Scorer(examples))
 
     def work(texts):
-        return pd.DataFrame({"spans": [spans_of(t, scorer.value, gain) for t in texts]})
+        return pd.DataFrame([spans_of(t, scorer.value, odds) for t in texts], columns=["spans", "best_odds"])
 
-    return common.map_texts(docs, work, "spans array<struct<kind: string, start: int, end: int>>", id_col, text_col)
+    return common.map_texts(docs, work, f"spans {SPANS}, best_odds double", id_col, text_col)
 
 
-def spans_of(text: str, scorer: Scorer, gain: float) -> list[dict]:
+def spans_of(text: str, scorer: Scorer, least: float = ODDS) -> tuple[list[dict], float | None]:
     raw = text.encode()
-    found = base_spans(raw)
-    if scorer.formats:
-        taken = [(a, b) for a, b, _ in found]
-        for m in CANDIDATE.finditer(raw):
-            if len(m[0].translate(None, LETTERS)) < 4 or len(m[0].translate(None, DIGITS)) < 4:
-                continue
-            if not any(a < m.end() and m.start() < b for a, b in taken) and scorer.gain(m[0]) >= gain:
-                found.append((m.start(), m.end(), "format"))
-    if not found:
-        return []
+    found = [[start, end, kind, None] for start, end, kind in base_spans(raw)]
+    base, best = list(found), None
+    for m in CANDIDATE.finditer(raw) if scorer.formats else ():
+        value = m[0]
+        if not DIGIT.search(value) or not LETTER.search(value):
+            continue
+        context = CONTEXT.search(raw[max(0, m.start() - CONTEXT_BYTES) : m.start()])
+        odds = scorer.odds(value, context[0] if context else b"")
+        best = odds if best is None else max(best, odds)
+        within = [span for span in base if span[0] <= m.start() and m.end() <= span[1]]
+        for span in within:
+            span[3] = odds if span[3] is None else max(span[3], odds)
+        if not within and odds >= least:
+            found.append([m.start(), m.end(), "format", odds])
     if not raw.isascii():
-        found = [(len(raw[:a].decode()), len(raw[:b].decode()), kind) for a, b, kind in found]
-    found.sort(key=lambda x: (x[0], KINDS.index(x[2])))
-    return [{"kind": kind, "start": a, "end": b} for a, b, kind in found]
-
-
-def listed(spans: list) -> str:
-    return ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in spans)
+        for span in found:
+            span[:2] = len(raw[: span[0]].decode()), len(raw[: span[1]].decode())
+    found.sort(key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
+    return [{"kind": kind, "start": a, "end": b, "odds": odds} for a, b, kind, odds in found], best
 
 
 def redacted(text: str, spans: list) -> str:
@@ -254,17 +319,16 @@ def redacted(text: str, spans: list) -> str:
     return "".join([*parts, text[at:]])
 
 
-def sha256(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
-
-
-def redact(docs: DataFrame, examples: dict[str, list[bytes]], gain: float = GAIN, text_col: str = "text") -> DataFrame:
-    """docs with the secrets of each text replaced by [SECRET] and n_chars set to the new length; a null text stays null."""
+def redact(docs: DataFrame, examples: dict[str, list[bytes]], odds: float = ODDS, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """docs with the secrets of each text replaced by [SECRET] and, where docs have the column length_col, that set to the
+    new length; a null text stays null with its length. Repeated rows stay repeated."""
     scorer = docs.sparkSession.sparkContext.broadcast(Scorer(examples))
 
     @F.pandas_udf("string")
     def cleaned(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else redacted(t, spans_of(t, scorer.value, gain)) for t in texts], dtype=object)
+        return pd.Series([None if t is None else redacted(t, spans_of(t, scorer.value, odds)[0]) for t in texts], dtype=object)
 
     changed = docs.withColumn(text_col, cleaned(F.col(text_col)))
-    return changed.withColumn("n_chars", F.when(F.col(text_col).isNull(), F.col("n_chars")).otherwise(F.char_length(text_col).cast("long")))
+    if length_col not in docs.columns:
+        return changed
+    return changed.withColumn(length_col, F.when(F.col(text_col).isNull(), F.col(length_col)).otherwise(F.char_length(text_col).cast(dict(docs.dtypes)[length_col])))

@@ -41,23 +41,89 @@ def by_id(df):
     return found
 
 
+def brute_secrets(text):
+    """(start, end, kind) of the fixed formats, read off the text character by character."""
+    found, letter = [], set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+
+    def run(at, allowed):
+        end = at
+        while end < len(text) and text[end] in allowed:
+            end += 1
+        return end
+
+    at = 0
+    while at < len(text):  # assignments
+        end = None
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if all(c.isascii() for c in text[at : at + len(word)]) and text[at : at + len(word)].lower() == word:
+                k = at + len(word)
+                k += text[k : k + 1] in ('"', "'") and text[k : k + 1] != ""
+                k = run(k, " ")
+                if text[k : k + 1] in (":", "=") and text[k : k + 1]:
+                    k = run(k + 1, " ")
+                    quoted = text[k : k + 1] in ('"', "'") and text[k : k + 1] != ""
+                    value = run(k + quoted, letter | set("0123456789+/_.=-"))
+                    if value > k + quoted:
+                        end = value
+                        if value - k - quoted >= 8:
+                            found.append((at, end, "assign"))
+                        break
+        at = end or at + 1
+    for kind, prefix, allowed, least in (("access", "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 16), ("hex", "", set("0123456789abcdef"), 32)):
+        at = 0
+        while at < len(text):
+            end = run(at + len(prefix), allowed) if text.startswith(prefix, at) else at
+            if end > at + len(prefix):
+                if end - at >= least:
+                    found.append((at, end, kind))
+                at = end
+            else:
+                at += 1
+    return sorted(found, key=lambda x: (x[0], secrets.KINDS.index(x[2])))
+
+
 def test_secrets(spark, docs, nothing):
     found = by_id(secrets.scan(docs, secrets.examples_of(docs)))
     assert [(s["kind"], s["start"], s["end"]) for s in found[12][0]["spans"]] == [("assign", 0, 49), ("hex", 9, 49), ("access", 53, 73)]
-    assert [s["kind"] for s in found[13][0]["spans"]] == ["assign"] and len(found[0]) == 2 and found[4][0]["spans"] == []
+    assert [s["kind"] for s in found[13][0]["spans"]] == ["assign"] and len(found[0]) == 2 and found[4][0]["spans"] == [] and found[4][0]["best_odds"] is None
     assert secrets.scan(nothing, secrets.examples_of(nothing)).count() == 0
     text = TEXTS[12]
-    assert secrets.redacted(text, found[12][0]["spans"]) == '[SECRET]" é [SECRET]'
+    assert secrets.redacted(text, found[12][0]["spans"]) == '[SECRET]" \u00e9 [SECRET]'
+
+
+def test_base_secrets_equal_brute_force():
+    rng = np.random.default_rng(9)
+    parts = ["token", "Password", "api_key", "apikey", "secret", "passwd", "=", ":", " ", '"', "'", "AKIA", "AKIAABCDEFGH", "0123456789abcdef", "deadbeef" * 3, "\u00e9", "\u212a", "xyz", "-._=+/", "A1B2", "\n", "SECRET=", "longvalue9"]
+    scorer = secrets.Scorer({})
+    for _ in range(3000):
+        text = "".join(rng.choice(parts, rng.integers(0, 12)))
+        assert [(s["start"], s["end"], s["kind"]) for s in secrets.spans_of(text, scorer)[0]] == brute_secrets(text), text
 
 
-def test_automata_accept_their_format():
+def test_automata_find_planted_credentials_and_leave_words(spark):
     rng = np.random.default_rng(1)
-    values = [bytes(rng.choice(list(b"0123456789abcdef"), 40).tolist()) for _ in range(200)]
-    scorer = secrets.Scorer({"hex": values})
-    assert len(scorer.formats[0].moves) < 60
-    fresh = [bytes(rng.choice(list(b"0123456789abcdef"), 40).tolist()) for _ in range(50)]
-    assert all(scorer.gain(v) >= secrets.GAIN for v in fresh)
-    assert scorer.gain(b"internationalisation") < secrets.GAIN and scorer.gain(b"Zq+/" * 10) < secrets.GAIN
+    drawn = lambda signs, n: "".join(rng.choice(list(signs), n))
+    hexes = [drawn("0123456789abcdef", 40).encode() for _ in range(200)]
+    assert len(secrets.infer(hexes).moves) < 60
+    docs = spark.createDataFrame([(k, f"see {h.decode()} there") for k, h in enumerate(hexes)], "doc_id long, text string")
+    scorer = secrets.Scorer(secrets.examples_of(docs))
+    planted = [f"ghp_{drawn(secrets.ALNUM, 36)}", f"sk_live_{drawn(secrets.ALNUM, 24)}", f"xoxb-{drawn('0123456789', 12)}-{drawn('0123456789', 12)}-{drawn(secrets.ALNUM, 24)}", f"AIza{drawn(secrets.URL_SAFE[:-1], 35)}"]
+    for value in planted:
+        for text in (f"the key is {value}. It works", f"\u00e9 x={value}"):
+            spans = secrets.spans_of(text, scorer)[0]
+            assert [text[s["start"] : s["end"]] for s in spans] == [value] and spans[0]["kind"] == "format" and spans[0]["odds"] >= secrets.ODDS
+    for words in ("internationalisation2024", "www.example.com/path/to/page-2024-article.html", "2024-01-02T10-11-12Z", "user_profile_2024_final_v2", "550e8400-e29b-41d4-a716-446655440000", "1234567890123456789a", "aaaaaaaaaaaaaaaaaaaa1"):
+        assert secrets.spans_of(f"some {words} here", scorer)[0] == []
+    long_value = "Zx9" * 60  # longer than any cut
+    known = secrets.Scorer({"hex": [long_value.encode(), (long_value[:-1] + "8").encode()]})
+    assert known.odds(long_value.encode()) > secrets.ODDS > known.odds(b"internationalisation2024")
+
+
+def test_redaction(spark):
+    df = spark.createDataFrame([(1, "token=abcdefgh12 rest", 99, "x"), (1, "token=abcdefgh12 rest", 99, "x"), (2, None, 4, None), (None, "", 0, "y")], "doc_id long, text string, n_chars long, spans string")
+    got = sorted(map(tuple, secrets.redact(df, secrets.examples_of(df)).collect()), key=str)
+    assert got == sorted([(1, "[SECRET] rest", 13, "x")] * 2 + [(2, None, 4, None), (None, "", 0, "y")], key=str)
+    assert secrets.redact(df.drop("n_chars"), {}).columns == ["doc_id", "text", "spans"] and secrets.redact(df.limit(0), {}).count() == 0
 
 
 def components(sets):
