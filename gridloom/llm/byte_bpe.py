@@ -22,7 +22,7 @@ from gridloom.llm.pretokens import can_be_cut
 
 #: Bytes of distinct words in one recursive query, rows that its steps hold together, ids in one decoding query, and
 #: words that a task remembers; they bound memory.
-QUERY_BYTES, STATE_ROWS, DECODE_IDS, MEMO_WORDS = 1 << 16, 1 << 20, 1 << 18, 400_000
+QUERY_BYTES, STATE_ROWS, DECODE_IDS, MEMO_WORDS = 1 << 17, 1 << 21, 1 << 18, 400_000
 SYMBOLS = [chr(256 + b) for b in range(256)]
 
 #: pos counts the bytes of all words of the batch, so it names a row. A row carries its right neighbour's position and
@@ -33,13 +33,13 @@ SYMBOLS = [chr(256 + b) for b in range(256)]
 #: words with a pair left then go on from their last rows in another one.
 ENCODE_SQL = """
 WITH RECURSIVE state AS (
-    SELECT s.word, s.pos, s.tok, s.rpos, s.rtok, m.tok * 1099511627776 + s.pos AS pair, 0 AS step
+    SELECT s.word, s.pos, s.tok, s.rpos, s.rtok, m.tok::BIGINT * 1099511627776 + s.pos AS pair, 0 AS step
     FROM seed s LEFT JOIN merges m ON m.lhs = s.tok AND m.rhs = s.rtok
     UNION ALL
     (WITH best AS (
         SELECT word, min(pair) AS pair, arg_min(rpos, pair) AS gone FROM state WHERE pair IS NOT NULL AND step < {steps} GROUP BY word
     ), chosen AS (
-        SELECT b.word, b.pair % 1099511627776 AS hit, b.pair // 1099511627776 AS merged, b.gone, g.rpos, g.rtok
+        SELECT b.word, (b.pair % 1099511627776)::INTEGER AS hit, (b.pair // 1099511627776)::INTEGER AS merged, b.gone, g.rpos, g.rtok
         FROM best b JOIN state g ON g.pos = b.gone
     ), contracted AS (
         SELECT s.word, s.pos, CASE WHEN s.pos = c.hit THEN c.merged ELSE s.tok END AS tok,
@@ -48,7 +48,7 @@ WITH RECURSIVE state AS (
                s.step + 1 AS step
         FROM state s JOIN chosen c ON c.word = s.word WHERE s.pos <> c.gone
     )
-    SELECT n.word, n.pos, n.tok, n.rpos, n.rtok, m.tok * 1099511627776 + n.pos AS pair, n.step
+    SELECT n.word, n.pos, n.tok, n.rpos, n.rtok, m.tok::BIGINT * 1099511627776 + n.pos AS pair, n.step
     FROM contracted n LEFT JOIN merges m ON m.lhs = n.tok AND m.rhs = n.rtok)
 )
 SELECT s.word, s.pos, s.tok, s.rpos, s.rtok, s.pair IS NOT NULL AS more
@@ -69,8 +69,8 @@ def tables(ranks: dict[bytes, int]) -> tuple[pa.Table, pa.Table]:
     """merges (lhs, rhs, tok) and vocabulary (tok, token)."""
     splits = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
     columns = zip(*splits) if splits else ([], [], [])
-    merges = pa.table({name: pa.array(column, pa.int64()) for name, column in zip(("lhs", "rhs", "tok"), columns)})
-    return merges, pa.table({"tok": pa.array(ranks.values(), pa.int64()), "token": pa.array(ranks, pa.binary())})
+    merges = pa.table({name: pa.array(column, pa.int32()) for name, column in zip(("lhs", "rhs", "tok"), columns)})
+    return merges, pa.table({"tok": pa.array(ranks.values(), pa.int32()), "token": pa.array(ranks, pa.binary())})
 
 
 def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -90,7 +90,7 @@ class Codec:
         tokens = vocabulary["token"].to_pylist()
         self.ranks = dict(zip(tokens, vocabulary["tok"].to_pylist()))
         self.memo: dict[str, bytes] = {}
-        self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)])
+        self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB"})
         self.load("merges_in", merges)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges_in")
@@ -119,10 +119,10 @@ class Codec:
             raw = np.frombuffer(b"".join(words[k] for k in batch), np.uint8)
             last = np.zeros(len(raw), bool)
             last[start + lengths - 1] = True
-            tok, pos = self.byte_ids[raw], np.arange(len(raw))
+            tok, pos = self.byte_ids[raw], np.arange(len(raw), dtype=np.int32)
             seed = pa.table({
-                "word": np.repeat(np.arange(len(batch)), lengths), "pos": pos, "tok": tok,
-                "rpos": pa.array(pos + 1, mask=last), "rtok": pa.array(np.append(tok[1:], 0), mask=last),
+                "word": np.repeat(np.arange(len(batch), dtype=np.int32), lengths), "pos": pos, "tok": tok,
+                "rpos": pa.array(pos + 1, mask=last), "rtok": pa.array(np.append(tok[1:], tok[:1]), mask=last),
             })
             while len(seed):
                 self.load("seed", seed)
@@ -142,7 +142,7 @@ class Codec:
         text_no = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
         for start in range(0, len(flat), DECODE_IDS):
             part = slice(start, start + DECODE_IDS)
-            tok = flat[part].astype(np.int64)
+            tok = flat[part].astype(np.int32)
             self.load("ids", pa.table({"text_no": text_no[part], "pos": np.arange(len(tok), dtype=np.int32), "tok": tok}))
             rows = self.db.sql(DECODE_SQL).to_arrow_table()
             for k, symbols in zip(rows["text_no"].to_pylist(), rows["symbols"].to_pylist()):

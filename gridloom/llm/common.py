@@ -120,7 +120,7 @@ def remainder(doc_id: Column, modulus: int) -> Column:
 
 
 #: Rows and characters that one step of map_texts() takes; a longer text is a step by itself.
-SLICE_ROWS, SLICE_CHARS = 1000, 1 << 22
+SLICE_ROWS, SLICE_CHARS = 1000, 1 << 21
 
 
 def slices(texts: list) -> Iterator[tuple[int, int]]:
