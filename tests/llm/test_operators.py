@@ -378,19 +378,50 @@ def test_topk_equals_brute_force(spark):
     assert [tuple(r) for r in topk.search(df.filter("vec_id < 3"), query_modulus=2).select("query_id", "rank").collect()].count((0, 2)) == 1
 
 
-def test_topk_deals_the_queries_of_a_block_in_chunks(spark, monkeypatch):
-    monkeypatch.setattr(topk, "CHUNK", 8)
-    pairs = spark.range(200).selectExpr("id AS query_id", "if(id < 190, 'a', 'b') AS block")
-    dealt, chunks = topk.in_chunks(pairs)
-    sizes = collections.Counter((r["block"], r["chunk"]) for r in dealt.collect())
-    assert sum(sizes.values()) == 200 and max(sizes.values()) <= 24 and set(sizes) <= {tuple(r) for r in chunks.collect()}
-    vectors = {k: [1, 2, 3] if k % 3 == 0 else [k % 7, -(k % 5), k % 11] for k in range(300)}
-    df = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in vectors.items()], "vec_id bigint, embedding array<double>")
-    want = []
-    for q in range(0, 300, 2):
-        scored = sorted(((-sum(1024 * 1024 * a * b for a, b in zip(vectors[q], v)), k) for k, v in vectors.items() if k != q))[:10]
-        want += [(q, rank, k, -s) for rank, (s, k) in enumerate(scored, 1)]
-    assert sorted(tuple(r) for r in topk.search(df, query_modulus=2).collect()) == want
+def brute_topk(rows, modulus, k=10):
+    """Of (id, components) rows in exact integers, clamped to 64 bits."""
+    whole = [(i, [min(max(math.floor(x) * 1024 if abs(x) > 1e300 else math.floor(1024 * x), -top), top) for x in v]) for top in [int(np.finfo(float).max)] for i, v in rows]
+    want, seen = [], set()
+    for q, u in whole:
+        if q % modulus == 0 and q not in seen:
+            seen.add(q)
+            scored = sorted((-min(max(sum(a * b for a, b in zip(u, v)), topk.LOW), topk.HIGH), i) for i, v in whole if i != q)[:k]
+            want += [(q, rank, i, -s) for rank, (s, i) in enumerate(scored, 1)]
+    return sorted(want)
+
+
+@pytest.mark.parametrize("sizes", [(7, 5, 3, 2), (2048, 4096, 512, 16)])
+def test_topk_in_many_blocks_and_chunks(spark, monkeypatch, sizes):
+    for name, size in zip(("BLOCK", "CHUNK", "SLICE", "PACK"), sizes):
+        monkeypatch.setattr(topk, name, size)
+    rng = np.random.default_rng(12)
+    hot = [(k, [1.0, 2.0, 3.0] if k % 3 == 0 else [float(k % 7), -float(k % 5), float(k % 11)]) for k in range(160)]
+    mixed = [(k, rng.normal(size=rng.integers(0, 5)).round(3).tolist()) for k in range(200, 260)] + [(200, [9.0])]
+    for rows in (hot, mixed):
+        df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+        got = sorted(tuple(r) for r in topk.search(df.dropDuplicates() if rows is hot else df, query_modulus=2 if rows is hot else 7).collect())
+        assert got == brute_topk(rows, 2 if rows is hot else 7)
+
+
+def test_topk_of_giant_vectors(spark):
+    rows = [(k, [float(k), 1.0, -2.0]) for k in range(40)]
+    rows += [(100, [1e300, 1.0, 0.0]), (101, [-1e300, 2.0, 1.0]), (102, [4e15, 4e15, 4e15]), (103, [1.7e308, 0.0, 0.0]), (104, [3e9, -1.0, 5.0]), (105, [4e6] * 3)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    assert sorted(tuple(r) for r in topk.search(df, query_modulus=5).collect()) == brute_topk(rows, 5)
+    only = spark.createDataFrame(rows[40:], "vec_id bigint, embedding array<double>")
+    assert sorted(tuple(r) for r in topk.search(only, query_modulus=2).collect()) == brute_topk(rows[40:], 2)
+
+
+def test_topk_prunes_what_can_be_pruned(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 20)
+    monkeypatch.setattr(topk, "CHUNK", 4)
+    rng = np.random.default_rng(13)
+    centres = rng.normal(size=(16, 8)) * 20
+    centres *= 60 / np.linalg.norm(centres, axis=1, keepdims=True)
+    rows = [(k, (centres[k % 16] + rng.normal(size=8) * 0.01).tolist()) for k in range(1600)]
+    said = {}
+    got = topk.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), query_modulus=50, said=said).collect()
+    assert sorted(map(tuple, got)) == brute_topk(rows, 50) and said["pairs"] < 0.5 * said["blocks"] * said["chunks"]
 
 
 def test_toxicity(spark, docs, nothing):
