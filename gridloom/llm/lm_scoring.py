@@ -5,13 +5,15 @@ weights of each bucket are learned by expectation maximisation on a tenth of the
 with that tenth deleted.
 
 Documents are packed into chunks of some MB, one row each, with their words as numbers of a chunk's own word list. A
-chunk sends each distinct n-gram once, with its counts, in one packed message to the shard that the n-gram's digest
-names; a shard adds up what all chunks say and answers each message with the totals, in the same order. So a very
-frequent n-gram costs one entry a chunk, and an answer needs no n-grams.
+chunk gives one row for each distinct n-gram, with its digest, its place in the chunk and its count; a window over the
+digest adds up what all chunks say, and the totals go back to their chunks. So a very frequent n-gram costs one row a
+chunk, and rows grow in proportion to the text.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -21,9 +23,10 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import common
 
-#: Bytes of text in a chunk, shards of n-grams for each chunk, buckets of context frequency (powers of two), steps of a
-#: factor of ten by which probabilities are binned for learning the weights, rounds of EM, least weight of the rest.
-CHUNK_BYTES, SHARDS_EACH, BUCKETS, BINS_A_DECADE, EM_ROUNDS, LEAST_WEIGHT = 6 << 20, 0.5, 32, 12, 60, 1e-6
+#: Bytes of text in a chunk, rows that it gives at once, buckets of context frequency (powers of two), steps of a factor
+#: of ten by which probabilities are binned for learning the weights (they bound what the driver gets), rounds of EM,
+#: least weight of the rest.
+CHUNK_BYTES, GIVEN, BUCKETS, BINS_A_DECADE, EM_ROUNDS, LEAST_WEIGHT = 6 << 20, 1 << 17, 32, 48, 60, 1e-6
 TEST, LEARN, DELETED = 0, 1, 2
 END = np.uint64(0x9E3779B97F4A7C15)
 
@@ -53,7 +56,7 @@ def bigram_digest(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mixed(first * np.uint64(0xD6E8FEB86659FD93) + mixed(second))
 
 
-CHUNK_SCHEMA = "chunk string, deleted boolean, doc_ids binary, folds binary, lengths binary, words binary, token_kind string, tokens binary"
+CHUNK_SCHEMA = "chunk long, deleted boolean, n_train long, doc_ids binary, folds binary, lengths binary, words binary, token_kind string, tokens binary"
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -65,8 +68,10 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chun
 
     def run(batches):
         import pickle
-        import uuid
 
+        from pyspark import TaskContext
+
+        numbers_of = itertools.count(TaskContext.get().partitionId() << 32)  # the same when a task runs again
         open_chunks: dict[bool, list] = {}
 
         def closed(deleted):
@@ -74,7 +79,7 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chun
             kind, numbers = least_kind(np.concatenate(tokens) if tokens else np.zeros(0, np.int64))
             listed = np.fromiter((END if w is None else xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
             return {
-                "chunk": uuid.uuid4().hex, "deleted": deleted, "doc_ids": pickle.dumps(ids), "folds": bytes(folds), "lengths": pack(np.array(lengths, "<u4")),
+                "chunk": next(numbers_of), "deleted": deleted, "n_train": sum(n for n, fold in zip(lengths, folds) if fold != TEST), "doc_ids": pickle.dumps(ids), "folds": bytes(folds), "lengths": pack(np.array(lengths, "<u4")),
                 "words": listed.tobytes(), "token_kind": kind, "tokens": pack(numbers),
             }
 
@@ -100,6 +105,7 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chun
                 yield pd.DataFrame(done)
         if open_chunks:
             yield pd.DataFrame([closed(k) for k in list(open_chunks)])
+        common.release()
 
     return rows.mapInPandas(run, CHUNK_SCHEMA)
 
@@ -130,69 +136,51 @@ class Chunk:
         return np.concatenate([np.bincount(self.tokens[train], minlength=len(self.words)), np.bincount(self.pair_of[train], minlength=len(self.pairs))])
 
 
-MESSAGE_SCHEMA = "shard int, chunk string, deleted boolean, n_words int, keys binary, counts_kind string, counts binary"
-
+def counted(packed: DataFrame) -> DataFrame:
+    """digest, chunk, deleted, place, is_word, n: a row for each distinct n-gram of each chunk."""
 
-def messages(packed: DataFrame, shards: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row in batch.to_dict("records"):
                 chunk = Chunk(row)
-                keys, counts = chunk.keys(), chunk.counts()
-                shard = keys % np.uint64(shards)
-                out = []
-                order = np.argsort(shard, kind="stable")
-                bounds = np.searchsorted(shard[order], np.arange(shards + 1).astype(np.uint64))
-                for s in range(shards):
-                    own = order[bounds[s] : bounds[s + 1]]
-                    if len(own):
-                        kind, n = least_kind(counts[own])
-                        out.append((s, row["chunk"], row["deleted"], int((own < len(chunk.words)).sum()), keys[own].tobytes(), kind, pack(n)))
-                yield pd.DataFrame(out, columns=["shard", "chunk", "deleted", "n_words", "keys", "counts_kind", "counts"])
-
-    return packed.mapInPandas(run, MESSAGE_SCHEMA)
-
-
-ANSWER_SCHEMA = "shard int, chunk string, total_kind string, total binary, rest_kind string, rest binary, tokens long, types long"
-
-
-def answers(sent: DataFrame) -> DataFrame:
-    """For each message the totals of its keys and, to chunks of the deleted tenth, those without that tenth; one row
-    of each shard with a null chunk has its training tokens and their distinct words."""
-
-    def shard(frame: pd.DataFrame) -> pd.DataFrame:
-        keys = [np.frombuffer(k, np.uint64) for k in frame["keys"]]
-        counts = [unpack(c, k).astype(np.int64) for c, k in zip(frame["counts"], frame["counts_kind"])]
-        unique, place = np.unique(np.concatenate(keys), return_inverse=True)
-        every = np.concatenate(counts)
-        total = np.bincount(place, every, len(unique)).astype(np.int64)
-        gone = np.concatenate([c if d else np.zeros_like(c) for c, d in zip(counts, frame["deleted"])])
-        rest = total - np.bincount(place, gone, len(unique)).astype(np.int64)
-        word = np.zeros(len(unique), bool)
-        out, at = [], 0
-        for chunk, deleted, n, k in zip(frame["chunk"], frame["deleted"], frame["n_words"], keys):
-            own = place[at : at + len(k)]
-            at += len(k)
-            word[own[:n]] = True
-            a, x = least_kind(total[own])
-            b, y = least_kind(rest[own]) if deleted else ("", None)
-            out.append((int(frame["shard"].iloc[0]), chunk, a, pack(x), b, pack(y) if deleted else b"", 0, 0))
-        known = word & (total > 0)
-        out.append((int(frame["shard"].iloc[0]), None, "", b"", "", b"", int(total[known].sum()), int(known.sum())))
-        return pd.DataFrame(out, columns=["shard", "chunk", "total_kind", "total", "rest_kind", "rest", "tokens", "types"])
-
-    return sent.groupBy("shard").applyInPandas(shard, ANSWER_SCHEMA)
-
-
-def put_together(chunk: Chunk, shards: int, rows: pd.DataFrame, which: str) -> tuple[np.ndarray, np.ndarray]:
-    """(counts of the chunk's words, counts of its pairs) from the answers of all shards."""
-    shard = chunk.keys() % np.uint64(shards)
-    result = np.zeros(len(shard), np.int64)
-    order = np.argsort(shard, kind="stable")
-    bounds = np.searchsorted(shard[order], np.arange(shards + 1).astype(np.uint64))
-    for s, kind, raw in zip(rows["shard"], rows[f"{which}_kind"], rows[which]):
-        result[order[bounds[s] : bounds[s + 1]]] = unpack(raw, kind)
-    return result[: len(chunk.words)], result[len(chunk.words) :]
+                keys, counts = chunk.keys().view(np.int64), chunk.counts()
+                for start in range(0, len(keys), GIVEN):
+                    place = np.arange(start, min(start + GIVEN, len(keys)), dtype=np.int32)
+                    yield pd.DataFrame({
+                        "digest": keys[place], "chunk": row["chunk"], "deleted": row["deleted"], "place": place, "is_word": place < len(chunk.words), "n": counts[place],
+                    })
+        common.release()
+
+    return packed.mapInPandas(run, "digest long, chunk long, deleted boolean, place int, is_word boolean, n long")
+
+
+def answered(rows: DataFrame) -> DataFrame:
+    """For each chunk the totals of its n-grams over all chunks in the order of their places and, if it is of the deleted
+    tenth, those without that tenth; and types, the distinct training words of which it has the first row."""
+    from pyspark.sql import Window
+
+    same = Window.partitionBy("digest").orderBy("chunk")
+    every = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    total, gone = F.sum("n").over(every), F.sum(F.when(F.col("deleted"), F.col("n")).otherwise(0)).over(every)
+    summed = rows.select("chunk", "deleted", "place", "is_word", total.alias("total"), gone.alias("gone"), F.row_number().over(same).alias("nth"))
+    back = summed.select("chunk", "place", "total", F.when(F.col("deleted"), F.col("total") - F.col("gone")).alias("rest"), (F.col("is_word") & (F.col("nth") == 1) & (F.col("total") > 0)).alias("fresh"))
+
+    def run(batches):
+        for group in common.contiguous_groups(batches, ["chunk"]):
+            deleted = group["rest"].notna().any()
+            a, total = least_kind(group["total"].to_numpy())
+            b, rest = least_kind(group["rest"].to_numpy().astype(np.int64)) if deleted else ("", np.zeros(0, np.uint8))
+            yield pd.DataFrame({"chunk": [group["chunk"].iloc[0]], "total_kind": a, "total": [pack(total)], "rest_kind": b, "rest": [pack(rest)], "types": [int(group["fresh"].sum())]})
+        common.release()
+
+    dealt = back.repartition("chunk").sortWithinPartitions("chunk", "place")
+    return dealt.mapInPandas(run, "chunk long, total_kind string, total binary, rest_kind string, rest binary, types long")
+
+
+def put_together(chunk: Chunk, row, which: str) -> tuple[np.ndarray, np.ndarray]:
+    """(counts of the chunk's words, counts of its pairs)."""
+    found = unpack(row[which], row[f"{which}_kind"]).astype(np.int64)
+    return found[: len(chunk.words)], found[len(chunk.words) :]
 
 
 def bucket(context: np.ndarray) -> np.ndarray:
@@ -213,21 +201,18 @@ def binned(p: np.ndarray) -> np.ndarray:
         return np.where(p > 0, np.maximum(1, 1 + np.rint(-np.log10(p) * BINS_A_DECADE)), 0).astype(np.int64)
 
 
-def unbinned(k: np.ndarray) -> np.ndarray:
-    return np.where(k > 0, 10.0 ** (-(k - 1) / BINS_A_DECADE), 0.0)
-
-
-def learned_weights(events: list[tuple[int, int, int, int]], types: int) -> np.ndarray:
-    """Rows of the weights of bigram, unigram and rest for each bucket, by EM over (bucket, bin, bin, count) rows."""
+def learned_weights(events: list[tuple[int, float, float, int]], types: int) -> np.ndarray:
+    """Rows of the weights of bigram, unigram and rest for each bucket, by EM over rows of the bucket, the two estimates
+    (the geometric means of a bin) and their count."""
     weights = np.tile([0.0, 0.9, 0.1], (BUCKETS, 1))
-    table = np.array(sorted(events), np.int64).reshape(-1, 4)
+    table = np.array(sorted(events), float).reshape(-1, 4)
     for b in range(BUCKETS):
         own = table[table[:, 0] == b]
         if not len(own):
             if b:
                 weights[b] = weights[b - 1]
             continue
-        p = np.stack([unbinned(own[:, 1]), unbinned(own[:, 2]), np.full(len(own), 1 / (types + 1))], axis=1)
+        p = np.stack([own[:, 1], own[:, 2], np.full(len(own), 1 / (types + 1))], axis=1)
         w = np.full(3, 1 / 3)
         for _ in range(EM_ROUNDS):
             share = p * w
@@ -245,41 +230,37 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
     the end. Repeated rows give repeated rows, and each is learned from. Words are told apart by 64-bit digests.
     Without training documents every count is 0 and the scores rest on the uniform part alone.
     """
-    spark = docs.sparkSession
+    spark, store = docs.sparkSession, common.Stores()
     kind = dict(docs.dtypes)[id_col]
-    packed = common.stored(chunks(docs, id_col, text_col, chunk_bytes), "lm-chunks")
-    n_chunks = packed.count()
-    if not n_chunks:
+    packed = store(chunks(docs, id_col, text_col, chunk_bytes), "lm-chunks")
+    tokens, without = packed.agg(F.sum("n_train"), F.sum(F.when(~F.col("deleted"), F.col("n_train")))).first()
+    if tokens is None:
+        store.drop()
         return spark.createDataFrame([], f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    shards = max(4, round(n_chunks * SHARDS_EACH))
-    answered = common.stored(answers(messages(packed, shards)), "lm-answers")
+    tokens, without = int(tokens), int(without or 0)
+    replies = store(answered(counted(packed)), "lm-answers")
+    common.free_shuffles(spark)
+    types = int(replies.agg(F.sum("types")).first()[0] or 0)
+    whole = common.stored(packed.join(replies, "chunk"), "lm-whole")
+    store.drop()
     common.free_shuffles(spark)
-    totals = answered.filter(F.col("chunk").isNull()).agg(F.sum("tokens"), F.sum("types")).first()
-    tokens, types = int(totals[0] or 0), int(totals[1] or 0)
-    replies = answered.filter(F.col("chunk").isNotNull()).select("chunk", F.struct("shard", "total_kind", "total", "rest_kind", "rest").alias("reply"))
-
-    def joined(rows: DataFrame) -> DataFrame:
-        own = replies.join(rows.select("chunk"), "chunk", "left_semi") if rows is not packed else replies
-        return rows.join(own.groupBy("chunk").agg(F.collect_list("reply").alias("replies")), "chunk")
-
-    def frame_of(row):
-        return pd.DataFrame([dict(r) if isinstance(r, dict) else r.asDict() for r in row["replies"]])
-
-    rest_tokens = spark.sparkContext.broadcast((tokens, types))
 
     def events(batches):
         for batch in batches:
             for row in batch.to_dict("records"):
                 chunk = Chunk(row)
                 # the tenth's own tokens are left out of N as out of the counts
-                words, pairs = put_together(chunk, shards, frame_of(row), "rest")
-                b, p2, p1 = parts(chunk, words, pairs, rest_tokens.value[0] * 8 / 9)
-                keys, n = np.unique(np.stack([b, binned(p2), binned(p1)]), axis=1, return_counts=True)
-                yield pd.DataFrame({"bucket": keys[0], "p2": keys[1], "p1": keys[2], "n": n})
-
-    found = joined(packed.filter("deleted")).mapInPandas(events, "bucket long, p2 long, p1 long, n long").groupBy("bucket", "p2", "p1").agg(F.sum("n").alias("n")).collect()
-    weights = spark.sparkContext.broadcast(learned_weights([tuple(r) for r in found], types))
-    common.free_shuffles(spark)
+                words, pairs = put_together(chunk, row, "rest")
+                b, p2, p1 = parts(chunk, words, pairs, without)
+                keys, place, n = np.unique(np.stack([b, binned(p2), binned(p1)]), axis=1, return_inverse=True, return_counts=True)
+                logs = [np.bincount(place.ravel(), np.log(np.where(p > 0, p, 1.0)), len(n)) for p in (p2, p1)]
+                yield pd.DataFrame({"bucket": keys[0], "p2": keys[1], "p1": keys[2], "n": n, "log2": logs[0], "log1": logs[1]})
+        common.release()
+
+    found = whole.filter("deleted").mapInPandas(events, "bucket long, p2 long, p1 long, n long, log2 double, log1 double").groupBy("bucket", "p2", "p1").agg(F.sum("n").alias("n"), F.sum("log2").alias("log2"), F.sum("log1").alias("log1"))
+    mean = lambda bin_, logs: F.when(F.col(bin_) > 0, F.exp(F.col(logs) / F.col("n"))).otherwise(0.0)
+    weights = learned_weights([tuple(r) for r in found.select("bucket", mean("p2", "log2"), mean("p1", "log1"), "n").collect()], types)
+    weights = spark.sparkContext.broadcast(weights)
 
     def scored(batches):
         import pickle
@@ -287,7 +268,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
         for batch in batches:
             for row in batch.to_dict("records"):
                 chunk = Chunk(row)
-                words, pairs = put_together(chunk, shards, frame_of(row), "total")
+                words, pairs = put_together(chunk, row, "total")
                 b, p2, p1 = parts(chunk, words, pairs, tokens)
                 w = weights.value[b]
                 model = np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] / (types + 1))
@@ -298,6 +279,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
                     "n_known": np.add.reduceat((c > 0).astype(np.int64), chunk.starts), "train_tokens": tokens,
                     "base_score": np.add.reduceat(base, chunk.starts), "score": np.add.reduceat(model, chunk.starts),
                 })
+        common.release()
 
-    out = joined(packed).mapInPandas(scored, "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = whole.mapInPandas(scored, "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumn("doc_id", F.col("doc_id").cast(kind))

@@ -245,7 +245,48 @@ def test_bayesian_bounds_keep_pairs_at_the_threshold():
     assert near_dedup.NEEDED[-1][1] > 90
 
 
-def test_lm_scores(spark, docs, nothing):
+def brute_lm(rows, weights_of=None):
+    """doc_id, score of (doc_id, text) rows, by dictionaries and exact EM; weights_of(bucket) overrides what EM learns."""
+    key = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 10
+    tokens = [(d, key(d), [None, *(t or "").encode().lower().split(), None]) for d, t in rows]
+    pairs = lambda folds: [p for _, f, w in tokens if f in folds for p in zip(w, w[1:])]
+
+    def counts(folds):
+        two = collections.Counter(pairs(folds))
+        one = collections.Counter(w for _, w in pairs(folds))
+        return two, one, sum(one.values())
+
+    def estimates(v, w, two, one, n):
+        return [two[v, w] / one[v] if one[v] else 0.0, one[w] / max(n, 1)]
+
+    two, one, n = counts(set(range(1, 10)))
+    rest = counts(set(range(1, 9)))
+    v_size = len(one)
+    found = collections.defaultdict(list)
+    for v, w in pairs({9}):
+        found[int(lm_scoring.bucket(np.array([rest[1][v]]))[0])].append([*estimates(v, w, *rest), 1 / (v_size + 1)])
+    learned = np.tile([0.0, 0.9, 0.1], (lm_scoring.BUCKETS, 1))
+    for b in range(lm_scoring.BUCKETS):
+        if b not in found:
+            learned[b] = learned[b - 1] if b else learned[b]
+            continue
+        p, w = np.array(found[b]), np.full(3, 1 / 3)
+        for _ in range(lm_scoring.EM_ROUNDS):
+            share = p * w
+            w = (share / share.sum(axis=1, keepdims=True)).mean(axis=0)
+        w = np.maximum(w, [0, lm_scoring.LEAST_WEIGHT, lm_scoring.LEAST_WEIGHT])
+        learned[b] = w / w.sum()
+    score = []
+    for d, _, words in tokens:
+        total = 0.0
+        for v, w in zip(words, words[1:]):
+            b = int(lm_scoring.bucket(np.array([one[v]]))[0])
+            total += math.log10(np.dot((learned if weights_of is None else weights_of)[b], [*estimates(v, w, two, one, n), 1 / (v_size + 1)]))
+        score.append((d, total))
+    return score, learned
+
+
+def test_lm_scores(spark, docs, nothing, monkeypatch):
     found = by_id(lm_scoring.score(docs, chunk_bytes=200))
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     tokens = lambda t: (t or "").encode().lower().split() + [None]
@@ -255,12 +296,30 @@ def test_lm_scores(spark, docs, nothing):
     for d, t in rows:
         base = sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens(t))
         r = next(r for r in found[d] if r["n_tokens"] == len(tokens(t)))
-        assert r["base_score"] == pytest.approx(base) and r["train_tokens"] == n and r["n_known"] == sum(c[w] > 0 for w in tokens(t)) and math.isfinite(r["score"])
+        assert r["base_score"] == pytest.approx(base) and r["train_tokens"] == n and r["n_known"] == sum(c[w] > 0 for w in tokens(t))
     assert lm_scoring.score(nothing).count() == 0
 
 
+@pytest.mark.parametrize("chunk_bytes", [2000, 6 << 20])
+def test_lm_scores_equal_deleted_interpolation_by_brute_force(spark, monkeypatch, chunk_bytes):
+    rng = np.random.default_rng(17)
+    words = [f"w{k}" for k in range(80)]
+    texts = [" ".join(words[min(int(x), 79)] for x in rng.exponential(12, rng.integers(0, 60))) for _ in range(300)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(0, texts[0]), (None, "w1 w2"), (7000, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    learned, real = [], lm_scoring.learned_weights
+    monkeypatch.setattr(lm_scoring, "learned_weights", lambda *a: learned.append(real(*a)) or learned[-1])
+    got = sorted(((r["doc_id"], r["score"]) for r in lm_scoring.score(df, chunk_bytes=chunk_bytes).collect()), key=str)
+    want, weights = brute_lm(rows)
+    assert np.abs(weights - learned[0]).max() < 0.01  # the error that bins make in the weights
+    for (d, a), (e, b) in zip(got, sorted(want, key=str), strict=True):
+        assert d == e and a == pytest.approx(b, rel=2e-3)
+    exact = sorted(brute_lm(rows, learned[0])[0], key=str)  # with the same weights nothing is left to differ
+    assert [d for d, _ in got] == [d for d, _ in exact] and [a for _, a in got] == pytest.approx([b for _, b in exact], rel=1e-9)
+
+
 def test_interpolated_probabilities_sum_to_at_most_one():
-    weights = lm_scoring.learned_weights([(3, 5, 20, 40), (3, 0, 30, 10), (1, 0, 0, 3)], 100)
+    weights = lm_scoring.learned_weights([(3, 0.4, 0.02, 40), (3, 0, 0.003, 10), (1, 0, 0, 3)], 100)
     assert np.allclose(weights.sum(axis=1), 1) and (weights[:, 1:] > 0).all() and weights[0, 0] == 0
 
 
