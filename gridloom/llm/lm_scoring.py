@@ -5,9 +5,10 @@ weights of each bucket are learned by expectation maximisation on a tenth of the
 with that tenth deleted.
 
 Documents are packed into chunks of some MB, one row each, with their words as numbers of a chunk's own word list. A
-chunk gives one row for each distinct n-gram, with its digest, its place in the chunk and its count; a window over the
-digest adds up what all chunks say, and the totals go back to their chunks. So a very frequent n-gram costs one row a
-chunk, and rows grow in proportion to the text.
+chunk sends its distinct n-grams, sorted by digest, with their counts to the shards that hold the digests' ranges, one
+packed message for each shard that it has any n-gram of; a shard adds up what all chunks say and answers each message
+with the totals, in the same order. A shard gets a bounded number of tokens' n-grams, so shards grow with the text, and
+there are never more messages than n-grams. A very frequent n-gram costs one entry a chunk, and an answer no n-grams.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import common
 
-#: Bytes of text in a chunk, rows that it gives at once, buckets of context frequency (powers of two), steps of a factor
+#: Bytes of text in a chunk, tokens whose n-grams a shard gets (about), buckets of context frequency (powers of two), steps of a factor
 #: of ten by which probabilities are binned for learning the weights (they bound what the driver gets), rounds of EM,
 #: least weight of the rest.
-CHUNK_BYTES, GIVEN, BUCKETS, BINS_A_DECADE, EM_ROUNDS, LEAST_WEIGHT = 6 << 20, 1 << 17, 32, 48, 60, 1e-6
+CHUNK_BYTES, SHARD_TOKENS, BUCKETS, BINS_A_DECADE, EM_ROUNDS, LEAST_WEIGHT = 6 << 20, 3 << 19, 32, 48, 60, 1e-6
 TEST, LEARN, DELETED = 0, 1, 2
 END = np.uint64(0x9E3779B97F4A7C15)
 
@@ -56,7 +57,7 @@ def bigram_digest(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mixed(first * np.uint64(0xD6E8FEB86659FD93) + mixed(second))
 
 
-CHUNK_SCHEMA = "chunk long, deleted boolean, n_train long, doc_ids binary, folds binary, lengths binary, words binary, token_kind string, tokens binary"
+CHUNK_SCHEMA = "chunk long, deleted boolean, n_tokens long, n_train long, doc_ids binary, folds binary, lengths binary, words binary, token_kind string, tokens binary"
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -79,7 +80,7 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chun
             kind, numbers = least_kind(np.concatenate(tokens) if tokens else np.zeros(0, np.int64))
             listed = np.fromiter((END if w is None else xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
             return {
-                "chunk": next(numbers_of), "deleted": deleted, "n_train": sum(n for n, fold in zip(lengths, folds) if fold != TEST), "doc_ids": pickle.dumps(ids), "folds": bytes(folds), "lengths": pack(np.array(lengths, "<u4")),
+                "chunk": next(numbers_of), "deleted": deleted, "n_tokens": sum(lengths), "n_train": sum(n for n, fold in zip(lengths, folds) if fold != TEST), "doc_ids": pickle.dumps(ids), "folds": bytes(folds), "lengths": pack(np.array(lengths, "<u4")),
                 "words": listed.tobytes(), "token_kind": kind, "tokens": pack(numbers),
             }
 
@@ -116,71 +117,126 @@ class Chunk:
     def __init__(self, row):
         self.folds = np.frombuffer(row["folds"], np.uint8)
         self.lengths = unpack(row["lengths"], "<u4").astype(np.int64)
-        self.words = np.frombuffer(row["words"], np.uint64)
+        # once the totals are in place, the number of words stands for their digests
+        self.words = None if isinstance(row["words"], int) else np.frombuffer(row["words"], np.uint64)
+        self.n_words = row["words"] if self.words is None else len(self.words)
         self.tokens = unpack(row["tokens"], row["token_kind"]).astype(np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         before = np.empty_like(self.tokens)
         before[1:] = self.tokens[:-1]
         before[self.starts] = 0  # a text begins after an end
         self.before = before
-        pairs, self.pair_of = np.unique(before * len(self.words) + self.tokens, return_inverse=True)
-        self.pairs = bigram_digest(self.words[pairs // len(self.words)], self.words[pairs % len(self.words)])
+        self.pairs, self.pair_of = np.unique(before * self.n_words + self.tokens, return_inverse=True)
         self.fold_of = np.repeat(self.folds, self.lengths)
 
-    def keys(self) -> np.ndarray:
-        return np.concatenate([self.words, self.pairs])
+    def order(self) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the n-grams (words, then pairs) in the order of their digests, and those."""
+        keys = np.concatenate([self.words, bigram_digest(self.words[self.pairs // self.n_words], self.words[self.pairs % self.n_words])])
+        order = np.argsort(keys, kind="stable")
+        return order, keys[order]
 
     def counts(self) -> np.ndarray:
         """Of each key in the training documents."""
         train = self.fold_of != TEST
-        return np.concatenate([np.bincount(self.tokens[train], minlength=len(self.words)), np.bincount(self.pair_of[train], minlength=len(self.pairs))])
+        return np.concatenate([np.bincount(self.tokens[train], minlength=self.n_words), np.bincount(self.pair_of[train], minlength=len(self.pairs))])
 
 
-def counted(packed: DataFrame) -> DataFrame:
-    """digest, chunk, deleted, place, is_word, n: a row for each distinct n-gram of each chunk."""
+def shards_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each digest: equal ranges, in order."""
+    return (((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
 
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Their differences, byte by byte: the leading bytes are mostly 0."""
+    return pack(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T)
+
+
+def unpack_sorted(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(unpack(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+MESSAGE_SCHEMA = "shard int, chunk long, deleted boolean, keys binary, is_word binary, counts_kind string, counts binary"
+
+
+def messages(packed: DataFrame, shards: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row in batch.to_dict("records"):
                 chunk = Chunk(row)
-                keys, counts = chunk.keys().view(np.int64), chunk.counts()
-                for start in range(0, len(keys), GIVEN):
-                    place = np.arange(start, min(start + GIVEN, len(keys)), dtype=np.int32)
-                    yield pd.DataFrame({
-                        "digest": keys[place], "chunk": row["chunk"], "deleted": row["deleted"], "place": place, "is_word": place < len(chunk.words), "n": counts[place],
-                    })
+                order, keys = chunk.order()
+                counts, is_word, shard = chunk.counts()[order], order < len(chunk.words), shards_of(keys, shards)
+                own, starts = np.unique(shard, return_index=True)
+                out = []
+                for s, a, b in zip(own.tolist(), starts, [*starts[1:], len(keys)]):
+                    kind, n = least_kind(counts[a:b])
+                    out.append((s, row["chunk"], row["deleted"], pack_sorted(keys[a:b]), np.packbits(is_word[a:b]).tobytes(), kind, pack(n)))
+                yield pd.DataFrame(out, columns=["shard", "chunk", "deleted", "keys", "is_word", "counts_kind", "counts"])
         common.release()
 
-    return packed.mapInPandas(run, "digest long, chunk long, deleted boolean, place int, is_word boolean, n long")
+    return packed.mapInPandas(run, MESSAGE_SCHEMA)
+
+
+ANSWER_SCHEMA = "shard int, chunk long, total_kind string, total binary, rest_kind string, rest binary, types long"
 
 
-def answered(rows: DataFrame) -> DataFrame:
-    """For each chunk the totals of its n-grams over all chunks in the order of their places and, if it is of the deleted
-    tenth, those without that tenth; and types, the distinct training words of which it has the first row."""
-    from pyspark.sql import Window
+def answers(sent: DataFrame, shards: int) -> DataFrame:
+    """For each message the totals of its keys and, to chunks of the deleted tenth, those without that tenth; the first
+    answer of a shard has its number of distinct training words."""
 
-    same = Window.partitionBy("digest").orderBy("chunk")
-    every = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    total, gone = F.sum("n").over(every), F.sum(F.when(F.col("deleted"), F.col("n")).otherwise(0)).over(every)
-    summed = rows.select("chunk", "deleted", "place", "is_word", total.alias("total"), gone.alias("gone"), F.row_number().over(same).alias("nth"))
-    back = summed.select("chunk", "place", "total", F.when(F.col("deleted"), F.col("total") - F.col("gone")).alias("rest"), (F.col("is_word") & (F.col("nth") == 1) & (F.col("total") > 0)).alias("fresh"))
+    def answered(frame: pd.DataFrame) -> pd.DataFrame:
+        keys = [unpack_sorted(k) for k in frame["keys"]]
+        counts = [unpack(c, k).astype(np.int64) for c, k in zip(frame["counts"], frame["counts_kind"])]
+        unique, place = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(place, np.concatenate(counts), len(unique)).astype(np.int64)
+        gone = np.concatenate([c if d else np.zeros_like(c) for c, d in zip(counts, frame["deleted"])])
+        rest = total - np.bincount(place, gone, len(unique)).astype(np.int64)
+        word = np.zeros(len(unique), bool)
+        out, at = [], 0
+        for chunk, deleted, bits, k in zip(frame["chunk"], frame["deleted"], frame["is_word"], keys):
+            own = place[at : at + len(k)]
+            at += len(k)
+            word[own[np.unpackbits(np.frombuffer(bits, np.uint8), count=len(k)).astype(bool)]] = True
+            a, x = least_kind(total[own])
+            b, y = least_kind(rest[own]) if deleted else ("", None)
+            out.append([int(frame["shard"].iloc[0]), chunk, a, pack(x), b, pack(y) if deleted else b"", 0])
+        out[0][-1] = int((word & (total > 0)).sum())
+        return pd.DataFrame(out, columns=["shard", "chunk", "total_kind", "total", "rest_kind", "rest", "types"])
 
     def run(batches):
-        for group in common.contiguous_groups(batches, ["chunk"]):
-            deleted = group["rest"].notna().any()
-            a, total = least_kind(group["total"].to_numpy())
-            b, rest = least_kind(group["rest"].to_numpy().astype(np.int64)) if deleted else ("", np.zeros(0, np.uint8))
-            yield pd.DataFrame({"chunk": [group["chunk"].iloc[0]], "total_kind": a, "total": [pack(total)], "rest_kind": b, "rest": [pack(rest)], "types": [int(group["fresh"].sum())]})
+        for group in common.contiguous_groups(batches, ["shard"]):
+            yield answered(group)
+        common.release()
+
+    return sent.repartitionById(shards, "shard").sortWithinPartitions("shard").mapInPandas(run, ANSWER_SCHEMA)
+
+
+def in_place(packed: DataFrame, replies: DataFrame) -> DataFrame:
+    """The chunks with the totals of their n-grams (words, then pairs) in place of the words' digests."""
+    told = replies.groupBy("chunk").agg(F.collect_list(F.struct("shard", "total_kind", "total", "rest_kind", "rest")).alias("replies"))
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                chunk, rows = Chunk(row), sorted(row.pop("replies"), key=lambda r: r["shard"])
+                order = chunk.order()[0]
+                for which in ("total", "rest"):
+                    found = np.zeros(len(order) if which == "total" or row["deleted"] else 0, np.int64)
+                    if len(found):
+                        found[order] = np.concatenate([unpack(r[which], r[f"{which}_kind"]).astype(np.int64) for r in rows])
+                    row[f"{which}_kind"], found = least_kind(found)
+                    row[which] = pack(found)
+                row["words"] = len(chunk.words)
+                yield pd.DataFrame([row])
         common.release()
 
-    dealt = back.repartition("chunk").sortWithinPartitions("chunk", "place")
-    return dealt.mapInPandas(run, "chunk long, total_kind string, total binary, rest_kind string, rest binary, types long")
+    schema = CHUNK_SCHEMA.replace("words binary", "words int") + ", total_kind string, total binary, rest_kind string, rest binary"
+    return packed.join(told, "chunk").mapInPandas(run, schema)
 
 
 def put_together(chunk: Chunk, row, which: str) -> tuple[np.ndarray, np.ndarray]:
     """(counts of the chunk's words, counts of its pairs)."""
     found = unpack(row[which], row[f"{which}_kind"]).astype(np.int64)
-    return found[: len(chunk.words)], found[len(chunk.words) :]
+    return found[: chunk.n_words], found[chunk.n_words :]
 
 
 def bucket(context: np.ndarray) -> np.ndarray:
@@ -233,15 +289,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
     spark, store = docs.sparkSession, common.Stores()
     kind = dict(docs.dtypes)[id_col]
     packed = store(chunks(docs, id_col, text_col, chunk_bytes), "lm-chunks")
-    tokens, without = packed.agg(F.sum("n_train"), F.sum(F.when(~F.col("deleted"), F.col("n_train")))).first()
+    tokens, without, every = packed.agg(F.sum("n_train"), F.sum(F.when(~F.col("deleted"), F.col("n_train"))), F.sum("n_tokens")).first()
     if tokens is None:
         store.drop()
         return spark.createDataFrame([], f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     tokens, without = int(tokens), int(without or 0)
-    replies = store(answered(counted(packed)), "lm-answers")
+    shards = max(1, round(every / SHARD_TOKENS))
+    replies = store(answers(messages(packed, shards), shards), "lm-answers")
     common.free_shuffles(spark)
     types = int(replies.agg(F.sum("types")).first()[0] or 0)
-    whole = common.stored(packed.join(replies, "chunk"), "lm-whole")
+    whole = common.stored(in_place(packed, replies), "lm-whole")
     store.drop()
     common.free_shuffles(spark)
 

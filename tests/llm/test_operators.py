@@ -286,7 +286,7 @@ def brute_lm(rows, weights_of=None):
     return score, learned
 
 
-def test_lm_scores(spark, docs, nothing, monkeypatch):
+def test_lm_scores(spark, docs, nothing):
     found = by_id(lm_scoring.score(docs, chunk_bytes=200))
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     tokens = lambda t: (t or "").encode().lower().split() + [None]
@@ -302,6 +302,8 @@ def test_lm_scores(spark, docs, nothing, monkeypatch):
 
 @pytest.mark.parametrize("chunk_bytes", [2000, 6 << 20])
 def test_lm_scores_equal_deleted_interpolation_by_brute_force(spark, monkeypatch, chunk_bytes):
+    if chunk_bytes == 2000:
+        monkeypatch.setattr(lm_scoring, "SHARD_TOKENS", 500)
     rng = np.random.default_rng(17)
     words = [f"w{k}" for k in range(80)]
     texts = [" ".join(words[min(int(x), 79)] for x in rng.exponential(12, rng.integers(0, 60))) for _ in range(300)]
