@@ -105,12 +105,13 @@ def unpacked(flat: bytes, sizes: bytes) -> list[np.ndarray]:
     return np.split(np.frombuffer(flat, "<f8"), np.cumsum(np.frombuffer(sizes, "<i4"))[:-1])
 
 
-def cut(batches, size: int):
-    """(pivot, distances, ids, vectors) of stretches of at most size rows of one pivot, from frames sorted by pivot."""
+def cut(batches, size: int, across: bool = False):
+    """(pivot, distances, ids, vectors) of stretches of at most size rows, of one pivot each or across pivots (then the
+    pivot is the first row's), from frames sorted by pivot."""
     held: list[tuple] = []
     for batch in batches:
         for row in zip(batch["pivot"], batch["distance"], batch["vec_id"], batch["v"]):
-            if held and (len(held) == size or held[0][0] != row[0]):
+            if held and (len(held) == size or held[0][0] != row[0] and not across):
                 yield held[0][0], *zip(*(r[1:] for r in held))
                 held = []
             held.append(row)
@@ -154,7 +155,7 @@ def search(vectors: DataFrame, k: int = 10, query_modulus: int = 100, scale: int
     rows = quantised(vectors, id_col, vector_col, scale)
     norm = F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c)
     huge = F.exists("v", lambda c: F.abs(c) >= F.lit(GIANT))
-    n, greatest = rows.agg(F.count("*"), F.max(F.when(~huge, norm))).first()
+    n, n_queries, greatest = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % query_modulus == 0), F.max(F.when(~huge, norm))).first()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     greatest = greatest or 0.0
@@ -179,11 +180,11 @@ def search(vectors: DataFrame, k: int = 10, query_modulus: int = 100, scale: int
 
         return run
 
-    def in_stretches(name: str, size: int):
+    def in_stretches(name: str, size: int, across: bool):
         def run(batches):
             import uuid
 
-            for pivot, distance, ids, raw in cut(batches, size):
+            for pivot, distance, ids, raw in cut(batches, size, across):
                 flat, sizes = packed([np.frombuffer(x, "<f8") for x in raw])
                 yield pd.DataFrame({name: [uuid.uuid4().hex], "pivot": pivot, "nearest": min(distance), "farthest": max(distance), "ids": [np.array(ids, "<i8").tobytes()], "vs": [flat], "sizes": [sizes]})
             common.release()
@@ -192,9 +193,11 @@ def search(vectors: DataFrame, k: int = 10, query_modulus: int = 100, scale: int
 
     def indexed(df: DataFrame, name: str, size: int, is_query: bool) -> DataFrame:
         order = ["pivot", "distance", "vec_id"]
-        sorted_rows = df.mapInPandas(keyed(is_query), "pivot int, distance double, vec_id long, v binary").repartitionByRange(*order).sortWithinPartitions(*order)
+        rows = df.mapInPandas(keyed(is_query), "pivot int, distance double, vec_id long, v binary")
+        # each chunk meets blocks of all pivots, so chunks are as few as their size allows
+        dealt = rows.repartitionByRange(-(-n_queries // size), *order) if is_query and n_queries else rows.repartitionByRange(*order)
         kinds = f"{name} string, pivot int, nearest double, farthest double, ids binary, vs binary, sizes binary"
-        return store(sorted_rows.mapInPandas(in_stretches(name, size), kinds), f"topk-{name}")
+        return store(dealt.sortWithinPartitions(*order).mapInPandas(in_stretches(name, size, is_query), kinds), f"topk-{name}")
 
     index = indexed(rows, "block", BLOCK, False)
     asked = indexed(rows.filter(F.col("vec_id") % query_modulus == 0).dropDuplicates(["vec_id"]), "chunk", CHUNK, True)
