@@ -1,4 +1,8 @@
-"""Language identification by nearest centroids of TF-IDF byte n-gram vectors, several centroids a language."""
+"""Language identification by nearest centroids of TF-IDF byte n-gram vectors, several centroids a language.
+
+A text that is farther from its nearest centroid than nearly all training rows were from theirs is rejected: one
+centroid's nearness says little then, and the language whose centroids are nearest on average is given instead.
+"""
 
 from __future__ import annotations
 
@@ -10,8 +14,9 @@ from pyspark.sql import functions as F
 from gridloom.llm import common
 
 #: Places of the hashed n-gram vectors, lengths of the n-grams in bytes, rows of each language that the centroids are
-#: clustered from at most (about), centroids a language, rounds of clustering, bytes of a text hashed at once.
-PLACES, SIZES, SAMPLE_EACH, CENTROIDS, ROUNDS, BLOCK = 4096, (1, 2, 3), 600, 3, 12, 1 << 20
+#: clustered from at most (about), centroids a language, rounds of clustering, bytes of a text hashed at once, the share of
+#: a centroid's training rows that lie beyond its distance of rejection, and the rows that tell it at least.
+PLACES, SIZES, SAMPLE_EACH, CENTROIDS, ROUNDS, BLOCK, BEYOND, TELL_LEAST = 4096, (1, 2, 3), 600, 3, 12, 1 << 20, 0.01, 20
 UNKNOWN = "und"
 
 #: ASCII characters other than letters separate words; bytes of other characters stay.
@@ -56,29 +61,41 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) ->
 
 
 class Model:
-    def __init__(self, idf: np.ndarray, langs: list[str], centroids: np.ndarray, reject_below: float, default: str):
-        self.idf, self.langs, self.centroids, self.reject_below, self.default = idf, langs, centroids, reject_below, default
+    """langs, centroids and least (cosines below which a centroid rejects) go together."""
+
+    def __init__(self, idf: np.ndarray, langs: list[str], centroids: np.ndarray, least: np.ndarray):
+        self.idf, self.langs, self.centroids, self.least = idf, langs, centroids, least
+        self.names = sorted(set(langs))
+        self.of = np.array([[lang == name for lang in langs] for name in self.names], np.float32)
 
-    def predict(self, texts) -> list[tuple[str, float]]:
+    def predict(self, texts) -> list[tuple[str, float, bool]]:
+        """Language, cosine and whether the nearest centroid rejected, of each text."""
         result = []
         for start in range(0, len(texts), 256):
             part = texts[start : start + 256]
             if not self.langs:
-                result += [(UNKNOWN, 0.0)] * len(part)
+                result += [(UNKNOWN, 0.0, True)] * len(part)
                 continue
             cosine = vectors(part, self.idf) @ self.centroids.T
             best = cosine.argmax(axis=1)
-            for text, row, k in zip(part, cosine, best):
-                score = float(min(max(row[k], 0.0), 1.0))
+            average = (cosine @ self.of.T / self.of.sum(axis=1)).argmax(axis=1)
+            for text, row, k, a in zip(part, cosine, best, average):
                 if not has_letter(text):
-                    result.append((UNKNOWN, 0.0))
-                elif score < self.reject_below:
-                    result.append((UNKNOWN, score))
-                else:
-                    result.append((self.langs[k] if score > 0 else self.default, score))
+                    result.append((UNKNOWN, 0.0, True))
+                    continue
+                rejected = bool(row[k] < self.least[k])
+                result.append((self.names[a] if rejected else self.langs[k], float(min(max(row[k], 0.0), 1.0)), rejected))
         return result
 
 
+def rejections(rows: np.ndarray, centres: np.ndarray, beyond: float = BEYOND) -> np.ndarray:
+    """For each centre the cosine that all but a share of the rows nearest to it reach; of all rows where it has few."""
+    cosine = rows @ centres.T
+    nearest, own = cosine.argmax(axis=1), cosine.max(axis=1)
+    every = np.quantile(own, beyond)
+    return np.array([np.quantile(own[nearest == k], beyond) if (nearest == k).sum() >= TELL_LEAST else every for k in range(len(centres))])
+
+
 def clustered(rows: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     """Spherical k-means; the first centroids are the mean and then, each time, the row farthest from those chosen."""
 
@@ -95,10 +112,10 @@ def clustered(rows: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     return centres
 
 
-def train(docs: DataFrame, sample_each: int = SAMPLE_EACH, reject_below: float = 0.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def train(docs: DataFrame, sample_each: int = SAMPLE_EACH, beyond: float = BEYOND, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Document frequencies come from all training rows (text and lang not null, crc32(doc_id as text) mod 4 not 2),
-    centroids from a sample of about sample_each rows a language, drawn by the digest of the id. A text whose best
-    cosine is less than reject_below is rejected as 'und'."""
+    centroids from a sample of about sample_each rows a language, drawn by the digest of the id; of a repeated row one
+    is in the sample. A centroid rejects texts farther from it than all but a share of beyond of its training rows."""
     rows = training_rows(docs, id_col, text_col, lang_col)
 
     def frequencies(batches):
@@ -125,9 +142,9 @@ def train(docs: DataFrame, sample_each: int = SAMPLE_EACH, reject_below: float =
     for lang, count in counts.items():
         part = F.when(F.col("lang") == lang, min(1.0, sample_each / count)).otherwise(part)
     drawn = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < part * 1_000_000).withColumn("doc_id", F.col("doc_id").cast("string"))
-    sample = drawn.mapInPandas(per_row, "doc_id string, lang string, counts binary").collect()
+    sample = drawn.mapInPandas(per_row, "doc_id string, lang string, counts binary").distinct().collect()
     sample.sort(key=lambda r: (r["lang"], str(r["doc_id"]), r["counts"]))
-    langs, centres = [], []
+    langs, centres, least = [], [], []
     for lang in sorted(counts):
         own = np.array([np.log1p(np.frombuffer(r["counts"], "<u4").astype(np.float32)) * idf for r in sample if r["lang"] == lang], np.float32)
         own = own[np.linalg.norm(own, axis=1) > 0] if len(own) else own
@@ -136,19 +153,21 @@ def train(docs: DataFrame, sample_each: int = SAMPLE_EACH, reject_below: float =
             found = clustered(own, CENTROIDS)
             langs += [lang] * len(found)
             centres.append(found)
-    default = max(sorted(counts), key=counts.get) if counts else UNKNOWN
-    return Model(idf, langs, np.concatenate(centres) if centres else np.zeros((0, PLACES), np.float32), reject_below, default)
+            least.append(rejections(own, found, beyond))
+    return Model(idf, langs, np.concatenate(centres) if centres else np.zeros((0, PLACES), np.float32), np.concatenate([*least, np.zeros(0)]))
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, lang_pred, score for each row of docs, from its whole text alone. A text that is null or has no
-    letter is 'und' with score 0; so is every text if there was nothing to learn from. Repeated rows give repeated rows.
+    """doc_id, held_out, lang_pred, score, rejected for each row of docs, from its whole text alone. score is the cosine with
+    the nearest centroid; where that rejects the text, lang_pred is the language nearest on average. A text that is null
+    or has no letter is 'und' with score 0 and rejected; so is every text if there was nothing to learn from. Repeated
+    rows give repeated rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(texts):
         found = shared.value.predict(texts)
-        return pd.DataFrame({"lang_pred": [a for a, _ in found], "score": [b for _, b in found]})
+        return pd.DataFrame(found, columns=["lang_pred", "score", "rejected"])
 
-    scored = common.map_texts(docs, work, "lang_pred string, score double", id_col, text_col, nulls=True)
-    return scored.select("doc_id", (common.remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+    scored = common.map_texts(docs, work, "lang_pred string, score double, rejected boolean", id_col, text_col, nulls=True)
+    return scored.select("doc_id", (common.remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")

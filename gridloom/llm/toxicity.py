@@ -28,9 +28,10 @@ IDENTITY_GROUPS = (
 )
 IDENTITY = {term: group for group in IDENTITY_GROUPS for term in group}
 
-#: Words in the vocabulary at most, rows of each label in the training sample, the weights of the penalties on swaps, on
-#: size and, for each row, on the bias, and Newton steps.
-VOCABULARY, SAMPLE_EACH, SWAP_PENALTY, RIDGE, BIAS_PENALTY, STEPS = 400, 6000, 10.0, 1.0, 0.25, 25
+#: Words in the vocabulary at most (they bound the driver's memory and the broadcast), rows of each label in the training
+#: sample, the weights of the penalties on swaps, on size and, for each row, on the bias, the log-likelihood ratio below
+#: which a word's penalty on size grows, and steps of Newton's method and of the conjugate gradients within each.
+VOCABULARY, SAMPLE_EACH, SWAP_PENALTY, RIDGE, BIAS_PENALTY, TELLING, STEPS, INNER = 20_000, 6000, 10.0, 1.0, 0.25, 12.0, 25, 60
 
 #: Words are runs of letters: A-Z become a-z, other ASCII characters separate, bytes of other characters stay.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -51,10 +52,10 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return texts.join(common.broadcast_if_small(marks), "doc_id")
 
 
-def choose_words(rows: DataFrame, size: int = VOCABULARY) -> list[bytes]:
-    """The words, size at most, whose presence tells most about the label, by the log-likelihood ratio of their document
-    counts over all labelled rows, ties by the word; and the identity terms. The ranking alone chooses, so that small
-    tables keep words too: fit() shrinks the weights of those that few documents have."""
+def choose_words(rows: DataFrame, size: int = VOCABULARY) -> dict[bytes, float]:
+    """The words, size at most, whose presence tells most about the label, with how much it tells: the log-likelihood ratio
+    of their document counts over all labelled rows, ties by the word; and the identity terms. The ranking alone chooses,
+    so that small tables keep words too: fit() shrinks the weights of those that tell little."""
 
     def counted(batches):
         for batch in batches:
@@ -67,7 +68,7 @@ def choose_words(rows: DataFrame, size: int = VOCABULARY) -> list[bytes]:
     totals = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     a, b = totals.get(0, 0), totals.get(1, 0)
     if not a or not b:
-        return []
+        return {}
     counts = rows.select("text", "toxic").mapInPandas(counted, "word binary, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     n0, n1 = F.col("n0"), F.col("n1")
     share = (n0 + n1) / F.lit(float(a + b))
@@ -78,8 +79,8 @@ def choose_words(rows: DataFrame, size: int = VOCABULARY) -> list[bytes]:
         return F.when(n > 0, n * F.log(n / expected)).otherwise(0.0) + F.when(absent > 0, absent * F.log(absent / not_expected)).otherwise(0.0)
 
     best = counts.filter(n0 + n1 < a + b).withColumn("told", term(n0, a) + term(n1, b)).orderBy(F.desc("told"), "word").limit(size)
-    chosen = [bytes(r["word"]) for r in best.collect()]
-    return chosen + [t.encode() for t in IDENTITY if t.encode() not in set(chosen)]
+    chosen = {bytes(r["word"]): r["told"] for r in best.select("word", "told").collect()}
+    return chosen | {t.encode(): TELLING for t in IDENTITY}
 
 
 class Model:
@@ -92,9 +93,10 @@ class Model:
         return float(1 / (1 + np.exp(-min(max(z, -700.0), 700.0))))
 
 
-def fit(rows: list[tuple[list[int], int]], words: list[bytes], swap_penalty: float = SWAP_PENALTY, ridge: float = RIDGE, rate: float | None = None) -> Model:
-    """rows: the numbers of the words that a document has, and its label. Newton's method on the logistic loss, the
-    classes weighed alike, plus the penalties, which are quadratic in the weights. The bias starts from the log odds of
+def fit(rows: list[tuple[list[int], int]], words: dict[bytes, float], swap_penalty: float = SWAP_PENALTY, ridge: float = RIDGE, rate: float | None = None) -> Model:
+    """rows: the numbers of the words that a document has, and its label; words: in the order of their numbers, with how
+    much each tells. Newton's method on the logistic loss, the classes weighed alike, plus the penalties, which are
+    quadratic in the weights; the less a word tells, the more its weight is held back. The bias starts from the log odds of
     rate, the share of toxic rows (that of rows by default), and is drawn to them: a text of unknown words is as likely
     toxic as any, not as one of two equal classes."""
     n, d = len(rows), len(words)
@@ -102,14 +104,13 @@ def fit(rows: list[tuple[list[int], int]], words: list[bytes], swap_penalty: flo
     odds = np.log(rate / (1 - rate))
     if not n or not d:
         return Model([], np.zeros(0), odds)
+    told, words = np.array(list(words.values())), list(words)
     place = {w.decode(): k for k, w in enumerate(words) if w.decode(errors="replace") in IDENTITY}
-    x = np.zeros((n, d + 1))
-    x[:, d] = 1
+    # the entries of a sparse matrix of ones; its last column is the bias
+    at = np.concatenate([np.repeat(np.arange(n), [len(p) for p, _ in rows]), np.arange(n)])
+    word = np.concatenate([np.concatenate([np.array(p, int) for p, _ in rows]), np.full(n, d)])
     y = np.array([label for _, label in rows], float)
-    penalty = np.eye(d + 1) * ridge
-    penalty[d, d] = BIAS_PENALTY * n
-    for k, (present, _) in enumerate(rows):
-        x[k, present] = 1
+    own = np.append(ridge * np.maximum(1, TELLING / np.maximum(told, 0.05)) ** 2, BIAS_PENALTY * n)
     terms = set(place.values())
     swaps: dict[tuple[int, int], int] = {}
     for present, _ in rows:
@@ -122,23 +123,41 @@ def fit(rows: list[tuple[list[int], int]], words: list[bytes], swap_penalty: flo
             for b in group:
                 if a != b and a in place and b in place:
                     swaps.setdefault((place[a], place[b]), 1)
-    for (i, j), times in swaps.items():
-        w = swap_penalty * times
-        penalty[i, i] += w
-        penalty[j, j] += w
-        penalty[i, j] -= w
-        penalty[j, i] -= w
+    pairs = np.array([*swaps], int).reshape(-1, 2)
+    times = swap_penalty * np.array([*swaps.values()], float)
+
+    def forward(v: np.ndarray) -> np.ndarray:
+        return np.bincount(at, v[word], n)
+
+    def back(u: np.ndarray) -> np.ndarray:
+        return np.bincount(word, u[at], d + 1)
+
+    def penalised(v: np.ndarray) -> np.ndarray:
+        change = times * (v[pairs[:, 0]] - v[pairs[:, 1]])
+        return own * v + np.bincount(pairs[:, 0], change, d + 1) - np.bincount(pairs[:, 1], change, d + 1)
+
     positive = max(y.sum(), 1)
     weight = np.where(y == 1, n / (2 * positive), n / (2 * max(n - positive, 1)))
     start = np.append(np.zeros(d), odds)
     theta = start.copy()
     for _ in range(STEPS):
-        p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        gradient = x.T @ (weight * (p - y)) + penalty @ (theta - start)
-        hessian = (x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x + penalty
-        move = np.linalg.solve(hessian, gradient)
-        theta -= move * min(1, 5 / max(np.abs(move).max(), 1e-12))
-        if np.abs(move).max() < 1e-8:
+        p = 1 / (1 + np.exp(-np.clip(forward(theta), -30, 30)))
+        left = -(back(weight * (p - y)) + penalised(theta - start))  # what Newton's move must undo
+        curve, move = weight * p * (1 - p) + 1e-9, np.zeros(d + 1)
+        scale = back(curve) + own + np.bincount(pairs.ravel(), np.repeat(times, 2), d + 1)
+        preferred = left / scale
+        direction, gain = preferred, left @ preferred
+        first = gain
+        for _ in range(INNER):
+            if gain <= 1e-10 * first or not gain:
+                break
+            bent = back(curve * forward(direction)) + penalised(direction)
+            size = gain / (direction @ bent)
+            move, left = move + size * direction, left - size * bent
+            preferred = left / scale
+            direction, gain = preferred + (left @ preferred) / gain * direction, left @ preferred
+        theta += move * min(1, 5 / max(np.abs(move).max(), 1e-12))
+        if np.abs(move).max() < 1e-7:
             break
     return Model(words, theta[:d], theta[d])
 
@@ -161,7 +180,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_each: int = SAMPLE_EACH, **
             yield pd.DataFrame({"doc_id": batch["doc_id"], "present": found, "toxic": batch["toxic"]})
 
     drawn = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part * 1_000_000).withColumn("doc_id", F.col("doc_id").cast("string"))
-    sample = drawn.mapInPandas(present, "doc_id string, present array<int>, toxic int").orderBy("doc_id").collect()
+    # a repeated row is one of the sample, so that repetition can't make it large
+    sample = drawn.mapInPandas(present, "doc_id string, present array<int>, toxic int").distinct().orderBy("doc_id", "present").collect()
     rate = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
     model = fit([(list(r["present"]), r["toxic"]) for r in sample], words, rate=rate)
     common.drop_stored(rows)

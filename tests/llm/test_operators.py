@@ -420,6 +420,42 @@ def test_languages(spark, docs, nothing):
     assert {found[k][0]["lang_pred"] for k in (4, 5, 6)} == {"und"} and found[11][0]["lang_pred"] == "fr" and 0 <= found[0][0]["score"] <= 1
     assert language_id.predict(nothing, language_id.train(nothing)).count() == 0
     assert {r["lang_pred"] for r in language_id.predict(docs, language_id.train(nothing)).collect()} == {"und"}
+    assert sum(r["rejected"] for r in held) / len(held) < 0.1
+    strange = model.predict(["zzzz qqqq xxxx", "\u4e2d\u6587\u5b57 \u6587\u5b57", held[0]["lang_pred"], None, "12 !"])
+    assert [r for _, _, r in strange[:2]] == [True, True] and all(lang in model.names for lang, _, _ in strange[:2]) and strange[3] == strange[4] == ("und", 0.0, True)
+
+
+def test_languages_equal_brute_force():
+    rng = np.random.default_rng(22)
+    texts = {lang: ["".join(rng.choice(list(signs), 40)) for _ in range(30)] for lang, signs in (("a", "abc "), ("b", "bcd "), ("c", "xyz "))}
+    idf = np.ones(language_id.PLACES, np.float32)
+    centres, least, langs = [], [], []
+    for lang, own in texts.items():
+        rows = language_id.vectors(own, idf)
+        centres.append(language_id.clustered(rows, 3))
+        least.append(language_id.rejections(rows, centres[-1]))
+        langs += [lang] * len(centres[-1])
+    model = language_id.Model(idf, langs, np.concatenate(centres), np.concatenate(least))
+    probe = [t for own in texts.values() for t in own] + ["abcd bcda dcba", "qqq www", "xyz abc bcd", "a", "\u00e9\u00e9"]
+
+    def grams(text):
+        raw = b" " + b" ".join("".join(c if c.isalpha() or not c.isascii() else " " for c in text.lower()).encode().split()) + b" "
+        found = np.zeros(language_id.PLACES)
+        for size in language_id.SIZES:
+            for k in range(len(raw) - size + 1):
+                code = int.from_bytes(bytes([size]) + raw[k : k + size], "big") & 0xFFFFFFFF
+                found[(code * 2654435761 & 0xFFFFFFFF) >> 20] += 1
+        return np.log1p(found)
+
+    for text, (lang, score, rejected) in zip(probe, model.predict(probe)):
+        v = grams(text)
+        cosines = [float(v @ c / max(np.linalg.norm(v), 1e-12)) for c in model.centroids]
+        best = max(range(len(cosines)), key=cosines.__getitem__)
+        assert score == pytest.approx(min(max(cosines[best], 0), 1), abs=1e-4)
+        if abs(cosines[best] - model.least[best]) > 1e-4:
+            assert rejected == (cosines[best] < model.least[best])
+            means = {x: np.mean([c for c, y in zip(cosines, langs) if y == x]) for x in "abc"}
+            assert lang == (max(means, key=means.get) if rejected else langs[best])
 
 
 def test_topk_equals_brute_force(spark):
@@ -520,9 +556,48 @@ def test_toxicity_learns_from_few_labels(spark):
     assert kept == {k for k, predicted in found.items() if not predicted} and len(kept) > 0.8 * len(found)
 
 
+def test_toxicity_fit_minimises_the_loss():
+    rng = np.random.default_rng(21)
+    words = {f"w{k}".encode(): float(t) for k, t in enumerate(rng.uniform(0, 30, 12))} | {t.encode(): toxicity.TELLING for t in toxicity.IDENTITY}
+    rows = [(sorted(rng.choice(len(words), rng.integers(0, 9), replace=False).tolist()), int(rng.random() < 0.3)) for _ in range(150)]
+    names, told = list(words), np.array(list(words.values()))
+    rate = (sum(y for _, y in rows) + 1) / (len(rows) + 2)
+
+    def loss(model):
+        """The definition, document by document and swap by swap."""
+        w = np.array([model.weights[x] for x in names])
+        n, positive = len(rows), sum(y for _, y in rows)
+        total = 0.0
+        for present, y in rows:
+            z = model.bias + w[present].sum()
+            total += n / (2 * positive if y else 2 * (n - positive)) * math.log1p(math.exp(-z if y else z))
+        seen = collections.Counter()
+        for present, _ in rows:
+            for j in present:
+                for other in toxicity.IDENTITY.get(names[j].decode(), ()):
+                    k = names.index(other.encode())
+                    if k not in present:
+                        seen[j, k] += 1
+        for group in toxicity.IDENTITY_GROUPS:
+            for a in group:
+                for b in group:
+                    if a != b and not seen[names.index(a.encode()), names.index(b.encode())]:
+                        seen[names.index(a.encode()), names.index(b.encode())] = 1
+        total += sum(toxicity.SWAP_PENALTY * times * (w[i] - w[j]) ** 2 / 2 for (i, j), times in seen.items())
+        total += (toxicity.RIDGE * np.maximum(1, toxicity.TELLING / np.maximum(told, 0.05)) ** 2 * w**2).sum() / 2
+        return total + toxicity.BIAS_PENALTY * n * (model.bias - math.log(rate / (1 - rate))) ** 2 / 2
+
+    model = toxicity.fit(rows, words)
+    best = loss(model)
+    for name in [*names[:14], None]:
+        for step in (-0.02, 0.02):
+            moved = toxicity.Model(names, np.array([model.weights[x] + step * (x == name) for x in names]), model.bias + step * (name is None))
+            assert loss(moved) > best
+
+
 def test_toxicity_without_telling_words_keeps_the_base_rate():
     rows = [([], int(k % 7 == 0)) for k in range(70)]
-    model = toxicity.fit(rows, [b"muslim", b"christian"])
+    model = toxicity.fit(rows, {b"muslim": toxicity.TELLING, b"christian": toxicity.TELLING})
     assert 0 < model.score("") < 0.4 and model.score("muslim") < 0.4
 
 
