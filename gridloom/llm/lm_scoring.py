@@ -117,28 +117,26 @@ class Chunk:
     def __init__(self, row):
         self.folds = np.frombuffer(row["folds"], np.uint8)
         self.lengths = unpack(row["lengths"], "<u4").astype(np.int64)
-        # once the totals are in place, the number of words stands for their digests
-        self.words = None if isinstance(row["words"], int) else np.frombuffer(row["words"], np.uint64)
-        self.n_words = row["words"] if self.words is None else len(self.words)
+        self.words = np.frombuffer(row["words"], np.uint64)
         self.tokens = unpack(row["tokens"], row["token_kind"]).astype(np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         before = np.empty_like(self.tokens)
         before[1:] = self.tokens[:-1]
         before[self.starts] = 0  # a text begins after an end
         self.before = before
-        self.pairs, self.pair_of = np.unique(before * self.n_words + self.tokens, return_inverse=True)
+        self.pairs, self.pair_of = np.unique(before * len(self.words) + self.tokens, return_inverse=True)
         self.fold_of = np.repeat(self.folds, self.lengths)
 
     def order(self) -> tuple[np.ndarray, np.ndarray]:
         """The places of the n-grams (words, then pairs) in the order of their digests, and those."""
-        keys = np.concatenate([self.words, bigram_digest(self.words[self.pairs // self.n_words], self.words[self.pairs % self.n_words])])
+        keys = np.concatenate([self.words, bigram_digest(self.words[self.pairs // len(self.words)], self.words[self.pairs % len(self.words)])])
         order = np.argsort(keys, kind="stable")
         return order, keys[order]
 
     def counts(self) -> np.ndarray:
         """Of each key in the training documents."""
         train = self.fold_of != TEST
-        return np.concatenate([np.bincount(self.tokens[train], minlength=self.n_words), np.bincount(self.pair_of[train], minlength=len(self.pairs))])
+        return np.concatenate([np.bincount(self.tokens[train], minlength=len(self.words)), np.bincount(self.pair_of[train], minlength=len(self.pairs))])
 
 
 def shards_of(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -210,33 +208,12 @@ def answers(sent: DataFrame, shards: int) -> DataFrame:
     return sent.repartitionById(shards, "shard").sortWithinPartitions("shard").mapInPandas(run, ANSWER_SCHEMA)
 
 
-def in_place(packed: DataFrame, replies: DataFrame) -> DataFrame:
-    """The chunks with the totals of their n-grams (words, then pairs) in place of the words' digests."""
-    told = replies.groupBy("chunk").agg(F.collect_list(F.struct("shard", "total_kind", "total", "rest_kind", "rest")).alias("replies"))
-
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_dict("records"):
-                chunk, rows = Chunk(row), sorted(row.pop("replies"), key=lambda r: r["shard"])
-                order = chunk.order()[0]
-                for which in ("total", "rest"):
-                    found = np.zeros(len(order) if which == "total" or row["deleted"] else 0, np.int64)
-                    if len(found):
-                        found[order] = np.concatenate([unpack(r[which], r[f"{which}_kind"]).astype(np.int64) for r in rows])
-                    row[f"{which}_kind"], found = least_kind(found)
-                    row[which] = pack(found)
-                row["words"] = len(chunk.words)
-                yield pd.DataFrame([row])
-        common.release()
-
-    schema = CHUNK_SCHEMA.replace("words binary", "words int") + ", total_kind string, total binary, rest_kind string, rest binary"
-    return packed.join(told, "chunk").mapInPandas(run, schema)
-
-
-def put_together(chunk: Chunk, row, which: str) -> tuple[np.ndarray, np.ndarray]:
-    """(counts of the chunk's words, counts of its pairs)."""
-    found = unpack(row[which], row[f"{which}_kind"]).astype(np.int64)
-    return found[: chunk.n_words], found[chunk.n_words :]
+def put_together(chunk: Chunk, replies: list[dict], which: str) -> tuple[np.ndarray, np.ndarray]:
+    """(counts of the chunk's words, counts of its pairs) from the answers of all shards."""
+    order = chunk.order()[0]
+    found = np.zeros(len(order), np.int64)
+    found[order] = np.concatenate([unpack(r[which], r[f"{which}_kind"]) for r in sorted(replies, key=lambda r: r["shard"])])
+    return found[: len(chunk.words)], found[len(chunk.words) :]
 
 
 def bucket(context: np.ndarray) -> np.ndarray:
@@ -286,38 +263,39 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
     the end. Repeated rows give repeated rows, and each is learned from. Words are told apart by 64-bit digests.
     Without training documents every count is 0 and the scores rest on the uniform part alone.
     """
-    spark, store = docs.sparkSession, common.Stores()
+    spark = docs.sparkSession
     kind = dict(docs.dtypes)[id_col]
-    packed = store(chunks(docs, id_col, text_col, chunk_bytes), "lm-chunks")
+    packed = common.stored(chunks(docs, id_col, text_col, chunk_bytes), "lm-chunks")
     tokens, without, every = packed.agg(F.sum("n_train"), F.sum(F.when(~F.col("deleted"), F.col("n_train"))), F.sum("n_tokens")).first()
     if tokens is None:
-        store.drop()
         return spark.createDataFrame([], f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     tokens, without = int(tokens), int(without or 0)
     shards = max(1, round(every / SHARD_TOKENS))
-    replies = store(answers(messages(packed, shards), shards), "lm-answers")
+    replies = common.stored(answers(messages(packed, shards), shards), "lm-answers")
     common.free_shuffles(spark)
     types = int(replies.agg(F.sum("types")).first()[0] or 0)
-    whole = common.stored(in_place(packed, replies), "lm-whole")
-    store.drop()
-    common.free_shuffles(spark)
+
+    def answered(own: DataFrame, to: DataFrame) -> DataFrame:
+        return own.join(to.groupBy("chunk").agg(F.collect_list(F.struct("shard", "total_kind", "total", "rest_kind", "rest")).alias("replies")), "chunk")
 
     def events(batches):
         for batch in batches:
             for row in batch.to_dict("records"):
                 chunk = Chunk(row)
                 # the tenth's own tokens are left out of N as out of the counts
-                words, pairs = put_together(chunk, row, "rest")
+                words, pairs = put_together(chunk, row["replies"], "rest")
                 b, p2, p1 = parts(chunk, words, pairs, without)
                 keys, place, n = np.unique(np.stack([b, binned(p2), binned(p1)]), axis=1, return_inverse=True, return_counts=True)
                 logs = [np.bincount(place.ravel(), np.log(np.where(p > 0, p, 1.0)), len(n)) for p in (p2, p1)]
                 yield pd.DataFrame({"bucket": keys[0], "p2": keys[1], "p1": keys[2], "n": n, "log2": logs[0], "log1": logs[1]})
         common.release()
 
-    found = whole.filter("deleted").mapInPandas(events, "bucket long, p2 long, p1 long, n long, log2 double, log1 double").groupBy("bucket", "p2", "p1").agg(F.sum("n").alias("n"), F.sum("log2").alias("log2"), F.sum("log1").alias("log1"))
+    deleted = packed.filter("deleted")
+    found = answered(deleted, replies.join(deleted.select("chunk"), "chunk", "left_semi")).mapInPandas(events, "bucket long, p2 long, p1 long, n long, log2 double, log1 double").groupBy("bucket", "p2", "p1").agg(F.sum("n").alias("n"), F.sum("log2").alias("log2"), F.sum("log1").alias("log1"))
     mean = lambda bin_, logs: F.when(F.col(bin_) > 0, F.exp(F.col(logs) / F.col("n"))).otherwise(0.0)
     weights = learned_weights([tuple(r) for r in found.select("bucket", mean("p2", "log2"), mean("p1", "log1"), "n").collect()], types)
     weights = spark.sparkContext.broadcast(weights)
+    common.free_shuffles(spark)
 
     def scored(batches):
         import pickle
@@ -325,7 +303,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
         for batch in batches:
             for row in batch.to_dict("records"):
                 chunk = Chunk(row)
-                words, pairs = put_together(chunk, row, "total")
+                words, pairs = put_together(chunk, row["replies"], "total")
                 b, p2, p1 = parts(chunk, words, pairs, tokens)
                 w = weights.value[b]
                 model = np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] / (types + 1))
@@ -338,5 +316,5 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
                 })
         common.release()
 
-    out = whole.mapInPandas(scored, "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = answered(packed, replies).mapInPandas(scored, "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumn("doc_id", F.col("doc_id").cast(kind))
