@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import values
 from gridloom.ndarray import NDArray
-from gridloom.operators import indexing, linalg, manipulation, reduction, selection, sorting, ufunc
+from gridloom.operators import indexing, iteration, linalg, manipulation, reduction, selection, sorting, ufunc
 from gridloom.sources import creation
 
 QUERIES: dict = {}
@@ -83,7 +83,7 @@ def sum_axis0(spark, sf):
 
 @register(f"SELECT CAST(sum({CENTS}) AS BIGINT) AS v FROM orders")
 def sum_all(spark, sf):
-    return reduction.sum(orders(spark, sf))
+    return reduction.sum(orders(spark, sf), lazy=True)
 
 
 @register(f"SELECT o_orderkey // 100 AS i0, CAST(0 AS BIGINT) AS i1, min({CENTS}) AS v FROM orders GROUP BY 1")
@@ -307,7 +307,7 @@ def diagonal_view(spark, sf):
 
 @register(f"WITH {MATRIX_SQL} SELECT CAST(sum(v) AS BIGINT) AS v FROM m WHERE i1 - i0 = 2")
 def trace_offset(spark, sf):
-    return linalg.trace(embedding_matrix(spark, sf), 2)
+    return linalg.trace(embedding_matrix(spark, sf), 2, lazy=True)
 
 
 @register(f"WITH {MATRIX_SQL} SELECT a.i1 AS i0, b.i1, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM m a JOIN m b ON a.i0 = b.i0 GROUP BY 1, 2")
@@ -324,7 +324,7 @@ def matvec(spark, sf):
 @register("SELECT CAST(sum(CAST(p_size AS BIGINT) * CAST(floor(p_retailprice) AS BIGINT)) AS BIGINT) AS v FROM part")
 def vdot_parts(spark, sf):
     size, _, price = parts(spark, sf)
-    return linalg.vdot(size, price)
+    return linalg.vdot(size, price, lazy=True)
 
 
 @register("SELECT n_nationkey AS i0, r_regionkey AS i1, CAST(n_regionkey * r_regionkey AS BIGINT) AS v FROM nation, region")
@@ -344,3 +344,247 @@ def meshgrid_first(spark, sf):
     nation = vectors(spark, sf, "nation", "n_nationkey", ["n_regionkey"])[0]
     region = vectors(spark, sf, "region", "r_regionkey", ["r_regionkey"])[0]
     return creation.meshgrid(nation, region)[0]
+
+
+def first_rows(spark, cells, schema):
+    """A DataFrame of what an operator gave to Python."""
+    return spark.createDataFrame(list(cells), schema)
+
+
+@register("WITH n AS (SELECT count(*) AS n FROM part) SELECT p_partkey AS i0, round(p_size * (100.0 * p_partkey / (n - 1)), 6) AS v FROM part, n")
+def linspace_scaled(spark, sf):
+    size = parts(spark, sf)[0]
+    found = size * creation.linspace(spark, 0, 100, size.size)
+    return NDArray(found.base, F.round(found.value, 6), found.shape, float)
+
+
+@register("WITH n AS (SELECT count(*) AS n FROM part) SELECT p_partkey AS i0, round(p_size * pow(10.0, 3.0 * p_partkey / (n - 1)), 4) AS v FROM part, n")
+def logspace_scaled(spark, sf):
+    size = parts(spark, sf)[0]
+    found = size * creation.logspace(spark, 0, 3, size.size)
+    return NDArray(found.base, F.round(found.value, 4), found.shape, float)
+
+
+@register("WITH n AS (SELECT count(*) AS n FROM part) SELECT p_partkey AS i0, round(p_size * pow(1000.0, p_partkey / n), 4) AS v FROM part, n")
+def geomspace_scaled(spark, sf):
+    size = parts(spark, sf)[0]
+    found = size * creation.geomspace(spark, 1, 1000, size.size, endpoint=False)
+    return NDArray(found.base, F.round(found.value, 4), found.shape, float)
+
+
+@register("SELECT p_partkey AS i0, CAST(p_size * 3.0 + 7 AS DOUBLE) AS v FROM part")
+def constants(spark, sf):
+    size = parts(spark, sf)[0]
+    n = size.size
+    return size * (creation.ones(spark, n) * 3) + creation.zeros(spark, n) + creation.full(spark, n, 7)
+
+
+@register("SELECT r_regionkey AS i0, i1, CAST(r_regionkey * 10 + i1 * i1 AS BIGINT) AS v FROM region, (SELECT unnest([0, 1, 2]) AS i1)")
+def array_of_rows(spark, sf):
+    keys = sorted(r["r_regionkey"] for r in spark.read.parquet(f"{sf}/region.parquet").collect())
+    return creation.array(spark, [[10 * k, 10 * k + 1, 10 * k + 4] for k in keys])
+
+
+@register("SELECT r_regionkey AS i0, CAST(r_regionkey + 5 AS BIGINT) AS v FROM region")
+def array_of_scalar(spark, sf):
+    keys = vectors(spark, sf, "region", "r_regionkey", ["r_regionkey"])[0].astype(int)
+    return keys + creation.array(spark, 5, shape=keys.shape)
+
+
+def regions_by_nation(spark, sf):
+    return vectors(spark, sf, "nation", "n_nationkey", ["CAST(n_regionkey AS BIGINT)"])[0]
+
+
+@register("SELECT a.n_nationkey AS i0, b.n_nationkey AS i1, CAST(CASE WHEN b.n_nationkey - a.n_nationkey = 2 THEN b.n_regionkey ELSE 0 END AS BIGINT) AS v FROM nation a, nation b")
+def eye_offset(spark, sf):
+    key = regions_by_nation(spark, sf)
+    return creation.eye(spark, key.size, k=2, dtype=int) * key
+
+
+@register("SELECT a.n_nationkey AS i0, b.n_nationkey AS i1, CAST(CASE WHEN b.n_nationkey <= a.n_nationkey - 1 THEN b.n_regionkey ELSE 0 END AS BIGINT) AS v FROM nation a, nation b")
+def tri_rows(spark, sf):
+    key = regions_by_nation(spark, sf)
+    return creation.tri(spark, key.size, k=-1, dtype=int) * key
+
+
+@register(f"WITH {MATRIX_SQL} SELECT i0, i1, CASE WHEN i1 >= i0 + 1 THEN v ELSE 0 END AS v FROM m")
+def triu_matrix(spark, sf):
+    return creation.triu(embedding_matrix(spark, sf), 1)
+
+
+@register("SELECT a.n_nationkey AS i0, b.n_nationkey AS i1, CAST(CASE WHEN a.n_nationkey = b.n_nationkey THEN a.n_regionkey ELSE 0 END AS BIGINT) AS v FROM nation a, nation b")
+def diag_vector(spark, sf):
+    return creation.diag(regions_by_nation(spark, sf))
+
+
+@register(f"SELECT c_custkey AS i0, {BALANCE} % 25 = c_nationkey AS v FROM customer")
+def ufunc_equal(spark, sf):
+    cents, nation, _ = customers(spark, sf)
+    return cents % 25 == nation
+
+
+@register("SELECT c_custkey AS i0, c_acctbal <= c_nationkey * 400.0 AS v FROM customer")
+def ufunc_less_equal(spark, sf):
+    _, nation, balance = customers(spark, sf)
+    return balance <= nation * 400.0
+
+
+@register("SELECT c_custkey AS i0, c_nationkey = 5 AND c_acctbal <> 0 AS v FROM customer")
+def ufunc_isinf(spark, sf):
+    _, nation, balance = customers(spark, sf)
+    return ufunc.isinf(balance / (nation - 5.0))
+
+
+@register("SELECT c_custkey AS i0, c_nationkey <> 5 AS v FROM customer")
+def ufunc_isfinite(spark, sf):
+    _, nation, balance = customers(spark, sf)
+    return ufunc.isfinite(balance / (nation - 5.0))
+
+
+@register(f"SELECT c_custkey AS i0, CAST({BALANCE} * 2 AS DOUBLE) AS v FROM customer")
+def ufunc_real(spark, sf):
+    cents, nation, _ = customers(spark, sf)
+    return ufunc.real(ufunc.complex_of(cents, nation) * 2)
+
+
+@register("SELECT c_custkey AS i0, CAST(c_nationkey * 2 AS DOUBLE) AS v FROM customer")
+def ufunc_imag(spark, sf):
+    cents, nation, _ = customers(spark, sf)
+    return ufunc.imag(ufunc.complex_of(cents, nation) * 2)
+
+
+@register(f"SELECT o_orderkey // 100 AS i0, o_orderkey % 100 AS i1, CASE WHEN o_orderkey // 100 >= 2 AND o_orderkey % 10 = 3 THEN -1 ELSE {CENTS} END AS v FROM orders")
+def setitem_scalar(spark, sf):
+    return indexing.assigned(order_rows(spark, sf), (slice(2, None), slice(3, None, 10)), -1)
+
+
+@register(f"SELECT o_orderkey // 100 AS i0, o_orderkey % 100 AS i1, CASE WHEN o_orderkey % 100 < 50 AND o_orderkey // 100 % 2 = 0 THEN o_orderkey % 100 * 2 ELSE {CENTS} END AS v FROM orders")
+def setitem_slice_array(spark, sf):
+    return indexing.assigned(order_rows(spark, sf), (slice(None, None, 2), slice(50)), creation.arange(spark, 0, 100, 2))
+
+
+@register(f"SELECT o_orderkey AS i0, CASE WHEN {CENTS} > 20000000 THEN 20000000 ELSE {CENTS} END AS v FROM orders")
+def setitem_mask(spark, sf):
+    a = orders(spark, sf)
+    return indexing.assigned(a, a > 20000000, 20000000)
+
+
+@register("SELECT CAST(0 AS BIGINT) AS i0, p_partkey AS i1, CAST(p_size AS BIGINT) AS v FROM part UNION ALL SELECT 1, p_partkey, CAST(floor(p_retailprice) AS BIGINT) FROM part")
+def vstack_two(spark, sf):
+    size, _, price = parts(spark, sf)
+    return manipulation.vstack([size, price])
+
+
+@register("SELECT p_partkey // 20 AS i0, p_partkey % 20 AS i1, CAST(p_size AS BIGINT) AS v FROM part UNION ALL SELECT p_partkey // 20, p_partkey % 20 + 20, CAST(floor(p_retailprice) AS BIGINT) FROM part")
+def hstack_two(spark, sf):
+    size, _, price = parts(spark, sf)
+    return manipulation.hstack([size.reshape(-1, 20), price.reshape(-1, 20)])
+
+
+@register("SELECT p_partkey AS i0, CAST(p_size AS BIGINT) AS v FROM part")
+def squeeze_view(spark, sf):
+    return parts(spark, sf)[0].reshape(1, -1, 1).view().squeeze()
+
+
+@register("SELECT p_partkey // 20 AS i0, CAST(sum(p_size * (p_partkey % 20)) AS BIGINT) AS v FROM part GROUP BY 1")
+def dot_vector(spark, sf):
+    return linalg.dot(parts(spark, sf)[0].reshape(-1, 20), creation.arange(spark, 20))
+
+
+@register("SELECT CAST(sum(p_size * floor(p_retailprice)) AS DOUBLE) AS re, CAST(sum(p_size * p_size) AS DOUBLE) AS im FROM part")
+def vdot_complex(spark, sf):
+    size, _, price = parts(spark, sf)
+    return linalg.vdot(size.astype(complex), ufunc.complex_of(price, size), lazy=True)
+
+
+@register("SELECT n_nationkey AS place, CAST(n_regionkey AS BIGINT) AS v FROM nation")
+def to_list_rows(spark, sf):
+    return first_rows(spark, enumerate(regions_by_nation(spark, sf).to_list()), "place long, v long")
+
+
+@register("SELECT n_nationkey // 5 AS a, n_nationkey % 5 AS b, CAST(n_regionkey AS BIGINT) AS v FROM nation")
+def ndenumerate_cells(spark, sf):
+    cells = iteration.ndenumerate(regions_by_nation(spark, sf).reshape(5, 5))
+    return first_rows(spark, ((a, b, v) for (a, b), v in cells), "a long, b long, v long")
+
+
+@register("SELECT n_nationkey // 5 AS a, n_nationkey % 5 AS b, CAST(n_nationkey AS BIGINT) AS v FROM nation")
+def ndindex_cells(spark, sf):
+    shape = regions_by_nation(spark, sf).reshape(5, 5).shape
+    return first_rows(spark, ((a, b, k) for k, (a, b) in enumerate(iteration.ndindex(shape))), "a long, b long, v long")
+
+
+@register("SELECT a.n_nationkey * 5 + r_regionkey AS place, CAST(n_regionkey AS BIGINT) AS a, CAST(r_regionkey AS BIGINT) AS b FROM nation a, region")
+def nditer_pairs(spark, sf):
+    nation, region = regions_by_nation(spark, sf), vectors(spark, sf, "region", "r_regionkey", ["CAST(r_regionkey AS BIGINT)"])[0]
+    return first_rows(spark, ((k, a, b) for k, (a, b) in enumerate(iteration.nditer((nation.reshape(-1, 1), region)))), "place long, a long, b long")
+
+
+@register("SELECT n_nationkey AS place, CAST(n_regionkey AS BIGINT) AS v FROM nation")
+def flat_cells(spark, sf):
+    return first_rows(spark, enumerate(regions_by_nation(spark, sf).reshape(5, 5).flat), "place long, v long")
+
+
+@register("SELECT n_nationkey // 5 AS place, CAST(sum(n_regionkey) AS BIGINT) AS v FROM nation GROUP BY 1")
+def iterated_rows(spark, sf):
+    return first_rows(spark, ((k, reduction.sum(row)) for k, row in enumerate(regions_by_nation(spark, sf).reshape(5, 5))), "place long, v long")
+
+
+@register("SELECT '[0] ' || string_agg(CAST(n_regionkey AS VARCHAR), ' ' ORDER BY n_nationkey) AS v FROM nation")
+def text_of_vector(spark, sf):
+    return first_rows(spark, [(str(regions_by_nation(spark, sf)),)], "v string")
+
+
+@register("SELECT '  @ data: [' || string_agg(CAST(n_regionkey AS VARCHAR), ', ' ORDER BY n_nationkey) FILTER (WHERE n_nationkey < 20) || ']' AS v FROM nation")
+def text_of_handle(spark, sf):
+    return first_rows(spark, [(repr(regions_by_nation(spark, sf)[:20]).splitlines()[1],)], "v string")
+
+
+@register(f"SELECT {CENTS} AS v FROM orders WHERE o_orderkey = 321")
+def getitem_scalar(spark, sf):
+    return first_rows(spark, [(order_rows(spark, sf)[3, 21],)], "v long")
+
+
+@register("SELECT p_partkey AS i0, CAST(CASE WHEN sum(p_size % 2) OVER (ORDER BY p_partkey) % 2 = 0 THEN 1 ELSE -1 END AS BIGINT) AS v FROM part")
+def cumprod_flat(spark, sf):
+    size = parts(spark, sf)[0]
+    return reduction.cumprod((1 - 2 * (size % 2)).reshape(-1, 20))
+
+
+@register(f"SELECT c_custkey AS i0, CAST(sum({BALANCE}) OVER (ORDER BY c_custkey) AS DOUBLE) AS re, CAST(sum(c_nationkey) OVER (ORDER BY c_custkey) AS DOUBLE) AS im FROM customer")
+def cumsum_complex(spark, sf):
+    cents, nation, _ = customers(spark, sf)
+    return reduction.cumsum(ufunc.complex_of(cents, nation))
+
+
+@register(f"SELECT o_orderkey // 100 AS i0, CAST(sum({CENTS}) AS BIGINT) AS v FROM orders GROUP BY 1")
+def sum_axes(spark, sf):
+    return reduction.sum(orders(spark, sf).reshape(-1, 10, 10), axes=(1, 2))
+
+
+@register("SELECT CAST(CASE WHEN sum(p_size % 2) % 2 = 0 THEN 1 ELSE -1 END AS BIGINT) AS v FROM part")
+def prod_flat(spark, sf):
+    return reduction.prod(1 - 2 * (parts(spark, sf)[0] % 2), lazy=True)
+
+
+@register(f"SELECT o_orderkey // 100 AS i0, row_number() OVER (PARTITION BY o_orderkey // 100 ORDER BY {CENTS}, o_orderkey) - 1 AS i1, {CENTS} AS v FROM orders")
+def sort_axis1(spark, sf):
+    return sorting.sort(order_rows(spark, sf), axis=1)
+
+
+@register("SELECT row_number() OVER (ORDER BY re, im) - 1 AS i0, CAST(re AS DOUBLE) AS re, CAST(im AS DOUBLE) AS im FROM (SELECT DISTINCT p_size AS re, p_partkey % 7 AS im FROM part)")
+def unique_complex(spark, sf):
+    size = parts(spark, sf)[0]
+    return sorting.unique(ufunc.complex_of(size, creation.arange(spark, size.size) % 7))
+
+
+@register("SELECT p_partkey AS i0, CAST(p_size AS DOUBLE) AS v FROM part")
+def astype_copy(spark, sf):
+    return parts(spark, sf)[0].astype(float).copy()
+
+
+@register("SELECT o_orderkey // 100 AS i0, o_orderkey % 100 AS i1, " + CENTS + " AS v FROM orders")
+def checked_rows(spark, sf):
+    """Through the check that each cell comes exactly once."""
+    rows = spark.read.parquet(f"{sf}/orders.parquet").select((F.expr("o_orderkey div 100")).alias("r"), F.expr("o_orderkey % 100").alias("c"), F.expr(CENTS).alias("x"))
+    return creation.from_dataframe(rows, ["r", "c"], "x", (rows.count() // 100, 100))

@@ -33,6 +33,11 @@ def unravelled(lin: Column, shape) -> list[Column]:
     return [F.call_function("div", lin, F.lit(step).cast("bigint")) % F.lit(max(n, 1)).cast("bigint") for n, step in zip(shape, geometry.strides(shape))]
 
 
+def unwrapped(a: NDArray, lazy: bool = False):
+    """A Python scalar for an array without axes, by a job; the array itself if it has axes or lazy asks for it."""
+    return a if lazy or a.ndim else a.item()
+
+
 class NDArray:
     def __init__(self, base: DataFrame, value: Column, shape, dtype):
         self.base, self.value, self.shape, self.dtype = base, value, tuple(shape), values.checked(dtype)
@@ -71,7 +76,33 @@ class NDArray:
         return NDArray(self.base, values.cast(self.value, self.dtype, values.checked(dtype)), self.shape, dtype)
 
     def copy(self) -> NDArray:
-        return self
+        return NDArray(self.base, self.value, self.shape, self.dtype)
+
+    def view(self) -> NDArray:
+        """The same cells under another handle. Assignment changes a handle, never cells, so views and copies are alike."""
+        return self.copy()
+
+    @property
+    def flat(self):
+        from gridloom.operators import iteration
+
+        return iteration.flat(self)
+
+    def __iter__(self):
+        """Sub-arrays of the first axis; the scalars of a vector, streamed."""
+        if not self.ndim:
+            raise TypeError("iteration over an array without axes")
+        return self.flat if self.ndim == 1 else (self[k] for k in range(self.shape[0]))
+
+    def __repr__(self) -> str:
+        from gridloom.operators import text
+
+        return text.described(self)
+
+    def __str__(self) -> str:
+        from gridloom.operators import text
+
+        return text.printed(self)
 
     def to_list(self):
         """Nested Python lists in C order: every cell comes to the driver."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridloom import geometry
 from gridloom.errors import ArrayIndexError, ShapeError
 from gridloom.functions import values
-from gridloom.ndarray import NDArray, indices, linear
+from gridloom.ndarray import NDArray, indices, linear, unwrapped
 from gridloom.operators import manipulation, selection, ufunc
 
 
@@ -102,15 +102,63 @@ def _target(a: NDArray, key):
 
 
 @values.plan
-def get(a: NDArray, key) -> NDArray:
+def get(a: NDArray, key, lazy: bool = False):
+    """The cells that key selects; a Python scalar, by a job, where integers select one, unless lazy asks for the array."""
+    if isinstance(key, NDArray) and key.dtype is bool and key.shape == a.shape and a.ndim:
+        return selection.masked(a, key)
     cells, places, shape = _target(a, key)
-    return NDArray.of(cells.select(*(p.cast("bigint").alias(f"i{k}") for k, p in enumerate(places)), "v"), shape, a.dtype)
+    return unwrapped(NDArray.of(cells.select(*(p.cast("bigint").alias(f"i{k}") for k, p in enumerate(places)), "v"), shape, a.dtype), lazy)
+
+
+def _coerced(value, dtype):
+    if dtype is bool and not isinstance(value, (bool, int)):
+        raise values.DTypeError("cannot assign to a bool array")
+    kind = values.kind_of(value)
+    return values.cast(values.constant(value, kind), kind, dtype)
+
+
+def _assigned_basic(a: NDArray, entries, value) -> NDArray:
+    """By integers and slices: the cells' own indices say whether they are selected, and where in the selection."""
+    test, places, shape = F.lit(True), [], []
+    for axis, e in entries:
+        if e is None:
+            shape.append(1)
+            places.append(F.lit(0).cast("bigint"))
+        elif isinstance(e, range):
+            test = test & _in_range(F.col(f"i{axis}"), e)
+            shape.append(len(e))
+            places.append(F.call_function("div", F.col(f"i{axis}") - F.lit(e.start), F.lit(e.step).cast("bigint")))
+        else:
+            test = test & (F.col(f"i{axis}") == e)
+    shape = tuple(shape)
+    if not isinstance(value, NDArray):
+        return NDArray(a.base, F.when(test, _coerced(value, a.dtype)).otherwise(a.value), a.shape, a.dtype)
+    if geometry.broadcast(value.shape, shape) != shape:
+        raise ShapeError(f"cannot broadcast shape {value.shape} to {shape}")
+    # an axis of length 1 is left out of the join's keys, and so are those that the value lacks
+    pad = len(shape) - value.ndim
+    keys = [(f"i{j}", j + pad) for j in range(value.ndim) if value.shape[j] == shape[j + pad] and shape[j + pad] != 1]
+    source = value.astype(a.dtype)
+    cells = 1
+    for n in value.shape:
+        cells *= n
+    given = source.base.select(*(F.col(i).alias(f"t{k}") for i, k in keys), F.struct(source.value.alias("x")).alias("new"))
+    given = F.broadcast(given) if cells <= ufunc.BROADCAST_CELLS else given
+    own = a.base.select(*indices(a.ndim), a.value.alias("v"), test.alias("chosen"), *(F.when(test, places[k]).alias(f"t{k}") for _, k in keys))
+    joined = own.join(given, [f"t{k}" for _, k in keys], "left") if keys else own.crossJoin(given)
+    return NDArray.of(joined.select(*indices(a.ndim), F.when(F.col("chosen"), F.col("new.x")).otherwise(F.col("v")).alias("v")), a.shape, a.dtype)
 
 
 @values.plan
 def assigned(a: NDArray, key, value) -> NDArray:
     """a with the selected cells replaced: by a scalar, or by an array broadcast to the selection. Where index arrays name a
     cell more than once, the last in C order counts. Values take the array's dtype."""
+    if isinstance(key, NDArray) and key.dtype is bool and key.shape == a.shape and a.ndim and not isinstance(value, NDArray):
+        x, mask = ufunc.aligned(a, key)
+        return NDArray(x.base, F.when(mask.value, _coerced(value, a.dtype)).otherwise(x.value), a.shape, a.dtype)
+    entries = _resolved(a, key)
+    if not any(isinstance(e, NDArray) for _, e in entries):
+        return _assigned_basic(a, entries, value)
     cells, places, shape = _target(a, key)
     chosen = cells.select(*indices(a.ndim), *(p.cast("bigint").alias(f"t{k}") for k, p in enumerate(places)))
     if isinstance(value, NDArray):
@@ -119,10 +167,7 @@ def assigned(a: NDArray, key, value) -> NDArray:
         source = manipulation.broadcast_to(value.astype(a.dtype), shape).df.toDF(*(f"t{k}" for k in range(len(shape))), "x")
         chosen = chosen.join(source, [f"t{k}" for k in range(len(shape))]) if shape else chosen.crossJoin(source)
     else:
-        if a.dtype is bool and not isinstance(value, (bool, int)):
-            raise values.DTypeError("cannot assign to a bool array")
-        kind = values.kind_of(value)
-        chosen = chosen.withColumn("x", values.cast(values.constant(value, kind), kind, a.dtype))
+        chosen = chosen.withColumn("x", _coerced(value, a.dtype))
     last = chosen.groupBy(*indices(a.ndim)).agg(F.max_by(F.struct("x"), linear(shape, [f"t{k}" for k in range(len(shape))])).alias("new"))
     merged = a.df.join(last, indices(a.ndim), "left") if a.ndim else a.df.crossJoin(last)
     return NDArray.of(merged.select(*indices(a.ndim), F.when(F.col("new").isNotNull(), F.col("new.x")).otherwise(F.col("v")).alias("v")), a.shape, a.dtype)

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import itertools
-
-from pyspark.sql import functions as F
+import math
 
 from gridloom import geometry
+from gridloom.functions import values
 from gridloom.ndarray import NDArray, indices
 from gridloom.operators import ufunc
 
@@ -15,8 +15,17 @@ def _cell(v):
     return complex(v["re"], v["im"]) if hasattr(v, "asDict") else v
 
 
-def ndindex(shape):
-    return itertools.product(*map(range, geometry.checked_shape(shape)))
+class ndindex:
+    """All index tuples of a shape in C order; its length is their number."""
+
+    def __init__(self, shape):
+        self.shape = geometry.checked_shape(shape)
+
+    def __len__(self) -> int:
+        return math.prod(self.shape)
+
+    def __iter__(self):
+        return itertools.product(*map(range, self.shape))
 
 
 def ndenumerate(a: NDArray):
@@ -33,6 +42,13 @@ def nditer(arrays: tuple):
     if len(arrays) == 1:
         yield from ((v,) for v in flat(arrays[0]))
         return
-    x, y = ufunc.aligned(*arrays)
-    for row in x.base.select(*indices(x.ndim), x.value.alias("a"), y.value.alias("b")).orderBy(*indices(x.ndim)).toLocalIterator():
+    for row in _both(*arrays).toLocalIterator():
         yield _cell(row["a"]), _cell(row["b"])
+
+
+@values.plan
+def _both(x: NDArray, y: NDArray):
+    if x.dtype is not y.dtype:
+        raise values.DTypeError("arrays must have one dtype")
+    x, y = ufunc.aligned(x, y)
+    return x.base.select(*indices(x.ndim), x.value.alias("a"), y.value.alias("b")).orderBy(*indices(x.ndim))

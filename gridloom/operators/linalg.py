@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridloom import geometry
 from gridloom.errors import ShapeError
 from gridloom.functions import values
-from gridloom.ndarray import NDArray, indices
+from gridloom.ndarray import NDArray, indices, unwrapped
 from gridloom.operators import manipulation, reduction
 
 
@@ -17,7 +17,7 @@ def _contracted(kind, x, y):
 
 
 @values.plan
-def matmul(a: NDArray, b: NDArray) -> NDArray:
+def matmul(a: NDArray, b: NDArray, lazy: bool = False):
     """Rows of a against columns of b, joined on the contracted index; batch axes broadcast, vectors lose their axis again.
 
     The join's output is one row for each product, n m k in all, which Spark sums up within tasks before the shuffle."""
@@ -37,7 +37,7 @@ def matmul(a: NDArray, b: NDArray) -> NDArray:
     if not left.shape[-1] or 0 in out:
         from gridloom.sources.creation import zeros
 
-        return zeros(spark, out, kind)
+        return unwrapped(zeros(spark, out, kind), lazy)
     left = manipulation.broadcast_to(left, batch + left.shape[-2:])
     right = manipulation.broadcast_to(right, batch + right.shape[-2:])
     names = [f"b{k}" for k in range(len(batch))]
@@ -45,23 +45,26 @@ def matmul(a: NDArray, b: NDArray) -> NDArray:
     y = right.base.select(*(F.col(f"i{k}").alias(n) for k, n in enumerate(names)), F.col(f"i{len(batch)}").alias("k"), F.col(f"i{len(batch) + 1}").alias("c"), values.cast(right.value, right.dtype, kind).alias("y"))
     found = x.join(y, [*names, "k"]).groupBy(*names, "r", "c").agg(_contracted(kind, F.col("x"), F.col("y")).alias("v"))
     kept = [n for k, n in enumerate([*names, "r", "c"]) if k not in drop]
-    return NDArray.of(found.select(*(F.col(n).alias(f"i{k}") for k, n in enumerate(kept)), "v"), out, kind)
+    return unwrapped(NDArray.of(found.select(*(F.col(n).alias(f"i{k}") for k, n in enumerate(kept)), "v"), out, kind), lazy)
 
 
-def dot(a: NDArray, b: NDArray) -> NDArray:
+def dot(a: NDArray, b: NDArray, lazy: bool = False):
     if not (1 <= a.ndim <= 2 and 1 <= b.ndim <= 2):
         raise ShapeError("dot takes one or two axes")
-    return matmul(a, b)
+    return matmul(a, b, lazy)
 
 
-def vdot(a: NDArray, b: NDArray) -> NDArray:
-    """Flat, the first one conjugated."""
+def vdot(a: NDArray, b: NDArray, lazy: bool = False):
+    """Flat, the first one conjugated. Arrays of one shape are multiplied cell by cell, over one base without a join."""
     if a.size != b.size:
         raise ShapeError("vdot takes arrays of one size")
     from gridloom.operators import ufunc
 
+    values.refuse(values.promote(a.dtype, b.dtype), bool, name="vdot")
     a = ufunc.conj(a) if a.dtype is complex else a
-    return matmul(manipulation.reshape(a, (a.size,)), manipulation.reshape(b, (b.size,)))
+    if a.shape != b.shape:
+        a, b = manipulation.reshape(a, (a.size,)), manipulation.reshape(b, (b.size,))
+    return reduction.sum(ufunc.multiply(a, b), lazy=lazy)
 
 
 def outer(a: NDArray, b: NDArray) -> NDArray:
@@ -83,6 +86,6 @@ def diagonal(a: NDArray, offset: int = 0, axis1: int = 0, axis2: int = 1) -> NDA
     return NDArray.of(found, tuple(a.shape[k] for k in kept) + (n,), a.dtype)
 
 
-def trace(a: NDArray, offset: int = 0, axis1: int = 0, axis2: int = 1) -> NDArray:
+def trace(a: NDArray, offset: int = 0, axis1: int = 0, axis2: int = 1, lazy: bool = False):
     d = diagonal(a, offset, axis1, axis2)
-    return reduction.sum(d, axis=d.ndim - 1)
+    return reduction.sum(d, axis=d.ndim - 1, lazy=lazy)

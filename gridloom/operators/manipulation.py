@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gridloom import geometry
 from gridloom.errors import ShapeError
 from gridloom.functions import values
-from gridloom.ndarray import NDArray, indices, linear, unravelled
+from gridloom.ndarray import NDArray, indices, linear, unravelled, unwrapped
 
 
 @values.plan
@@ -30,12 +30,12 @@ def permute_axes(a: NDArray, axes) -> NDArray:
     return reindexed(a, [F.col(f"i{x}") for x in axes], [a.shape[x] for x in axes])
 
 
-def squeeze(a: NDArray, axis=None) -> NDArray:
+def squeeze(a: NDArray, axis=None, lazy: bool = False):
     axes = tuple(k for k, n in enumerate(a.shape) if n == 1) if axis is None else geometry.normal_axes(axis, a.ndim)
     if any(a.shape[k] != 1 for k in axes):
         raise ShapeError("cannot squeeze an axis whose length is not one")
     kept = [k for k in range(a.ndim) if k not in axes]
-    return reindexed(a, [F.col(f"i{k}") for k in kept], [a.shape[k] for k in kept])
+    return unwrapped(reindexed(a, [F.col(f"i{k}") for k in kept], [a.shape[k] for k in kept]), lazy)
 
 
 @values.plan

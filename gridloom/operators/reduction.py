@@ -1,23 +1,34 @@
 """Reductions over axes, and cumulative scans.
 
 A reduction groups by the kept axes, so Spark sums up within tasks before it shuffles. Empty axes are settled on the
-driver, where shapes are known: an identity, or an error where there is none.
+driver, where shapes are known: an identity, or an error where there is none. A reduction to a single cell gives a
+Python scalar, by a job, unless lazy asks for the array without axes.
 """
 
 from __future__ import annotations
 
 from math import prod as product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridloom import geometry
 from gridloom.errors import ShapeError, UnsupportedError
 from gridloom.functions import values
-from gridloom.ndarray import NDArray, indices, linear, unravelled
+from gridloom.ndarray import NDArray, indices, linear, unwrapped
 
-#: Cells summed in one window of a flat scan; more are scanned as blocks of so many, and the blocks' sums in turn.
-SCAN_BLOCK = 1 << 16
+#: Cells of a slice scanned in one window, and cells multiplied in one fold; more are taken as blocks of so many, and the
+#: blocks' results in turn.
+SCAN_BLOCK, FOLD_BLOCK = 1 << 16, 1 << 12
+
+
+def _named(axis, axes):
+    """What axis or axes say; not both."""
+    if axis is not None and axes is not None:
+        raise ShapeError("axis and axes cannot both be given")
+    return axis if axes is None else tuple(axes)
 
 
 def _kept(a: NDArray, axis, keepdims: bool):
@@ -35,7 +46,8 @@ def _policy(nan_policy):
 
 @values.plan
 def _reduce(a: NDArray, axis, keepdims, dtype, make, identity, name) -> NDArray:
-    """make(v, lin) is the aggregate over the column v; identity None means that an empty slice is an error."""
+    """make(v) is the aggregate over the column v, or make a function of the cells and the kept columns that gives those
+    with v; identity None means that an empty slice is an error."""
     axes, kept, shape = _kept(a, axis, keepdims)
     spark = a.base.sparkSession
     if product(a.shape[k] for k in axes) == 0 or product(shape) == 0:
@@ -44,8 +56,12 @@ def _reduce(a: NDArray, axis, keepdims, dtype, make, identity, name) -> NDArray:
         from gridloom.sources.creation import full
 
         return full(spark, shape, identity if identity is not None else 0, dtype)
-    cells = a.base.select(*(f"i{k}" for k in range(a.ndim)), a.value.alias("v"), linear(a.shape).alias("lin"))
-    found = cells.groupBy(*(f"i{k}" for k in kept)).agg(make(F.col("v"), F.col("lin")).alias("v"))
+    columns = [f"i{k}" for k in kept]
+    if name == "prod":
+        at = linear([a.shape[k] for k in axes], [f"i{k}" for k in axes])
+        found = make(a.base.select(*columns, at.alias("at"), a.value.alias("v")), columns, product(a.shape[k] for k in axes))
+    else:
+        found = a.base.select(*columns, a.value.alias("v")).groupBy(*columns).agg(make(F.col("v")).alias("v"))
     if keepdims:
         found = found.select(*((F.col(f"i{k}") if k in kept else F.lit(0).cast("bigint")).alias(f"i{k}") for k in range(a.ndim)), "v")
     else:
@@ -72,36 +88,47 @@ def _sum(v, kind):
     return F.struct(F.sum(v["re"]).alias("re"), F.sum(v["im"]).alias("im")) if kind is complex else F.sum(v)
 
 
-def sum(a: NDArray, axis=None, keepdims=False, nan_policy="propagate") -> NDArray:
+def sum(a: NDArray, axis=None, keepdims=False, nan_policy="propagate", axes=None, lazy=False):
     ignore, (b, kind) = _policy(nan_policy), _numbers(a)
-    return _reduce(b, axis, keepdims, kind, lambda v, _: _skipping(lambda x: _sum(x, kind), v, kind, ignore), 0, "sum")
+    return unwrapped(_reduce(b, _named(axis, axes), keepdims, kind, lambda v: _skipping(lambda x: _sum(x, kind), v, kind, ignore), 0, "sum"), lazy)
 
 
-def prod(a: NDArray, axis=None, keepdims=False, nan_policy="propagate") -> NDArray:
-    """Integer and complex products multiply each group's cells in C order, which are gathered for that."""
+def prod(a: NDArray, axis=None, keepdims=False, nan_policy="propagate", axes=None, lazy=False):
+    """Floats multiply within tasks; integers (which wrap) and complex numbers in blocks of a slice, in C order, and then the
+    blocks' products in turn."""
     ignore, (b, kind) = _policy(nan_policy), _numbers(a)
+    one = values.constant(1, kind)
 
-    def total(v, lin):
+    def blocks(cells, columns, n):
         if kind is float:
-            return F.product(v)
-        cells = F.transform(F.array_sort(F.collect_list(F.struct(lin.alias("lin"), v.alias("v")))), lambda c: c["v"])
-        return F.aggregate(F.filter(cells, lambda c: c.isNotNull()), values.constant(1, kind), lambda x, y: values.multiply(x, y, kind))
-
-    return _reduce(b, axis, keepdims, kind, lambda v, lin: _skipping(lambda x: total(x, lin), v, kind, ignore), 1, "prod")
+            return cells.groupBy(*columns).agg(_skipping(F.product, F.col("v"), kind, ignore).alias("v"))
+        nan = values.is_nan(F.col("v"), kind)
+        cells = cells.select(*columns, "at", (F.when(nan, one).otherwise(F.col("v")) if ignore else F.col("v")).alias("v"), (~nan).alias("ok"))
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda c: c["v"])
+        while True:
+            block = F.call_function("div", F.col("at"), F.lit(FOLD_BLOCK).cast("bigint")).alias("block")
+            cells = cells.groupBy(*columns, block).agg(F.aggregate(listed, one, lambda x, y: values.multiply(x, y, kind)).alias("v"), F.bool_or("ok").alias("ok")).withColumnRenamed("block", "at")
+            n = -(-n // FOLD_BLOCK)
+            if n == 1:
+                break
+        nothing = values.constant(complex(values.NAN, values.NAN), complex) if kind is complex else one
+        return cells.select(*columns, F.when(F.col("ok"), F.col("v")).otherwise(nothing).alias("v") if ignore else F.col("v"))
+
+    return unwrapped(_reduce(b, _named(axis, axes), keepdims, kind, blocks, 1, "prod"), lazy)
 
 
 def _extremum(name, pick, fold):
-    def run(a: NDArray, axis=None, keepdims=False, nan_policy="propagate") -> NDArray:
+    def run(a: NDArray, axis=None, keepdims=False, nan_policy="propagate", axes=None, lazy=False):
         values.refuse(a.dtype, complex, name=name)
         ignore = _policy(nan_policy)
 
-        def make(v, _):
+        def make(v):
             if a.dtype is not float:
                 return fold(v) if a.dtype is bool else pick(v)
             best = pick(F.when(~F.isnan(v), v))
             return F.coalesce(best, F.lit(values.NAN)) if ignore else F.when(F.bool_or(F.isnan(v)), F.lit(values.NAN)).otherwise(best)
 
-        return _reduce(a, axis, keepdims, a.dtype, make, None, name)
+        return unwrapped(_reduce(a, _named(axis, axes), keepdims, a.dtype, make, None, name), lazy)
 
     run.__name__ = name
     return run
@@ -111,18 +138,18 @@ min = _extremum("min", F.min, F.bool_and)
 max = _extremum("max", F.max, F.bool_or)
 
 
-def mean(a: NDArray, axis=None, keepdims=False, nan_policy="propagate") -> NDArray:
+def mean(a: NDArray, axis=None, keepdims=False, nan_policy="propagate", axes=None, lazy=False):
     kind = complex if a.dtype is complex else float
     b, ignore = a.astype(kind), _policy(nan_policy)
     average = lambda v: F.struct(F.avg(v["re"]).alias("re"), F.avg(v["im"]).alias("im")) if kind is complex else F.avg(v)
-    return _reduce(b, axis, keepdims, kind, lambda v, _: _skipping(average, v, kind, ignore), None, "mean")
+    return unwrapped(_reduce(b, _named(axis, axes), keepdims, kind, lambda v: _skipping(average, v, kind, ignore), None, "mean"), lazy)
 
 
 def _spread(name, total):
-    def run(a: NDArray, axis=None, keepdims=False, nan_policy="propagate") -> NDArray:
+    def run(a: NDArray, axis=None, keepdims=False, nan_policy="propagate", axes=None, lazy=False):
         values.refuse(a.dtype, complex, name=name)
         ignore = _policy(nan_policy)
-        return _reduce(a.astype(float), axis, keepdims, float, lambda v, _: _skipping(total, v, float, ignore), None, name)
+        return unwrapped(_reduce(a.astype(float), _named(axis, axes), keepdims, float, lambda v: _skipping(total, v, float, ignore), None, name), lazy)
 
     run.__name__ = name
     return run
@@ -132,22 +159,22 @@ var = _spread("var", F.var_pop)
 std = _spread("std", F.stddev_pop)
 
 
-def any(a: NDArray, axis=None, keepdims=False) -> NDArray:
-    return _reduce(a, axis, keepdims, bool, lambda v, _: F.bool_or(values.truth(v, a.dtype)), False, "any")
+def any(a: NDArray, axis=None, keepdims=False, lazy=False):
+    return unwrapped(_reduce(a, axis, keepdims, bool, lambda v: F.bool_or(values.truth(v, a.dtype)), False, "any"), lazy)
 
 
-def all(a: NDArray, axis=None, keepdims=False) -> NDArray:
-    return _reduce(a, axis, keepdims, bool, lambda v, _: F.bool_and(values.truth(v, a.dtype)), True, "all")
+def all(a: NDArray, axis=None, keepdims=False, lazy=False):
+    return unwrapped(_reduce(a, axis, keepdims, bool, lambda v: F.bool_and(values.truth(v, a.dtype)), True, "all"), lazy)
 
 
 def _arg(name, largest):
-    def run(a: NDArray, axis: int | None = None, nan_policy="propagate") -> NDArray:
+    def run(a: NDArray, axis: int | None = None, nan_policy="propagate", lazy=False):
         values.refuse(a.dtype, complex, name=name)
         ignore = _policy(nan_policy)
         place = linear(a.shape) if axis is None else F.col(f"i{geometry.normal_axis(axis, a.ndim)}")
         both = NDArray(a.base, F.struct(a.value.alias("v"), place.alias("at")), a.shape, a.dtype)
 
-        def make(v, _):
+        def make(v):
             x, nan = v["v"], values.is_nan(v["v"], a.dtype)
             if largest:
                 key = F.struct(nan.alias("nan"), x.alias("v"), (-v["at"]).alias("at"))
@@ -158,7 +185,7 @@ def _arg(name, largest):
         found = _reduce(both, axis, False, int, make, None, name)
         if ignore and a.dtype is float and not found.df.filter("v IS NULL").limit(1).isEmpty():
             raise UnsupportedError(f"{name} of a slice of NaN only")
-        return found
+        return unwrapped(found, lazy)
 
     run.__name__ = name
     return run
@@ -168,55 +195,62 @@ argmin = _arg("argmin", False)
 argmax = _arg("argmax", True)
 
 
-def _scan_sum(cells, shape_value):
-    """Running sums of the columns x and ok (rows with lin and others) by lin: sums of blocks give each block its offset."""
-    n = shape_value
+def _multiplied(cells, keys, kind):
+    """Running products of x within each group of keys, by at; a group has a bounded number of cells."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("at")
+        x = np.array([complex(c["re"], c["im"]) for c in group["x"]]) if kind is complex else group["x"].to_numpy()
+        with np.errstate(all="ignore"):
+            done = np.multiply.accumulate(x)
+        group["x"] = [{"re": c.real, "im": c.imag} for c in done] if kind is complex else done
+        group["ok"] = np.logical_or.accumulate(group["ok"].to_numpy())
+        return group
+
+    return cells.groupBy(*keys).applyInPandas(run, cells.schema)
+
+
+def _scan(cells, keys, n: int, kind, times: bool):
+    """Running sums (or products) of the columns x and ok of cells (keys, at, x, ok, others) along at, for each group of
+    keys, n cells each: the results of blocks, scanned in turn, are what the cells of later blocks start from."""
+    own = [*keys, "block"]
+    blocked = cells.withColumn("block", F.call_function("div", F.col("at"), F.lit(SCAN_BLOCK).cast("bigint")))
+    w = Window.partitionBy(*own).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    part = (lambda x: F.struct(F.sum(x["re"]).over(w).alias("re"), F.sum(x["im"]).over(w).alias("im"))) if kind is complex else lambda x: F.sum(x).over(w)
+    if times and kind is not float:
+        inner = _multiplied(blocked, own, kind)
+    else:
+        inner = blocked.withColumn("x", F.product("x").over(w) if times else part(F.col("x"))).withColumn("ok", F.max("ok").over(w))
     if n <= SCAN_BLOCK:
-        w = Window.orderBy("lin").rowsBetween(Window.unboundedPreceding, 0)
-        return cells.withColumn("x", F.sum("x").over(w)).withColumn("ok", F.max("ok").over(w))
-    blocked = cells.withColumn("block", F.call_function("div", F.col("lin"), F.lit(SCAN_BLOCK).cast("bigint")))
-    sums = blocked.groupBy("block").agg(F.sum("x").alias("x"), F.max("ok").alias("ok")).withColumnRenamed("block", "lin")
-    offsets = _scan_sum(sums, -(-n // SCAN_BLOCK)).select((F.col("lin") + 1).alias("block"), F.col("x").alias("x0"), F.col("ok").alias("ok0"))
-    w = Window.partitionBy("block").orderBy("lin").rowsBetween(Window.unboundedPreceding, 0)
-    inner = blocked.withColumn("x", F.sum("x").over(w)).withColumn("ok", F.max("ok").over(w)).join(offsets, "block", "left")
-    zero = F.lit(0).cast(dict(cells.dtypes)["x"])
-    return inner.select("lin", (F.col("x") + F.coalesce("x0", zero)).alias("x"), (F.col("ok") | F.coalesce("ok0", F.lit(False))).alias("ok"))
+        return inner.drop("block")
+    last = inner.groupBy(*own).agg(F.max_by("x", "at").alias("x"), F.max("ok").alias("ok")).withColumnRenamed("block", "at")
+    before = _scan(last, keys, -(-n // SCAN_BLOCK), kind, times).select(*keys, (F.col("at") + 1).alias("block"), F.col("x").alias("x0"), F.col("ok").alias("ok0"))
+    joint = (values.multiply if times else values.add)(F.col("x0"), F.col("x"), kind)
+    joined = inner.join(before, own, "left").withColumn("x", F.when(F.col("x0").isNull(), F.col("x")).otherwise(joint))
+    return joined.withColumn("ok", F.col("ok") | F.coalesce("ok0", F.lit(False))).drop("block", "x0", "ok0")
 
 
-@values.plan
-def cumsum(a: NDArray, axis: int | None = None, nan_policy="propagate") -> NDArray:
-    """Along an axis, or flat in C order. Ignoring NaN, those before the first number stay and later ones repeat the sum."""
-    ignore, (b, kind) = _policy(nan_policy), _numbers(a)
-    values.refuse(kind, complex, name="cumsum")
-    nan = values.is_nan(b.value, kind)
-    x = F.when(~nan, b.value).otherwise(values.constant(0, kind)) if ignore else b.value
-    result = F.when(F.col("ok"), F.col("x")).otherwise(F.lit(values.NAN)) if ignore and kind is float else F.col("x")
-    if axis is None:
-        cells = b.base.select(linear(b.shape).alias("lin"), x.alias("x"), (~nan).alias("ok"))
-        return NDArray.of(_scan_sum(cells, b.size).select(F.col("lin").alias("i0"), result.alias("v")), (b.size,), kind)
-    axis = geometry.normal_axis(axis, b.ndim)
-    w = Window.partitionBy(*(f"i{k}" for k in range(b.ndim) if k != axis)).orderBy(f"i{axis}").rowsBetween(Window.unboundedPreceding, 0)
-    cells = b.base.select(*indices(b.ndim), x.alias("x"), (~nan).alias("ok")).withColumn("x", F.sum("x").over(w)).withColumn("ok", F.max("ok").over(w))
-    return NDArray.of(cells.select(*indices(b.ndim), result.alias("v")), b.shape, kind)
+def _cumulative(name: str, identity: int):
+    @values.plan
+    def run(a: NDArray, axis: int | None = None, nan_policy="propagate") -> NDArray:
+        ignore, (b, kind) = _policy(nan_policy), _numbers(a)
+        nan = values.is_nan(b.value, kind)
+        x = (F.when(~nan, b.value).otherwise(values.constant(identity, kind)) if ignore else b.value).alias("x")
+        nothing = values.constant(complex(values.NAN, values.NAN), complex) if kind is complex else F.lit(values.NAN)
+        result = F.when(F.col("ok"), F.col("x")).otherwise(nothing) if ignore and kind in (float, complex) else F.col("x")
+        if axis is None:
+            cells = b.base.select(linear(b.shape).alias("at"), x, (~nan).alias("ok"))
+            found = _scan(cells, [], b.size, kind, name == "cumprod")
+            return NDArray.of(found.select(F.col("at").alias("i0"), result.alias("v")), (b.size,), kind)
+        axis = geometry.normal_axis(axis, b.ndim)
+        keys = [f"i{k}" for k in range(b.ndim) if k != axis]
+        found = _scan(b.base.select(*keys, F.col(f"i{axis}").alias("at"), x, (~nan).alias("ok")), keys, b.shape[axis], kind, name == "cumprod")
+        return NDArray.of(found.withColumnRenamed("at", f"i{axis}").select(*indices(b.ndim), result.alias("v")), b.shape, kind)
+
+    run.__name__ = name
+    run.__doc__ = "Along an axis, or flat in C order; integers wrap. Ignoring NaN, those before the first number stay and later ones repeat what there was."
+    return run
 
 
-@values.plan
-def cumprod(a: NDArray, axis: int, nan_policy="propagate") -> NDArray:
-    """Along an axis of floats or integers; integers wrap, by a fold over each slice's cells in order."""
-    ignore, (b, kind) = _policy(nan_policy), _numbers(a)
-    values.refuse(kind, complex, name="cumprod")
-    axis = geometry.normal_axis(axis, b.ndim)
-    others = [f"i{k}" for k in range(b.ndim) if k != axis]
-    one = values.constant(1, kind)
-    cells = F.array_sort(F.collect_list(F.struct(F.col(f"i{axis}").alias("at"), F.col("v"))))
-    step = lambda x: F.when(values.is_nan(x, kind), one).otherwise(x) if ignore else x
-    start = F.struct(F.array().cast(f"array<{values.SPARK[kind]}>").alias("done"), one.alias("p"), F.lit(False).alias("ok"))
-
-    def fold(s, c):
-        p, ok = s["p"] * step(c["v"]), s["ok"] | ~values.is_nan(c["v"], kind)
-        shown = F.when(ok, p).otherwise(F.lit(values.NAN)) if ignore and kind is float else p
-        return F.struct(F.array_append(s["done"], shown).alias("done"), p.alias("p"), ok.alias("ok"))
-
-    slices = b.df.groupBy(*others).agg(F.aggregate(cells, start, fold, lambda s: s["done"]).alias("done"))
-    found = slices.select(*others, F.posexplode("done").alias("at", "v")).withColumn(f"i{axis}", F.col("at").cast("bigint"))
-    return NDArray.of(found.select(*indices(b.ndim), "v"), b.shape, kind)
+cumsum = _cumulative("cumsum", 0)
+cumprod = _cumulative("cumprod", 1)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridloom.errors import ShapeError
 from gridloom.functions import values
 from gridloom.ndarray import NDArray, indices, linear
-from gridloom.operators import sorting, ufunc
+from gridloom.operators import ufunc
 
 
 @values.plan
@@ -23,18 +24,44 @@ def where(condition: NDArray, x, y) -> NDArray:
     return NDArray(c.base, F.when(c.value, cells[0]).otherwise(cells[1]), c.shape, kind)
 
 
+#: Places in a block; the number of true cells before each block gives theirs.
+PLACE_BLOCK = 1 << 16
+
+
+def counted_up(found, size: int):
+    """(found, which has places lin, with at, the number of rows before each; the number of rows, by a job). Blocks of places
+    are counted and their counts summed up; the rows of a block are numbered within it."""
+    from gridloom.operators import reduction
+
+    blocked = found.withColumn("block", F.call_function("div", F.col("lin"), F.lit(PLACE_BLOCK).cast("bigint")))
+    counts = blocked.groupBy("block").agg(F.count("*").alias("n"))
+    n = counts.agg(F.sum("n")).first()[0] or 0
+    sums = reduction._scan(counts.select(F.col("block").alias("at"), F.col("n").alias("x"), F.lit(True).alias("ok"), "n"), [], max(1, -(-size // PLACE_BLOCK)), int, False)
+    starts = sums.select(F.col("at").alias("block"), (F.col("x") - F.col("n")).alias("start"))
+    starts = F.broadcast(starts) if size // PLACE_BLOCK <= ufunc.BROADCAST_CELLS else starts
+    own = F.row_number().over(Window.partitionBy("block").orderBy("lin"))
+    return blocked.withColumn("own", own).join(starts, "block").withColumn("at", (F.col("start") + F.col("own") - 1).cast("bigint")).drop("block", "own", "start"), n
+
+
 @values.plan
 def nonzero(a: NDArray) -> tuple[NDArray, ...]:
     """The indices of the true cells in C order, an array for each axis, over one base. A job counts them."""
     if not a.ndim:
         raise ShapeError("nonzero takes arrays of one or more axes")
-    found = a.base.filter(values.truth(a.value, a.dtype)).select(linear(a.shape).alias("v"), *(F.col(i).alias(f"x{k}") for k, i in enumerate(indices(a.ndim))))
-    n = found.count()
-    place = sorting._ranked(found.select(F.col("v").alias("lin"), "v"), n).select("lin", F.col("at").alias("i0"))
-    base = place.join(found.withColumnRenamed("v", "lin"), "lin").drop("lin")
+    found = a.base.filter(values.truth(a.value, a.dtype)).select(linear(a.shape).alias("lin"), *(F.col(i).alias(f"x{k}") for k, i in enumerate(indices(a.ndim))))
+    placed, n = counted_up(found, a.size)
+    base = placed.select(F.col("at").alias("i0"), *(f"x{k}" for k in range(a.ndim)))
     return tuple(NDArray(base, F.col(f"x{k}"), (n,), int) for k in range(a.ndim))
 
 
+@values.plan
+def masked(a: NDArray, mask: NDArray) -> NDArray:
+    """The cells of a where mask, of its shape, is true, in C order. Over one base it is filtered once, without a join."""
+    x, m = ufunc.aligned(a, mask)
+    placed, n = counted_up(x.base.filter(m.value).select(linear(x.shape).alias("lin"), x.value.alias("v")), x.size)
+    return NDArray.of(placed.select(F.col("at").alias("i0"), "v"), (n,), a.dtype)
+
+
 def clip(a: NDArray, min=None, max=None) -> NDArray:
     """min first, then max; NaN passes through; bounds take the array's dtype."""
     values.refuse(a.dtype, complex, name="clip")

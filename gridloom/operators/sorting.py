@@ -9,34 +9,56 @@ from gridloom import geometry
 from gridloom.functions import values
 from gridloom.ndarray import NDArray, indices, linear
 
-#: Cells ranked in one window; more are dealt out by value first, into about this many buckets and blocks of cells.
-WINDOW_CELLS, BUCKETS = 1 << 16, 64
-
-
-def _ranked(cells, n: int):
-    """cells (lin, v) with the place of each in the order of v, then lin. Buckets lie between quantiles of v; the cells that
-    equal a quantile, which may be very many, are dealt out in blocks of lin, so that no task gets them all."""
-    if n <= WINDOW_CELLS:
-        return cells.withColumn("at", F.row_number().over(Window.orderBy("v", "lin")).cast("bigint") - 1)
-    steps = [k / BUCKETS for k in range(1, BUCKETS)]
-    found = cells.agg(F.percentile_approx("v", steps, 1000).alias("q")).first()["q"]
-    cuts = sorted({q for q in found if q == q})
+#: Cells ranked in one window; of longer slices, cells are dealt out by value first, into about as many buckets as it
+#: takes, and blocks of cells. Bounds of values that a cell is compared with at once.
+WINDOW_CELLS, STEP = 1 << 16, 128
+
+
+def _cuts(cells, buckets: int) -> list:
+    """Quantiles of v, sorted, each once and without NaN: a job."""
+    steps = [k / buckets for k in range(1, buckets)]
+    found = cells.agg(F.percentile_approx("v", steps, max(1000, 10 * buckets)).alias("q")).first()["q"]
+    return sorted({q for q in found or () if q == q})
+
+
+def _above(v, cuts: list, kind: str):
+    """How many of the cuts are at or below v: first among every STEP-th, then among the STEP that follow it."""
+    if not cuts:
+        return F.lit(0)
+    literal = lambda xs: F.array(*(F.lit(x).cast(kind) for x in xs))
+    count = lambda array: F.size(F.filter(array, lambda c: c <= v))
+    groups = [cuts[k : k + STEP] for k in range(0, len(cuts), STEP)]
+    if len(groups) == 1:
+        return count(literal(cuts))
+    group = F.greatest(count(literal(g[0] for g in groups)), F.lit(1)) - 1
+    within = F.transform(F.array(group), lambda g: g * STEP + count(F.element_at(F.array(*map(literal, groups)), g + 1)))
+    return within[0]
+
+
+def _ranked(cells, n: int, keys=(), slice_cells: int | None = None):
+    """cells (keys, lin, v) with the place of each in the order of v, then lin, within its group of keys (slice_cells each, n
+    in all). Longer slices are cut between quantiles of v; the cells that equal a quantile, which may be very many, are
+    dealt out in blocks of lin, so that no task gets them all."""
+    keys, slice_cells = list(keys), n if slice_cells is None else slice_cells
+    if slice_cells <= WINDOW_CELLS:
+        window = Window.partitionBy(*keys) if keys else Window
+        return cells.withColumn("at", F.row_number().over(window.orderBy("v", "lin")).cast("bigint") - 1)
+    cuts = _cuts(cells, 2 * -(-slice_cells // WINDOW_CELLS))
     kind = dict(cells.dtypes)["v"]
-    # bucket 2 k lies above k cuts and below the next; 2 k - 1 is the k-th cut itself, and the last one is NaN
-    sorted_cuts, v = F.array(*(F.lit(c).cast(kind) for c in cuts)), F.col("v")
-    above = F.size(F.filter(sorted_cuts, lambda c: c <= v))
-
-    def placed(k):
-        at_cut = (k > 0) & (F.element_at(sorted_cuts, F.greatest(k, F.lit(1))) == v) if cuts else F.lit(False)
-        return F.when(F.isnan(v), 2 * len(cuts) + 1).otherwise(2 * k - at_cut.cast("int")) if kind == "double" else 2 * k - at_cut.cast("int")
+    v = F.col("v")
 
-    dealt = cells.withColumn("bucket", F.transform(F.array(above), placed)[0])
+    # bucket 2 k lies above k cuts and below the next; 2 k - 1 is the k-th cut itself, and the last one is NaN
+    dealt = cells.withColumn("above", _above(v, cuts, kind))
+    cut_below = F.element_at(F.array(*(F.lit(c).cast(kind) for c in cuts)), F.greatest(F.col("above"), F.lit(1))) if cuts else F.lit(None).cast(kind)
+    bucket = 2 * F.col("above") - F.coalesce((F.col("above") > 0) & (cut_below == v), F.lit(False)).cast("int")
+    dealt = dealt.withColumn("bucket", F.when(F.isnan(v), 2 * len(cuts) + 1).otherwise(bucket) if kind == "double" else bucket).drop("above")
     dealt = dealt.withColumn("block", F.when(F.col("bucket") % 2 == 0, F.lit(0).cast("bigint")).otherwise(F.call_function("div", F.col("lin"), F.lit(WINDOW_CELLS).cast("bigint"))))
-    counts = dealt.groupBy("bucket", "block").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy("bucket", "block").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.withColumn("start", F.coalesce(before, F.lit(0))).drop("n")
-    own = F.row_number().over(Window.partitionBy("bucket", "block").orderBy("v", "lin"))
-    return dealt.withColumn("own", own).join(starts, ["bucket", "block"]).select("lin", "v", (F.col("start") + F.col("own") - 1).cast("bigint").alias("at"))
+    own = [*keys, "bucket", "block"]
+    counts = dealt.groupBy(*own).agg(F.count("*").alias("n"))
+    ordered = (Window.partitionBy(*keys) if keys else Window).orderBy("bucket", "block")
+    starts = counts.withColumn("start", F.coalesce(F.sum("n").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    place = F.row_number().over(Window.partitionBy(*own).orderBy("v", "lin"))
+    return dealt.withColumn("own", place).join(starts, own).select(*keys, "lin", "v", (F.col("start") + F.col("own") - 1).cast("bigint").alias("at"))
 
 
 @values.plan
@@ -50,9 +72,9 @@ def _sorted(a: NDArray, axis, emit_place: bool) -> NDArray:
         cells = _ranked(a.base.select(linear(a.shape).alias("lin"), a.value.alias("v")), a.size)
         return NDArray.of(cells.select(F.col("at").alias("i0"), F.col("lin" if emit_place else "v").alias("v")), (a.size,), dtype)
     axis = geometry.normal_axis(axis, a.ndim)
-    w = Window.partitionBy(*(f"i{k}" for k in range(a.ndim) if k != axis)).orderBy("v", f"i{axis}")
-    cells = a.df.withColumn("at", F.row_number().over(w).cast("bigint") - 1)
-    return NDArray.of(cells.select(*(F.col("at" if k == axis else f"i{k}").alias(f"i{k}") for k in range(a.ndim)), F.col(f"i{axis}" if emit_place else "v").alias("v")), a.shape, dtype)
+    keys = [f"i{k}" for k in range(a.ndim) if k != axis]
+    cells = _ranked(a.df.withColumnRenamed(f"i{axis}", "lin"), a.size, keys, a.shape[axis])
+    return NDArray.of(cells.select(*(F.col("at" if k == axis else f"i{k}").alias(f"i{k}") for k in range(a.ndim)), F.col("lin" if emit_place else "v").alias("v")), a.shape, dtype)
 
 
 def sort(a: NDArray, axis: int | None = None) -> NDArray:
@@ -74,9 +96,26 @@ def unique(a: NDArray) -> NDArray:
     else:
         found = a.df.select("v").distinct()
     n = found.count()
-    ranked = found.select(F.lit(0).cast("bigint").alias("lin"), "v")
-    if a.dtype is complex or a.dtype is bool:
-        ranked = ranked.withColumn("at", F.row_number().over(Window.orderBy("v")).cast("bigint") - 1)
-    else:
-        ranked = _ranked(ranked, n)
+    if a.dtype is complex:
+        ranked = _ranked_pairs(found, n)
+    else:  # bools are two at most
+        ranked = _ranked(found.select(F.lit(0).cast("bigint").alias("lin"), "v"), 0 if a.dtype is bool else n)
     return NDArray.of(ranked.select(F.col("at").alias("i0"), "v"), (n,), a.dtype)
+
+
+def _ranked_pairs(found, n: int):
+    """Distinct complex v with their place by real, then imaginary part: buckets of real parts, and within each of those of
+    imaginary parts, so that one real part may have any number of them."""
+    cells = found.select(F.col("v.re").alias("re"), F.col("v.im").alias("im"), "v")
+    if n <= WINDOW_CELLS:
+        return cells.withColumn("at", F.row_number().over(Window.orderBy("re", "im")).cast("bigint") - 1)
+    buckets = 2 * -(-n // WINDOW_CELLS)
+    by_re, by_im = (_cuts(cells.withColumnRenamed(c, "v_").select(F.col("v_").alias("v")), buckets) for c in ("re", "im"))
+    # a real part that is a cut has its own bucket, and is divided by imaginary parts
+    above = _above(F.col("re"), by_re, "double")
+    at_cut = F.array_contains(F.array(*(F.lit(c) for c in by_re)), F.col("re")) if by_re else F.lit(False)
+    dealt = cells.withColumn("bucket", 2 * above - at_cut.cast("int")).withColumn("part", F.when(at_cut, _above(F.col("im"), by_im, "double")).otherwise(0))
+    own = ["bucket", "part"]
+    starts = dealt.groupBy(*own).agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy(*own).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    place = F.row_number().over(Window.partitionBy(*own).orderBy("re", "im"))
+    return dealt.withColumn("own", place).join(starts, own).select("v", (F.col("start") + F.col("own") - 1).cast("bigint").alias("at"))

@@ -21,7 +21,7 @@ def aligned(*operands: NDArray) -> list[NDArray]:
     first = operands[0]
     if all(a.base is first.base and a.shape == shape for a in operands):
         return list(operands)
-    spark, named = first.base.sparkSession, indices(len(shape))
+    named = indices(len(shape))
     sides, bases = [], []
     for k, a in enumerate(operands):
         found = next((s for s in sides if s[0] is a.base and s[1] == a.shape), None)
@@ -43,12 +43,6 @@ def aligned(*operands: NDArray) -> list[NDArray]:
         df = F.broadcast(df) if cells <= BROADCAST_CELLS else df
         joined = joined.join(df, shared) if shared else joined.crossJoin(df)
         have = have | keys
-    if set(named) - have:
-        from gridloom.sources.creation import grid
-
-        missing = [n for n in named if n not in have]
-        extra = grid(spark, tuple(shape[named.index(n)] for n in missing)).drop("lin")
-        joined = joined.crossJoin(F.broadcast(extra.toDF(*missing)))
     return [NDArray(joined, F.col(f"o{k}"), shape, a.dtype) for k, a in enumerate(operands)]
 
 

@@ -71,8 +71,16 @@ def ones(spark, shape, dtype=float) -> NDArray:
 
 
 @values.plan
-def array(spark, obj, dtype=None) -> NDArray:
-    """From nested sequences, at most 64 deep and not ragged; the kind is that of the highest leaf, bool if none."""
+def array(spark, obj, dtype=None, shape=None) -> NDArray:
+    """From nested sequences, at most 64 deep and not ragged; the kind is that of the highest leaf, bool if none. A scalar
+    takes a shape and fills it; sequences have their own."""
+    if not isinstance(obj, (list, tuple)) and shape is not None:
+        kind = values.kind_of(obj)
+        if dtype and values.promote(kind, values.checked(dtype)) is not dtype:
+            raise values.DTypeError(f"cannot narrow {values.NAMES[kind]} to {values.NAMES[dtype]}")
+        return full(spark, shape, obj, dtype)
+    if shape is not None:
+        raise ShapeError("only a scalar takes a shape")
     shape, leaves, level = [], obj, obj
     while isinstance(level, (list, tuple)):
         if len(shape) == 64:

@@ -6,6 +6,7 @@ import pytest
 from gridloom import geometry
 from gridloom.errors import ArrayIndexError, AxisError, DivideByZeroError, ShapeError, UnsupportedError
 from gridloom.operators import indexing, iteration, linalg, manipulation, reduction, selection, sorting, ufunc
+from gridloom.ndarray import NDArray
 from gridloom.sources import creation
 
 NAN = float("nan")
@@ -13,6 +14,10 @@ NAN = float("nan")
 
 def same(a, want):
     want = np.asarray(want)
+    if not isinstance(a, NDArray):  # a scalar
+        assert want.shape == () and isinstance(a, (bool, int, float, complex))
+        np.testing.assert_allclose(a, want, rtol=1e-12, atol=1e-12)
+        return
     got = np.array(a.to_list()).reshape(a.shape)
     assert a.shape == want.shape
     np.testing.assert_allclose(got.astype(want.dtype), want, rtol=1e-12, atol=1e-12)
@@ -112,7 +117,7 @@ def test_sorting(cube, spark, monkeypatch):
     values = [3, 1, 3, 2, 1, 3, 3, 3, 0, 2] * 5
     a, x = creation.array(spark, values), np.array(values)
     monkeypatch.setattr(sorting, "WINDOW_CELLS", 7)
-    monkeypatch.setattr(sorting, "BUCKETS", 4)
+    monkeypatch.setattr(sorting, "STEP", 3)
     same(sorting.sort(a), np.sort(x))
     same(sorting.argsort(a), np.argsort(x, kind="stable"))
     same(sorting.unique(a), np.unique(x))
@@ -182,7 +187,7 @@ def test_linear_algebra(spark):
     same(linalg.diagonal(a, 1, 1, 2), x.diagonal(1, 1, 2))
     same(linalg.trace(a, 0, 0, 2), x.trace(0, 0, 2))
     u = [1 + 2j, 3 - 1j]
-    assert linalg.vdot(creation.array(spark, u), creation.array(spark, u)).item() == np.vdot(u, u)
+    assert linalg.vdot(creation.array(spark, u), creation.array(spark, u)) == np.vdot(u, u)
 
 
 def test_creation(spark):
@@ -224,3 +229,122 @@ def test_iteration(spark):
     assert list(iteration.ndindex((2, 1))) == [(0, 0), (1, 0)]
     assert list(iteration.ndenumerate(a))[3] == ((1, 1), 3) and list(iteration.flat(a)) == [0, 1, 2, 3]
     assert list(iteration.nditer((a, creation.arange(spark, 2))))[2] == (2, 0)
+
+
+def test_scans_in_blocks(cube, spark, monkeypatch):
+    a, x = cube
+    monkeypatch.setattr(reduction, "SCAN_BLOCK", 3)
+    monkeypatch.setattr(reduction, "FOLD_BLOCK", 3)
+    for axis in (None, 0, 1, 2):
+        same(reduction.cumsum(a, axis=axis), x.cumsum(axis=axis))
+        same(reduction.cumprod(a * 7 + 3, axis=axis), (x * 7 + 3).cumprod(axis=axis))
+        same(reduction.cumprod(a.astype(float) / 9, axis=axis), (x / 9).cumprod(axis=axis))
+        same(reduction.prod(a * 7 + 3, axis=axis), (x * 7 + 3).prod(axis=axis))
+        z = ufunc.complex_of(a, a % 3) * 0.5
+        w = (x + x % 3 * 1j) * 0.5
+        same(reduction.cumsum(z, axis=axis), w.cumsum(axis=axis))
+        same(reduction.cumprod(z + 1, axis=axis), (w + 1).cumprod(axis=axis))
+        same(reduction.prod(z + 1, axis=axis), (w + 1).prod(axis=axis))
+    f = [NAN, 2.0, NAN, 3.0, 0.5, NAN, 4.0]
+    same(reduction.cumsum(creation.array(spark, f), nan_policy="ignore"), [NAN, 2, 2, 5, 5.5, 5.5, 9.5])
+    same(reduction.cumprod(creation.array(spark, f), nan_policy="ignore"), [NAN, 2, 2, 6, 3, 3, 12])
+    same(reduction.cumsum(creation.array(spark, f)), np.cumsum(f))
+    c = creation.array(spark, [complex(NAN, 0), 2j, complex(1, NAN), 3 + 0j])
+    got = reduction.cumprod(c, nan_policy="ignore").to_list()
+    assert np.isnan(got[0].real) and got[1:] == [2j, 2j, 6j] and reduction.prod(c, nan_policy="ignore") == 6j
+
+
+def test_sorting_of_long_axes(spark, monkeypatch):
+    monkeypatch.setattr(sorting, "WINDOW_CELLS", 5)
+    monkeypatch.setattr(sorting, "STEP", 3)
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 9, (3, 40)).astype(float)
+    x[0, 4] = x[2, 7] = NAN
+    a = creation.array(spark, x.tolist())
+    for axis in (None, 0, 1):
+        same(sorting.sort(a, axis=axis), np.sort(x, axis=axis))
+        same(sorting.argsort(a, axis=axis), np.argsort(x, axis=axis, kind="stable"))
+    same(sorting.sort(creation.array(spark, x[1].tolist())), np.sort(x[1]))
+    z = (rng.integers(0, 4, 60) + 1j * rng.integers(0, 20, 60)).tolist()
+    same(sorting.unique(creation.array(spark, z)), np.unique(z))
+    same(sorting.unique(creation.array(spark, [True, False, True])), [False, True])
+
+
+def test_masks_and_assignment(cube, spark, monkeypatch):
+    monkeypatch.setattr(selection, "PLACE_BLOCK", 4)
+    a, x = cube
+    same(a[a % 5 > 2], x[x % 5 > 2])
+    same(a[creation.array(spark, (x > 100).tolist())], x[x > 100])
+    for got, want in zip(selection.nonzero(a % 3 == 1), np.nonzero(x % 3 == 1)):
+        same(got, want)
+    rng = np.random.default_rng(5)
+    for key in (0, (slice(None), 1), (slice(None, None, -1), slice(2), slice(1, None, 2)), (Ellipsis, 3), (1, None, 2, slice(3)), (slice(5, 9),)):
+        for value in (-1, rng.integers(0, 99, x[key].shape), rng.integers(0, 99, x[key].shape[-1:])):
+            y = x.copy()
+            y[key] = value
+            same(indexing.assigned(a, key, value if isinstance(value, int) else creation.array(spark, value.tolist(), int)) if np.size(value) else a, y)
+    y = x.copy()
+    y[y > 11] = 5
+    same(indexing.assigned(a, a > 11, 5), y)
+
+
+def shuffles(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_plans(spark, monkeypatch):
+    """What needs no shuffle has none, and no plan puts all cells into one partition."""
+    table = spark.range(1000).selectExpr("id", "id * 7 % 13 AS x", "id * 2 AS y")
+    x, y = creation.from_dataframe(table, ["id"], ["x", "y"], (1000,), check=False)
+    plan = lambda a: a.df._jdf.queryExecution().executedPlan().toString()
+    assert shuffles(indexing.assigned(x, slice(2, None, 3), 5).df) == shuffles(indexing.assigned(x, y > 4, 5).df) == shuffles((x * y - 3).df) == 0
+    monkeypatch.setattr(reduction, "SCAN_BLOCK", 16)
+    monkeypatch.setattr(sorting, "WINDOW_CELLS", 16)
+    for scan in (reduction.cumsum(x), reduction.cumsum(x, axis=0), reduction.cumprod(x), reduction.cumprod(x.astype(float))):
+        assert "SinglePartition" not in plan(scan)
+    joined = plan(linalg.vdot(x, y, lazy=True))
+    assert "Join" not in joined
+    assert "SortMergeJoin" not in plan(x[x > 4]) and plan(x[x > 4]).count("SinglePartition") == 0
+
+
+def test_scalars_at_the_boundary(cube, spark):
+    a, x = cube
+    assert reduction.sum(a) == x.sum() and isinstance(reduction.sum(a), int) and reduction.max(a.astype(float)) == 23.0
+    assert a[1, 2, 3] == x[1, 2, 3] and a[-1, 0, 0] == 12 and isinstance(reduction.all(a > 0), bool)
+    assert linalg.trace(a[0]) == np.trace(x[0]) and reduction.argmax(a) == 23 and reduction.mean(a) == x.mean()
+    v = a[0, 0]
+    assert v @ v == linalg.dot(v, v) == 14 and linalg.vdot(v, v) == 14 and manipulation.squeeze(v[1:2]) == 1
+    assert reduction.sum(a, lazy=True).shape == () and indexing.get(a, (0, 0, 1), lazy=True).item() == 1
+    same(reduction.sum(a, axes=(0, 2)), x.sum(axis=(0, 2)))
+    with pytest.raises(ShapeError):
+        reduction.sum(a, axis=0, axes=(1,))
+    assert creation.array(spark, 3, shape=(2, 2)).to_list() == [[3, 3], [3, 3]] and creation.array(spark, 1, float, shape=2).to_list() == [1.0, 1.0]
+    assert list(a.flat) == list(range(24)) and list(v) == [0, 1, 2, 3] and [r.to_list() for r in a[0]] == x[0].tolist() and a.view().to_list() == x.tolist()
+    assert len(iteration.ndindex((2, 3))) == 6 and list(iteration.ndindex(())) == [()]
+    top = (1 << 63) - 1
+    wrapped = creation.array(spark, [top]) + 1
+    assert list(iteration.nditer((wrapped, creation.array(spark, [1])))) == [(-top - 1, 1)]
+
+
+def test_text(spark):
+    of = lambda v, **k: creation.array(spark, v, **k)
+    for values_, kind, data, name in (
+        ([True, False], bool, "True, False", "bool"), ([4, -7], int, "4, -7", "int64"), ([0.0, -0.0, NAN, -float("inf"), 2.5], float, "0, -0, nan, -inf, 2.5", "float64"),
+        ([1 - 2j, 3 + 0j, complex(NAN, 0)], complex, "1-2j, 3+0j, nan+0j", "complex128"),
+    ):
+        a = of(values_, dtype=kind)
+        assert repr(a).splitlines() == [f"gridloom-array at 0x{id(a):x}", f"  @ data: [{data}]", f"  @ shape: [{len(values_)}]", "  @ ndim: 1", f"  @ size: {len(values_)}", f"  @ dtype: {name}"]
+        assert str(a) == f"[0] {data.replace(',', '')}"
+    grid = creation.arange(spark, 12).reshape(2, 2, 3)
+    assert str(grid[1].T) == "     [,0] [,1]\n[0,]    6    9\n[1,]    7   10\n[2,]    8   11"
+    assert str(grid) == "[0, ,]\n     [,0] [,1] [,2]\n[0,]    0    1    2\n[1,]    3    4    5\n\n[1, ,]\n     [,0] [,1] [,2]\n[0,]    6    7    8\n[1,]    9   10   11"
+    assert [b.splitlines()[0] for b in str(creation.arange(spark, 72).reshape(3, 6, 2, 2)).split("\n\n")] == ["[0, 0, ,]", "[0, 1, ,]", "[0, 2, ,]", "...", "[2, 3, ,]", "[2, 4, ,]", "[2, 5, ,]"]
+    wide = creation.arange(spark, 900).reshape(30, 30)
+    lines = str(wide).splitlines()
+    assert lines[0].startswith("      [,0] [,1]") and " ... " in lines[0] and lines[4] == "..." and lines[-1].startswith("[29,]") and lines[-1].endswith("899")
+    long = creation.arange(spark, 5000)
+    assert "..." in repr(long) and repr(long).splitlines()[1].endswith("4999]") and str(long).startswith("[0] 0 1 2") and str(long).endswith(" 4999")
+    huge = creation.full(spark, (9, 9), complex(1.7e308, -1.2345678901234567e-300))
+    for a in (wide, long, huge, creation.ones(spark, (1,) * 64), creation.zeros(spark, (2, 0)), creation.zeros(spark, (0, 2)), creation.zeros(spark, (2, 0, 3)), creation.array(spark, [], int)):
+        assert all(len(line) <= 80 for line in (repr(a) + "\n" + str(a)).splitlines())
+    assert "  @ data: []" in repr(creation.zeros(spark, (2, 0)))
