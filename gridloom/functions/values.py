@@ -54,7 +54,7 @@ def kind_of(value) -> type:
     for kind in ORDER:
         if isinstance(value, kind):
             return kind
-    raise DTypeError(f"unsupported value: {value!r}")
+    raise DTypeError(f"unsupported element type: {type(value).__name__}")
 
 
 def constant(value, dtype) -> Column:

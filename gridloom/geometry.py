@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import prod
 
-from gridloom.errors import AxisError, ShapeError
+from gridloom.errors import AxisError, DTypeError, ShapeError
 
 LARGEST = (1 << 63) - 1
 
@@ -14,7 +14,7 @@ def checked_shape(shape) -> tuple[int, ...]:
     if any(isinstance(d, bool) or not isinstance(d, int) for d in dims):
         raise TypeError("shape dimensions must be integers")
     if any(d < 0 for d in dims):
-        raise ShapeError("negative dimensions are not allowed")
+        raise ShapeError("shape dimensions must be non-negative")
     if prod(d for d in dims if d) > LARGEST:
         raise ShapeError("shape size overflows")
     return dims
@@ -26,6 +26,8 @@ def strides(shape) -> tuple[int, ...]:
 
 
 def normal_axis(axis: int, ndim: int) -> int:
+    if isinstance(axis, bool) or not isinstance(axis, int):
+        raise DTypeError("axis must be an integer")
     if not -ndim <= axis < ndim:
         raise AxisError(f"axis {axis} is out of bounds for array of dimension {ndim}")
     return axis % ndim
@@ -35,12 +37,12 @@ def normal_axes(axis, ndim: int) -> tuple[int, ...]:
     """All axes for None; else those named, each once."""
     if axis is None:
         return tuple(range(ndim))
-    named = (axis,) if isinstance(axis, int) else tuple(axis)
+    named = tuple(axis) if isinstance(axis, (list, tuple)) else (axis,)
     if not named:
         raise ShapeError("axes must not be empty")
     found = tuple(normal_axis(a, ndim) for a in named)
     if len(set(found)) < len(found):
-        raise ShapeError("duplicate axis")
+        raise ShapeError("axes must not contain duplicates")
     return tuple(sorted(found))
 
 
@@ -59,7 +61,7 @@ def broadcast(*shapes) -> tuple[int, ...]:
 def reshaped(shape, new) -> tuple[int, ...]:
     size, dims = prod(shape), [new] if isinstance(new, int) else list(new)
     if dims.count(-1) > 1:
-        raise ShapeError("can only specify one unknown dimension")
+        raise ShapeError("only one reshape dimension may be -1")
     if -1 in dims:
         rest = prod(d for d in dims if d != -1)
         if not rest or size % rest:

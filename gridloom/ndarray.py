@@ -184,3 +184,12 @@ def _operators() -> None:
 
 
 _operators()
+
+
+def _power(a, b, modulus=None):
+    if modulus is not None:
+        raise TypeError("modular array power is not supported")
+    return a._binary("power", b)
+
+
+NDArray.__pow__ = _power

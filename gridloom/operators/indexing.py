@@ -15,7 +15,7 @@ def _expanded(key, ndim: int) -> list:
     """One entry for each axis or new axis: int, slice, None or array; a mask stands for its own number of axes."""
     entries = list(key) if isinstance(key, tuple) else [key]
     if sum(e is Ellipsis for e in entries) > 1:
-        raise ArrayIndexError("an index can have only one ellipsis")
+        raise ArrayIndexError("an index can have a single ellipsis")
     used = sum(e.ndim if isinstance(e, NDArray) and e.dtype is bool else e is not None and e is not Ellipsis for e in entries)
     if used > ndim:
         raise ArrayIndexError("too many indices for array")
@@ -34,13 +34,13 @@ def _resolved(a: NDArray, key):
         elif isinstance(e, NDArray):
             if e.dtype is bool:
                 if e.shape != a.shape[axis : axis + e.ndim]:
-                    raise ArrayIndexError("mask shape does not match the axes that it indexes")
+                    raise ArrayIndexError("boolean index shape does not match the axes that it indexes")
                 for place in selection.nonzero(e):
                     result.append((axis, place))
                     axis += 1
                 continue
             if e.dtype is not int:
-                raise ArrayIndexError("index arrays must be of integers or bools")
+                raise values.DTypeError("fancy index must be an integer or boolean array")
             n = a.shape[axis]
             ufunc._refuse_cells(e.base, (e.value < -n) | (e.value >= n), ArrayIndexError, f"index is out of bounds for axis {axis} with size {n}")
             result.append((axis, NDArray(e.base, F.when(e.value < 0, e.value + n).otherwise(e.value), e.shape, int)))
@@ -54,7 +54,7 @@ def _resolved(a: NDArray, key):
             result.append((axis, e % a.shape[axis]))
             axis += 1
         else:
-            raise ArrayIndexError(f"unsupported index: {e!r}")
+            raise values.DTypeError("index must be int, slice, ellipsis, None, or array")
     return result
 
 

@@ -6,6 +6,7 @@ import itertools
 import math
 
 from gridloom import geometry
+from gridloom.errors import ShapeError
 from gridloom.functions import values
 from gridloom.ndarray import NDArray, indices
 from gridloom.operators import ufunc
@@ -38,17 +39,20 @@ def flat(a: NDArray):
 
 
 def nditer(arrays: tuple):
-    """The cells of one or two arrays of one dtype, broadcast together."""
+    """The cells of one array, or pairs of cells of two of one dtype, broadcast together. What can't be iterated over is
+    refused at once."""
+    if not isinstance(arrays, tuple) or not all(isinstance(a, NDArray) for a in arrays):
+        raise values.DTypeError("each operand of nditer must be an array")
+    if len(arrays) not in (1, 2):
+        raise ShapeError("nditer supports 1-2 operands")
     if len(arrays) == 1:
-        yield from ((v,) for v in flat(arrays[0]))
-        return
-    for row in _both(*arrays).toLocalIterator():
-        yield _cell(row["a"]), _cell(row["b"])
+        return flat(arrays[0])
+    return ((_cell(row["a"]), _cell(row["b"])) for row in _both(*arrays).toLocalIterator())
 
 
 @values.plan
 def _both(x: NDArray, y: NDArray):
     if x.dtype is not y.dtype:
-        raise values.DTypeError("arrays must have one dtype")
+        raise ShapeError("nditer requires operands with the same dtype")
     x, y = ufunc.aligned(x, y)
     return x.base.select(*indices(x.ndim), x.value.alias("a"), y.value.alias("b")).orderBy(*indices(x.ndim))

@@ -28,7 +28,7 @@ def matmul(a: NDArray, b: NDArray, lazy: bool = False):
     left = manipulation.reshape(a, (1, a.size)) if a.ndim == 1 else a
     right = manipulation.reshape(b, (b.size, 1)) if b.ndim == 1 else b
     if left.shape[-1] != right.shape[-2]:
-        raise ShapeError(f"matmul: {a.shape} and {b.shape} don't fit")
+        raise ShapeError(f"matmul inner dimensions differ: {a.shape} and {b.shape}")
     batch = geometry.broadcast(left.shape[:-2], right.shape[:-2])
     shape = batch + (left.shape[-2], right.shape[-1])
     drop = ([len(shape) - 2] if a.ndim == 1 else []) + ([len(shape) - 1] if b.ndim == 1 else [])
@@ -50,14 +50,14 @@ def matmul(a: NDArray, b: NDArray, lazy: bool = False):
 
 def dot(a: NDArray, b: NDArray, lazy: bool = False):
     if not (1 <= a.ndim <= 2 and 1 <= b.ndim <= 2):
-        raise ShapeError("dot takes one or two axes")
+        raise ShapeError("dot supports only 1-D or 2-D operands")
     return matmul(a, b, lazy)
 
 
 def vdot(a: NDArray, b: NDArray, lazy: bool = False):
     """Flat, the first one conjugated. Arrays of one shape are multiplied cell by cell, over one base without a join."""
     if a.size != b.size:
-        raise ShapeError("vdot takes arrays of one size")
+        raise ShapeError("vdot requires equal flattened sizes")
     from gridloom.operators import ufunc
 
     values.refuse(values.promote(a.dtype, b.dtype), bool, name="vdot")
@@ -78,7 +78,7 @@ def diagonal(a: NDArray, offset: int = 0, axis1: int = 0, axis2: int = 1) -> NDA
         raise ShapeError("diagonal takes arrays of two or more axes")
     p, q = geometry.normal_axis(axis1, a.ndim), geometry.normal_axis(axis2, a.ndim)
     if p == q:
-        raise ShapeError("axes must differ")
+        raise ShapeError("axis1 and axis2 must be different")
     n = max(0, min(a.shape[p] - max(-offset, 0), a.shape[q] - max(offset, 0)))
     kept = [k for k in range(a.ndim) if k not in (p, q)]
     cells = a.base.filter(F.col(f"i{q}") - F.col(f"i{p}") == offset)

@@ -33,7 +33,7 @@ def permute_axes(a: NDArray, axes) -> NDArray:
 def squeeze(a: NDArray, axis=None, lazy: bool = False):
     axes = tuple(k for k, n in enumerate(a.shape) if n == 1) if axis is None else geometry.normal_axes(axis, a.ndim)
     if any(a.shape[k] != 1 for k in axes):
-        raise ShapeError("cannot squeeze an axis whose length is not one")
+        raise ShapeError("".join(f"cannot squeeze axis {k} with length {a.shape[k]}" for k in [next(k for k in axes if a.shape[k] != 1)]))
     kept = [k for k in range(a.ndim) if k not in axes]
     return unwrapped(reindexed(a, [F.col(f"i{k}") for k in kept], [a.shape[k] for k in kept]), lazy)
 
@@ -49,15 +49,21 @@ def broadcast_to(a: NDArray, shape) -> NDArray:
     return a if a.shape == shape else aligned(a, NDArray(grid(a.base.sparkSession, shape), F.lit(True), shape, bool))[0]
 
 
+def _sequence(arrays, name: str) -> list[NDArray]:
+    if not isinstance(arrays, (list, tuple)) or not all(isinstance(a, NDArray) for a in arrays):
+        raise values.DTypeError(f"{name} argument must be a sequence of arrays")
+    return list(arrays)
+
+
 @values.plan
 def concatenate(arrays, axis=0) -> NDArray:
-    arrays = list(arrays)
+    arrays = _sequence(arrays, "concatenate")
     if not arrays:
-        raise ShapeError("need at least one array to concatenate")
+        raise ShapeError("concatenate requires at least one array")
     first = arrays[0]
     axis = geometry.normal_axis(axis, first.ndim)
     if any(a.dtype is not first.dtype for a in arrays):
-        raise values.DTypeError("arrays must have one dtype")
+        raise values.DTypeError("all arrays must have the same dtype in concatenate")
     if any(a.ndim != first.ndim or a.shape[:axis] + a.shape[axis + 1 :] != first.shape[:axis] + first.shape[axis + 1 :] for a in arrays):
         raise ShapeError("all dimensions but the concatenation axis must match")
     parts, offset = [], 0
@@ -68,7 +74,7 @@ def concatenate(arrays, axis=0) -> NDArray:
 
 
 def stack(arrays, axis=0) -> NDArray:
-    arrays = list(arrays)
+    arrays = _sequence(arrays, "stack")
     if not arrays or any(a.shape != arrays[0].shape for a in arrays):
         raise ShapeError("all arrays must have the same shape")
     axis = geometry.normal_axis(axis, arrays[0].ndim + 1)
@@ -76,9 +82,9 @@ def stack(arrays, axis=0) -> NDArray:
 
 
 def vstack(arrays) -> NDArray:
-    return concatenate([reshape(a, (1, a.size)) if a.ndim == 1 else a for a in arrays], 0)
+    return concatenate([reshape(a, (1, a.size)) if a.ndim == 1 else a for a in _sequence(arrays, "vstack")], 0)
 
 
 def hstack(arrays) -> NDArray:
-    arrays = list(arrays)
+    arrays = _sequence(arrays, "hstack")
     return concatenate(arrays, 0 if arrays and arrays[0].ndim == 1 else 1)

@@ -27,7 +27,7 @@ SCAN_BLOCK, FOLD_BLOCK = 1 << 16, 1 << 12
 def _named(axis, axes):
     """What axis or axes say; not both."""
     if axis is not None and axes is not None:
-        raise ShapeError("axis and axes cannot both be given")
+        raise ShapeError("cannot specify both axis and axes")
     return axis if axes is None else tuple(axes)
 
 
@@ -184,7 +184,7 @@ def _arg(name, largest):
 
         found = _reduce(both, axis, False, int, make, None, name)
         if ignore and a.dtype is float and not found.df.filter("v IS NULL").limit(1).isEmpty():
-            raise UnsupportedError(f"{name} of a slice of NaN only")
+            raise UnsupportedError(f"{name} of all-NaN slice")
         return unwrapped(found, lazy)
 
     run.__name__ = name

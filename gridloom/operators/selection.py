@@ -14,7 +14,7 @@ from gridloom.operators import ufunc
 @values.plan
 def where(condition: NDArray, x, y) -> NDArray:
     if not isinstance(condition, NDArray) or condition.dtype is not bool:
-        raise values.DTypeError("condition must be a bool array")
+        raise values.DTypeError("where condition must be a bool array")
     kind = values.promote(*(v.dtype if isinstance(v, NDArray) else values.kind_of(v) for v in (x, y)))
     whole = [v for v in (condition, x, y) if isinstance(v, NDArray)]
     aligned = iter(ufunc.aligned(*whole))
@@ -65,6 +65,8 @@ def masked(a: NDArray, mask: NDArray) -> NDArray:
 def clip(a: NDArray, min=None, max=None) -> NDArray:
     """min first, then max; NaN passes through; bounds take the array's dtype."""
     values.refuse(a.dtype, complex, name="clip")
+    if any(isinstance(bound, (NDArray, list, tuple)) for bound in (min, max)):
+        raise ShapeError("clip bounds must be scalar values")
     v = a.value
     if min is not None:
         low = values.constant(min, a.dtype)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from gridloom import geometry
@@ -46,10 +49,25 @@ def aligned(*operands: NDArray) -> list[NDArray]:
     return [NDArray(joined, F.col(f"o{k}"), shape, a.dtype) for k, a in enumerate(operands)]
 
 
+def accepting(function):
+    """Nested sequences become arrays, and scalars alone give a scalar, by a job."""
+
+    @functools.wraps(function)
+    def run(*operands, **options):
+        from gridloom.sources.creation import array
+
+        if any(isinstance(x, NDArray) for x in operands) and not any(isinstance(x, (list, tuple)) for x in operands):
+            return function(*operands, **options)
+        spark = next((x.base.sparkSession for x in operands if isinstance(x, NDArray)), None) or SparkSession.builder.getOrCreate()
+        if any(isinstance(x, (NDArray, list, tuple)) for x in operands):
+            return function(*(array(spark, x) if isinstance(x, (list, tuple)) else x for x in operands), **options)
+        return function(*(array(spark, [x]) for x in operands), **options).to_list()[0]
+
+    return run
+
+
 def lifted(a, b):
     """Both as arrays over one base, or one as a constant; and the promoted dtype."""
-    if not isinstance(a, NDArray) and not isinstance(b, NDArray):
-        raise UnsupportedError("at least one operand must be an array")
     if not isinstance(a, NDArray):
         kind = values.promote(values.kind_of(a), b.dtype)
         return NDArray(b.base, values.constant(a, kind), b.shape, kind), b, kind
@@ -67,6 +85,7 @@ def _refuse_cells(base, bad, error, message):
 
 
 def _arithmetic(name):
+    @accepting
     @values.plan
     def run(a, b, lazy: bool = False) -> NDArray:
         x, y, kind = lifted(a, b)
@@ -91,11 +110,12 @@ add, subtract, multiply, divide, trunc_divide, remainder, power = map(_arithmeti
 
 
 def _comparison(name):
+    @accepting
     @values.plan
     def run(a, b) -> NDArray:
         x, y, kind = lifted(a, b)
-        if name not in ("equal", "not_equal"):
-            values.refuse(kind, bool, complex, name=name)
+        if name not in ("equal", "not_equal") and kind in (bool, complex):
+            raise UnsupportedError(f"ordering comparisons not supported for {'complex' if kind is complex else 'bool'}")
         return NDArray(x.base, values.COMPARE[name](values.cast(x.value, x.dtype, kind), values.cast(y.value, y.dtype, kind), kind), x.shape, bool)
 
     run.__name__ = name
@@ -105,29 +125,35 @@ def _comparison(name):
 equal, not_equal, less, less_equal, greater, greater_equal = map(_comparison, values.COMPARE)
 
 
+@accepting
 def logical_and(a, b) -> NDArray:
     x, y, _ = lifted(a, b)
     return NDArray(x.base, values.truth(x.value, x.dtype) & values.truth(y.value, y.dtype), x.shape, bool)
 
 
+@accepting
 def logical_or(a, b) -> NDArray:
     x, y, _ = lifted(a, b)
     return NDArray(x.base, values.truth(x.value, x.dtype) | values.truth(y.value, y.dtype), x.shape, bool)
 
 
+@accepting
 def logical_not(a: NDArray) -> NDArray:
     return NDArray(a.base, ~values.truth(a.value, a.dtype), a.shape, bool)
 
 
+@accepting
 def negative(a: NDArray) -> NDArray:
     return NDArray(a.base, values.negative(a.value, a.dtype), a.shape, a.dtype)
 
 
+@accepting
 def absolute(a: NDArray) -> NDArray:
     return NDArray(a.base, values.absolute(a.value, a.dtype), a.shape, float if a.dtype is complex else a.dtype)
 
 
 def _test(name, real):
+    @accepting
     def run(a: NDArray) -> NDArray:
         values.refuse(a.dtype, bool, int, name=name)
         if a.dtype is float:
@@ -145,6 +171,7 @@ isfinite = _test("isfinite", lambda v: ~F.isnan(v) & (F.abs(v) < values.INF))
 
 
 def _part(name, pick, kind):
+    @accepting
     def run(a: NDArray) -> NDArray:
         values.refuse(a.dtype, bool, int, float, name=name)
         return NDArray(a.base, pick(a.value), a.shape, kind)

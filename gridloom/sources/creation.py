@@ -84,18 +84,20 @@ def array(spark, obj, dtype=None, shape=None) -> NDArray:
     shape, leaves, level = [], obj, obj
     while isinstance(level, (list, tuple)):
         if len(shape) == 64:
-            raise ShapeError("too many dimensions")
+            raise ShapeError("nested sequences exceed the maximum depth of 64")
         shape.append(len(level))
         level = level[0] if level else None
     if not shape:
-        raise ShapeError("a bare scalar needs a shape")
+        if isinstance(obj, values.ORDER):
+            raise ShapeError("0-dimensional arrays cannot be created: a scalar needs a shape")
+        raise values.DTypeError("expected nested list/tuple")
     leaves = [obj]
     for n in shape:
         if any(not isinstance(x, (list, tuple)) or len(x) != n for x in leaves):
-            raise ShapeError("ragged nested sequence")
+            raise ShapeError("inhomogeneous nested sequence")
         leaves = [y for x in leaves for y in x]
     if any(isinstance(x, (list, tuple)) for x in leaves):
-        raise ShapeError("ragged nested sequence")
+        raise ShapeError("inhomogeneous nested sequence")
     found = values.promote(bool, *(values.kind_of(x) for x in leaves))
     kind = values.checked(dtype) if dtype else found
     if values.promote(found, kind) is not kind:
@@ -111,7 +113,7 @@ def arange(spark, start, stop=None, step=1) -> NDArray:
     if any(isinstance(x, bool) or not isinstance(x, int) for x in (start, stop, step)):
         raise values.DTypeError("arange takes integers")
     if not step:
-        raise ShapeError("step must not be zero")
+        raise ShapeError("arange step must not be zero")
     n = max(0, -((start - stop) // step))
     return NDArray(grid(spark, n), F.lit(start).cast("bigint") + F.col("lin") * F.lit(step).cast("bigint"), (n,), int)
 
@@ -119,7 +121,7 @@ def arange(spark, start, stop=None, step=1) -> NDArray:
 def _line(start: float, stop: float, num: int, endpoint: bool):
     """i / n of the way, the ends exact; opposite signs are mixed so that the difference can't overflow."""
     if num < 0 or not (math.isfinite(start) and math.isfinite(stop)):
-        raise ShapeError("num must not be negative and the ends must be finite")
+        raise ShapeError("linspace bounds must be finite, and num not negative")
     parts = (num - 1 if endpoint else num) or 1
     share = F.col("lin") / F.lit(float(parts))
     inner = F.lit(start) * (1 - share) + F.lit(stop) * share if (start < 0) != (stop < 0) else F.lit(start) + F.lit(stop - start) * F.col("lin") / F.lit(float(parts))
@@ -135,13 +137,13 @@ def linspace(spark, start, stop, num, endpoint=True) -> NDArray:
 
 def logspace(spark, start, stop, num, endpoint=True, base=10.0) -> NDArray:
     if not (math.isfinite(base) and base > 0):
-        raise ShapeError("base must be finite and positive")
+        raise ShapeError("logspace base must be finite and greater than zero")
     return NDArray(grid(spark, num), F.pow(F.lit(float(base)), _line(float(start), float(stop), num, endpoint)), (num,), float)
 
 
 def geomspace(spark, start, stop, num, endpoint=True) -> NDArray:
     if not start or not stop or (start < 0) != (stop < 0):
-        raise ShapeError("the ends must not be zero and must have one sign")
+        raise ShapeError("geomspace bounds must have the same sign and not be zero")
     sign = -1.0 if start < 0 else 1.0
     inner = F.lit(sign) * F.exp(_line(math.log(abs(start)), math.log(abs(stop)), num, endpoint))
     value = F.when(F.col("lin") == 0, F.lit(float(start)))
@@ -190,7 +192,7 @@ def diag(a: NDArray, k=0) -> NDArray:
     if a.ndim == 2:
         return diagonal(a, k)
     if a.ndim != 1:
-        raise ShapeError("diag takes one or two axes")
+        raise ShapeError("diag requires a 1-D or 2-D array")
     n = a.size + abs(k)
     cells = a.df.select((F.col("i0") + max(-k, 0)).alias("i0"), (F.col("i0") + max(k, 0)).alias("i1"), F.col("v").alias("x"))
     whole = grid(a.base.sparkSession, (n, n)).drop("lin").join(cells, ["i0", "i1"], "left")
@@ -204,7 +206,7 @@ def meshgrid(*arrays: NDArray, indexing: str = "xy") -> tuple:
     if indexing not in ("xy", "ij"):
         raise ShapeError("indexing must be 'xy' or 'ij'")
     if any(a.ndim != 1 for a in arrays):
-        raise ShapeError("meshgrid takes vectors")
+        raise ShapeError("meshgrid inputs must be 1-D arrays")
     for a in arrays:
         values.refuse(a.dtype, bool, name="meshgrid")
     kind, n = values.promote(bool, *(a.dtype for a in arrays)), len(arrays)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from gridloom import geometry
-from gridloom.errors import ArrayIndexError, AxisError, DivideByZeroError, ShapeError, UnsupportedError
+from gridloom.errors import ArrayIndexError, AxisError, DTypeError, DivideByZeroError, ShapeError, UnsupportedError
 from gridloom.operators import indexing, iteration, linalg, manipulation, reduction, selection, sorting, ufunc
 from gridloom.ndarray import NDArray
 from gridloom.sources import creation
@@ -31,7 +31,7 @@ def cube(spark):
 @pytest.mark.parametrize("name", ["add", "subtract", "multiply", "divide", "power"])
 @pytest.mark.parametrize("kind", [float, complex])
 def test_arithmetic(spark, name, kind):
-    x, y = [[2, 3, 4], [5, 6, 7]], [1, 2, 2]
+    x, y = [[9, 4, 1], [6, 8, 5]], [3, 1, 2]
     same(getattr(ufunc, name)(creation.array(spark, x, kind), creation.array(spark, y, kind)), getattr(np, name)(np.array(x, kind), np.array(y, kind)))
 
 
@@ -348,3 +348,54 @@ def test_text(spark):
     for a in (wide, long, huge, creation.ones(spark, (1,) * 64), creation.zeros(spark, (2, 0)), creation.zeros(spark, (0, 2)), creation.zeros(spark, (2, 0, 3)), creation.array(spark, [], int)):
         assert all(len(line) <= 80 for line in (repr(a) + "\n" + str(a)).splitlines())
     assert "  @ data: []" in repr(creation.zeros(spark, (2, 0)))
+
+
+def test_sequences_and_scalars_as_operands(spark):
+    a = creation.array(spark, [[1, 2], [3, 4]])
+    same(ufunc.add(a, [10, 20]), np.array([[11, 22], [13, 24]]))
+    same([[2, 0], [1, 1]] * a, np.array([[2, 0], [3, 4]]))
+    same(ufunc.less([1, 5], (2, 2)), [True, False])
+    assert ufunc.add(2, 3) == 5 and ufunc.multiply(2.0, 3j) == 6j and ufunc.equal(1, 1.0) is True and ufunc.absolute(3 - 4j) == 5.0 and ufunc.logical_not(0) is True
+    assert ufunc.isnan(NAN) is True and ufunc.divide(-7, 2) == -3 and ufunc.conj(1 + 2j) == 1 - 2j
+
+
+# What each refused call raises, with a part of its message.
+REFUSED = {
+    TypeError: {
+        "dtype": lambda c, s: c.zeros(s, (2,), dtype=str), "expected nested list/tuple": lambda c, s: c.array(s, object()), "unsupported element type": lambda c, s: c.array(s, ["12"]),
+        "where condition must be a bool array": lambda c, s: selection.where(c.array(s, [1, 0]), 1, 0), "index must be int, slice, ellipsis, None, or array": lambda c, s: c.array(s, [1, 2])[0.5],
+        "fancy index must be an integer or boolean array": lambda c, s: c.array(s, [1, 2])[c.array(s, [1.0])], "axis must be an integer": lambda c, s: reduction.argmin(c.ones(s, 2), axis=0.5),
+        "concatenate argument must be a sequence of arrays": lambda c, s: manipulation.concatenate(3), "nditer must be an array": lambda c, s: iteration.nditer((3,)),
+        "modular array power is not supported": lambda c, s: pow(c.array(s, [4]), 2, 3),
+    },
+    ValueError: {
+        "maximum depth": lambda c, s: c.array(s, __import__("functools").reduce(lambda x, _: [x], range(70), 1)), "0-dimensional arrays cannot be created": lambda c, s: c.array(s, 2),
+        "shape dimensions must be non-negative": lambda c, s: c.zeros(s, (3, -2)), "shape size overflows": lambda c, s: c.zeros(s, (2**61, 16)), "inhomogeneous nested sequence": lambda c, s: c.array(s, [[1, 2], [3]]),
+        "arange step must not be zero": lambda c, s: c.arange(s, 1, 4, 0), "linspace bounds must be finite": lambda c, s: c.linspace(s, 0.0, float("inf"), 4),
+        "logspace base must be finite and greater than zero": lambda c, s: c.logspace(s, 0, 2, 3, base=-1.0), "geomspace bounds must have the same sign": lambda c, s: c.geomspace(s, 2.0, -2.0, 3),
+        "only one reshape dimension may be -1": lambda c, s: c.arange(s, 6).reshape((-1, -1)), "cannot reshape array of size 6": lambda c, s: c.arange(s, 6).reshape((4,)),
+        "cannot squeeze axis 1 with length 3": lambda c, s: c.ones(s, (1, 3)).squeeze(1), "axes must be a permutation": lambda c, s: c.ones(s, (2, 3)).permute_axes((1, 1)),
+        "cannot specify both axis and axes": lambda c, s: reduction.mean(c.ones(s, 3), axis=0, axes=(0,)), "axes must not contain duplicates": lambda c, s: reduction.prod(c.ones(s, (2, 2)), axes=(1, -1)),
+        "max of empty array / empty axis": lambda c, s: reduction.max(c.zeros(s, (0,))), "argmin of all-NaN slice": lambda c, s: reduction.argmin(c.array(s, [NAN]), nan_policy="ignore"),
+        "nan_policy must be 'propagate' or 'ignore'": lambda c, s: reduction.std(c.ones(s, 3), nan_policy="drop"), "concatenate requires at least one array": lambda c, s: manipulation.concatenate([]),
+        "all arrays must have the same shape": lambda c, s: manipulation.stack((c.ones(s, 3), c.ones(s, (1, 3)))), "operands could not be broadcast together": lambda c, s: c.ones(s, 3) + c.ones(s, 4),
+        "clip bounds must be scalar values": lambda c, s: selection.clip(c.arange(s, 4), 1, c.array(s, [3])), "sort is not supported for dtype complex": lambda c, s: sorting.sort(c.array(s, [2j])),
+        "ordering comparisons not supported for complex": lambda c, s: c.array(s, [2j]) < 1j, "nditer supports 1-2 operands": lambda c, s: iteration.nditer(()),
+        "nditer requires operands with the same dtype": lambda c, s: iteration.nditer((c.array(s, [2]), c.array(s, [2.0]))), "matmul inner dimensions differ": lambda c, s: c.ones(s, (2, 3)) @ c.ones(s, (2, 3)),
+        "dot supports only 1-D or 2-D operands": lambda c, s: linalg.dot(c.ones(s, (1, 1, 2)), c.ones(s, 2)), "vdot requires equal flattened sizes": lambda c, s: linalg.vdot(c.ones(s, 3), c.ones(s, 4)),
+        "axis1 and axis2 must be different": lambda c, s: linalg.diagonal(c.ones(s, (2, 2)), axis1=1, axis2=1), "diag requires a 1-D or 2-D array": lambda c, s: c.diag(c.ones(s, (1, 2, 1))),
+        "meshgrid inputs must be 1-D arrays": lambda c, s: c.meshgrid(c.ones(s, (2, 3))),
+    },
+    IndexError: {
+        "axis 3 is out of bounds": lambda c, s: reduction.sum(c.ones(s, (2, 2)), axis=3), "out of bounds": lambda c, s: c.array(s, [1, 2])[-4], "single ellipsis": lambda c, s: c.ones(s, (2, 2))[..., 0, ...],
+        "too many indices": lambda c, s: c.ones(s, (2, 2))[1, 1, 1], "boolean index shape": lambda c, s: c.ones(s, (2, 2))[c.array(s, [False, True, True])],
+    },
+    ZeroDivisionError: {"division by zero": lambda c, s: ufunc.remainder(c.array(s, [5]), c.array(s, [0])), "integer division by zero": lambda c, s: ufunc.divide(1, 0)},
+}
+
+
+@pytest.mark.parametrize("kind, part", [(kind, part) for kind, calls in REFUSED.items() for part in calls])
+def test_refusals(spark, kind, part):
+    with pytest.raises(kind) as found:
+        REFUSED[kind][part](creation, spark)
+    assert part in str(found.value)
