@@ -22,7 +22,7 @@ from gridloom.llm.pretokens import can_be_cut
 
 #: Bytes of distinct words in one recursive query, rows that its steps hold together, ids in one decoding query, and
 #: words that a task remembers; they bound memory.
-QUERY_BYTES, STATE_ROWS, DECODE_IDS, MEMO_WORDS = 1 << 17, 1 << 21, 1 << 18, 400_000
+QUERY_BYTES, STATE_ROWS, DECODE_IDS, MEMO_WORDS = 1 << 17, 1 << 20, 1 << 17, 400_000
 SYMBOLS = [chr(256 + b) for b in range(256)]
 
 #: pos counts the bytes of all words of the batch, so it names a row. A row carries its right neighbour's position and
@@ -262,10 +262,12 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
         codec = shared.codec()
         flat, lengths = codec.encode(texts)
         raw, ends = memoryview(flat.astype("<u4").tobytes()), 4 * np.cumsum(lengths)
-        return pd.DataFrame({
+        done = pd.DataFrame({
             "n_tokens": lengths,
             "ids_sha256": [hashlib.sha256(raw[end - 4 * n : end]).hexdigest() for end, n in zip(ends.tolist(), lengths.tolist())],
             "decoded_sha256": [hashlib.sha256(found).hexdigest() for found in codec.decode(flat, lengths)],
         })
+        common.trim()
+        return done
 
     return common.map_texts(docs, work, "n_tokens long, ids_sha256 string, decoded_sha256 string", id_col, text_col, forget=shared.close)

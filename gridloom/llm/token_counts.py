@@ -46,7 +46,7 @@ def loaded(path: str):
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    cuttable = tokenizer.normalizer is None and isinstance(tokenizer.pre_tokenizer, ByteLevel) and not tokenizer.pre_tokenizer.add_prefix_space
+    cuttable = tokenizer.normalizer is None and isinstance(tokenizer.pre_tokenizer, ByteLevel) and tokenizer.pre_tokenizer.use_regex and not tokenizer.pre_tokenizer.add_prefix_space
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     return lambda texts: [len(x) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], cuttable, special
 
