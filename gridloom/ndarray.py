@@ -1,7 +1,9 @@
 """The array: one row a cell, keyed by explicit index columns, behind an immutable handle.
 
 A handle is a base DataFrame, which has the index columns i0, i1, ... and any value columns, and an expression over it.
-Arrays that share a base combine in one projection, without a join; others are joined on their indices.
+Arrays that share a base combine in one projection, without a join; others are joined on their indices. A handle is
+free if its expression doesn't read the index columns: then a view of it keeps all value columns, and equal views of one
+base share theirs.
 """
 
 from __future__ import annotations
@@ -39,8 +41,8 @@ def unwrapped(a: NDArray, lazy: bool = False):
 
 
 class NDArray:
-    def __init__(self, base: DataFrame, value: Column, shape, dtype):
-        self.base, self.value, self.shape, self.dtype = base, value, tuple(shape), values.checked(dtype)
+    def __init__(self, base: DataFrame, value: Column, shape, dtype, free: bool = False):
+        self.base, self.value, self.shape, self.dtype, self.free = base, value, tuple(shape), values.checked(dtype), free
 
     @property
     def ndim(self) -> int:
@@ -70,13 +72,13 @@ class NDArray:
 
     @classmethod
     def of(cls, df: DataFrame, shape, dtype) -> NDArray:
-        return cls(df, F.col("v"), shape, dtype)
+        return cls(df, F.col("v"), shape, dtype, free=True)
 
     def astype(self, dtype) -> NDArray:
-        return NDArray(self.base, values.cast(self.value, self.dtype, values.checked(dtype)), self.shape, dtype)
+        return NDArray(self.base, values.cast(self.value, self.dtype, values.checked(dtype)), self.shape, dtype, self.free)
 
     def copy(self) -> NDArray:
-        return NDArray(self.base, self.value, self.shape, self.dtype)
+        return NDArray(self.base, self.value, self.shape, self.dtype, self.free)
 
     def view(self) -> NDArray:
         """The same cells under another handle. Assignment changes a handle, never cells, so views and copies are alike."""
@@ -151,7 +153,7 @@ class NDArray:
         from gridloom.operators import indexing
 
         changed = indexing.assigned(self, key, value)
-        self.base, self.value = changed.base, changed.value
+        self.base, self.value, self.free = changed.base, changed.value, changed.free
 
     def reshape(self, *shape):
         from gridloom.operators import manipulation

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from math import prod
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from gridloom import geometry
@@ -16,11 +20,64 @@ def _contracted(kind, x, y):
     return F.struct(F.sum(product["re"]).alias("re"), F.sum(product["im"]).alias("im")) if kind is complex else F.sum(product)
 
 
+#: Products of cells that a join's rows may stand for one by one; more are multiplied by tiles of this side.
+JOINED_PRODUCTS, TILE = 50_000_000, 256
+
+
+def _dense(group: pd.DataFrame, row: str, column: str, value: str, kind, side: int) -> np.ndarray:
+    x = np.zeros((side, side), {int: np.int64, float: np.float64, complex: np.complex128}[kind])
+    cells = np.array([complex(c["re"], c["im"]) for c in group[value]]) if kind is complex else group[value].to_numpy()
+    x[group[row].to_numpy() % side, group[column].to_numpy() % side] = cells
+    return x
+
+
+def _tiled(x, y, names, kind, shape):
+    """names, r, c and v of the product of x (names, r, k, x) and y (names, k, c, y): cells are put together as tiles, pairs of
+    tiles that share a stretch of k are multiplied, and their products added up. An integer tile wraps as its cells do."""
+    side = TILE
+    tile = lambda name: F.call_function("div", F.col(name), F.lit(side).cast("bigint"))
+    keys = ", ".join(f"{n} bigint" for n in names) + (", " if names else "")
+    numpy_kind = {int: "<i8", float: "<f8", complex: "<c16"}[kind]
+
+    def gathered(df, row, column, value):
+        def run(key, group):
+            return pd.DataFrame([(*key, _dense(group, row, column, value, kind, side).tobytes())], columns=[*names, f"t{row}", f"t{column}", f"tile_{value}"])
+
+        dealt = df.withColumn(f"t{row}", tile(row)).withColumn(f"t{column}", tile(column))
+        return dealt.groupBy(*names, f"t{row}", f"t{column}").applyInPandas(run, f"{keys}t{row} bigint, t{column} bigint, tile_{value} binary")
+
+    def multiplied(batches):
+        for batch in batches:
+            done = [(np.frombuffer(a, numpy_kind).reshape(side, side) @ np.frombuffer(b, numpy_kind).reshape(side, side)).tobytes() for a, b in zip(batch["tile_x"], batch["tile_y"])]
+            yield batch[[*names, "tr", "tc"]].assign(tile=done)
+
+    def added(key, group):
+        total = np.sum([np.frombuffer(t, numpy_kind) for t in group["tile"]], axis=0).reshape(side, side)
+        r, c = int(key[-2]) * side, int(key[-1]) * side
+        total = total[: shape[0] - r, : shape[1] - c]
+        rows, columns = np.indices(total.shape)
+        flat = total.ravel()
+        v = [{"re": z.real, "im": z.imag} for z in flat.tolist()] if kind is complex else flat
+        return pd.DataFrame({**dict(zip(names, key)), "r": rows.ravel() + r, "c": columns.ravel() + c, "v": v})
+
+    pairs = gathered(x, "r", "k", "x").join(gathered(y, "k", "c", "y"), [*names, "tk"])
+    products = pairs.mapInPandas(multiplied, f"{keys}tr bigint, tc bigint, tile binary")
+    # sums of a few tiles at a time, then of those, so that no task holds all that one tile of the result is made of
+    few = products.withColumn("few", F.pmod(F.monotonically_increasing_id(), F.lit(64)))
+
+    def partly(key, group):
+        return pd.DataFrame([(*key[:-1], np.sum([np.frombuffer(t, numpy_kind) for t in group["tile"]], axis=0).tobytes())], columns=[*names, "tr", "tc", "tile"])
+
+    some = few.groupBy(*names, "tr", "tc", "few").applyInPandas(partly, f"{keys}tr bigint, tc bigint, tile binary")
+    return some.groupBy(*names, "tr", "tc").applyInPandas(added, f"{keys}r bigint, c bigint, v {values.SPARK[kind]}")
+
+
 @values.plan
 def matmul(a: NDArray, b: NDArray, lazy: bool = False):
-    """Rows of a against columns of b, joined on the contracted index; batch axes broadcast, vectors lose their axis again.
+    """Rows of a against columns of b; batch axes broadcast, vectors lose their axis again.
 
-    The join's output is one row for each product, n m k in all, which Spark sums up within tasks before the shuffle."""
+    Cells are joined on the contracted index, one row for each product, which Spark sums up within tasks before the shuffle;
+    where those would be too many, tiles are."""
     kind = values.promote(a.dtype, b.dtype)
     values.refuse(kind, bool, name="matmul")
     if not a.ndim or not b.ndim:
@@ -43,7 +100,10 @@ def matmul(a: NDArray, b: NDArray, lazy: bool = False):
     names = [f"b{k}" for k in range(len(batch))]
     x = left.base.select(*(F.col(f"i{k}").alias(n) for k, n in enumerate(names)), F.col(f"i{len(batch)}").alias("r"), F.col(f"i{len(batch) + 1}").alias("k"), values.cast(left.value, left.dtype, kind).alias("x"))
     y = right.base.select(*(F.col(f"i{k}").alias(n) for k, n in enumerate(names)), F.col(f"i{len(batch)}").alias("k"), F.col(f"i{len(batch) + 1}").alias("c"), values.cast(right.value, right.dtype, kind).alias("y"))
-    found = x.join(y, [*names, "k"]).groupBy(*names, "r", "c").agg(_contracted(kind, F.col("x"), F.col("y")).alias("v"))
+    if prod(shape) * left.shape[-1] > JOINED_PRODUCTS and min(left.shape[-2:] + right.shape[-1:]) >= TILE:
+        found = _tiled(x, y, names, kind, shape[-2:])
+    else:
+        found = x.join(y, [*names, "k"]).groupBy(*names, "r", "c").agg(_contracted(kind, F.col("x"), F.col("y")).alias("v"))
     kept = [n for k, n in enumerate([*names, "r", "c"]) if k not in drop]
     return unwrapped(NDArray.of(found.select(*(F.col(n).alias(f"i{k}") for k, n in enumerate(kept)), "v"), out, kind), lazy)
 

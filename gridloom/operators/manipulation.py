@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -15,6 +16,13 @@ from gridloom.ndarray import NDArray, indices, linear, unravelled, unwrapped
 @values.plan
 def reindexed(a: NDArray, columns, shape) -> NDArray:
     """The cells of a under new index columns."""
+    if a.free:
+        views = a.base.__dict__.setdefault("_views", {})
+        key = tuple(map(str, columns))
+        if key not in views:
+            kept = [c for c in a.base.columns if not re.fullmatch(r"i\d+", c)]
+            views[key] = a.base.select(*(c.cast("bigint").alias(i) for c, i in zip(columns, indices(len(columns)))), *kept)
+        return NDArray(views[key], a.value, shape, a.dtype, free=True)
     return NDArray.of(a.base.select(*(c.cast("bigint").alias(i) for c, i in zip(columns, indices(len(columns)))), a.value.alias("v")), shape, a.dtype)
 
 

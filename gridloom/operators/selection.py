@@ -21,7 +21,7 @@ def where(condition: NDArray, x, y) -> NDArray:
     c = next(aligned)
     sides = [next(aligned) if isinstance(v, NDArray) else v for v in (x, y)]
     cells = [values.cast(v.value, v.dtype, kind) if isinstance(v, NDArray) else values.constant(v, kind) for v in sides]
-    return NDArray(c.base, F.when(c.value, cells[0]).otherwise(cells[1]), c.shape, kind)
+    return NDArray(c.base, F.when(c.value, cells[0]).otherwise(cells[1]), c.shape, kind, c.free and all(v.free for v in sides if isinstance(v, NDArray)))
 
 
 #: Places in a block; the number of true cells before each block gives theirs.
@@ -74,4 +74,4 @@ def clip(a: NDArray, min=None, max=None) -> NDArray:
     if max is not None:
         high = values.constant(max, a.dtype)
         v = F.when(values.COMPARE["greater"](v, high, a.dtype), high).otherwise(v)
-    return NDArray(a.base, v, a.shape, a.dtype)
+    return NDArray(a.base, v, a.shape, a.dtype, a.free)

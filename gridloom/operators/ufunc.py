@@ -46,7 +46,7 @@ def aligned(*operands: NDArray) -> list[NDArray]:
         df = F.broadcast(df) if cells <= BROADCAST_CELLS else df
         joined = joined.join(df, shared) if shared else joined.crossJoin(df)
         have = have | keys
-    return [NDArray(joined, F.col(f"o{k}"), shape, a.dtype) for k, a in enumerate(operands)]
+    return [NDArray(joined, F.col(f"o{k}"), shape, a.dtype, free=True) for k, a in enumerate(operands)]
 
 
 def accepting(function):
@@ -70,10 +70,10 @@ def lifted(a, b):
     """Both as arrays over one base, or one as a constant; and the promoted dtype."""
     if not isinstance(a, NDArray):
         kind = values.promote(values.kind_of(a), b.dtype)
-        return NDArray(b.base, values.constant(a, kind), b.shape, kind), b, kind
+        return NDArray(b.base, values.constant(a, kind), b.shape, kind, free=True), b, kind
     if not isinstance(b, NDArray):
         kind = values.promote(values.kind_of(b), a.dtype)
-        return a, NDArray(a.base, values.constant(b, kind), a.shape, kind), kind
+        return a, NDArray(a.base, values.constant(b, kind), a.shape, kind, free=True), kind
     x, y = aligned(a, b)
     return x, y, values.promote(a.dtype, b.dtype)
 
@@ -99,7 +99,7 @@ def _arithmetic(name):
                 _refuse_cells(x.base, (u == least) & (v == -1), UnsupportedError, "integer overflow in division")
             if name == "power":
                 _refuse_cells(x.base, (v < 0) | (v > (1 << 32) - 1), UnsupportedError, "integer exponent out of range")
-        return NDArray(x.base, values.ARITHMETIC[name](u, v, kind), x.shape, kind)
+        return NDArray(x.base, values.ARITHMETIC[name](u, v, kind), x.shape, kind, x.free and y.free)
 
     run.__name__ = name
     run.__doc__ = f"{name} of two arrays, or of an array and a scalar. Integer cells without a result are refused by a job before the plan is returned; lazy leaves that out."
@@ -116,7 +116,7 @@ def _comparison(name):
         x, y, kind = lifted(a, b)
         if name not in ("equal", "not_equal") and kind in (bool, complex):
             raise UnsupportedError(f"ordering comparisons not supported for {'complex' if kind is complex else 'bool'}")
-        return NDArray(x.base, values.COMPARE[name](values.cast(x.value, x.dtype, kind), values.cast(y.value, y.dtype, kind), kind), x.shape, bool)
+        return NDArray(x.base, values.COMPARE[name](values.cast(x.value, x.dtype, kind), values.cast(y.value, y.dtype, kind), kind), x.shape, bool, x.free and y.free)
 
     run.__name__ = name
     return run
@@ -128,28 +128,28 @@ equal, not_equal, less, less_equal, greater, greater_equal = map(_comparison, va
 @accepting
 def logical_and(a, b) -> NDArray:
     x, y, _ = lifted(a, b)
-    return NDArray(x.base, values.truth(x.value, x.dtype) & values.truth(y.value, y.dtype), x.shape, bool)
+    return NDArray(x.base, values.truth(x.value, x.dtype) & values.truth(y.value, y.dtype), x.shape, bool, x.free and y.free)
 
 
 @accepting
 def logical_or(a, b) -> NDArray:
     x, y, _ = lifted(a, b)
-    return NDArray(x.base, values.truth(x.value, x.dtype) | values.truth(y.value, y.dtype), x.shape, bool)
+    return NDArray(x.base, values.truth(x.value, x.dtype) | values.truth(y.value, y.dtype), x.shape, bool, x.free and y.free)
 
 
 @accepting
 def logical_not(a: NDArray) -> NDArray:
-    return NDArray(a.base, ~values.truth(a.value, a.dtype), a.shape, bool)
+    return NDArray(a.base, ~values.truth(a.value, a.dtype), a.shape, bool, a.free)
 
 
 @accepting
 def negative(a: NDArray) -> NDArray:
-    return NDArray(a.base, values.negative(a.value, a.dtype), a.shape, a.dtype)
+    return NDArray(a.base, values.negative(a.value, a.dtype), a.shape, a.dtype, a.free)
 
 
 @accepting
 def absolute(a: NDArray) -> NDArray:
-    return NDArray(a.base, values.absolute(a.value, a.dtype), a.shape, float if a.dtype is complex else a.dtype)
+    return NDArray(a.base, values.absolute(a.value, a.dtype), a.shape, float if a.dtype is complex else a.dtype, a.free)
 
 
 def _test(name, real):
@@ -188,4 +188,4 @@ imag = _part("imag", lambda v: v["im"], float)
 def complex_of(re: NDArray, im: NDArray) -> NDArray:
     """re + im j of two real arrays."""
     x, y = aligned(re, im)
-    return NDArray(x.base, F.struct(values.cast(x.value, x.dtype, float).alias("re"), values.cast(y.value, y.dtype, float).alias("im")), x.shape, complex)
+    return NDArray(x.base, F.struct(values.cast(x.value, x.dtype, float).alias("re"), values.cast(y.value, y.dtype, float).alias("im")), x.shape, complex, x.free and y.free)

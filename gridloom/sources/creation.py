@@ -46,7 +46,7 @@ def from_dataframe(df: DataFrame, index_cols, value_cols, shape, check: bool = T
         found = cells.agg(F.count("*").alias("cells"), F.coalesce(F.max("n"), F.lit(1)).alias("most"), F.coalesce(F.bool_or("bad"), F.lit(False)).alias("bad")).first()
         if found["cells"] != math.prod(shape) or found["most"] > 1 or found["bad"]:
             raise ShapeError(f"the rows don't hold each cell of shape {shape} exactly once, with a value")
-    made = [NDArray(picked, F.col(f"v{k}"), shape, kinds[n]) for k, n in enumerate(names)]
+    made = [NDArray(picked, F.col(f"v{k}"), shape, kinds[n], free=True) for k, n in enumerate(names)]
     return made[0] if isinstance(value_cols, str) else made
 
 

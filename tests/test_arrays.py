@@ -307,6 +307,28 @@ def test_plans(spark, monkeypatch):
     assert "SortMergeJoin" not in plan(x[x > 4]) and plan(x[x > 4]).count("SinglePartition") == 0
 
 
+def test_products_by_tiles(spark, monkeypatch):
+    monkeypatch.setattr(linalg, "TILE", 4)
+    monkeypatch.setattr(linalg, "JOINED_PRODUCTS", 0)
+    x, y = np.arange(2 * 6 * 5).reshape(2, 6, 5) * (1 << 58), np.arange(5 * 9).reshape(5, 9) - 7
+    a, b = creation.array(spark, x.tolist()), creation.array(spark, y.tolist())
+    with np.errstate(all="ignore"):
+        same(a @ b, x @ y)
+    same(creation.array(spark, (y / 8).tolist()) @ creation.array(spark, (y.T * 1j).tolist()), (y / 8) @ (y.T * 1j))
+
+
+def test_views_share_their_base(spark):
+    table = spark.range(24).selectExpr("id", "id * 7 % 13 AS x", "id * 2 AS y")
+    x, y = creation.from_dataframe(table, ["id"], ["x", "y"], (24,), check=False)
+    a, b = x.reshape(2, 3, 4).T, (y + 1).reshape(2, 3, 4).T
+    assert a.base is b.base and shuffles((a * b).df) == 0
+    p, q = np.arange(24) * 7 % 13, np.arange(24) * 2 + 1
+    same(a * b, p.reshape(2, 3, 4).T * q.reshape(2, 3, 4).T)
+    same(linalg.vdot(x.reshape(4, 6), y.reshape(4, 6)), (p * (q - 1)).sum())
+    same(creation.tril(creation.ones(spark, (3, 3))).T, np.tril(np.ones((3, 3))).T)
+    same(selection.where(a > 5, a, b)[1:, 0], np.where(p > 5, p, q).reshape(2, 3, 4).T[1:, 0])
+
+
 def test_scalars_at_the_boundary(cube, spark):
     a, x = cube
     assert reduction.sum(a) == x.sum() and isinstance(reduction.sum(a), int) and reduction.max(a.astype(float)) == 23.0
