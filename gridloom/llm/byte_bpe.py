@@ -76,7 +76,11 @@ def tables(ranks: dict[bytes, int]) -> tuple[pa.Table, pa.Table]:
 def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The stretches of flat with these starts and lengths, one after another."""
     ends = np.cumsum(lengths)
-    return flat[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+    size = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(size, len(flat)) < 1 << 31 else np.int64  # half of what there is to move
+    place = np.repeat((starts - ends + lengths).astype(kind), lengths)
+    place += np.arange(size, dtype=kind)
+    return flat[place]
 
 
 class Codec:
@@ -172,14 +176,16 @@ class Codec:
         after = flat.filter(pa.array(~first)).dictionary_encode()
         spaced = after.dictionary.to_pylist()
         alone = [t for t, c in zip(texts, cut) if not c] + flat.filter(pa.array(first)).to_pylist()
-        matches = self.find("".join([f" {piece}" for piece in spaced]))
-        # no piece has a space within, so each match that begins with one begins a piece
-        per_piece = np.bincount(np.cumsum(np.fromiter((m[0] == " " for m in matches), bool, len(matches))), minlength=len(spaced) + 1)[1:]
+        matches = self.find(" " + " ".join(spaced)) if spaced else []
         found = [self.find(piece) for piece in alone]
-        per_piece = np.concatenate([per_piece, np.array([len(f) for f in found], int)])
+        n_spaced = len(matches)
         for f in found:
             matches += f
         words = pa.array(matches, pa.large_string()).dictionary_encode()
+        # no piece has a space within, so each match that begins with one begins a piece
+        begins = pc.starts_with(words.dictionary, " ").to_numpy(zero_copy_only=False)[words.indices.to_numpy()[:n_spaced]]
+        per_piece = np.bincount(np.cumsum(begins), minlength=len(spaced) + 1)[1:]
+        per_piece = np.concatenate([per_piece, np.array([len(f) for f in found], int)])
         ids = self.ids_of(words.dictionary.to_pylist())
         word_ids, word_sizes = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), int, len(ids)) // 4
         which = words.indices.to_numpy()
