@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from gridloom.llm import common
 from gridloom.llm.pretokens import can_be_cut
 
-#: Bytes of distinct words in one recursive query, rows that its steps hold together, ids in one decoding query, and
-#: words that a task remembers; they bound memory.
-QUERY_BYTES, STATE_ROWS, DECODE_IDS, MEMO_WORDS = 1 << 17, 1 << 20, 1 << 17, 400_000
+#: Bytes of distinct words in one recursive query, rows that its steps hold together, ids in one decoding query, words that
+#: a task remembers, and words met again that a worker keeps for later tasks; they bound memory.
+QUERY_BYTES, STATE_ROWS, DECODE_IDS, MEMO_WORDS, KEPT_WORDS = 1 << 17, 1 << 21, 1 << 18, 300_000, 300_000
 SYMBOLS = [chr(256 + b) for b in range(256)]
 
 #: pos counts the bytes of all words of the batch, so it names a row. A row carries its right neighbour's position and
@@ -86,7 +86,7 @@ def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
 class Codec:
     """Encodes and decodes with the tables of one vocabulary. Bytes stand in the database as the characters U+0100 to U+01FF."""
 
-    def __init__(self, merges: pa.Table, vocabulary: pa.Table, pattern: str):
+    def __init__(self, merges: pa.Table, vocabulary: pa.Table, pattern: str, kept: dict[str, bytes] | None = None):
         import duckdb
         import regex
 
@@ -94,6 +94,7 @@ class Codec:
         tokens = vocabulary["token"].to_pylist()
         self.ranks = dict(zip(tokens, vocabulary["tok"].to_pylist()))
         self.memo: dict[str, bytes] = {}
+        self.kept = {} if kept is None else kept
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB"})
         self.load("merges_in", merges)
@@ -154,12 +155,18 @@ class Codec:
         return [b"".join(parts) for parts in found]
 
     def ids_of(self, words: list[str]) -> list[bytes]:
-        """The ids of each of some distinct words, remembered up to a bound."""
-        if len(self.memo) + len(words) > MEMO_WORDS:
-            self.memo.clear()
-        unknown = [w for w in words if w not in self.memo]
-        self.memo.update(zip(unknown, self.encode_words([w.encode() for w in unknown])))
-        return [self.memo[w] for w in words]
+        """The ids of each of some distinct words. Words are remembered up to a bound, and those that are met again are kept
+        up to another: most words never come again."""
+        memo, kept = self.memo, self.kept
+        again = {w: memo.pop(w) for w in words if w in memo}
+        if len(kept) + len(again) > KEPT_WORDS:
+            kept.clear()
+        kept.update(again)
+        unknown = [w for w in words if w not in kept]
+        if len(memo) + len(unknown) > MEMO_WORDS:
+            memo.clear()
+        memo.update(zip(unknown, self.encode_words([w.encode() for w in unknown])))
+        return [kept[w] if w in kept else memo[w] for w in words]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and how many each text has.
@@ -207,14 +214,19 @@ class Codec:
 
 
 class Shared:
-    """A vocabulary that tasks get by broadcast. A worker has one codec open, from a task's first text to its end."""
+    """A vocabulary that tasks get by broadcast. A worker has one codec open, from a task's first text to its end, and keeps
+    the words met again for its next task with the same vocabulary."""
 
     def __init__(self, spark, ranks_path: str, pattern: str):
-        self.broadcast, self.pattern = spark.sparkContext.broadcast(tables(read_ranks(ranks_path))), pattern
+        ranks = read_ranks(ranks_path)
+        self.broadcast, self.pattern = spark.sparkContext.broadcast(tables(ranks)), pattern
+        self.name = hashlib.sha256(repr((pattern, sorted(ranks.items()))).encode()).hexdigest()
 
     def codec(self) -> Codec:
         if not _OPEN:
-            _OPEN.append(Codec(*self.broadcast.value, self.pattern))
+            if self.name not in _KEPT:
+                _KEPT.clear()
+            _OPEN.append(Codec(*self.broadcast.value, self.pattern, _KEPT.setdefault(self.name, {})))
         return _OPEN[0]
 
     @staticmethod
@@ -224,6 +236,7 @@ class Shared:
 
 
 _OPEN: list[Codec] = []
+_KEPT: dict[str, dict[str, bytes]] = {}
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -268,12 +281,10 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
         codec = shared.codec()
         flat, lengths = codec.encode(texts)
         raw, ends = memoryview(flat.astype("<u4").tobytes()), 4 * np.cumsum(lengths)
-        done = pd.DataFrame({
+        return pd.DataFrame({
             "n_tokens": lengths,
             "ids_sha256": [hashlib.sha256(raw[end - 4 * n : end]).hexdigest() for end, n in zip(ends.tolist(), lengths.tolist())],
             "decoded_sha256": [hashlib.sha256(found).hexdigest() for found in codec.decode(flat, lengths)],
         })
-        common.trim()
-        return done
 
     return common.map_texts(docs, work, "n_tokens long, ids_sha256 string, decoded_sha256 string", id_col, text_col, forget=shared.close)

@@ -90,12 +90,14 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def trim() -> None:
-    """Gives a worker's freed memory back to the machine, as far as its allocators can."""
+def release() -> None:
+    """Gives a worker's freed memory back to the machine, as far as its allocators can: at the end of a task, as workers
+    wait for their next one."""
     import ctypes
 
     import pyarrow as pa
 
+    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -103,12 +105,6 @@ def trim() -> None:
         pass
 
 
-def release() -> None:
-    """trim(), after garbage that refers to itself is collected: at the end of a task, as workers wait for their next one."""
-    gc.collect()
-    trim()
-
-
 def small_batches(spark: SparkSession) -> None:
     """Sets the session's bounds of the batches that go to Python, so that long texts need little memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

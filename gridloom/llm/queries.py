@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,7 +70,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_near_dedup, op3_lm_scoring, op4_token_counts, op5_decontamination, op6_html_extraction, op7_language_id, op8_topk, op9_toxicity, op10_byte_bpe)}
+def _prepared(query):
+    """The query under the session's bounds of batches for Python, which stay set: its plan runs later."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        common.small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {f.__name__: _prepared(f) for f in (op1_secrets, op2_near_dedup, op3_lm_scoring, op4_token_counts, op5_decontamination, op6_html_extraction, op7_language_id, op8_topk, op9_toxicity, op10_byte_bpe)}
 
 LOWER = f"translate({{}}, '{common.UPPER}', '{common.LOWER}')"
 
