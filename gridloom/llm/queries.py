@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import byte_bpe, common, decontamination, html_extraction, language_id, lm_scoring, near_dedup, secrets, token_counts, topk, toxicity
+from gridloom.llm import byte_bpe, common, decontamination, html_extraction, language_id, lm_scoring, near_dedup, packing, secrets, spelling, token_counts, topk, toxicity, whitening
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +70,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(common.table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(common.table(spark, sf_dir, "documents"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def _prepared(query):
     """The query under the session's bounds of batches for Python, which stay set: its plan runs later."""
 
@@ -81,7 +93,13 @@ def _prepared(query):
     return run
 
 
-QUERIES = {f.__name__: _prepared(f) for f in (op1_secrets, op2_near_dedup, op3_lm_scoring, op4_token_counts, op5_decontamination, op6_html_extraction, op7_language_id, op8_topk, op9_toxicity, op10_byte_bpe)}
+QUERIES = {
+    f.__name__: _prepared(f)
+    for f in (
+        op1_secrets, op2_near_dedup, op3_lm_scoring, op4_token_counts, op5_decontamination, op6_html_extraction, op7_language_id, op8_topk, op9_toxicity, op10_byte_bpe,
+        op11_whitening, op12_spelling, op13_packing,
+    )
+}
 
 LOWER = f"translate({{}}, '{common.UPPER}', '{common.LOWER}')"
 
@@ -117,5 +135,25 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 *
            FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+""",
+    # crc32 byte by byte, by the table that the polynomial gives
+    "op12_spelling": rf"""
+WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, CAST(b AS BIGINT))) AS t),
+     r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, {LOWER.format("unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+'))")} AS run FROM documents),
+     d AS (SELECT id, run, count(*) AS n FROM r WHERE len(run) >= 5 GROUP BY 1, 2),
+     b AS (SELECT run, n, hex(encode(id || ':' || run)) AS x FROM d),
+     h AS (SELECT run, n, xor(list_reduce(range(len(x) // 2), lambda c, k: xor(c // 256, t.t[1 + xor(c, CAST('0x' || x[2 * k + 1 : 2 * k + 2] AS BIGINT)) % 256]), CAST(4294967295 AS BIGINT)), 4294967295) AS h FROM b, t),
+     c AS (SELECT CASE WHEN h % 97 = 0 THEN run[: h % len(run)] || run[h % len(run) + 2 :] ELSE run END AS word, n FROM h),
+     w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM c WHERE len(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+     p AS (SELECT word, n, unnest(range(1, len(word) + 1)) AS k FROM w),
+     g AS (SELECT word, n, k, word[: k - 1] AS a, word[k + 1 :] AS z FROM p),
+     pairs AS (SELECT x.word, y.word AS near, y.n FROM g x JOIN g y ON x.k = y.k AND x.a = y.a AND x.z = y.z AND x.word <> y.word
+               UNION SELECT g.word, w.word, w.n FROM g JOIN w ON w.word = g.a || g.z UNION SELECT w.word, g.word, g.n FROM g JOIN w ON w.word = g.a || g.z),
+     ranked AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY n DESC, encode(near)) AS rank, count(*) OVER (PARTITION BY word) AS n_near FROM pairs),
+     f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN r.n >= 2 * w.n THEN near END AS form, CASE WHEN r.n >= 2 * w.n THEN r.n END AS form_n
+           FROM w LEFT JOIN ranked r ON r.word = w.word AND rank = 1),
+     walk AS (SELECT word, word AS root FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.root WHERE f.form IS NOT NULL),
+     roots AS (SELECT walk.word, root FROM walk JOIN f ON f.word = root WHERE f.form IS NULL)
+SELECT f.word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM f JOIN roots ON roots.word = f.word
 """,
 }
