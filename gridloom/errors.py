@@ -25,5 +25,9 @@ class ArrayIndexError(ArrayError, IndexError):
     pass
 
 
+class ReadOnlyError(ArrayError, ValueError):
+    pass
+
+
 class DivideByZeroError(ArrayError, ZeroDivisionError):
     pass

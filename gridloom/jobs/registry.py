@@ -283,6 +283,18 @@ def unique_values(spark, sf):
     return sorting.unique(parts(spark, sf)[0])
 
 
+@register("SELECT row_number() OVER (ORDER BY p_size) - 1 AS i0, CAST(p_size AS BIGINT) AS v, first, n FROM (SELECT p_size, min(p_partkey) AS first, count(*) AS n FROM part GROUP BY 1)")
+def unique_with_counts(spark, sf):
+    found = sorting.unique_with(parts(spark, sf)[0].reshape(-1, 20), return_index=True, return_counts=True)
+    x, first, n = found.values, found.indices, found.counts  # over one base
+    return x.base.select("i0", x.value.alias("v"), first.value.alias("first"), n.value.alias("n"))
+
+
+@register(f"SELECT o_orderkey AS i0, dense_rank() OVER (ORDER BY {CENTS} // 1000000) - 1 AS v FROM orders")
+def unique_with_inverse(spark, sf):
+    return sorting.unique_with(orders(spark, sf) // 1000000, return_inverse=True).inverse
+
+
 @register("WITH n AS (SELECT count(*) AS n FROM part) SELECT p_partkey AS i0, CAST(p_size AS BIGINT) AS v FROM part UNION ALL SELECT p_partkey + n, CAST(floor(p_retailprice) AS BIGINT) FROM part, n")
 def concatenate_two(spark, sf):
     size, _, price = parts(spark, sf)
@@ -346,6 +358,34 @@ def meshgrid_first(spark, sf):
     return creation.meshgrid(nation, region)[0]
 
 
+def nations_and_regions(spark, sf):
+    nation = vectors(spark, sf, "nation", "n_nationkey", ["CAST(n_regionkey AS BIGINT)"])[0]
+    return nation, vectors(spark, sf, "region", "r_regionkey", ["CAST(r_regionkey AS BIGINT)"])[0]
+
+
+@register("SELECT r_regionkey AS i0, CAST(sum(n_regionkey * 10 + r_regionkey) AS BIGINT) AS v FROM nation, region GROUP BY 1")
+def meshgrid_sum(spark, sf):
+    """Both grids repeat one vector; no cell of either is made before the sum of them."""
+    x, y = creation.meshgrid(*nations_and_regions(spark, sf))
+    return reduction.sum(x * 10 + y, axis=1)
+
+
+@register("SELECT n_nationkey AS i0, r_regionkey AS i1, CAST(n_regionkey AS BIGINT) AS a, CAST(r_regionkey AS BIGINT) AS b FROM nation, region")
+def broadcast_arrays_two(spark, sf):
+    nation, region = nations_and_regions(spark, sf)
+    a, b = manipulation.broadcast_arrays([nation.reshape(-1, 1), region])
+    return a.to_dataframe().withColumnRenamed("v", "a").join(b.to_dataframe().withColumnRenamed("v", "b"), ["i0", "i1"])
+
+
+@register(f"SELECT c_custkey AS i0, CAST(sum(CASE WHEN {BALANCE} > r_regionkey * 100000 THEN 1 ELSE 0 END) AS BIGINT) AS v FROM customer, region GROUP BY 1")
+def broadcast_to_view(spark, sf):
+    """A slice of a transposed broadcast view, compared with a column."""
+    region = vectors(spark, sf, "region", "r_regionkey", ["CAST(r_regionkey AS BIGINT)"])[0]
+    cents = customers(spark, sf)[0]
+    levels = manipulation.broadcast_to(region * 100000, (cents.size * 2, region.size))
+    return reduction.sum(cents.reshape(-1, 1) > levels.T[:, ::2].T, axis=1)
+
+
 def first_rows(spark, cells, schema):
     """A DataFrame of what an operator gave to Python."""
     return spark.createDataFrame(list(cells), schema)

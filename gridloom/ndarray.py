@@ -3,7 +3,8 @@
 A handle is a base DataFrame, which has the index columns i0, i1, ... and any value columns, and an expression over it.
 Arrays that share a base combine in one projection, without a join; others are joined on their indices. A handle is
 free if its expression doesn't read the index columns: then a view of it keeps all value columns, and equal views of one
-base share theirs.
+base share theirs. A handle may instead repeat another along axes; its base is then made when first asked for. Views of
+broadcast arrays are read-only.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom import geometry
-from gridloom.errors import ShapeError
+from gridloom.errors import ReadOnlyError, ShapeError
 from gridloom.functions import values
 
 
@@ -41,8 +42,31 @@ def unwrapped(a: NDArray, lazy: bool = False):
 
 
 class NDArray:
-    def __init__(self, base: DataFrame, value: Column, shape, dtype, free: bool = False):
-        self.base, self.value, self.shape, self.dtype, self.free = base, value, tuple(shape), values.checked(dtype), free
+    def __init__(self, base: DataFrame, value: Column, shape, dtype, free: bool = False, read_only: bool = False):
+        self._cells, self.repeats = (base, value, free), None
+        self.shape, self.dtype, self.read_only = tuple(shape), values.checked(dtype), read_only
+
+    @classmethod
+    def repeating(cls, source: NDArray, axes, shape, read_only: bool) -> NDArray:
+        a = cls(None, None, shape, source.dtype, read_only=read_only)
+        a._cells, a.repeats = None, (source, tuple(axes))
+        return a
+
+    @property
+    def cells(self) -> tuple[DataFrame, Column, bool]:
+        if self._cells is None:
+            from gridloom.operators import repeats
+
+            self._cells = repeats.made(self)
+        return self._cells
+
+    base = property(lambda self: self.cells[0])
+    value = property(lambda self: self.cells[1])
+    free = property(lambda self: self.cells[2])
+
+    @property
+    def session(self):
+        return self.repeats[0].session if self.repeats else self.base.sparkSession
 
     @property
     def ndim(self) -> int:
@@ -75,14 +99,20 @@ class NDArray:
         return cls(df, F.col("v"), shape, dtype, free=True)
 
     def astype(self, dtype) -> NDArray:
+        if self.repeats:
+            return NDArray.repeating(self.repeats[0].astype(dtype), self.repeats[1], self.shape, False)
         return NDArray(self.base, values.cast(self.value, self.dtype, values.checked(dtype)), self.shape, dtype, self.free)
 
     def copy(self) -> NDArray:
-        return NDArray(self.base, self.value, self.shape, self.dtype, self.free)
+        """Another handle, which may be assigned to."""
+        return NDArray.repeating(*self.repeats, self.shape, False) if self.repeats else NDArray(*self.cells[:2], self.shape, self.dtype, self.free)
 
     def view(self) -> NDArray:
-        """The same cells under another handle. Assignment changes a handle, never cells, so views and copies are alike."""
-        return self.copy()
+        """The same cells under another handle. Assignment changes a handle, never cells, so that views and copies differ only in
+        that a view of a read-only array is read-only."""
+        a = self.copy()
+        a.read_only = self.read_only
+        return a
 
     @property
     def flat(self):
@@ -118,6 +148,8 @@ class NDArray:
     def item(self):
         if self.size != 1:
             raise ShapeError("only arrays of one cell are scalars")
+        if self.repeats:
+            return self.repeats[0].item()
         cell = self.df.first()["v"]
         return complex(cell["re"], cell["im"]) if self.dtype is complex else cell
 
@@ -152,8 +184,9 @@ class NDArray:
     def __setitem__(self, key, value):
         from gridloom.operators import indexing
 
-        changed = indexing.assigned(self, key, value)
-        self.base, self.value, self.free = changed.base, changed.value, changed.free
+        if self.read_only:
+            raise ReadOnlyError("array is read-only")
+        self._cells, self.repeats = indexing.assigned(self, key, value).cells, None
 
     def reshape(self, *shape):
         from gridloom.operators import manipulation

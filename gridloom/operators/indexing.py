@@ -8,7 +8,7 @@ from gridloom import geometry
 from gridloom.errors import ArrayIndexError, ShapeError
 from gridloom.functions import values
 from gridloom.ndarray import NDArray, indices, linear, unwrapped
-from gridloom.operators import manipulation, selection, ufunc
+from gridloom.operators import manipulation, repeats, selection, ufunc
 
 
 def _expanded(key, ndim: int) -> list:
@@ -65,10 +65,9 @@ def _in_range(column, r: range):
     return (column >= low) & (column <= high) & ((column - r[0]) % abs(r.step) == 0)
 
 
-def _target(a: NDArray, key):
-    """The cells that key selects: (rows with t0, t1, ... and, for each axis, s0, s1, ...; shape), t being places of the
+def _target(a: NDArray, entries):
+    """The cells that a resolved key selects: (rows with t0, t1, ... and, for each axis, s0, s1, ...; shape), t being places of the
     selection. Without index arrays the rows are those of a itself, with its cell."""
-    entries = _resolved(a, key)
     arrays = [(axis, e) for axis, e in entries if isinstance(e, NDArray)]
     test = F.lit(True)
     for axis, e in entries:
@@ -106,8 +105,13 @@ def get(a: NDArray, key, lazy: bool = False):
     """The cells that key selects; a Python scalar, by a job, where integers select one, unless lazy asks for the array."""
     if isinstance(key, NDArray) and key.dtype is bool and key.shape == a.shape and a.ndim:
         return selection.masked(a, key)
-    cells, places, shape = _target(a, key)
-    return unwrapped(NDArray.of(cells.select(*(p.cast("bigint").alias(f"i{k}") for k, p in enumerate(places)), "v"), shape, a.dtype), lazy)
+    entries = _resolved(a, key)
+    basic = not any(isinstance(e, NDArray) for _, e in entries)
+    if a.repeats and basic and all(len(e) for _, e in entries if isinstance(e, range)):
+        return unwrapped(repeats.sliced(a, entries), lazy)
+    cells, places, shape = _target(a, entries)
+    found = cells.select(*(p.cast("bigint").alias(f"i{k}") for k, p in enumerate(places)), "v")
+    return unwrapped(NDArray(found, F.col("v"), shape, a.dtype, True, a.read_only and basic), lazy)
 
 
 def _coerced(value, dtype):
@@ -137,6 +141,7 @@ def _assigned_basic(a: NDArray, entries, value) -> NDArray:
         raise ShapeError(f"cannot broadcast shape {value.shape} to {shape}")
     # an axis of length 1 is left out of the join's keys, and so are those that the value lacks
     pad = len(shape) - value.ndim
+    value = repeats.narrow(value)
     keys = [(f"i{j}", j + pad) for j in range(value.ndim) if value.shape[j] == shape[j + pad] and shape[j + pad] != 1]
     source = value.astype(a.dtype)
     cells = 1
@@ -159,7 +164,7 @@ def assigned(a: NDArray, key, value) -> NDArray:
     entries = _resolved(a, key)
     if not any(isinstance(e, NDArray) for _, e in entries):
         return _assigned_basic(a, entries, value)
-    cells, places, shape = _target(a, key)
+    cells, places, shape = _target(a, entries)
     chosen = cells.select(*indices(a.ndim), *(p.cast("bigint").alias(f"t{k}") for k, p in enumerate(places)))
     if isinstance(value, NDArray):
         if geometry.broadcast(value.shape, shape) != shape:

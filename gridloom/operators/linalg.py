@@ -90,7 +90,7 @@ def matmul(a: NDArray, b: NDArray, lazy: bool = False):
     shape = batch + (left.shape[-2], right.shape[-1])
     drop = ([len(shape) - 2] if a.ndim == 1 else []) + ([len(shape) - 1] if b.ndim == 1 else [])
     out = tuple(n for k, n in enumerate(shape) if k not in drop)
-    spark = a.base.sparkSession
+    spark = a.session
     if not left.shape[-1] or 0 in out:
         from gridloom.sources.creation import zeros
 
@@ -143,7 +143,7 @@ def diagonal(a: NDArray, offset: int = 0, axis1: int = 0, axis2: int = 1) -> NDA
     kept = [k for k in range(a.ndim) if k not in (p, q)]
     cells = a.base.filter(F.col(f"i{q}") - F.col(f"i{p}") == offset)
     found = cells.select(*(F.col(f"i{k}").alias(f"i{j}") for j, k in enumerate(kept)), (F.col(f"i{p}") - max(-offset, 0)).alias(f"i{len(kept)}"), a.value.alias("v"))
-    return NDArray.of(found, tuple(a.shape[k] for k in kept) + (n,), a.dtype)
+    return NDArray(found, F.col("v"), tuple(a.shape[k] for k in kept) + (n,), a.dtype, True, a.read_only)
 
 
 def trace(a: NDArray, offset: int = 0, axis1: int = 0, axis2: int = 1, lazy: bool = False):

@@ -11,6 +11,7 @@ from gridloom import geometry
 from gridloom.errors import ShapeError
 from gridloom.functions import values
 from gridloom.ndarray import NDArray, indices, linear, unravelled, unwrapped
+from gridloom.operators import repeats
 
 
 @values.plan
@@ -22,12 +23,18 @@ def reindexed(a: NDArray, columns, shape) -> NDArray:
         if key not in views:
             kept = [c for c in a.base.columns if not re.fullmatch(r"i\d+", c)]
             views[key] = a.base.select(*(c.cast("bigint").alias(i) for c, i in zip(columns, indices(len(columns)))), *kept)
-        return NDArray(views[key], a.value, shape, a.dtype, free=True)
-    return NDArray.of(a.base.select(*(c.cast("bigint").alias(i) for c, i in zip(columns, indices(len(columns)))), a.value.alias("v")), shape, a.dtype)
+        return NDArray(views[key], a.value, shape, a.dtype, True, a.read_only)
+    cells = a.base.select(*(c.cast("bigint").alias(i) for c, i in zip(columns, indices(len(columns)))), a.value.alias("v"))
+    return NDArray(cells, F.col("v"), shape, a.dtype, True, a.read_only)
 
 
 def reshape(a: NDArray, shape) -> NDArray:
+    """Of an array that repeats, repeated axes stay so unless the new ones take them together with others; that makes cells,
+    as a copy."""
     shape = geometry.reshaped(a.shape, shape)
+    if a.repeats:
+        found = repeats.reshaped(a, shape)
+        return reshape(NDArray(*a.cells[:2], a.shape, a.dtype, True), shape) if found is None else found
     return reindexed(a, unravelled(linear(a.shape), shape), shape)
 
 
@@ -35,6 +42,8 @@ def permute_axes(a: NDArray, axes) -> NDArray:
     axes = [geometry.normal_axis(x, a.ndim) for x in axes]
     if sorted(axes) != list(range(a.ndim)):
         raise ShapeError("axes must be a permutation")
+    if a.repeats:
+        return repeats.permuted(a, axes)
     return reindexed(a, [F.col(f"i{x}") for x in axes], [a.shape[x] for x in axes])
 
 
@@ -43,18 +52,36 @@ def squeeze(a: NDArray, axis=None, lazy: bool = False):
     if any(a.shape[k] != 1 for k in axes):
         raise ShapeError("".join(f"cannot squeeze axis {k} with length {a.shape[k]}" for k in [next(k for k in axes if a.shape[k] != 1)]))
     kept = [k for k in range(a.ndim) if k not in axes]
+    if a.repeats:
+        return unwrapped(repeats.sliced(a, [(k, range(n) if k in kept else 0) for k, n in enumerate(a.shape)]), lazy)
     return unwrapped(reindexed(a, [F.col(f"i{k}") for k in kept], [a.shape[k] for k in kept]), lazy)
 
 
 @values.plan
 def broadcast_to(a: NDArray, shape) -> NDArray:
-    from gridloom.operators.ufunc import aligned
-    from gridloom.sources.creation import grid
-
+    """A read-only view that repeats a, without cells of its own."""
     shape = geometry.checked_shape(shape)
     if geometry.broadcast(a.shape, shape) != shape:
         raise ShapeError(f"cannot broadcast shape {a.shape} to {shape}")
-    return a if a.shape == shape else aligned(a, NDArray(grid(a.base.sparkSession, shape), F.lit(True), shape, bool))[0]
+    if 0 in shape:
+        from gridloom.sources.creation import full
+
+        found = full(a.session, shape, 0, a.dtype)
+        found.read_only = True
+        return found
+    return repeats.stretched(a, shape, True)
+
+
+def broadcast_shapes(*shapes) -> tuple[int, ...]:
+    """The common shape of shapes whose trailing axes agree or are 1; () of none."""
+    return geometry.broadcast(*map(geometry.checked_shape, shapes))
+
+
+def broadcast_arrays(arrays) -> list[NDArray]:
+    """Read-only views of the arrays, all of their common shape."""
+    arrays = _sequence(arrays, "broadcast_arrays")
+    shape = geometry.broadcast(*(a.shape for a in arrays))
+    return [broadcast_to(a, shape) for a in arrays]
 
 
 def _sequence(arrays, name: str) -> list[NDArray]:

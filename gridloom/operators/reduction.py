@@ -22,6 +22,8 @@ from gridloom.ndarray import NDArray, indices, linear, unwrapped
 #: Cells of a slice scanned in one window, and cells multiplied in one fold; more are taken as blocks of so many, and the
 #: blocks' results in turn.
 SCAN_BLOCK, FOLD_BLOCK = 1 << 16, 1 << 12
+#: Reductions to which repeated cells add nothing; a sum grows by their number.
+ONCE = ("sum", "min", "max", "mean", "var", "std", "any", "all")
 
 
 def _named(axis, axes):
@@ -49,7 +51,19 @@ def _reduce(a: NDArray, axis, keepdims, dtype, make, identity, name) -> NDArray:
     """make(v) is the aggregate over the column v, or make a function of the cells and the kept columns that gives those
     with v; identity None means that an empty slice is an error."""
     axes, kept, shape = _kept(a, axis, keepdims)
-    spark = a.base.sparkSession
+    spark = a.session
+    if a.repeats and name in ONCE:  # what repeats is reduced once
+        from gridloom.operators import manipulation, repeats
+
+        alone = repeats.narrow(a)
+        found = _reduce(alone, axes, True, dtype, make, identity, name)
+        times = product(a.shape[k] // alone.shape[k] for k in axes)
+        if name == "sum" and times > 1:
+            v, n = found.value, F.lit(times)
+            found = NDArray(found.base, F.struct((v["re"] * n).alias("re"), (v["im"] * n).alias("im")) if dtype is complex else v * n, found.shape, dtype, found.free)
+        whole = tuple(1 if k in axes else n for k, n in enumerate(a.shape))
+        found = repeats.stretched(found, whole) if found.shape != whole else found
+        return found if keepdims else manipulation.reshape(found, shape)
     if product(a.shape[k] for k in axes) == 0 or product(shape) == 0:
         if product(shape) and identity is None:
             raise ShapeError(f"{name} of empty array / empty axis")
@@ -72,7 +86,7 @@ def _reduce(a: NDArray, axis, keepdims, dtype, make, identity, name) -> NDArray:
 def _numbers(a: NDArray):
     """What sums and products work on: bool counts as int."""
     kind = int if a.dtype is bool else a.dtype
-    return NDArray(a.base, values.cast(a.value, a.dtype, kind), a.shape, kind), kind
+    return a.astype(kind), kind
 
 
 def _skipping(total, v, kind, ignore):

@@ -9,8 +9,10 @@ from gridloom.errors import ShapeError
 from gridloom.functions import values
 from gridloom.ndarray import NDArray, indices, linear
 from gridloom.operators import ufunc
+from gridloom.operators.repeats import elementwise
 
 
+@elementwise
 @values.plan
 def where(condition: NDArray, x, y) -> NDArray:
     if not isinstance(condition, NDArray) or condition.dtype is not bool:
@@ -62,6 +64,7 @@ def masked(a: NDArray, mask: NDArray) -> NDArray:
     return NDArray.of(placed.select(F.col("at").alias("i0"), "v"), (n,), a.dtype)
 
 
+@elementwise
 def clip(a: NDArray, min=None, max=None) -> NDArray:
     """min first, then max; NaN passes through; bounds take the array's dtype."""
     values.refuse(a.dtype, complex, name="clip")

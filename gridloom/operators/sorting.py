@@ -2,63 +2,104 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridloom import geometry
 from gridloom.functions import values
 from gridloom.ndarray import NDArray, indices, linear
+from gridloom.operators import ufunc
+from gridloom.sources import scratch
 
 #: Cells ranked in one window; of longer slices, cells are dealt out by value first, into about as many buckets as it
-#: takes, and blocks of cells. Bounds of values that a cell is compared with at once.
-WINDOW_CELLS, STEP = 1 << 16, 128
+#: takes, and blocks of cells. Cuts of a slice found at once, and cuts that a cell is compared with at once.
+WINDOW_CELLS, CUTS, STEP = 1 << 16, 1 << 12, 1 << 6
+#: Bits of a bucket's number for each round of cuts; the bucket of NaN, which comes last.
+ROUND_BITS, LAST = 14, (1 << 62) + 1
 
 
-def _cuts(cells, buckets: int) -> list:
-    """Quantiles of v, sorted, each once and without NaN: a job."""
+def _bounds(cells, keys, v: str, buckets: int, slices: int):
+    """keys and cuts, the sorted distinct quantiles of v in each group of keys, as a table that a job makes once: counts and
+    ranks must see the same cuts."""
     steps = [k / buckets for k in range(1, buckets)]
-    found = cells.agg(F.percentile_approx("v", steps, max(1000, 10 * buckets)).alias("q")).first()["q"]
-    return sorted({q for q in found or () if q == q})
-
-
-def _above(v, cuts: list, kind: str):
-    """How many of the cuts are at or below v: first among every STEP-th, then among the STEP that follow it."""
-    if not cuts:
-        return F.lit(0)
-    literal = lambda xs: F.array(*(F.lit(x).cast(kind) for x in xs))
-    count = lambda array: F.size(F.filter(array, lambda c: c <= v))
-    groups = [cuts[k : k + STEP] for k in range(0, len(cuts), STEP)]
-    if len(groups) == 1:
-        return count(literal(cuts))
-    group = F.greatest(count(literal(g[0] for g in groups)), F.lit(1)) - 1
-    within = F.transform(F.array(group), lambda g: g * STEP + count(F.element_at(F.array(*map(literal, groups)), g + 1)))
-    return within[0]
-
-
-def _ranked(cells, n: int, keys=(), slice_cells: int | None = None):
-    """cells (keys, lin, v) with the place of each in the order of v, then lin, within its group of keys (slice_cells each, n
-    in all). Longer slices are cut between quantiles of v; the cells that equal a quantile, which may be very many, are
+    numbers = cells.filter(~F.isnan(v)) if dict(cells.dtypes)[v] == "double" else cells
+    found = numbers.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.percentile_approx(v, steps, max(1000, 10 * buckets)))).alias("cuts"))
+    return scratch.held(found, slices * buckets)
+
+
+def _small(df, rows: int):
+    return F.broadcast(df) if rows <= ufunc.BROADCAST_CELLS else df
+
+
+def _rounds(slice_cells: int) -> int:
+    need = 2 * -(-slice_cells // WINDOW_CELLS)
+    return 1 if need <= CUTS else 1 + _rounds(-(-2 * slice_cells // CUTS))
+
+
+def _dealt(cells, keys, v: str, slice_cells: int, slices: int, name: str):
+    """cells with a bucket, in the order of v, under that name: an even one lies between two cuts, an odd one holds the cells that
+    equal a cut, or are NaN. The cuts of each slice meet its cells as rows: first every STEP-th of them, then those that follow it,
+    so that neither the plan nor a row grows with the slice."""
+    need = 2 * -(-slice_cells // WINDOW_CELLS)
+    buckets = min(need, CUTS)
+    bounds, column = _bounds(cells, keys, v, buckets, slices), F.col(v)
+    groups = F.transform(F.sequence(F.lit(0), F.call_function("div", F.size("cuts") - 1, F.lit(STEP)).cast("int")), lambda g: F.slice("cuts", g * STEP + 1, STEP))
+    some = bounds.filter(F.size("cuts") > 0).select(*keys, groups.alias("groups"))
+    heads = some.select(*keys, F.transform("groups", lambda g: g[0]).alias("heads"))
+    parts = some.select(*keys, F.posexplode("groups").alias("part", "near"))
+    count = lambda array: F.size(F.filter(array, lambda c: c <= column))
+    rows = slices * -(-buckets // STEP) * STEP
+    found = cells.join(_small(heads, rows), keys, "left")
+    found = found.withColumn("part", F.greatest(F.coalesce(count("heads"), F.lit(1)), F.lit(1)) - 1).drop("heads")
+    found = found.join(_small(parts, rows), [*keys, "part"], "left")
+    found = found.withColumn("within", F.greatest(F.coalesce(count("near"), F.lit(0)), F.lit(0)))
+    at_cut = (F.col("within") > 0) & (F.get("near", F.col("within") - 1) == column)
+    above = (F.col("part") * STEP + F.col("within")).cast("bigint")
+    bucket = 2 * above - F.coalesce(at_cut, F.lit(False)).cast("int")
+    bucket = F.when(F.isnan(v), F.lit(LAST)).otherwise(bucket) if dict(cells.dtypes)[v] == "double" else bucket
+    found = found.withColumn(name, bucket).drop("part", "near", "within")
+    if need > CUTS:  # what lies between two cuts is cut again
+        part = -(-2 * slice_cells // buckets)
+        inner = _dealt(found.filter(F.col(name) % 2 == 0), [*keys, name], v, part, slices * 2 * buckets, f"{name}_")
+        step = F.lit(1 << (ROUND_BITS * _rounds(part))).cast("bigint")
+        inner = inner.withColumn(name, F.col(name) * step + F.col(f"{name}_")).drop(f"{name}_")
+        whole = found.filter(F.col(name) % 2 == 1).withColumn(name, F.when(F.col(name) == LAST, F.lit(LAST)).otherwise(F.col(name) * step + 1))
+        found = inner.unionByName(whole)
+    return found
+
+
+def _placed(dealt, keys, own, order):
+    """dealt with the place of each row within its group of keys: groups of own are counted, the counts summed up in their
+    order, by runs of the first of own and of its rows, and rows are numbered within them."""
+    counts = dealt.groupBy(*keys, *own).agg(F.count("*").alias("n")).withColumn("run", F.shiftright(F.col(own[0]), 12))
+    before = lambda window: F.coalesce(F.sum("n").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = counts.groupBy(*keys, "run").agg(F.sum("n").alias("n"))
+    runs = runs.select(*keys, "run", before(Window.partitionBy(*keys).orderBy("run")).alias("earlier"))
+    within = counts.select(*keys, "run", *own, before(Window.partitionBy(*keys, "run").orderBy(*own)).alias("start"))
+    starts = within.join(runs, [*keys, "run"]).select(*keys, *own, (F.col("start") + F.col("earlier")).alias("start"))
+    numbered = dealt.withColumn("own", F.row_number().over(Window.partitionBy(*keys, *own).orderBy(*order)))
+    return numbered.join(starts, [*keys, *own]).withColumn("at", (F.col("start") + F.col("own") - 1).cast("bigint"))
+
+
+def _one_slice(cells, lin: str, n: int):
+    """(cells, keys) of an array that is one slice: its number is 0 for each place below n."""
+    return cells.withColumn("slice", F.call_function("div", F.col(lin), F.lit(max(n, 1)).cast("bigint"))), ["slice"]
+
+
+def _ranked(cells, n: int, keys=(), slice_cells: int | None = None, rest=()):
+    """cells (keys, lin, v, rest) with the place of each in the order of v, then lin, within its group of keys (slice_cells each,
+    n in all). Longer slices are cut between quantiles of v; the cells that equal a quantile, which may be very many, are
     dealt out in blocks of lin, so that no task gets them all."""
     keys, slice_cells = list(keys), n if slice_cells is None else slice_cells
+    if not keys:
+        cells, keys = _one_slice(cells, "lin", n)
     if slice_cells <= WINDOW_CELLS:
-        window = Window.partitionBy(*keys) if keys else Window
-        return cells.withColumn("at", F.row_number().over(window.orderBy("v", "lin")).cast("bigint") - 1)
-    cuts = _cuts(cells, 2 * -(-slice_cells // WINDOW_CELLS))
-    kind = dict(cells.dtypes)["v"]
-    v = F.col("v")
-
-    # bucket 2 k lies above k cuts and below the next; 2 k - 1 is the k-th cut itself, and the last one is NaN
-    dealt = cells.withColumn("above", _above(v, cuts, kind))
-    cut_below = F.element_at(F.array(*(F.lit(c).cast(kind) for c in cuts)), F.greatest(F.col("above"), F.lit(1))) if cuts else F.lit(None).cast(kind)
-    bucket = 2 * F.col("above") - F.coalesce((F.col("above") > 0) & (cut_below == v), F.lit(False)).cast("int")
-    dealt = dealt.withColumn("bucket", F.when(F.isnan(v), 2 * len(cuts) + 1).otherwise(bucket) if kind == "double" else bucket).drop("above")
-    dealt = dealt.withColumn("block", F.when(F.col("bucket") % 2 == 0, F.lit(0).cast("bigint")).otherwise(F.call_function("div", F.col("lin"), F.lit(WINDOW_CELLS).cast("bigint"))))
-    own = [*keys, "bucket", "block"]
-    counts = dealt.groupBy(*own).agg(F.count("*").alias("n"))
-    ordered = (Window.partitionBy(*keys) if keys else Window).orderBy("bucket", "block")
-    starts = counts.withColumn("start", F.coalesce(F.sum("n").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    place = F.row_number().over(Window.partitionBy(*own).orderBy("v", "lin"))
-    return dealt.withColumn("own", place).join(starts, own).select(*keys, "lin", "v", (F.col("start") + F.col("own") - 1).cast("bigint").alias("at"))
+        return cells.withColumn("at", F.row_number().over(Window.partitionBy(*keys).orderBy("v", "lin")).cast("bigint") - 1)
+    dealt = _dealt(cells, keys, "v", slice_cells, max(1, n // slice_cells) if keys != ["slice"] else 1, "bucket")
+    block = F.when(F.col("bucket") % 2 == 0, F.lit(0).cast("bigint")).otherwise(F.call_function("div", F.col("lin"), F.lit(WINDOW_CELLS).cast("bigint")))
+    return _placed(dealt.withColumn("block", block), keys, ["bucket", "block"], ["v", "lin"]).select(*keys, "lin", "v", *rest, "at")
 
 
 @values.plan
@@ -86,36 +127,69 @@ def argsort(a: NDArray, axis: int | None = None) -> NDArray:
     return _sorted(a, axis, True)
 
 
+def _comparable(v, dtype):
+    """What cells of one value agree in: all NaN are one, and zeros have no sign."""
+    if dtype is complex:
+        zero = F.struct(*((F.col("v")[p] + F.lit(0.0)).alias(p) for p in ("re", "im")))
+        return F.when(values.is_nan(v, complex), F.struct(F.lit(values.NAN).alias("re"), F.lit(values.NAN).alias("im"))).otherwise(zero)
+    return v
+
+
 @values.plan
 def unique(a: NDArray) -> NDArray:
     """Sorted distinct values; all NaN are one. Complex numbers go by real, then imaginary part. A job counts them."""
-    v = F.col("v")
-    if a.dtype is complex:
-        nan = values.is_nan(v, complex)
-        found = a.df.select(F.when(nan, F.struct(F.lit(values.NAN).alias("re"), F.lit(values.NAN).alias("im"))).otherwise(v).alias("v")).distinct()
-    else:
-        found = a.df.select("v").distinct()
-    n = found.count()
-    if a.dtype is complex:
-        ranked = _ranked_pairs(found, n)
-    else:  # bools are two at most
-        ranked = _ranked(found.select(F.lit(0).cast("bigint").alias("lin"), "v"), 0 if a.dtype is bool else n)
-    return NDArray.of(ranked.select(F.col("at").alias("i0"), "v"), (n,), a.dtype)
+    return unique_with(a).values
+
 
+class UniqueResult(NamedTuple):
+    """values, and those asked for: the first place in C order and the number of cells of each, and for each cell, in C order, the
+    place of its value among values."""
 
-def _ranked_pairs(found, n: int):
+    values: NDArray
+    indices: NDArray | None
+    inverse: NDArray | None
+    counts: NDArray | None
+
+
+@values.plan
+def unique_with(a: NDArray, return_index: bool = False, return_inverse: bool = False, return_counts: bool = False) -> UniqueResult:
+    """Sorted distinct values over one base with their first places and counts, and the cells' places among them. A job counts
+    the values. Cells of values that a task's share of all cells equals or more meet these few values first, by a broadcast."""
+    key = _comparable(F.col("v"), a.dtype).alias("v")
+    cells = a.base.select(linear(a.shape).alias("lin"), a.value.alias("v")).select("lin", key)
+    found = cells.groupBy("v").agg(F.min("lin").alias("lin"), F.count("*").alias("n"))
+    n = found.count()
+    # places reach to a.size, so that all are of one slice; bools are two at most
+    ranked = _ranked_pairs(found, n, a.size) if a.dtype is complex else _ranked(found, a.size, slice_cells=0 if a.dtype is bool else n, rest=["n"])
+    base = ranked.select(F.col("at").alias("i0"), "v", F.col("lin").alias("first"), "n")
+    part = lambda wanted, name: NDArray(base, F.col(name), (n,), int, True) if wanted else None
+    inverse = None
+    if return_inverse:
+        places = ranked.select("v", F.col("at").alias("place"), "n")
+        if n <= ufunc.BROADCAST_CELLS:
+            met = cells.join(F.broadcast(places.drop("n")), "v")
+        else:
+            hot = places.filter(F.col("n") >= HOT_CELLS).drop("n").withColumnRenamed("place", "hot")  # size / HOT_CELLS at most
+            split = cells.join(_small(hot, a.size // HOT_CELLS), "v", "left")
+            cold = split.filter(F.col("hot").isNull()).join(places.filter(F.col("n") < HOT_CELLS).drop("n"), "v")
+            met = split.filter(F.col("hot").isNotNull()).select("lin", F.col("hot").alias("place")).unionByName(cold.select("lin", "place"))
+        inverse = NDArray(met.select(F.col("lin").alias("i0"), "place"), F.col("place"), (a.size,), int, True)
+    return UniqueResult(NDArray(base, F.col("v"), (n,), a.dtype, True), part(return_index, "first"), inverse, part(return_counts, "n"))
+
+
+#: Cells of one value from which unique_with() takes it for a hot one.
+HOT_CELLS = 1 << 18
+
+
+def _ranked_pairs(found, n: int, size: int):
     """Distinct complex v with their place by real, then imaginary part: buckets of real parts, and within each of those of
     imaginary parts, so that one real part may have any number of them."""
-    cells = found.select(F.col("v.re").alias("re"), F.col("v.im").alias("im"), "v")
+    cells, keys = _one_slice(found.select(F.col("v.re").alias("re"), F.col("v.im").alias("im"), "v", "lin", "n"), "lin", size)
     if n <= WINDOW_CELLS:
-        return cells.withColumn("at", F.row_number().over(Window.orderBy("re", "im")).cast("bigint") - 1)
-    buckets = 2 * -(-n // WINDOW_CELLS)
-    by_re, by_im = (_cuts(cells.withColumnRenamed(c, "v_").select(F.col("v_").alias("v")), buckets) for c in ("re", "im"))
+        return cells.withColumn("at", F.row_number().over(Window.partitionBy(*keys).orderBy("re", "im")).cast("bigint") - 1)
+    dealt = _dealt(cells, keys, "re", n, 1, "bucket")
     # a real part that is a cut has its own bucket, and is divided by imaginary parts
-    above = _above(F.col("re"), by_re, "double")
-    at_cut = F.array_contains(F.array(*(F.lit(c) for c in by_re)), F.col("re")) if by_re else F.lit(False)
-    dealt = cells.withColumn("bucket", 2 * above - at_cut.cast("int")).withColumn("part", F.when(at_cut, _above(F.col("im"), by_im, "double")).otherwise(0))
-    own = ["bucket", "part"]
-    starts = dealt.groupBy(*own).agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy(*own).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    place = F.row_number().over(Window.partitionBy(*own).orderBy("re", "im"))
-    return dealt.withColumn("own", place).join(starts, own).select("v", (F.col("start") + F.col("own") - 1).cast("bigint").alias("at"))
+    alike = F.col("bucket") % 2 == 1
+    divided = _dealt(dealt.filter(alike), [*keys, "bucket"], "im", n, 2 * -(-n // WINDOW_CELLS), "inner")
+    both = divided.unionByName(dealt.filter(~alike).withColumn("inner", F.lit(0).cast("bigint")))
+    return _placed(both, keys, ["bucket", "inner"], ["re", "im"])

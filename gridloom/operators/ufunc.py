@@ -11,6 +11,7 @@ from gridloom import geometry
 from gridloom.errors import DivideByZeroError, UnsupportedError
 from gridloom.functions import values
 from gridloom.ndarray import NDArray, indices
+from gridloom.operators.repeats import elementwise
 
 #: Cells of a side that is broadcast at most: 16 bytes an index or value, so about 100 MB.
 BROADCAST_CELLS = 1_000_000
@@ -51,6 +52,7 @@ def aligned(*operands: NDArray) -> list[NDArray]:
 
 def accepting(function):
     """Nested sequences become arrays, and scalars alone give a scalar, by a job."""
+    function = elementwise(function)
 
     @functools.wraps(function)
     def run(*operands, **options):
@@ -58,7 +60,7 @@ def accepting(function):
 
         if any(isinstance(x, NDArray) for x in operands) and not any(isinstance(x, (list, tuple)) for x in operands):
             return function(*operands, **options)
-        spark = next((x.base.sparkSession for x in operands if isinstance(x, NDArray)), None) or SparkSession.builder.getOrCreate()
+        spark = next((x.session for x in operands if isinstance(x, NDArray)), None) or SparkSession.builder.getOrCreate()
         if any(isinstance(x, (NDArray, list, tuple)) for x in operands):
             return function(*(array(spark, x) if isinstance(x, (list, tuple)) else x for x in operands), **options)
         return function(*(array(spark, [x]) for x in operands), **options).to_list()[0]
@@ -185,6 +187,7 @@ real = _part("real", lambda v: v["re"], float)
 imag = _part("imag", lambda v: v["im"], float)
 
 
+@elementwise
 def complex_of(re: NDArray, im: NDArray) -> NDArray:
     """re + im j of two real arrays."""
     x, y = aligned(re, im)
