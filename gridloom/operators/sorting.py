@@ -51,9 +51,13 @@ def _dealt(cells, keys, v: str, slice_cells: int, slices: int, name: str):
     parts = some.select(*keys, F.posexplode("groups").alias("part", "near"))
     count = lambda array: F.size(F.filter(array, lambda c: c <= column))
     rows = slices * -(-buckets // STEP) * STEP
-    found = cells.join(_small(heads, rows), keys, "left")
-    found = found.withColumn("part", F.greatest(F.coalesce(count("heads"), F.lit(1)), F.lit(1)) - 1).drop("heads")
-    found = found.join(_small(parts, rows), [*keys, "part"], "left")
+    if slices == 1 and buckets <= STEP:  # so few that they are a constant
+        cuts = [c for r in bounds.select("cuts").collect() for c in r["cuts"] or ()]
+        found = cells.select("*", F.lit(0).alias("part"), F.array(*map(F.lit, cuts)).cast(f"array<{dict(cells.dtypes)[v]}>").alias("near"))
+    else:
+        found = cells.join(_small(heads, rows), keys, "left")
+        found = found.withColumn("part", F.greatest(F.coalesce(count("heads"), F.lit(1)), F.lit(1)) - 1).drop("heads")
+        found = found.join(_small(parts, rows), [*keys, "part"], "left")
     found = found.withColumn("within", F.greatest(F.coalesce(count("near"), F.lit(0)), F.lit(0)))
     at_cut = (F.col("within") > 0) & (F.get("near", F.col("within") - 1) == column)
     above = (F.col("part") * STEP + F.col("within")).cast("bigint")
@@ -70,17 +74,23 @@ def _dealt(cells, keys, v: str, slice_cells: int, slices: int, name: str):
     return found
 
 
-def _placed(dealt, keys, own, order):
-    """dealt with the place of each row within its group of keys: groups of own are counted, the counts summed up in their
-    order, by runs of the first of own and of its rows, and rows are numbered within them."""
-    counts = dealt.groupBy(*keys, *own).agg(F.count("*").alias("n")).withColumn("run", F.shiftright(F.col(own[0]), 12))
-    before = lambda window: F.coalesce(F.sum("n").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    runs = counts.groupBy(*keys, "run").agg(F.sum("n").alias("n"))
-    runs = runs.select(*keys, "run", before(Window.partitionBy(*keys).orderBy("run")).alias("earlier"))
-    within = counts.select(*keys, "run", *own, before(Window.partitionBy(*keys, "run").orderBy(*own)).alias("start"))
-    starts = within.join(runs, [*keys, "run"]).select(*keys, *own, (F.col("start") + F.col("earlier")).alias("start"))
+def _placed(dealt, keys, own, order, n: int):
+    """dealt (n rows) with the place of each row within its group of keys. Groups of own, of which there are a few for each window of
+    cells, are counted by a job, and the counts are summed up in their order; rows are numbered within their group."""
+    groups = 4 * -(-n // WINDOW_CELLS) + 2
+    counts = dealt.groupBy(*keys, *own).agg(F.count("*").alias("n"))
+    if groups * (len(keys) + len(own)) <= scratch.DRIVER_VALUES:
+        found = counts.toPandas().sort_values([*keys, *own])
+        found["start"] = found.groupby(keys)["n"].cumsum() - found["n"]
+        starts = scratch.made(dealt.sparkSession, found.drop(columns="n"), [*keys, *own, "start"])
+    else:  # by runs of the first of own, and within them
+        counts = scratch.held(counts, groups * 4).withColumn("run", F.shiftright(F.col(own[0]), 12))
+        before = lambda window: F.coalesce(F.sum("n").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        runs = counts.groupBy(*keys, "run").agg(F.sum("n").alias("n")).select(*keys, "run", before(Window.partitionBy(*keys).orderBy("run")).alias("earlier"))
+        within = counts.select(*keys, "run", *own, before(Window.partitionBy(*keys, "run").orderBy(*own)).alias("start"))
+        starts = within.join(runs, [*keys, "run"]).select(*keys, *own, (F.col("start") + F.col("earlier")).alias("start"))
     numbered = dealt.withColumn("own", F.row_number().over(Window.partitionBy(*keys, *own).orderBy(*order)))
-    return numbered.join(starts, [*keys, *own]).withColumn("at", (F.col("start") + F.col("own") - 1).cast("bigint"))
+    return numbered.join(_small(starts, groups), [*keys, *own]).withColumn("at", (F.col("start") + F.col("own") - 1).cast("bigint"))
 
 
 def _one_slice(cells, lin: str, n: int):
@@ -99,7 +109,7 @@ def _ranked(cells, n: int, keys=(), slice_cells: int | None = None, rest=()):
         return cells.withColumn("at", F.row_number().over(Window.partitionBy(*keys).orderBy("v", "lin")).cast("bigint") - 1)
     dealt = _dealt(cells, keys, "v", slice_cells, max(1, n // slice_cells) if keys != ["slice"] else 1, "bucket")
     block = F.when(F.col("bucket") % 2 == 0, F.lit(0).cast("bigint")).otherwise(F.call_function("div", F.col("lin"), F.lit(WINDOW_CELLS).cast("bigint")))
-    return _placed(dealt.withColumn("block", block), keys, ["bucket", "block"], ["v", "lin"]).select(*keys, "lin", "v", *rest, "at")
+    return _placed(dealt.withColumn("block", block), keys, ["bucket", "block"], ["v", "lin"], n).select(*keys, "lin", "v", *rest, "at")
 
 
 @values.plan
@@ -192,4 +202,4 @@ def _ranked_pairs(found, n: int, size: int):
     alike = F.col("bucket") % 2 == 1
     divided = _dealt(dealt.filter(alike), [*keys, "bucket"], "im", n, 2 * -(-n // WINDOW_CELLS), "inner")
     both = divided.unionByName(dealt.filter(~alike).withColumn("inner", F.lit(0).cast("bigint")))
-    return _placed(both, keys, ["bucket", "inner"], ["re", "im"])
+    return _placed(both, keys, ["bucket", "inner"], ["re", "im"], n)

@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Values of a table that goes by the driver at most; larger ones are written to the shared folder.
@@ -27,10 +28,15 @@ def root(spark: SparkSession) -> str:
     return _LOCAL_ROOTS[application]
 
 
+def made(spark: SparkSession, frame, columns) -> DataFrame:
+    """A table of the bigint columns of a pandas frame."""
+    return spark.createDataFrame(pa.Table.from_pandas(frame[list(columns)].astype("int64"), preserve_index=False))
+
+
 def held(df: DataFrame, size: int) -> DataFrame:
     """The rows of df, settled by a job: through the driver if they have few values, else by a written table."""
     if size <= DRIVER_VALUES:
-        return df.sparkSession.createDataFrame(df.collect(), df.schema)
+        return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
     path = f"{root(df.sparkSession)}/gridloom/held-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
