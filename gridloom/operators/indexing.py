@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from math import prod
+
 from pyspark.sql import functions as F
 
 from gridloom import geometry
 from gridloom.errors import ArrayIndexError, ShapeError
 from gridloom.functions import values
 from gridloom.ndarray import NDArray, indices, linear, unwrapped
-from gridloom.operators import manipulation, repeats, selection, ufunc
+from gridloom.operators import repeats, selection, ufunc
 
 
 def _expanded(key, ndim: int) -> list:
@@ -65,6 +67,26 @@ def _in_range(column, r: range):
     return (column >= low) & (column <= high) & ((column - r[0]) % abs(r.step) == 0)
 
 
+#: Picks of one place from which it is a hot one, and the parts that its picks are dealt out to.
+HOT_PICKS, SALTS = 1 << 18, 64
+
+
+def _gathered(cells, picks, keys, size: int, n: int, ndim: int):
+    """The cells (size of them) that the n picks name. A small side is broadcast. Else places that are picked very often are found
+    first: their cells are copied for each of SALTS parts of their picks, so that no task gets all picks of a place."""
+    if size <= ufunc.BROADCAST_CELLS:
+        return picks.join(F.broadcast(cells), keys)
+    if n <= ufunc.BROADCAST_CELLS:
+        return cells.join(F.broadcast(picks), keys)
+    hot = picks.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") >= HOT_PICKS).select(*keys, F.lit(True).alias("hot"))
+    hot = F.broadcast(hot) if n // HOT_PICKS <= ufunc.BROADCAST_CELLS else hot
+    marked = picks.join(hot, keys, "left")
+    part = F.pmod(F.xxhash64(*(f"f{k}" for k in range(ndim))), F.lit(SALTS))
+    salted = marked.filter("hot").withColumn("part", part).drop("hot")
+    copies = cells.join(hot, keys).drop("hot").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("part", F.col("part").cast("bigint"))
+    return cells.join(marked.filter("hot IS NULL").drop("hot"), keys).unionByName(copies.join(salted, [*keys, "part"]).drop("part"))
+
+
 def _target(a: NDArray, entries):
     """The cells that a resolved key selects: (rows with t0, t1, ... and, for each axis, s0, s1, ...; shape), t being places of the
     selection. Without index arrays the rows are those of a itself, with its cell."""
@@ -94,7 +116,8 @@ def _target(a: NDArray, entries):
         fancy_at = fancy_at if together else 0
         joint = ufunc.aligned(*(e for _, e in arrays))
         picks = joint[0].base.select(*(F.col(i).alias(f"f{k}") for k, i in enumerate(indices(joint[0].ndim))), *(e.value.alias(f"i{axis}") for (axis, _), e in zip(arrays, joint)))
-        cells = cells.join(picks, [f"i{axis}" for axis, _ in arrays])
+        size = prod([*(len(e) for _, e in entries if isinstance(e, range)), *(a.shape[axis] for axis, _ in arrays)])
+        cells = _gathered(cells, picks, [f"i{axis}" for axis, _ in arrays], size, joint[0].size, joint[0].ndim)
         places[fancy_at:fancy_at] = [F.col(f"f{k}") for k in range(joint[0].ndim)]
         shape[fancy_at:fancy_at] = joint[0].shape
     return cells, places, tuple(shape)
@@ -148,7 +171,11 @@ def _assigned_basic(a: NDArray, entries, value) -> NDArray:
     for n in value.shape:
         cells *= n
     given = source.base.select(*(F.col(i).alias(f"t{k}") for i, k in keys), F.struct(source.value.alias("x")).alias("new"))
-    given = F.broadcast(given) if cells <= ufunc.BROADCAST_CELLS else given
+    if cells > ufunc.BROADCAST_CELLS:  # only the cells that are selected are joined
+        whole = a.base.select(*indices(a.ndim), a.value.alias("v"))
+        met = whole.filter(test).select(*indices(a.ndim), *(places[k].cast("bigint").alias(f"t{k}") for _, k in keys)).join(given, [f"t{k}" for _, k in keys])
+        return NDArray.of(met.select(*indices(a.ndim), F.col("new.x").alias("v")).unionByName(whole.filter(~test)), a.shape, a.dtype)
+    given = F.broadcast(given)
     own = a.base.select(*indices(a.ndim), a.value.alias("v"), test.alias("chosen"), *(F.when(test, places[k]).alias(f"t{k}") for _, k in keys))
     joined = own.join(given, [f"t{k}" for _, k in keys], "left") if keys else own.crossJoin(given)
     return NDArray.of(joined.select(*indices(a.ndim), F.when(F.col("chosen"), F.col("new.x")).otherwise(F.col("v")).alias("v")), a.shape, a.dtype)
@@ -169,8 +196,11 @@ def assigned(a: NDArray, key, value) -> NDArray:
     if isinstance(value, NDArray):
         if geometry.broadcast(value.shape, shape) != shape:
             raise ShapeError(f"cannot broadcast shape {value.shape} to {shape}")
-        source = manipulation.broadcast_to(value.astype(a.dtype), shape).df.toDF(*(f"t{k}" for k in range(len(shape))), "x")
-        chosen = chosen.join(source, [f"t{k}" for k in range(len(shape))]) if shape else chosen.crossJoin(source)
+        value, pad = repeats.narrow(value).astype(a.dtype), len(shape) - value.ndim
+        named = {f"t{k + pad}": f"i{k}" for k, n in enumerate(value.shape) if n != 1}
+        source = value.base.select(*(F.col(i).alias(t) for t, i in named.items()), value.value.alias("x"))
+        source = F.broadcast(source) if value.size <= ufunc.BROADCAST_CELLS else source
+        chosen = chosen.join(source, list(named)) if named else chosen.crossJoin(source)
     else:
         chosen = chosen.withColumn("x", _coerced(value, a.dtype))
     last = chosen.groupBy(*indices(a.ndim)).agg(F.max_by(F.struct("x"), linear(shape, [f"t{k}" for k in range(len(shape))])).alias("new"))

@@ -12,7 +12,7 @@ from gridloom import geometry
 from gridloom.errors import ShapeError
 from gridloom.functions import values
 from gridloom.ndarray import NDArray, indices, unwrapped
-from gridloom.operators import manipulation, reduction
+from gridloom.operators import manipulation, reduction, repeats
 
 
 def _contracted(kind, x, y):
@@ -20,8 +20,11 @@ def _contracted(kind, x, y):
     return F.struct(F.sum(product["re"]).alias("re"), F.sum(product["im"]).alias("im")) if kind is complex else F.sum(product)
 
 
-#: Products of cells that a join's rows may stand for one by one; more are multiplied by tiles of this side.
+#: Products of cells that a join's rows may stand for one by one; more are multiplied by tiles of this side. Cells of a matrix that
+#: each task may hold (a result that is summed up, or a small factor), and cells of a panel of rows.
 JOINED_PRODUCTS, TILE = 50_000_000, 256
+HELD_CELLS, PANEL_CELLS = 1 << 18, 1 << 20
+NUMPY = {int: np.int64, float: np.float64, complex: np.complex128}
 
 
 def _dense(group: pd.DataFrame, row: str, column: str, value: str, kind, side: int) -> np.ndarray:
@@ -49,7 +52,7 @@ def _tiled(x, y, names, kind, shape):
     def multiplied(batches):
         for batch in batches:
             done = [(np.frombuffer(a, numpy_kind).reshape(side, side) @ np.frombuffer(b, numpy_kind).reshape(side, side)).tobytes() for a, b in zip(batch["tile_x"], batch["tile_y"])]
-            yield batch[[*names, "tr", "tc"]].assign(tile=done)
+            yield batch[[*names, "tr", "tc", "tk"]].assign(tile=done)
 
     def added(key, group):
         total = np.sum([np.frombuffer(t, numpy_kind) for t in group["tile"]], axis=0).reshape(side, side)
@@ -61,9 +64,10 @@ def _tiled(x, y, names, kind, shape):
         return pd.DataFrame({**dict(zip(names, key)), "r": rows.ravel() + r, "c": columns.ravel() + c, "v": v})
 
     pairs = gathered(x, "r", "k", "x").join(gathered(y, "k", "c", "y"), [*names, "tk"])
-    products = pairs.mapInPandas(multiplied, f"{keys}tr bigint, tc bigint, tile binary")
-    # sums of a few tiles at a time, then of those, so that no task holds all that one tile of the result is made of
-    few = products.withColumn("few", F.pmod(F.monotonically_increasing_id(), F.lit(64)))
+    products = pairs.mapInPandas(multiplied, f"{keys}tr bigint, tc bigint, tk bigint, tile binary")
+    # sums of a few tiles at a time, then of those, so that no task holds all that one tile of the result is made of; dealt by
+    # what the tiles are, so that a task that runs again deals alike
+    few = products.withColumn("few", F.pmod(F.xxhash64(*names, "tr", "tc", "tk"), F.lit(64))).drop("tk")
 
     def partly(key, group):
         return pd.DataFrame([(*key[:-1], np.sum([np.frombuffer(t, numpy_kind) for t in group["tile"]], axis=0).tobytes())], columns=[*names, "tr", "tc", "tile"])
@@ -72,12 +76,94 @@ def _tiled(x, y, names, kind, shape):
     return some.groupBy(*names, "tr", "tc").applyInPandas(added, f"{keys}r bigint, c bigint, v {values.SPARK[kind]}")
 
 
+def _panels(batches, sides, lines: int, kind):
+    """(first line, a matrix for each of sides, which are their widths) of cells (panel, line, side, at, re, im) that come sorted by
+    panel: lines in a panel, `at` along the width."""
+    held, matrices = None, None
+    for batch in batches:
+        panel = batch["panel"].to_numpy()
+        cuts = [0, *(np.flatnonzero(panel[1:] != panel[:-1]) + 1).tolist(), len(panel)] if len(panel) else []
+        for start, end in zip(cuts, cuts[1:]):
+            if panel[start] != held:
+                if matrices is not None:
+                    yield held * lines, matrices
+                held, matrices = int(panel[start]), [np.zeros((lines, n), NUMPY[kind]) for n in sides]
+            part = batch.iloc[start:end]
+            value = part["re"].to_numpy() + 1j * part["im"].to_numpy() if kind is complex else part["re"].to_numpy()
+            for k, matrix in enumerate(matrices):
+                own = part["side"].to_numpy() == k
+                matrix[part["line"].to_numpy()[own] - held * lines, part["at"].to_numpy()[own]] = value[own]
+    if matrices is not None:
+        yield held * lines, matrices
+
+
+def _cells(df, line: str, at: str, value: str, side: int, lines: int, kind):
+    """Cells of one factor as _panels() takes them."""
+    v = F.col(value)
+    parts = (v["re"].alias("re"), v["im"].alias("im")) if kind is complex else (v.alias("re"), F.lit(0.0).alias("im"))
+    return df.select(F.call_function("div", F.col(line), F.lit(lines).cast("bigint")).alias("panel"), F.col(line).alias("line"), F.lit(side).alias("side"), F.col(at).alias("at"), *parts)
+
+
+def _frame(first: int, matrix: np.ndarray, kind) -> pd.DataFrame:
+    rows, columns = np.indices(matrix.shape)
+    flat = matrix.ravel()
+    parts = {"re": flat.real, "im": flat.imag} if kind is complex else {"re": flat, "im": 0.0}
+    return pd.DataFrame({"r": rows.ravel() + first, "c": columns.ravel(), **parts})
+
+
+def _value(kind):
+    return F.struct("re", "im") if kind is complex else F.col("re")
+
+
+def _small_result(x, y, kind, rows: int, columns: int):
+    """r, c and v of x (r, k, x) @ y (k, c, y) where the result is small and k long: panels of lines of k are multiplied, a task adds
+    up what its panels give, and the tasks' results are added up."""
+    lines = max(1, PANEL_CELLS // (rows + columns))
+
+    def run(batches):
+        total = None
+        for _, (a, b) in _panels(batches, (rows, columns), lines, kind):
+            total = a.T @ b if total is None else total + a.T @ b
+        if total is not None:
+            yield _frame(0, total, kind)
+
+    both = _cells(x, "k", "r", "x", 0, lines, kind).unionByName(_cells(y, "k", "c", "y", 1, lines, kind))
+    found = both.repartition("panel").sortWithinPartitions("panel").mapInPandas(run, f"r bigint, c bigint, re {'bigint' if kind is int else 'double'}, im double")
+    return found.groupBy("r", "c").agg(F.sum("re").alias("re"), F.sum("im").alias("im")).select("r", "c", _value(kind).alias("v"))
+
+
+def _small_factor(x, y, kind, shape):
+    """r, c and v of x (r, k, x) @ y (k, c, y) where y is small: it goes to all tasks, by a job, and panels of rows of x meet it.
+    shape is (rows, inner, columns)."""
+    rows, inner, columns = shape
+    lines, matrix = max(1, PANEL_CELLS // (inner + columns)), np.zeros((inner, columns), NUMPY[kind])
+    for r in y.collect():  # HELD_CELLS at most
+        matrix[r["k"], r["c"]] = complex(r["y"]["re"], r["y"]["im"]) if kind is complex else r["y"]
+    shared = x.sparkSession.sparkContext.broadcast(matrix)
+
+    def run(batches):
+        for first, (a,) in _panels(batches, (inner,), lines, kind):
+            yield _frame(first, (a @ shared.value)[: rows - first], kind)
+
+    dealt = _cells(x, "r", "k", "x", 0, lines, kind).repartition("panel").sortWithinPartitions("panel")
+    found = dealt.mapInPandas(run, f"r bigint, c bigint, re {'bigint' if kind is int else 'double'}, im double")
+    return found.select("r", "c", _value(kind).alias("v"))
+
+
+def _flat_batch(a: NDArray) -> NDArray:
+    """a without its batch axes' repetitions; repeated rows or columns get cells."""
+    if not a.repeats:
+        return a
+    return repeats.narrow(a) if None not in a.repeats[1][-2:] else NDArray(*a.cells[:2], a.shape, a.dtype, a.cells[2])
+
+
 @values.plan
 def matmul(a: NDArray, b: NDArray, lazy: bool = False):
     """Rows of a against columns of b; batch axes broadcast, vectors lose their axis again.
 
-    Cells are joined on the contracted index, one row for each product, which Spark sums up within tasks before the shuffle;
-    where those would be too many, tiles are."""
+    Cells are joined on the contracted index, one row for each product, which Spark sums up within tasks before the shuffle; a batch
+    axis of one operand alone isn't copied for the other. Where the products would be too many, a small result is summed up in each
+    task from panels of rows, a small factor meets panels of the other, and tiles are joined if no side is small."""
     kind = values.promote(a.dtype, b.dtype)
     values.refuse(kind, bool, name="matmul")
     if not a.ndim or not b.ndim:
@@ -95,17 +181,41 @@ def matmul(a: NDArray, b: NDArray, lazy: bool = False):
         from gridloom.sources.creation import zeros
 
         return unwrapped(zeros(spark, out, kind), lazy)
-    left = manipulation.broadcast_to(left, batch + left.shape[-2:])
-    right = manipulation.broadcast_to(right, batch + right.shape[-2:])
+    left, right = _flat_batch(left), _flat_batch(right)
     names = [f"b{k}" for k in range(len(batch))]
-    x = left.base.select(*(F.col(f"i{k}").alias(n) for k, n in enumerate(names)), F.col(f"i{len(batch)}").alias("r"), F.col(f"i{len(batch) + 1}").alias("k"), values.cast(left.value, left.dtype, kind).alias("x"))
-    y = right.base.select(*(F.col(f"i{k}").alias(n) for k, n in enumerate(names)), F.col(f"i{len(batch)}").alias("k"), F.col(f"i{len(batch) + 1}").alias("c"), values.cast(right.value, right.dtype, kind).alias("y"))
-    if prod(shape) * left.shape[-1] > JOINED_PRODUCTS and min(left.shape[-2:] + right.shape[-1:]) >= TILE:
+    rows, inner, columns = left.shape[-2], left.shape[-1], right.shape[-1]
+    many = prod(shape) * inner > JOINED_PRODUCTS
+    tiled = many and min(rows, inner, columns) >= TILE and (batch or rows * columns > HELD_CELLS)
+    if tiled:
+        left, right = (manipulation.broadcast_to(m, batch + m.shape[-2:]) for m in (left, right))
+
+    def own(m: NDArray, line: str, at: str, value: str):
+        """The cells of m with the batch axes that it has, and their names."""
+        pad = len(batch) - (m.ndim - 2)
+        has = {names[k + pad]: f"i{k}" for k in range(m.ndim - 2) if tiled or m.shape[k] != 1}
+        ends = (F.col(f"i{m.ndim - 2}").alias(line), F.col(f"i{m.ndim - 1}").alias(at))
+        return m.base.select(*(F.col(i).alias(n) for n, i in has.items()), *ends, values.cast(m.value, m.dtype, kind).alias(value)), has
+
+    (x, x_has), (y, y_has) = own(left, "r", "k", "x"), own(right, "k", "c", "y")
+    if tiled:
         found = _tiled(x, y, names, kind, shape[-2:])
+    elif many and not batch and rows * columns <= HELD_CELLS:
+        found = _small_result(x, y, kind, rows, columns)
+    elif many and not batch and inner * columns <= HELD_CELLS:
+        found = _small_factor(x, y, kind, (rows, inner, columns))
+    elif many and not batch and rows * inner <= HELD_CELLS:  # the transposed product
+        turned = _small_factor(y.select("k", F.col("c").alias("r"), F.col("y").alias("x")), x.select("k", F.col("r").alias("c"), F.col("x").alias("y")), kind, (columns, inner, rows))
+        found = turned.select(F.col("c").alias("r"), F.col("r").alias("c"), "v")
     else:
-        found = x.join(y, [*names, "k"]).groupBy(*names, "r", "c").agg(_contracted(kind, F.col("x"), F.col("y")).alias("v"))
+        have = [n for n in names if n in x_has or n in y_has]
+        joined = x.join(y, [*(n for n in have if n in x_has and n in y_has), "k"])
+        found = joined.groupBy(*have, "r", "c").agg(_contracted(kind, F.col("x"), F.col("y")).alias("v"))
+        found = found.select(*(F.col(n) if n in have else F.lit(0).cast("bigint").alias(n) for n in names), "r", "c", "v")
+    met = [names[k] in x_has or names[k] in y_has or batch[k] == 1 for k in range(len(batch))]  # else both repeat along it
     kept = [n for k, n in enumerate([*names, "r", "c"]) if k not in drop]
-    return unwrapped(NDArray.of(found.select(*(F.col(n).alias(f"i{k}") for k, n in enumerate(kept)), "v"), out, kind), lazy)
+    own_shape = tuple(n if k >= len(batch) or met[k] else 1 for k, n in enumerate(shape) if k not in drop)
+    result = NDArray.of(found.select(*(F.col(n).alias(f"i{k}") for k, n in enumerate(kept)), "v"), own_shape, kind)
+    return unwrapped(result if own_shape == out else repeats.stretched(result, out), lazy)
 
 
 def dot(a: NDArray, b: NDArray, lazy: bool = False):
