@@ -36,7 +36,8 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cache = common.scratch_path(spark, "token-counts")
+    # a folder that outlives runs if the session names one; else every run counts all texts anew
+    cache = spark.conf.get("spark.gridloom.tokenCounts", None) or common.scratch_path(spark, "token-counts")
     return token_counts.count_tokens(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cache)
 
 

@@ -2,12 +2,14 @@
 
 The digest of a text's content and the digest of the tokenizer's version are the key of a stored table of counts. A
 run joins its contents to that table, encodes one text of each content that has no count yet, and appends the counts.
+The content is what the tokenizer's own normalizer makes of a text, so that texts which differ only there are one.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -86,23 +88,51 @@ def counter(path: str):
     return counts
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def normalizer(path: str):
+    """The function that the tokenizer applies to a text before all else, or None if it takes texts as they are. Texts with
+    special strings stay as they are, as those are cut out first."""
+    if path.endswith(".model"):
+        return None  # its rules are the model's own; equal texts alone are taken for equal
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    if tokenizer.normalizer is None:
+        return None
+    special, normal = [t.content for t in tokenizer.get_added_tokens_decoder().values()], tokenizer.normalizer
+    return lambda text: text if any(s in text for s in special) else normal.normalize_str(text)
+
+
+def digested(text, path: str):
+    """The digest of the normalised content of the column text."""
+    if normalizer(path) is None:
+        return F.sha2(text.cast("binary"), 256)
+
+    @F.pandas_udf("string")
+    def digest(texts: pd.Series) -> pd.Series:
+        normal = normalizer(path)
+        return texts.map(lambda t: hashlib.sha256(normal(t).encode()).hexdigest())
+
+    return digest(text)
+
+
+def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text", run: str | None = None) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row of docs; repeated rows give repeated rows.
 
     A null text counts as empty; an empty text has 0 bytes and 0 tokens. Rows with a null id are counted too. Other
-    columns of docs are not read. cache_path is a Parquet folder (made if absent) with one row for each tokenizer
-    version and content. The content of this tokenizer's kind isn't changed before it is hashed, as equal counts are
-    only sure for equal texts.
+    columns of docs are not read. cache_path is a folder (made if absent) that outlives runs, for any tokenizers: each run
+    adds a Parquet folder of its own there, run=<run>, and writes it anew if it is tried again under the same run id. Runs
+    at one time may add a content twice; counts are grouped by content as they are read, so that rows never double.
     """
     spark = docs.sparkSession
     version = tokenizer_version(tokenizer_path)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.sha2(text.cast("binary"), 256).alias("content"))
-    if not cache_exists(spark, cache_path):
-        spark.createDataFrame([], CACHE_SCHEMA).write.mode("ignore").parquet(cache_path)
+    keyed = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), digested(text, tokenizer_path).alias("content"))
 
     def cached() -> DataFrame:
-        return spark.read.schema(CACHE_SCHEMA).parquet(cache_path).filter(F.col("tokenizer") == version).select("content", "n_tokens")
+        if not cache_exists(spark, cache_path):
+            return spark.createDataFrame([], "content string, n_tokens long")
+        rows = spark.read.schema(CACHE_SCHEMA).option("recursiveFileLookup", "true").parquet(cache_path).filter(F.col("tokenizer") == version)
+        return rows.groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
 
     one_each = keyed.select("doc_id", "content").groupBy("content").agg(F.min("doc_id").alias("rep"))
     misses = one_each.join(cached(), "content", "left_anti").withColumnRenamed("content", "missed")
@@ -115,7 +145,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
 
     encoded = todo.select("content", "text").mapInPandas(encode, "content string, n_tokens long")
     (encoded.groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
-     .select(F.lit(version).alias("tokenizer"), "content", "n_tokens").write.mode("append").parquet(cache_path))
+     .select(F.lit(version).alias("tokenizer"), "content", "n_tokens").write.mode("overwrite").parquet(f"{cache_path}/run={run or uuid.uuid4().hex}"))
     return (
         keyed.select("doc_id", "content", F.octet_length("text").cast("long").alias("n_bytes"))
         .join(cached(), "content", "left")
