@@ -46,10 +46,10 @@ class Element:
     """A block-level element: its parent, what it looks like, the characters of text in it and up to two levels below,
     whether it holds a headline, and how many elements of its parent look like it."""
 
-    __slots__ = ("parent", "look", "chars", "headed", "alike")
+    __slots__ = ("parent", "look", "chars", "headed", "alike", "stamped")
 
     def __init__(self, parent, look):
-        self.parent, self.look, self.chars, self.headed, self.alike = parent, look, 0, False, None
+        self.parent, self.look, self.chars, self.headed, self.alike, self.stamped = parent, look, 0, False, None, False
 
 
 class Block:
@@ -68,6 +68,8 @@ def blocks_of(page: str) -> list[Block]:
     everything = [top]  # keeps elements alive, so that no two have one id
     children: dict[tuple[int, str], list[int]] = {}
     around: Counter = Counter()
+    opened: Counter = Counter()  # block-level elements that are open, by tag, and others since the last of those
+    inline: list[Counter] = [Counter()]
     buffer: list[str] = []
     linked = links = at = 0
 
@@ -100,6 +102,10 @@ def blocks_of(page: str) -> list[Block]:
             links -= tag == "a"
             if tag in BLOCK_TAGS:
                 elements.pop()
+                opened[tag] -= 1
+                inline.pop()
+            else:
+                inline[-1][tag] -= 1
             for name in names:
                 around[name] -= 1
                 if not around[name]:
@@ -128,6 +134,8 @@ def blocks_of(page: str) -> list[Block]:
         if block:
             flush()
         if m["end"]:
+            if not (opened if block else inline[-1])[tag]:
+                continue  # it ends nothing
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     pop_to(k)
@@ -164,6 +172,11 @@ def blocks_of(page: str) -> list[Block]:
             elements[-1].alike = alike
             everything.append(elements[-1])
         links += tag == "a"
+        if block:
+            opened[tag] += 1
+            inline.append(Counter())
+        else:
+            inline[-1][tag] += 1
         stack.append((tag, names))
     flush()
     return found
@@ -174,7 +187,44 @@ def share(part: float, whole: float) -> int:
     return 0 if part <= 0 else min(1 + int(4 * part / max(whole, 1)), 5) if part < 0.95 * whole else 5
 
 
+#: What says when or by whom something was said, or answers it, in short blocks.
+STAMP = re.compile(r"\b\d+ ?(?:s|m|h|d|min|mins|minutes?|hours?|days?|weeks?|months?|years?|likes?) ?(?:ago)?\b|\b\d{1,2}:\d\d\b|\b\d{4}-\d\d?-\d\d?\b|\b(?:yesterday|gestern|hier|ayer|vor \d|il y a|hace \d|reply|antworten|répondre|responder|quote|permalink|flag|report|like)\b|\b\d{1,2} [A-Z]\w+ \d{4}\b|\b[A-Z][a-z]{2,8} \d{1,2}, \d{4}\b", re.I)
+
+
+#: Elements that say what they are for.
+TELLING_TAGS = frozenset("article main aside nav form footer header figure li table blockquote dialog section".split())
+
+
+def closest(own: Element) -> list[str]:
+    """The telling element next above a block, and the names of the two elements next to it."""
+    found, e = [], own
+    for k in range(2):
+        found += [f"near:{w}" for w in e.look.split() if k == 0 or w.startswith("name:")]
+        e = e.parent or e
+    e = own
+    while e.parent is not None and e.look[3:].split(" ", 1)[0] not in TELLING_TAGS:
+        e = e.parent
+    return [*found, f"inner:{e.look[3:].split(' ', 1)[0]}"]
+
+
+def stamps(own: Element) -> list[str]:
+    """How the element of a block, and those around it, are stamped and repeated."""
+    up = own.parent or own
+    over = up.parent or up
+    alike = [f"{min(e.alike[0], 3) if e.alike else 0}{e.stamped}" for e in (own, up, over)]
+    return [f"stamped:{'-'.join(alike)}", f"stamped0:{alike[0]}", f"stamped1:{alike[1]}"]
+
+
+WIDE = re.compile(r"[\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff]")
+
+
 def features(blocks: list[Block]) -> list[list[str]]:
+    for b in blocks:  # an element with a stamp, and the one that it is repeated in
+        if len(b.text) <= 60 and STAMP.search(b.text):
+            up = b.own
+            for _ in range(2):
+                if up.parent is not None:
+                    up.stamped, up = True, up.parent
     total = sum(len(b.text) - min(b.linked, len(b.text)) for b in blocks)
     headed = any("tag:h1" in b.context for b in blocks)
     held = any("in:article" in b.context or "in:main" in b.context for b in blocks)
@@ -182,17 +232,19 @@ def features(blocks: list[Block]) -> list[list[str]]:
     result = []
     for b in blocks:
         size = len(b.text)
-        words = b.text.count(" ") + 1
-        stops = b.text.count(".") + b.text.count(",")
+        # a character of a script without spaces counts as half a word, and as three of another
+        wide = 0 if b.text.isascii() else len(WIDE.findall(b.text))
+        words = b.text.count(" ") + 1 + wide // 2
+        stops = sum(map(b.text.count, ".,。，、"))
         up = b.own.parent or b.own
         over = up.parent or up
         near = 3 if not headed else 0 if b.own.headed or up.headed else 1 if over.headed else 2
         inside = not held or "in:article" in b.context or "in:main" in b.context
         found = [
-            "bias", *b.context, f"size:{min(size.bit_length(), 12)}", f"words:{min(words.bit_length(), 8)}", f"stops:{min(stops.bit_length(), 5)}",
-            f"link:{min(4 * b.linked // max(size, 1), 4)}", f"end:{b.text[-1] if b.text[-1] in '.!?:;,' else 'other'}", f"sign:{'©' in b.text or 'copyright' in b.text.lower()}",
+            "bias", *b.context, f"size:{min((size + 2 * wide).bit_length(), 12)}", f"words:{min(words.bit_length(), 8)}", f"stops:{min(stops.bit_length(), 5)}",
+            f"link:{min(4 * b.linked // max(size, 1), 4)}", f"sign:{'©' in b.text or 'copyright' in b.text.lower()}",
             f"head:{near}", f"inside:{inside}", f"up:{share(up.chars, total)}", f"over:{share(over.chars, total)}", f"of:{share(size, most)}",
-            f"alike:{min(up.alike[0] if up.alike else 0, 3)}", f"above:{min(over.alike[0] if over.alike else 0, 3)}", f"held:{inside and held}:{near}", f"{b.context[0]}:{inside and held}", f"header:{'in:header' in b.context}:{inside and held}:{near}",
+            f"alike:{min(up.alike[0] if up.alike else 0, 3)}", f"above:{min(over.alike[0] if over.alike else 0, 3)}", f"held:{inside and held}:{near}", *stamps(b.own), *closest(b.own), f"{b.context[0]}:{inside and held}", f"header:{'in:header' in b.context}:{inside and held}:{near}",
         ]
         if words <= 8:
             found += [f"word:{w}" for w in set(WORD.findall(b.text.lower())) if not w.isdigit()]
@@ -240,7 +292,7 @@ def train_field(pages: list[tuple[list[Block], list[bool]]], steps: int = STEPS)
     named = [f[k : k + STRETCH] for f, _ in whole for k in range(0, len(f), STRETCH)]
     pages = [(None, labels[k : k + STRETCH]) for f, labels in whole for k in range(0, len(f), STRETCH)]
     counts = Counter(name for page in named for names in page for name in set(names))
-    index = {name: k for k, name in enumerate(sorted(n for n, c in counts.items() if c >= 3))}
+    index = {name: k for k, name in enumerate(sorted(n for n, c in counts.items() if c))}
     n, most = len(pages), max((len(p) for p in named), default=0)
     if not n or not index:
         return Field({}, [[0, 0], [0, 0]], 0)
@@ -335,8 +387,25 @@ def laid_out(texts: list[str], number: int, seed: int = 7) -> list[tuple[list[Bl
     def links(n: int) -> str:
         return "<ul>" + "".join(f'<li><a href="/x">{rng.choice((phrase(1, 3), rng.choice(NOTICES)))}</a></li>' for _ in range(n)) + "</ul>"
 
+    def varied(t: str) -> str:
+        """t, or t cut off, without stops, or in a script that has no spaces: how a text ends says little."""
+        kind = rng.random()
+        if kind < 0.25:
+            own = t.split()
+            return " ".join(own[: rng.randint(min(5, len(own)), len(own))]).rstrip(".!?:;,") or t
+        if kind < 0.35:
+            return t.replace(".", "").replace(",", "")
+        if kind < 0.5:
+            first, n = rng.choice(((0x4E00, 4000), (0x3041, 80), (0x0430, 32), (0x0627, 30), (0xAC00, 2000))), rng.randint(20, 160)
+            return "".join(rng.choice((" ", "。", "，")) if rng.random() < 0.06 else chr(first[0] + rng.randrange(first[1])) for _ in range(n)).strip() + rng.choice(("", "", "。", "."))
+        return t
+
+    def line(low: int, high: int) -> str:
+        """What isn't main text may read like it."""
+        return phrase(low, high) if rng.random() < 0.5 else html.escape(varied(rng.choice(long_texts)))
+
     def paragraphs(n: int) -> str:
-        return "".join(f"<p>{phrase(4, 60)}</p>" for _ in range(n))
+        return "".join(f"<p>{line(4, 60)}</p>" for _ in range(n))
 
     def comments() -> str:
         item, box = rng.choice(("li", "div", "div", "article", "p")), rng.choice(("section", "div", "div", "ol", "aside"))
@@ -344,9 +413,9 @@ def laid_out(texts: list[str], number: int, seed: int = 7) -> list[tuple[list[Bl
         parts = ""
         for _ in range(rng.randint(1, 6)):
             who = html.escape(rng.choice(NAMES_OF_PEOPLE))
-            line = {"p": f"<p><b>{who}</b> {rng.choice(STAMPS)}</p>", "d": f"<div{own}>{who}</div><div>{rng.choice(STAMPS)}</div>", "b": f"<b>{who}</b>: ", "s": f"<h4>{who}</h4>"}[by]
-            said = phrase(3, 60) if item == "p" or by == "b" else f"<p>{phrase(3, 60)}</p>"
-            parts += f"<{item}{own}>{line}{said}{rng.choice(('', f'<a href=#r>{rng.choice(ANSWERS)}</a>', f'<button>{rng.choice(ANSWERS)}</button>', f'<div>{rng.choice(ANSWERS)}</div>'))}</{item}>"
+            head = {"p": f"<p><b>{who}</b> {rng.choice(STAMPS)}</p>", "d": f"<div{own}>{who}</div><div>{rng.choice(STAMPS)}</div>", "b": f"<b>{who}</b>: ", "s": f"<h4>{who}</h4>"}[by]
+            said = line(3, 60) if item == "p" or by == "b" else f"<{(q := rng.choice(('p', 'p', 'div')))}>{line(3, 60)}</{q}>"
+            parts += f"<{item}{own}>{head}{said}{rng.choice(('', f'<a href=#r>{rng.choice(ANSWERS)}</a>', f'<button>{rng.choice(ANSWERS)}</button>', f'<div>{rng.choice(ANSWERS)}</div>'))}</{item}>"
         title = f"<{(h := rng.choice(('h2', 'h3', 'h4', 'div')))}>{rng.choice(HEADINGS)}</{h}>" * (rng.random() < 0.7)
         return f"<{box}{attribute(['comments', 'comment', 'discussion', 'disqus', 'replies'], 0.4)}>{title}{parts}</{box}>"
 
@@ -354,8 +423,11 @@ def laid_out(texts: list[str], number: int, seed: int = 7) -> list[tuple[list[Bl
         telling = lambda: attribute(OTHER_NAMES, 0.7)
         kinds = [
             lambda: f"<aside{attribute(OTHER_NAMES, 0.3)}><h3>{rng.choice((phrase(1, 4), rng.choice(NOTICES)))}</h3>{rng.choice((links(4), paragraphs(2)))}</aside>",
-            lambda: f"<form><label>{phrase(1, 3)}</label><p>{rng.choice((phrase(3, 12), rng.choice(NOTICES)))}</p><button>{rng.choice(NOTICES)}</button></form>",
-            lambda: f"<div{attribute(OTHER_NAMES, 1)}>{rng.choice((phrase(3, 40), rng.choice(NOTICES)))}</div>", lambda: f"<div{attribute(OTHER_NAMES, 1)}>{paragraphs(rng.randint(1, 4))}</div>",
+            lambda: f"<form><label>{phrase(1, 3)}</label><{(q := rng.choice(('p', 'p', 'div')))}>{rng.choice((line(3, 40), line(3, 12), rng.choice(NOTICES)))}</{q}><button>{rng.choice(NOTICES)}</button></form>",
+            lambda: f"<div{attribute(OTHER_NAMES, 1)}>{rng.choice((line(3, 40), line(3, 40), rng.choice(NOTICES)))}</div>",
+            *[lambda: f'<div class="{rng.choice(("ad", "ad", "ads", "advert", "advertisement", "sponsored", "promo"))}{rng.choice("-_ ")}{rng.choice((name(), "box", "slot", "1"))}">{rng.choice((line(3, 40), paragraphs(1)))}</div>'] * 2,
+            *[lambda: f"<aside{attribute(OTHER_NAMES, 0.2)}>{rng.choice(('', f'<h3>{phrase(1, 4)}</h3>'))}{rng.choice((paragraphs(1), paragraphs(1), line(3, 40)))}</aside>"] * 2,
+            lambda: f"<div{attribute(OTHER_NAMES, 1)}>{paragraphs(rng.randint(1, 4))}</div>",
             lambda: f"<section{attribute(OTHER_NAMES, 1)}><h3>{phrase(1, 4)}</h3>{paragraphs(rng.randint(1, 3))}</section>", lambda: f"<div{telling()}>{links(rng.randint(2, 8))}</div>",
             lambda: f"<div{telling()}>{rng.choice(NOTICES)}</div>", lambda: f"<div><h4>{rng.choice(NOTICES)}</h4>{links(rng.randint(2, 5))}</div>", comments, comments,
         ]
@@ -382,11 +454,13 @@ def laid_out(texts: list[str], number: int, seed: int = 7) -> list[tuple[list[Bl
     def article() -> str:
         tag = rng.choice(("p", "p", "p", "p", "div"))
         wrap = rng.choice(("", "", "", "div", "section"))
-        paragraph = lambda: f"<{tag}>{text(rng.choice(long_texts))}</{tag}>"
+        paragraph = lambda: f"<{tag}>{text(varied(rng.choice(long_texts)))}</{tag}>"
         heading = f"<h1>{MAIN}{phrase(1, 12)}</h1>" if rng.random() < 0.75 else ""
         if rng.random() < 0.3:
             by = rng.choice((f"<p>{MAIN}By {phrase(1, 3)}</p>", f"<p>{MAIN}{phrase(1, 3)}, {rng.choice(STAMPS)}</p>", f"<div>{MAIN}{phrase(2, 5)}</div><time>{MAIN}{rng.choice(STAMPS)}</time>"))
             heading = f"<header>{heading}{by}</header>" if rng.random() < 0.7 else heading + by
+        if rng.random() < 0.15:  # one paragraph alone
+            return rng.choice(("", heading)) + paragraph()
         parts = [paragraph()] + [body_part(tag, paragraph) for _ in range(rng.choice((0, 0, 1, 2, 4, 8, 16)))]
         for _ in range(rng.choice((0, 0, 0, 1, 2))):
             parts.insert(rng.randint(1, len(parts)), others(True))
@@ -396,7 +470,7 @@ def laid_out(texts: list[str], number: int, seed: int = 7) -> list[tuple[list[Bl
     pages = []
     for _ in range(number):
         main = article()
-        kind = rng.choice(("article", "article", "article", "main", "main article", "div", "div", "div div", "section", "td", ""))
+        kind = rng.choice(("article", "article", "article", "main", "main", "main", "main article", "div", "div", "div div", "section", "td", ""))
         for tag in reversed(kind.split()):
             own = attribute(MAIN_NAMES, 0.4) if tag in ("div", "section") or rng.random() < 0.4 else ""
             main = f"<table><tr><td{own}>{main}</td></tr></table>" if tag == "td" else f"<{tag}{own}>{main}</{tag}>"
