@@ -10,6 +10,7 @@ Viterbi's.
 
 from __future__ import annotations
 
+import functools
 import html
 import random
 import re
@@ -46,10 +47,10 @@ class Element:
     """A block-level element: its parent, what it looks like, the characters of text in it and up to two levels below,
     whether it holds a headline, and how many elements of its parent look like it."""
 
-    __slots__ = ("parent", "look", "chars", "headed", "alike", "stamped")
+    __slots__ = ("parent", "look", "chars", "headed", "alike", "stamped", "inner")
 
     def __init__(self, parent, look):
-        self.parent, self.look, self.chars, self.headed, self.alike, self.stamped = parent, look, 0, False, None, False
+        self.parent, self.look, self.chars, self.headed, self.alike, self.stamped, self.inner = parent, look, 0, False, None, False, None
 
 
 class Block:
@@ -197,14 +198,28 @@ TELLING_TAGS = frozenset("article main aside nav form footer header figure li ta
 
 def closest(own: Element) -> list[str]:
     """The telling element next above a block, and the names of the two elements next to it."""
-    found, e = [], own
-    for k in range(2):
-        found += [f"near:{w}" for w in e.look.split() if k == 0 or w.startswith("name:")]
-        e = e.parent or e
-    e = own
-    while e.parent is not None and e.look[3:].split(" ", 1)[0] not in TELLING_TAGS:
-        e = e.parent
-    return [*found, f"inner:{e.look[3:].split(' ', 1)[0]}"]
+    inner, e = own.inner, own
+    if inner is None:
+        way = []
+        while e.inner is None:
+            way.append(e)
+            tag = e.look[3:].split(" ", 1)[0]
+            if e.parent is None or tag in TELLING_TAGS:
+                e.inner = f"inner:{tag}"
+            else:
+                e = e.parent
+        inner = e.inner
+        for e in way:
+            e.inner = inner
+    up = own.parent or own
+    return [*near_names(own.look)[0], *near_names(up.look)[1], inner]
+
+
+@functools.lru_cache(4096)
+def near_names(look: str) -> tuple[list[str], list[str]]:
+    """Features of an element next to a block, all and those of names alone."""
+    words = look.split()
+    return [f"near:{w}" for w in words], [f"near:{w}" for w in words if w.startswith("name:")]
 
 
 def stamps(own: Element) -> list[str]:
