@@ -45,7 +45,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each secret in a text replaced by [SECRET], and n_chars that of the new text."""
     common.small_batches(spark)
-    return secrets.redact(docs, secrets.examples_of(docs)).select(*COLUMNS)
+    return secrets.redact(docs, secrets.examples_of(docs), ordinary=secrets.ordinary_of(docs)).select(*COLUMNS)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from gridloom.llm import byte_bpe, common, decontamination, html_extraction, lan
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    found = secrets.scan(docs, secrets.examples_of(docs))
+    found = secrets.scan(docs, secrets.examples_of(docs), ordinary=secrets.ordinary_of(docs))
     base = F.filter("spans", lambda s: s["kind"] != "format")
 
     def count(kind):

@@ -4,7 +4,9 @@ import collections
 import hashlib
 import html
 import math
+import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -119,6 +121,72 @@ def test_automata_find_planted_credentials_and_leave_words(spark):
     assert known.odds(long_value.encode()) > secrets.ODDS > known.odds(b"internationalisation2024")
 
 
+def test_planted_credentials_of_all_formats_are_found_and_nothing_else(spark):
+    """Each format in words of the tables' kind, drawn apart from the examples; small letters only, and other lengths."""
+    rng = random.Random(23)
+    words = "the model reads many pages of text and internationalisation of counterrevolutionaries is www.example.com/path/to/page-2024.html or src/main/java/MyService2.java AbstractSingletonProxyFactoryBean 550e8400-e29b-41d4-a716-446655440000 user_profile_2024_final_v2 deadbeefdeadbeef /usr/local/lib/python3.13/site-packages".split()
+    sentence = lambda: " ".join(rng.choices(words[:11], k=30))
+    rows, planted = [], {}
+    for name, parts in sorted(secrets.PUBLIC_FORMATS.items()):
+        for _ in range(10):
+            value = secrets.drawn(parts, rng)
+            rows.append((len(rows), f"{sentence()} \u00e9 ({value}) {sentence()}"))
+            planted[rows[-1][0]] = value
+    for value in ("ghp_" + "".join(rng.choices(secrets.LOWER, k=36)), "sk-" + "".join(rng.choices(secrets.ALNUM, k=48)), "xoxb-12345678901-1234567890-" + "".join(rng.choices(secrets.ALNUM, k=24))):
+        rows.append((len(rows), f"{sentence()} {value} {sentence()}"))
+        planted[rows[-1][0]] = value
+    rows += [(len(rows) + k, f"{sentence()} {word} {sentence()}") for k, word in enumerate(words)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = secrets.scan(df, secrets.examples_of(df), ordinary=secrets.ordinary_of(df)).collect()
+    texts, got, base = dict(rows), {}, set()
+    for r in found:
+        base |= {r["doc_id"] for s in r["spans"] if s["kind"] != "format"}
+        for s in r["spans"]:
+            if s["kind"] == "format":
+                got.setdefault(r["doc_id"], []).append(texts[r["doc_id"]][s["start"] : s["end"]])
+    beyond = {k: v for k, v in planted.items() if k not in base}
+    right = sum(got.get(k) == [v] for k, v in beyond.items())
+    assert len(beyond) > 120 and right >= 0.97 * len(beyond), (right, len(beyond))
+    assert not got.keys() - planted.keys()
+
+
+def test_ordinary_text_counts_pairs_outside_of_secrets(spark):
+    texts = ["abab ab", None, "", "secret=ababababababab", "\u00e9ab" * 3] * 2
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    a, b = ord("a"), ord("b")
+    want = np.zeros((256, 256))
+    for t in ["abab ab", "\u00e9ab" * 3] * 2:
+        held = [c if secrets.Ordinary.HELD[c] else 0 for c in b"\0" + t.encode()]
+        for x, y in zip(held, held[1:]):
+            want[x, y] += 1
+    assert np.allclose(secrets.ordinary_of(df).moves[[a, b]], secrets.Ordinary(want).moves[[a, b]])
+    assert secrets.ordinary_of(df).log_likelihood(b"abab") > secrets.Ordinary().log_likelihood(b"abab")
+    assert np.array_equal(secrets.ordinary_of(df.limit(0)).moves, secrets.Ordinary().moves)
+
+
+def test_long_texts_of_credentials_take_time_in_proportion():
+    rng, scorer = random.Random(4), secrets.Scorer({"hex": [b"0123456789abcdef" * 2, b"fedcba9876543210" * 2]})
+    hashes = " \u00e9 ".join(f"{rng.getrandbits(128):032x}" for _ in range(100_000))
+    start = time.time()
+    spans = secrets.spans_of(hashes, scorer)[0]
+    assert time.time() - start < 20 and len(spans) == 100_000
+    assert all(hashes[s["start"] : s["end"]].isalnum() and s["end"] - s["start"] == 32 and s["odds"] is not None for s in spans)
+
+
+def test_long_labelled_credentials_are_learned_from_piece_by_piece(spark):
+    rng = random.Random(8)
+    value = "".join(rng.choices(secrets.HEX_DIGITS, k=3 * secrets.PIECE + 5))
+    df = spark.createDataFrame([(1, f"see {value} there"), (2, f"see {value} there"), (3, None)], "doc_id long, text string")
+    pieces = secrets.examples_of(df)["hex"]
+    assert sorted(pieces) == sorted(value[k : k + secrets.PIECE].encode() for k in range(0, len(value), secrets.PIECE))
+    assert secrets.examples_of(df, most=1)["hex"] == [value[: secrets.PIECE].encode()]
+
+
+def test_contexts_before_candidates():
+    for text, want in [(b'auth_key = "', b'auth_key = "'), (b"x y:", b""), (b"key" + b" " * 5000 + b"=" + b" " * 5000, b"key" + b" " * 5000 + b"=" + b" " * 5000), (b"'name' : '", b"name' : '"), (b"= ", b""), (b"", b""), (b"a=b", b"")]:
+        assert secrets.context_before(text, len(text)) == want, text
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "token=abcdefgh12 rest", 99, "x"), (1, "token=abcdefgh12 rest", 99, "x"), (2, None, 4, None), (None, "", 0, "y")], "doc_id long, text string, n_chars long, spans string")
     got = sorted(map(tuple, secrets.redact(df, secrets.examples_of(df)).collect()), key=str)
