@@ -1,8 +1,10 @@
 """Toxicity by a counterfactual-regularised linear classifier.
 
-Features are words of a vocabulary chosen by their document counts over all labelled rows. In the labelled sentences
-of the training sample each identity term is swapped for others of its group; the square of the change that a swap
-makes in the score is part of the loss, so that a mention of a group by itself moves no score.
+Features are all words of the training sample; how much a word tells of the label, by its document counts over all
+labelled rows, says how far its weight is held back. A word that the sample lacks has the weight 0, where the penalty on
+size has its minimum. In the labelled sentences of the training sample each identity term is swapped for others of its
+group; the square of the change that a swap makes in the score is part of the loss, so that a mention of a group by itself
+moves no score.
 """
 
 from __future__ import annotations
@@ -28,10 +30,10 @@ IDENTITY_GROUPS = (
 )
 IDENTITY = {term: group for group in IDENTITY_GROUPS for term in group}
 
-#: Words in the vocabulary at most (they bound the driver's memory and the broadcast), rows of each label in the training
-#: sample, the weights of the penalties on swaps, on size and, for each row, on the bias, the log-likelihood ratio below
-#: which a word's penalty on size grows, and steps of Newton's method and of the conjugate gradients within each.
-VOCABULARY, SAMPLE_EACH, SWAP_PENALTY, RIDGE, BIAS_PENALTY, TELLING, STEPS, INNER = 20_000, 6000, 10.0, 1.0, 0.25, 12.0, 25, 60
+#: Rows and characters of each label in the training sample (they bound the driver's memory and the broadcast, as no other
+#: words have weights), the weights of the penalties on swaps, on size and, for each row, on the bias, the log-likelihood
+#: ratio below which a word's penalty on size grows, and steps of Newton's method and of the conjugate gradients within each.
+SAMPLE_EACH, SAMPLE_CHARS, SWAP_PENALTY, RIDGE, BIAS_PENALTY, TELLING, STEPS, INNER = 6000, 24_000_000, 10.0, 1.0, 0.25, 12.0, 25, 60
 
 #: Words are runs of letters: A-Z become a-z, other ASCII characters separate, bytes of other characters stay.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -52,10 +54,9 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return texts.join(common.broadcast_if_small(marks), "doc_id")
 
 
-def choose_words(rows: DataFrame, size: int = VOCABULARY) -> dict[bytes, float]:
-    """The words, size at most, whose presence tells most about the label, with how much it tells: the log-likelihood ratio
-    of their document counts over all labelled rows, ties by the word; and the identity terms. The ranking alone chooses,
-    so that small tables keep words too: fit() shrinks the weights of those that tell little."""
+def telling_words(rows: DataFrame, sample: DataFrame) -> dict[bytes, float]:
+    """All words of the sample, and the identity terms, with how much the presence of each tells about the label: the
+    log-likelihood ratio of its document counts over all labelled rows. In the order of the words."""
 
     def counted(batches):
         for batch in batches:
@@ -65,10 +66,15 @@ def choose_words(rows: DataFrame, size: int = VOCABULARY) -> dict[bytes, float]:
                     counts.setdefault(word, [0, 0])[toxic] += 1
             yield pd.DataFrame({"word": list(counts), "n0": [c[0] for c in counts.values()], "n1": [c[1] for c in counts.values()]})
 
+    def words_of(batches):
+        for batch in batches:
+            yield pd.DataFrame({"word": list(set().union(*map(word_set, batch["text"])))})
+
     totals = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     a, b = totals.get(0, 0), totals.get(1, 0)
     if not a or not b:
         return {}
+    sampled = sample.select("text").mapInPandas(words_of, "word binary").distinct()
     counts = rows.select("text", "toxic").mapInPandas(counted, "word binary, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     n0, n1 = F.col("n0"), F.col("n1")
     share = (n0 + n1) / F.lit(float(a + b))
@@ -78,9 +84,8 @@ def choose_words(rows: DataFrame, size: int = VOCABULARY) -> dict[bytes, float]:
         absent, not_expected = float(total) - n, float(total) - share * float(total)
         return F.when(n > 0, n * F.log(n / expected)).otherwise(0.0) + F.when(absent > 0, absent * F.log(absent / not_expected)).otherwise(0.0)
 
-    best = counts.filter(n0 + n1 < a + b).withColumn("told", term(n0, a) + term(n1, b)).orderBy(F.desc("told"), "word").limit(size)
-    chosen = {bytes(r["word"]): r["told"] for r in best.select("word", "told").collect()}
-    return chosen | {t.encode(): TELLING for t in IDENTITY}
+    found = counts.join(sampled, "word", "left_semi").select("word", (term(n0, a) + term(n1, b)).alias("told")).orderBy("word").collect()
+    return {bytes(r["word"]): r["told"] for r in found} | {t.encode(): TELLING for t in IDENTITY}
 
 
 class Model:
@@ -162,16 +167,18 @@ def fit(rows: list[tuple[list[int], int]], words: dict[bytes, float], swap_penal
     return Model(words, theta[:d], theta[d])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_each: int = SAMPLE_EACH, **columns) -> Model:
-    """Learns words from all labelled rows, and weights from a sample of at most about sample_each rows a label, drawn
-    by the digest of the id. Without rows of both labels, every text gets the share of toxic rows."""
+def train(docs: DataFrame, labels: DataFrame, sample_each: int = SAMPLE_EACH, sample_chars: int = SAMPLE_CHARS, **columns) -> Model:
+    """Learns how much words tell from all labelled rows, and weights from a sample of at most about sample_each rows and
+    sample_chars characters a label, drawn by the digest of the id. Without rows of both labels, every text gets the share
+    of toxic rows."""
     spark = docs.sparkSession
     rows = common.stored(labelled(docs, labels, **columns), "toxic-labelled")
-    words = choose_words(rows)
-    counts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    part = F.lit(0.0)
-    for label, count in counts.items():
-        part = F.when(F.col("toxic") == label, min(1.0, sample_each / count)).otherwise(part)
+    counts, part = {}, F.lit(0.0)
+    for r in rows.groupBy("toxic").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).collect():
+        counts[r["toxic"]] = r["n"]
+        part = F.when(F.col("toxic") == r["toxic"], min(1.0, sample_each / r["n"], sample_chars / max(r["chars"] or 0, 1))).otherwise(part)
+    drawn = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part * 1_000_000)
+    words = telling_words(rows, drawn)
     place = spark.sparkContext.broadcast({w: k for k, w in enumerate(words)})
 
     def present(batches):
@@ -179,9 +186,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_each: int = SAMPLE_EACH, **
             found = [sorted(place.value[w] for w in word_set(t) & place.value.keys()) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "present": found, "toxic": batch["toxic"]})
 
-    drawn = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part * 1_000_000).withColumn("doc_id", F.col("doc_id").cast("string"))
     # a repeated row is one of the sample, so that repetition can't make it large
-    sample = drawn.mapInPandas(present, "doc_id string, present array<int>, toxic int").distinct().orderBy("doc_id", "present").collect()
+    sample = drawn.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(present, "doc_id string, present array<int>, toxic int").distinct().orderBy("doc_id", "present").collect()
     rate = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
     model = fit([(list(r["present"]), r["toxic"]) for r in sample], words, rate=rate)
     common.drop_stored(rows)

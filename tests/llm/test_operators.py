@@ -663,6 +663,32 @@ def test_toxicity_fit_minimises_the_loss():
             assert loss(moved) > best
 
 
+def test_toxicity_weighs_all_words_of_the_sample(spark):
+    """What words tell, against counting them one by one; words that the sample lacks have no weight, others all have."""
+    rng = np.random.default_rng(12)
+    rows = [(k, " ".join(rng.choice([a + b for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst"], rng.integers(0, 40))) + " everywhere", int(rng.random() < 0.4)) for k in range(300)]
+    rows += [rows[3], (900, "everywhere once", 1)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    part = rows[:120]
+    told = toxicity.telling_words(table, table.filter("doc_id < 120"))
+    words = {w.encode() for _, text, _ in part for w in text.split()}
+    assert set(told) == words | {t.encode() for t in toxicity.IDENTITY}
+    totals = collections.Counter(y for *_, y in rows)
+    for word in words:
+        with_word = collections.Counter(y for _, text, y in rows if word in {w.encode() for w in text.split()})
+        share, want = sum(with_word.values()) / len(rows), 0.0
+        for y in (0, 1):
+            for n, p in ((with_word[y], share), (totals[y] - with_word[y], 1 - share)):
+                want += n * math.log(n / (p * totals[y])) if n else 0.0
+        assert told[word] == pytest.approx(want, abs=1e-9)
+    labels = table.selectExpr("doc_id", "toxic").distinct()
+    model = toxicity.train(table.select("doc_id", "text"), labels)
+    learnt = [text for k, text, _ in rows if zlib.crc32(str(k).encode()) % 5]
+    assert model.known == {w.encode() for text in learnt for w in text.split()} | {t.encode() for t in toxicity.IDENTITY}
+    few = toxicity.train(table.select("doc_id", "text"), labels, sample_chars=2000)
+    assert toxicity.IDENTITY.keys() < {w.decode() for w in few.known} and len(few.known) < len(model.known)
+
+
 def test_toxicity_without_telling_words_keeps_the_base_rate():
     rows = [([], int(k % 7 == 0)) for k in range(70)]
     model = toxicity.fit(rows, {b"muslim": toxicity.TELLING, b"christian": toxicity.TELLING})
