@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm import common
@@ -106,17 +106,17 @@ def unpacked(flat: bytes, sizes: bytes) -> list[np.ndarray]:
 
 
 def cut(batches, size: int, across: bool = False):
-    """(pivot, distances, ids, vectors) of stretches of at most size rows, of one pivot each or across pivots (then the
-    pivot is the first row's), from frames sorted by pivot."""
+    """(pivots, distances, ids, vectors) of stretches of at most size rows, of one pivot each or across pivots, from frames
+    sorted by pivot."""
     held: list[tuple] = []
     for batch in batches:
         for row in zip(batch["pivot"], batch["distance"], batch["vec_id"], batch["v"]):
             if held and (len(held) == size or held[0][0] != row[0] and not across):
-                yield held[0][0], *zip(*(r[1:] for r in held))
+                yield zip(*held)
                 held = []
             held.append(row)
     if held:
-        yield held[0][0], *zip(*(r[1:] for r in held))
+        yield zip(*held)
 
 
 class Best:
@@ -186,7 +186,11 @@ def search(vectors: DataFrame, k: int = 10, query_modulus: int = 100, scale: int
 
             for pivot, distance, ids, raw in cut(batches, size, across):
                 flat, sizes = packed([np.frombuffer(x, "<f8") for x in raw])
-                yield pd.DataFrame({name: [uuid.uuid4().hex], "pivot": pivot, "nearest": min(distance), "farthest": max(distance), "ids": [np.array(ids, "<i8").tobytes()], "vs": [flat], "sizes": [sizes]})
+                ranges: dict[int, list[float]] = {}
+                for p, d in zip(pivot, distance):  # sorted by both
+                    ranges.setdefault(int(p), [float(d), float(d)])[1] = float(d)
+                span = {"ranges": [[{"pivot": p, "low": low, "high": high} for p, (low, high) in ranges.items()]]} if across else {"pivot": pivot[0], "nearest": distance[0], "farthest": distance[-1]}
+                yield pd.DataFrame({name: [uuid.uuid4().hex], **span, "ids": [np.array(ids, "<i8").tobytes()], "vs": [flat], "sizes": [sizes]})
             common.release()
 
         return run
@@ -196,12 +200,13 @@ def search(vectors: DataFrame, k: int = 10, query_modulus: int = 100, scale: int
         rows = df.mapInPandas(keyed(is_query), "pivot int, distance double, vec_id long, v binary")
         # each chunk meets blocks of all pivots, so chunks are as few as their size allows
         dealt = rows.repartitionByRange(-(-n_queries // size), *order) if is_query and n_queries else rows.repartitionByRange(*order)
-        kinds = f"{name} string, pivot int, nearest double, farthest double, ids binary, vs binary, sizes binary"
+        span = "ranges array<struct<pivot: int, low: double, high: double>>" if is_query else "pivot int, nearest double, farthest double"
+        kinds = f"{name} string, {span}, ids binary, vs binary, sizes binary"
         return store(dealt.sortWithinPartitions(*order).mapInPandas(in_stretches(name, size, is_query), kinds), f"topk-{name}")
 
     index = indexed(rows, "block", BLOCK, False)
     asked = indexed(rows.filter(F.col("vec_id") % query_modulus == 0).dropDuplicates(["vec_id"]), "chunk", CHUNK, True)
-    annuli = index.select("block", "pivot", "nearest", "farthest")
+    annuli = index.select("block", "pivot", "nearest", "farthest", (F.length("ids") / 8).cast("long").alias("held"))
 
     def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """The k best of each query of one chunk in some blocks, those of its least score or more."""
@@ -239,16 +244,17 @@ def search(vectors: DataFrame, k: int = 10, query_modulus: int = 100, scale: int
         return own.cogroup(index.join(pairs, "block").groupBy("chunk", "pack")).applyInPandas(work, schema)
 
     def best(rows_: DataFrame) -> DataFrame:
-        from pyspark.sql import Window
-
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         return rows_.withColumn("rank", place).filter(F.col("rank") <= k)
 
     gap = F.greatest(F.lit(0.0), F.col("nearest") - F.col("high"), F.col("low") - F.col("farthest"))
-    own = asked.select("chunk", "pivot", F.col("nearest").alias("low"), F.col("farthest").alias("high")).join(annuli, "pivot")
-    # blocks of equal vectors have equal gaps: a digest breaks the tie, so that not all chunks start in one of them
-    first = own.groupBy("chunk").agg(F.min(F.struct(gap.alias("gap"), F.xxhash64("chunk", "block").alias("tie"), "block"))["block"].alias("block"))
-    first = store(first.withColumn("pack", F.lit(0)), "topk-first")
+    own = asked.select("chunk", F.inline("ranges")).join(annuli, "pivot")
+    # The nearest blocks of each pivot of a chunk until they hold k candidates besides a query. Blocks of equal vectors have equal gaps: a digest
+    # breaks the tie, so that not all chunks start in one of them.
+    nearest = Window.partitionBy("chunk", "pivot").orderBy(gap, F.xxhash64("chunk", "block"), "block")
+    before = F.coalesce(F.sum("held").over(nearest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = own.withColumn("before", before).filter(F.col("before") <= k).select("chunk", "block", F.lit(0).alias("pack"))
+    first = store(first, "topk-first")
     start = common.stored(found(first, asked.withColumn("least", F.lit(None).cast("binary"))), "topk-start")
     bounds = start.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("least")).filter("least IS NOT NULL")
 
@@ -261,30 +267,38 @@ def search(vectors: DataFrame, k: int = 10, query_modulus: int = 100, scale: int
     told = told.groupBy("chunk").agg(F.map_from_entries(F.collect_list(F.struct("query_id", "least"))).alias("known"))
 
     def reaching(batches):
-        """Each chunk with its queries' least scores and, by pivot, the least and greatest distance that any query reaches."""
+        """Each chunk with its queries' least scores and, by pivot, the least and greatest distance that any of them
+        reaches. Queries without a bound become a chunk of their own, so that the others keep theirs."""
         for batch in batches:
             for row in batch.to_dict("records"):
                 qs, ids = unpacked(row["vs"], row["sizes"]), np.frombuffer(row["ids"], "<i8")
                 known = dict(row["known"]) if row["known"] is not None else {}
                 least = np.array([known.get(i, LOW) for i in ids.tolist()], "<i8")
                 free = giant(qs) | (least == LOW)
-                if len(pivots.value) and not free.any():
-                    d = distances(qs, np.zeros(len(qs)), pivots.value)
-                    reach = np.sqrt(np.maximum(squares(qs) + greatest - 2.0 * least, 0))[:, None] + slack
-                    low, high = (d - reach).min(axis=0), (d + reach).max(axis=0)
-                else:
-                    low, high = np.full(len(pivots.value), -np.inf), np.full(len(pivots.value), np.inf)
-                yield pd.DataFrame({
-                    **{c: [row[c]] for c in ("chunk", "ids", "vs", "sizes")}, "least": [least.tobytes()],
-                    "low": [np.append(low, -np.inf)], "high": [np.append(high, np.inf)],
-                })
+                free |= not len(pivots.value)
+                for which in (np.flatnonzero(~free), np.flatnonzero(free)):
+                    if not len(which):
+                        continue
+                    some = [qs[i] for i in which]
+                    if free[which[0]]:
+                        low, high = np.full(len(pivots.value), -np.inf), np.full(len(pivots.value), np.inf)
+                    else:
+                        d = distances(some, np.zeros(len(some)), pivots.value)
+                        reach = np.sqrt(np.maximum(squares(some) + greatest - 2.0 * least[which], 0))[:, None] + slack
+                        low, high = (d - reach).min(axis=0), (d + reach).max(axis=0)
+                    flat, sizes = packed(some)
+                    yield pd.DataFrame({
+                        "origin": [row["chunk"]], "chunk": [row["chunk"] + ("-free" if free[which[0]] else "")], "ids": [ids[which].tobytes()], "vs": [flat], "sizes": [sizes],
+                        "least": [least[which].tobytes()], "low": [np.append(low, -np.inf)], "high": [np.append(high, np.inf)],
+                    })
 
     chunks = asked.join(told, "chunk", "left").select("chunk", "ids", "vs", "sizes", "known")
-    chunks = store(chunks.mapInPandas(reaching, "chunk string, ids binary, vs binary, sizes binary, least binary, low array<double>, high array<double>"), "topk-bounds")
+    kinds = "origin string, chunk string, ids binary, vs binary, sizes binary, least binary, low array<double>, high array<double>"
+    chunks = store(chunks.mapInPandas(reaching, kinds), "topk-bounds")
     # the last entry is that of the pivot -1
-    reach = chunks.select("chunk", F.posexplode(F.arrays_zip("low", "high")).alias("pivot", "r")).withColumn("pivot", F.when(F.col("pivot") == len(pivots.value), -1).otherwise(F.col("pivot")))
-    pairs = reach.join(annuli, "pivot").filter((F.col("nearest") <= F.col("r.high")) & (F.col("farthest") >= F.col("r.low"))).select("chunk", "block")
-    pairs = pairs.join(first.select("chunk", "block"), ["chunk", "block"], "left_anti")
+    reach = chunks.select("origin", "chunk", F.posexplode(F.arrays_zip("low", "high")).alias("pivot", "r")).withColumn("pivot", F.when(F.col("pivot") == len(pivots.value), -1).otherwise(F.col("pivot")))
+    pairs = reach.join(annuli, "pivot").filter((F.col("nearest") <= F.col("r.high")) & (F.col("farthest") >= F.col("r.low"))).select("origin", "chunk", "block")
+    pairs = pairs.join(first.select(F.col("chunk").alias("origin"), "block"), ["origin", "block"], "left_anti").drop("origin")
     packs = max(1, round(index.count() / PACK))
     pairs = store(pairs.withColumn("pack", F.pmod(F.xxhash64("block"), F.lit(packs)).cast("int")), "topk-pairs")
     if said is not None:

@@ -587,6 +587,11 @@ def test_topk_prunes_what_can_be_pruned(spark, monkeypatch):
     said = {}
     got = topk.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), query_modulus=50, said=said).collect()
     assert sorted(map(tuple, got)) == brute_topk(rows, 50) and said["pairs"] < 0.5 * said["blocks"] * said["chunks"]
+    # a query without a bound, here a giant one, leaves those of its chunk theirs
+    rows += [(5000, [1e300] * 8)]
+    said = {}
+    got = topk.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), query_modulus=50, said=said).collect()
+    assert sorted(map(tuple, got)) == brute_topk(rows, 50) and said["pairs"] < 0.55 * said["blocks"] * said["chunks"], said
 
 
 def test_toxicity(spark, docs, nothing):
