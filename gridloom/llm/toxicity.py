@@ -84,14 +84,15 @@ def telling_words(rows: DataFrame, sample: DataFrame) -> dict[bytes, float]:
         absent, not_expected = float(total) - n, float(total) - share * float(total)
         return F.when(n > 0, n * F.log(n / expected)).otherwise(0.0) + F.when(absent > 0, absent * F.log(absent / not_expected)).otherwise(0.0)
 
-    found = counts.join(sampled, "word", "left_semi").select("word", (term(n0, a) + term(n1, b)).alias("told")).orderBy("word").collect()
-    return {bytes(r["word"]): r["told"] for r in found} | {t.encode(): TELLING for t in IDENTITY}
+    found = counts.join(sampled, "word", "left_semi").select("word", (term(n0, a) + term(n1, b)).alias("told")).orderBy("word").toArrow()
+    return dict(zip(found["word"].to_pylist(), found["told"].to_pylist())) | {t.encode(): TELLING for t in IDENTITY}
 
 
 class Model:
     def __init__(self, words: list[bytes], weights: np.ndarray, bias: float):
         self.weights, self.bias = dict(zip(words, map(float, weights))), float(bias)
-        self.known = set(self.weights)
+
+    known = property(lambda self: self.weights.keys())
 
     def score(self, text: str | None) -> float:
         z = self.bias + sum(sorted(map(self.weights.__getitem__, self.known & word_set(text))))
@@ -119,7 +120,7 @@ def fit(rows: list[tuple[list[int], int]], words: dict[bytes, float], swap_penal
     terms = set(place.values())
     swaps: dict[tuple[int, int], int] = {}
     for present, _ in rows:
-        for j in terms.intersection(present):
+        for j in terms.intersection(np.asarray(present).tolist()):
             for other in IDENTITY[words[j].decode()]:
                 if other in place and place[other] != j and place[other] not in present:
                     swaps[j, place[other]] = swaps.get((j, place[other]), 0) + 1
@@ -183,13 +184,15 @@ def train(docs: DataFrame, labels: DataFrame, sample_each: int = SAMPLE_EACH, sa
 
     def present(batches):
         for batch in batches:
-            found = [sorted(place.value[w] for w in word_set(t) & place.value.keys()) for t in batch["text"]]
+            # packed, as the driver holds the whole sample
+            found = [np.sort(np.array([place.value[w] for w in word_set(t) & place.value.keys()], "<i4")).tobytes() for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "present": found, "toxic": batch["toxic"]})
 
     # a repeated row is one of the sample, so that repetition can't make it large
-    sample = drawn.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(present, "doc_id string, present array<int>, toxic int").distinct().orderBy("doc_id", "present").collect()
+    sample = drawn.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(present, "doc_id string, present binary, toxic int").distinct().orderBy("doc_id", "present").toArrow()
     rate = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
-    model = fit([(list(r["present"]), r["toxic"]) for r in sample], words, rate=rate)
+    place.destroy()
+    model = fit([(np.frombuffer(p.as_py(), "<i4"), y.as_py()) for p, y in zip(sample["present"], sample["toxic"])], words, rate=rate)
     common.drop_stored(rows)
     return model
 
