@@ -254,6 +254,33 @@ def test_scans_in_blocks(cube, spark, monkeypatch):
     assert np.isnan(got[0].real) and got[1:] == [2j, 2j, 6j] and reduction.prod(c, nan_policy="ignore") == 6j
 
 
+@pytest.mark.parametrize("batch", [7, 10_000])
+def test_running_products_of_many_slices(spark, batch):
+    """A batch holds many slices, a slice may go on in the next batch, and no slice costs a call of its own."""
+    rng = np.random.default_rng(7)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        for shape in ((300, 4), (3, 70), (6, 3, 5)):
+            x = rng.integers(-(1 << 40), 1 << 40, shape)
+            z = np.exp(1j * rng.random(shape))
+            a, c = creation.array(spark, x.tolist()), creation.array(spark, z.tolist())
+            for axis in (None, *range(len(shape))):
+                assert reduction.cumprod(a, axis=axis).to_list() == x.cumprod(axis=axis).tolist()
+                same(reduction.cumprod(c, axis=axis), z.cumprod(axis=axis))
+            assert "FlatMapGroups" not in reduction.cumprod(a, axis=0).df._jdf.queryExecution().executedPlan().toString()
+            z[rng.random(shape) < 0.6] = NAN
+            want = np.where(np.isnan(z), 1, z).cumprod(axis=-1)
+            want[~np.logical_or.accumulate(~np.isnan(z), axis=-1)] = complex(NAN, NAN)
+            same(reduction.cumprod(creation.array(spark, z.tolist()), axis=-1, nan_policy="ignore"), want)
+        table = spark.range(24).selectExpr("id", "CASE WHEN id <> 5 THEN id + 1 END AS x")
+        a = creation.from_dataframe(table, ["id"], "x", (24,), check=False)
+        assert reduction.cumprod(a.reshape(12, 2), axis=1).to_list() == [[k + 1, (k + 1) * (k + 2)] if k != 4 else [5, None] for k in range(0, 24, 2)]
+        assert reduction.cumprod(a.reshape(2, 12), axis=1).to_list()[0] == [1, 2, 6, 24, 120] + [None] * 7
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_sorting_of_long_axes(spark, monkeypatch):
     monkeypatch.setattr(sorting, "WINDOW_CELLS", 5)
     monkeypatch.setattr(sorting, "STEP", 3)
