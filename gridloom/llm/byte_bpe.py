@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from gridloom.llm import common
 from gridloom.llm.pretokens import can_be_cut
 
-#: Bytes of distinct words in one recursive query, rows that its steps hold together, ids in one decoding query, words that
-#: a task remembers, and words met again that a worker keeps for later tasks; they bound memory.
-QUERY_BYTES, STATE_ROWS, DECODE_IDS, MEMO_WORDS, KEPT_WORDS = 1 << 17, 1 << 21, 1 << 18, 300_000, 300_000
+#: Bytes of distinct words in one recursive query, rows that its steps hold together, ids in one decoding query, and bytes of
+#: the words that a worker remembers with their ids; they bound memory.
+QUERY_BYTES, STATE_ROWS, DECODE_IDS, KNOWN_BYTES = 1 << 17, 1 << 21, 1 << 18, 1 << 23
 SYMBOLS = [chr(256 + b) for b in range(256)]
 
 #: pos counts the bytes of all words of the batch, so it names a row. A row carries its right neighbour's position and
@@ -83,18 +83,50 @@ def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     return flat[place]
 
 
+class Known:
+    """Distinct words and the ids of each, packed in columns, as a dict of strings takes several times their memory. met: words that
+    were asked for again."""
+
+    def __init__(self):
+        self.words, self.flat, self.sizes, self.met = pa.array([], pa.large_string()), np.zeros(0, "<u4"), np.zeros(0, np.int32), np.zeros(0, bool)
+
+    def nbytes(self) -> int:
+        return self.words.nbytes + self.flat.nbytes + self.sizes.nbytes + self.met.nbytes
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Where each of some distinct words is, -1 if it isn't here. Those that are have now been met again."""
+        at = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy().astype(int)
+        self.met[at[at >= 0]] = True
+        return at
+
+    def keep(self, mask: np.ndarray) -> None:
+        starts = np.cumsum(self.sizes) - self.sizes
+        self.flat, self.sizes = gathered(self.flat, starts[mask], self.sizes[mask]), self.sizes[mask]
+        self.words, self.met = self.words.filter(pa.array(mask)), self.met[mask]
+
+    def add(self, words: pa.Array, flat: np.ndarray, sizes: np.ndarray) -> None:
+        """Adds words that aren't here. Where that takes too much memory, those never met again go, then all."""
+        more = words.nbytes + flat.nbytes + sizes.nbytes
+        if self.nbytes() + more > KNOWN_BYTES:
+            self.keep(self.met)
+        if self.nbytes() + more > KNOWN_BYTES:
+            self.keep(np.zeros(len(self.met), bool))
+        if more <= KNOWN_BYTES:
+            self.words, self.met = pa.concat_arrays([self.words, words]), np.append(self.met, np.zeros(len(words), bool))
+            self.flat, self.sizes = np.append(self.flat, flat), np.append(self.sizes, sizes.astype(np.int32))
+
+
 class Codec:
     """Encodes and decodes with the tables of one vocabulary. Bytes stand in the database as the characters U+0100 to U+01FF."""
 
-    def __init__(self, merges: pa.Table, vocabulary: pa.Table, pattern: str, kept: dict[str, bytes] | None = None):
+    def __init__(self, merges: pa.Table, vocabulary: pa.Table, pattern: str, known: Known | None = None):
         import duckdb
         import regex
 
         self.find = regex.compile(pattern).findall
         tokens = vocabulary["token"].to_pylist()
         self.ranks = dict(zip(tokens, vocabulary["tok"].to_pylist()))
-        self.memo: dict[str, bytes] = {}
-        self.kept = {} if kept is None else kept
+        self.known = Known() if known is None else known
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB"})
         self.load("merges_in", merges)
@@ -103,7 +135,7 @@ class Codec:
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary_in")
 
     def close(self) -> None:
-        self.memo.clear()
+        self.known.keep(self.known.met)  # most words never come again
         self.db.close()
 
     def load(self, name: str, rows: pa.Table) -> None:
@@ -114,6 +146,7 @@ class Codec:
         found = [self.ranks.get(w) for w in words]
         result = [b"" if r is None else int(r).to_bytes(4, "little") for r in found]
         todo = [k for k, r in enumerate(found) if r is None and words[k]]
+        common.trim()
         while todo:
             batch, size = [], 0
             while todo and size < QUERY_BYTES:
@@ -154,19 +187,18 @@ class Codec:
                 found[k].append(symbols.encode("utf-16-le")[::2])
         return [b"".join(parts) for parts in found]
 
-    def ids_of(self, words: list[str]) -> list[bytes]:
-        """The ids of each of some distinct words. Words are remembered up to a bound, and those that are met again are kept
-        up to another: most words never come again."""
-        memo, kept = self.memo, self.kept
-        again = {w: memo.pop(w) for w in words if w in memo}
-        if len(kept) + len(again) > KEPT_WORDS:
-            kept.clear()
-        kept.update(again)
-        unknown = [w for w in words if w not in kept]
-        if len(memo) + len(unknown) > MEMO_WORDS:
-            memo.clear()
-        memo.update(zip(unknown, self.encode_words([w.encode() for w in unknown])))
-        return [kept[w] if w in kept else memo[w] for w in words]
+    def ids_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some distinct words, one after another, and how many each word has."""
+        at = self.known.places(words)
+        new = at < 0
+        unknown = words.filter(pa.array(new))
+        ids = self.encode_words([w.encode() for w in unknown.to_pylist()])
+        flat, sizes = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), int, len(ids)) // 4
+        at[new] = len(self.known.sizes) + np.arange(len(ids))
+        every = np.append(self.known.sizes, sizes)
+        found = gathered(np.append(self.known.flat, flat), (np.cumsum(every) - every)[at], every[at])
+        self.known.add(unknown, flat, sizes)
+        return found, every[at]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and how many each text has.
@@ -188,24 +220,25 @@ class Codec:
         n_spaced = len(matches)
         for f in found:
             matches += f
+        n_pieces, piece_of, sizes_alone = len(spaced), after.indices.to_numpy(), np.array([len(f) for f in found], int)
         words = pa.array(matches, pa.large_string()).dictionary_encode()
         # no piece has a space within, so each match that begins with one begins a piece
         begins = pc.starts_with(words.dictionary, " ").to_numpy(zero_copy_only=False)[words.indices.to_numpy()[:n_spaced]]
-        per_piece = np.bincount(np.cumsum(begins), minlength=len(spaced) + 1)[1:]
-        per_piece = np.concatenate([per_piece, np.array([len(f) for f in found], int)])
-        ids = self.ids_of(words.dictionary.to_pylist())
-        word_ids, word_sizes = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), int, len(ids)) // 4
+        per_piece = np.bincount(np.cumsum(begins), minlength=n_pieces + 1)[1:]
+        per_piece, n_flat = np.concatenate([per_piece, sizes_alone]), len(flat)
+        del lists, flat, after, spaced, alone, matches, found, begins  # the next step takes much memory
+        word_ids, word_sizes = self.ids_of(words.dictionary)
         which = words.indices.to_numpy()
         match_sizes = word_sizes[which]
         piece_ids = gathered(word_ids, (np.cumsum(word_sizes) - word_sizes)[which], match_sizes)
         match_ends = np.append(0, np.cumsum(match_sizes))[np.append(0, np.cumsum(per_piece))]
         piece_starts, piece_sizes = match_ends[:-1], np.diff(match_ends)
         n_whole = int((~cut).sum())
-        sequence = np.empty(len(flat), int)
-        sequence[~first] = after.indices.to_numpy()
-        sequence[first] = len(spaced) + n_whole + np.arange(len(size))
+        sequence = np.empty(n_flat, int)
+        sequence[~first] = piece_of
+        sequence[first] = n_pieces + n_whole + np.arange(len(size))
         # the texts that are cut come first, then the others, each of one piece
-        sequence = np.concatenate([sequence, len(spaced) + np.arange(n_whole)])
+        sequence = np.concatenate([sequence, n_pieces + np.arange(n_whole)])
         every = gathered(piece_ids, piece_starts[sequence], piece_sizes[sequence])
         text_ends = np.append(0, np.cumsum(piece_sizes[sequence]))[np.append(0, np.cumsum(np.append(size, np.ones(n_whole, int))))]
         order = np.argsort(np.append(np.flatnonzero(cut), np.flatnonzero(~cut)))
@@ -226,7 +259,7 @@ class Shared:
         if not _OPEN:
             if self.name not in _KEPT:
                 _KEPT.clear()
-            _OPEN.append(Codec(*self.broadcast.value, self.pattern, _KEPT.setdefault(self.name, {})))
+            _OPEN.append(Codec(*self.broadcast.value, self.pattern, _KEPT.setdefault(self.name, Known())))
         return _OPEN[0]
 
     @staticmethod
@@ -236,7 +269,7 @@ class Shared:
 
 
 _OPEN: list[Codec] = []
-_KEPT: dict[str, dict[str, bytes]] = {}
+_KEPT: dict[str, Known] = {}
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from gridloom.llm import byte_bpe, common, decontamination, html_extraction, language_id, lm_scoring, near_dedup, secrets, token_counts, topk, toxicity
@@ -747,6 +748,26 @@ def test_byte_bpe_on_random_texts(monkeypatch):
     assert c.encode([])[0].tolist() == [] and c.decode(flat[:0], lengths[:0]) == []
 
 
+def test_byte_bpe_remembers_words_in_few_bytes(monkeypatch):
+    rng = np.random.default_rng(9)
+    draw = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    texts = [" ".join(draw(n) for n in rng.integers(3, 14, 300)) for _ in range(20)]
+    want = [tiktoken_encoding().encode_ordinary(t) for t in texts]
+    for most in (1 << 22, 150_000, 10):  # all fit in, some do, none does
+        monkeypatch.setattr(byte_bpe, "KNOWN_BYTES", most)
+        c = codec()
+        for part in (texts[:5], texts[3:9], texts[9:], texts[:5]):
+            flat, lengths = c.encode(part)
+            assert [x.tolist() for x in np.split(flat, np.cumsum(lengths)[:-1])] == [want[texts.index(t)] for t in part]
+            assert c.known.nbytes() <= most
+        n_words, met = len(c.known.words), c.known.words.filter(pa.array(c.known.met)).to_pylist()
+        assert c.known.nbytes() < 64 * n_words or most == 10 and not n_words
+        c.close()  # the words met again stay for the worker's next task
+        assert c.known.words.to_pylist() == met and (most < 1 << 22 or 0 < len(met) < n_words)
+        again = byte_bpe.Codec(*byte_bpe.tables(byte_bpe.read_ranks(RANKS)), PATTERN, c.known)
+        assert again.encode(texts[:5])[0].tolist() == sum(want[:5], [])
+
+
 def test_byte_bpe_decodes_the_ids_it_is_given():
     c = codec()
     flat, lengths = c.encode(["ab cd", "ef"])
